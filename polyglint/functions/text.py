@@ -1,16 +1,14 @@
 """Scalar column functions.
 
 All of these build JVM-side expressions (regexes, higher-order array
-functions, CASE chains), so they stay inside whole-stage codegen.  The only
-Python helper is ``format_ratio``: an Arrow-batched pandas UDF used for a
-display string, one call per compared document pair.
+functions, CASE chains), so they stay inside whole-stage codegen.  No Python
+code runs per row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import catalog as C
 
@@ -240,12 +238,9 @@ def loc_sheet(sheet) -> Column:
 # display helpers
 # --------------------------------------------------------------------------
 
-@F.pandas_udf(T.StringType())
-def _format_one_decimal(x):  # pandas Series -> Series
-    return x.map(lambda v: None if v != v else f"{v:.1f}")
-
-
 def format_ratio(c) -> Column:
-    """One decimal, rounded on the exact binary value (as Python prints it).
-    Display only: compare the DOUBLE ratio, not this string."""
-    return _format_one_decimal(col_(c).cast("double"))
+    """One decimal, rounded on the exact binary value with ties to even — the
+    way Python prints ``f"{x:.1f}"`` (``format_number`` rounds through
+    ``DecimalFormat``, which decides on the exact binary value); the
+    grouping commas it adds are removed."""
+    return F.regexp_replace(F.format_number(col_(c).cast("double"), 1), ",", "")

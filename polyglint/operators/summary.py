@@ -39,22 +39,25 @@ def review_texts(segments: DataFrame, k: int = C.CAP_LOCATIONS, per_document: bo
         keys = ["text"]
         loc = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("location"))
         order = [F.col("doc_id"), F.col("seq")]
-    counts = segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrence_count"),
-                                     F.min(F.struct(*order)).alias("_first"))
+    # occurrence counts: a plain hash aggregate with map-side combine
+    counts = segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrence_count"))
+    # first k occurrences: partial WindowGroupLimit below the shuffle, so a
+    # text repeated everywhere sends at most k rows per map task
     okeys = [f"_o{i}" for i in range(len(order))]
     w = Window.partitionBy(*keys).orderBy(*okeys)
     top = (segs.select(*keys, *[o.alias(n) for n, o in zip(okeys, order)], loc.alias("_loc"))
            .withColumn("_rn", F.row_number().over(w))
            .filter(F.col("_rn") <= k))
-    locs = top.groupBy(*keys).agg(
-        _ordered_join(F.collect_list(F.struct(F.col("_rn").alias("o"), F.col("_loc").alias("v"))),
-                      sep).alias("locations"))
+    firsts = F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("o"), F.col("_loc").alias("v"),
+                                                  *[F.col(n) for n in okeys])))
+    locs = top.groupBy(*keys).agg(firsts.alias("_f"))
     out = counts.join(locs, keys)
-    cols = list(keys) + ["locations", F.col("occurrence_count").cast("bigint").alias("occurrence_count")]
+    cols = list(keys) + [F.array_join(F.transform("_f", lambda x: x["v"]), sep).alias("locations"),
+                         F.col("occurrence_count").cast("bigint").alias("occurrence_count")]
     if per_document:
-        cols.append(F.col("_first.seq").alias("first_seq"))
+        cols.append(F.col("_f")[0]["_o0"].alias("first_seq"))
     else:
-        cols += [F.col("_first.doc_id").alias("first_doc"), F.col("_first.seq").alias("first_seq")]
+        cols += [F.col("_f")[0]["_o0"].alias("first_doc"), F.col("_f")[0]["_o1"].alias("first_seq")]
     return out.select(*cols)
 
 

@@ -22,10 +22,10 @@ from ..operators import compare as CMP
 from ..operators import report as R
 from ..operators import rulepacks as RP
 from ..operators import summary as S
-from ..session import checkpoint_dir, read_table
+from ..session import checkpoint_dir, read_table, spread_scan
 from ..sources import segmenters as G
 from . import fixtures as FX
-from .review import bitext_findings
+from .review import align_bitext, bitext_findings
 from .strategy import number_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,10 +46,12 @@ def q(name: str, rows_only: bool = False):
 # --------------------------------------------------------------------------
 
 def _bitext(spark, d):
+    """The aligned workbook.  The sheet map and the pairs feed several
+    outputs, so they are persisted (identical plans share one cache entry
+    across queries); the sheet map is broadcast behind a row-count check."""
     src, tgt = FX.fx_src(spark, d), FX.fx_tgt(spark, d)
-    sm = A.match_sheets(A.sheets_of(src), A.sheets_of(tgt))
-    pairs = A.align_cells(src, tgt, sm)
-    return src, tgt, sm, pairs
+    sheet_map, pairs = align_bitext(src, tgt, persist=True)
+    return src, tgt, sheet_map, pairs
 
 
 def _pairs(spark, d):
@@ -108,8 +110,9 @@ FINDING_VIEW = ["doc_id", "detector", "dimension", "severity", "location", "desc
 
 @q("load_documents")
 def load_documents(spark, d):
-    return read_table(spark, d, "documents").select(
-        "doc_id", "text", F.col("_metadata.file_name").alias("file_name"))
+    raw = read_table(spark, d, "documents", spread=False)
+    return spread_scan(raw.select("doc_id", "text",
+                                  F.col("_metadata.file_name").alias("file_name")))
 
 
 @q("route_format")

@@ -53,11 +53,10 @@ def bitext_findings(pairs: DataFrame, sheet_map: DataFrame,
             .unionByName(A.consistency_findings(pairs, qualified_location)))
 
 
-def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool = True,
-                  with_target_checks: bool = False, pack: str = "basic5",
-                  qualified_location: bool = False) -> dict[str, DataFrame]:
-    """Align a source and a target workbook cell by cell and derive findings,
-    statistics and consistency issues."""
+def align_bitext(src_cells: DataFrame, tgt_cells: DataFrame,
+                 persist: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(sheet_map, pairs).  Both feed several outputs, so they are persisted;
+    the sheet map is broadcast into the cell joins behind a row-count check."""
     sheet_map = A.match_sheets(A.sheets_of(src_cells), A.sheets_of(tgt_cells))
     if persist:
         sheet_map = sheet_map.persist(StorageLevel.MEMORY_AND_DISK)
@@ -67,6 +66,15 @@ def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool =
     pairs = A.align_cells(src_cells, tgt_cells, sm_join)
     if persist:
         pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+    return sheet_map, pairs
+
+
+def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool = True,
+                  with_target_checks: bool = False, pack: str = "basic5",
+                  qualified_location: bool = False) -> dict[str, DataFrame]:
+    """Align a source and a target workbook cell by cell and derive findings,
+    statistics and consistency issues."""
+    sheet_map, pairs = align_bitext(src_cells, tgt_cells, persist)
     findings = bitext_findings(pairs, sheet_map, qualified_location)
     if with_target_checks:
         segs = G.segment_cells(tgt_cells, admit="nonnull")

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,14 @@ def number_rows(df: DataFrame, order_cols: list, name: str = "n",
     order: ties would make the numbering depend on row arrival order)."""
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut_lineage(df.repartitionByRange(n_parts, *order_cols)
-                          .sortWithinPartitions(*order_cols))
+    # the range partitioner samples its input before the shuffle computes it:
+    # keep the input cached so the upstream plan runs once
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ordered = cut_lineage(src.repartitionByRange(n_parts, *order_cols)
+                              .sortWithinPartitions(*order_cols))
+    finally:
+        src.unpersist()
     ordered = (ordered.withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
     # within a partition monotonically_increasing_id is (pid << 33) + index

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings a review job wants on any cluster.  AQE re-plans joins at runtime
@@ -54,14 +55,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder (never local)."""
+    """Materialise ``df`` in the reliable checkpoint folder (never local).
+
+    The input is persisted for the duration of the checkpoint: an eager
+    checkpoint runs one job to compute the rows and another to write them,
+    and without the cache the second job would compute them again."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+# Tables whose rows carry prose: every row costs regex work, so a scan that
+# yields fewer tasks than the cluster has cores is spread out before it.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that is narrower than the cluster (a small file
+    with one row group is read by a single task) over one partition per
+    core.  A scan that is already wide — any large input — is left as it is,
+    so no text is shuffled at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str,
+               spread: bool | None = None) -> DataFrame:
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if spread if spread is not None else name in TEXT_TABLES:
+        df = spread_scan(df)
+    return df
