@@ -69,7 +69,13 @@ def report_detail(findings: DataFrame) -> DataFrame:
     f = with_defaults(findings)
     sev = F.broadcast(severities_table(findings.sparkSession).select("severity", "fill_rgb"))
     f = f.join(sev, "severity", "left")
-    numbered = number_rows(f, _order_cols(f), "n")
+    order = _order_cols(f)
+    if not order:
+        # findings read from files carry no ordering columns: number them in
+        # input order (scan partition, then position in it)
+        f = f.withColumn("_in", F.monotonically_increasing_id())
+        order = ["_in"]
+    numbered = number_rows(f, order, "n")
     return numbered.select("n", "location", "description", "severity", "dimension", "fill_rgb")
 
 

@@ -188,7 +188,7 @@ dtrans AS (SELECT workbook_id, source, target, count(*) AS n, min(pair_seq) AS f
            FROM cjkp GROUP BY workbook_id, source, target),
 cstats AS (SELECT workbook_id, source, CAST(sum(n) AS BIGINT) AS occurrences,
                   CAST(count(target) AS BIGINT) AS n_translations,
-                  list_sort(list(target) FILTER (WHERE target IS NOT NULL)) AS translations,
+                  coalesce(list_sort(list(target) FILTER (WHERE target IS NOT NULL)), []::VARCHAR[]) AS translations,
                   min(first_seq) AS first_seq
            FROM dtrans GROUP BY workbook_id, source),
 ccoords AS (SELECT workbook_id, source, string_agg(coordinate, ', ' ORDER BY pair_seq) AS coordinates
