@@ -61,6 +61,34 @@ def fence_positions(text: Column) -> Column:
     return F.filter(marks, lambda i: i.isNotNull())
 
 
+SMALL_FENCE_COUNT = 16
+
+
+def fences_before(fences: Column, pos: Column) -> Column:
+    """Number of fence positions (a sorted array) below ``pos``.
+
+    Few fences: count them directly.  Many fences: a lower-bound binary
+    search unrolled as a fixed 32-step ``aggregate`` over (lo, hi), so a
+    document with n lines and f fences costs O(n log f) — inside the row,
+    with no window and no shuffle.
+    """
+    n = F.size(fences)
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.element_at(fences, mid + 1) < pos
+        return F.when(lo >= hi, acc).when(
+            below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
+            F.struct(lo.alias("lo"), mid.alias("hi")))
+
+    search = F.aggregate(F.sequence(F.lit(1), F.lit(32)),
+                         F.struct(F.lit(0).alias("lo"), n.alias("hi")), step)["lo"]
+    return (F.when(n == 0, F.lit(0))
+            .when(n <= SMALL_FENCE_COUNT, F.size(F.filter(fences, lambda f: f < pos)))
+            .otherwise(search))
+
+
 def segment_markdown(docs: DataFrame, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """Markdown segmentation.
@@ -68,20 +96,20 @@ def segment_markdown(docs: DataFrame, id_col: str = "doc_id",
     Every line whose stripped form starts with three backticks toggles a
     fence (an unclosed fence swallows the rest of the document); fence lines,
     lines inside fences, heading lines (``#``) and lines of one character or
-    less are dropped.  Fence parity is computed inside the row from the array
-    of fence positions, so there is no window and no shuffle; documents
-    without a fence pay nothing for it.
+    less are dropped.  Fence parity is computed inside the row from the sorted
+    array of fence positions (``fences_before``), so there is no window and
+    no shuffle; documents without a fence pay nothing for it.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
                        fence_positions(F.col(text_col)).alias("_fences"))
     lines = base.select(
         "doc_id", "_fences",
         F.posexplode(F.split("_t", NEWLINES, -1)).alias("pos", "raw"))
-    opened = F.size(F.filter("_fences", lambda f: f < F.col("pos")))
+    opened = fences_before(F.col("_fences"), F.col("pos"))
     seg = (lines
            .withColumn("line", X.py_strip("raw"))
            .filter(~F.col("line").startswith("```"))
-           .filter((F.size("_fences") == 0) | (opened % 2 == 0))
+           .filter(opened % 2 == 0)
            .filter(~F.col("line").startswith("#") & (F.length("line") > 1)))
     return seg.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("seq"),
                       X.loc_line(F.col("pos") + 1).alias("location"),
@@ -96,7 +124,7 @@ def fence_parity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        fence_positions(F.col(text_col)).alias("_fences"))
     lines = base.select("doc_id", "_fences",
                         F.posexplode(F.split("_t", NEWLINES, -1)).alias("pos", "raw"))
-    opened = F.size(F.filter("_fences", lambda f: f < F.col("pos")))
+    opened = fences_before(F.col("_fences"), F.col("pos"))
     return lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"),
                         X.py_strip("raw").startswith("```").alias("is_fence"),
                         (opened % 2 == 1).alias("in_code"))

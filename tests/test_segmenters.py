@@ -80,3 +80,31 @@ def test_route_format(spark):
     assert r == {1: ("md", "md"), 2: ("", "txt"), 3: ("htm", "html"), 4: ("docx", "docx")}
     segs = {(x.doc_id, x.text) for x in G.segment_routed(d).collect()}
     assert segs == {(1, "body text"), (2, "plain text"), (3, "para text")}
+
+
+def test_many_fences_binary_search(spark):
+    """Documents with more fences than the direct-count threshold take the
+    binary-search path; parity must equal a running count."""
+    import random
+    random.seed(7)
+    lines = []
+    for i in range(600):
+        lines.append("```" if random.random() < 0.2 else f"line {i}")
+    text = "\n".join(lines)
+    got = [(r.line_no, r.in_code) for r in
+           G.fence_parity(docs(spark, [text])).orderBy("line_no").collect()]
+    seen, expect = 0, []
+    for i, ln in enumerate(lines):
+        expect.append((i + 1, seen % 2 == 1))
+        if ln.startswith("```"):
+            seen += 1
+    assert got == expect
+    segs = [r.text for r in G.segment_markdown(docs(spark, [text])).orderBy("seq").collect()]
+    inside, keep = False, []
+    for ln in lines:
+        if ln.startswith("```"):
+            inside = not inside
+            continue
+        if not inside:
+            keep.append(ln)
+    assert segs == keep
