@@ -25,8 +25,15 @@ def col_(c) -> Column:
 
 def py_strip(c) -> Column:
     """Strip leading/trailing whitespace the way Python's ``str.strip()`` does
-    (Unicode spaces and U+001C..U+001F, but not U+200B / U+FEFF)."""
-    return F.regexp_replace(col_(c), rf"\A{C.STRIP_CLASS}+|{C.STRIP_CLASS}+\z", "")
+    (Unicode spaces and U+001C..U+001F, but not U+200B / U+FEFF).
+
+    Most values need no strip: only when the first or last character is
+    whitespace does the (end-anchored, so full-scan) regex run."""
+    c = col_(c)
+    edge = (F.substring(c, 1, 1).rlike(C.STRIP_CLASS)
+            | F.substring(c, -1, 1).rlike(C.STRIP_CLASS))
+    return F.when(edge, F.regexp_replace(c, rf"\A{C.STRIP_CLASS}+|{C.STRIP_CLASS}+\z", "")) \
+        .otherwise(c)
 
 
 def is_blank(c) -> Column:

@@ -90,23 +90,24 @@ def _dims(dims) -> list[str]:
 def report_summary(findings: DataFrame, dims="core10") -> DataFrame:
     """Dimension x severity counts, every listed dimension present (zeros
     kept), ``total`` per row, then the grand-total row (dimension 总计).
-    Only listed dimensions and the severities P0..P3 are counted."""
+    Only listed dimensions and the severities P0..P3 are counted.
+
+    One pass: ``rollup(dimension)`` with a conditional count per severity
+    yields the per-dimension rows and the grand total together; the fixed
+    dimension list (plus the total label) is a broadcast left join, so empty
+    dimensions and an empty input still give every row."""
     spark = findings.sparkSession
     names = _dims(dims)
     f = with_defaults(findings).filter(F.col("dimension").isin(names)
                                        & F.col("severity").isin(C.SEVERITY_NAMES))
-    counts = f.groupBy("dimension").pivot("severity", C.SEVERITY_NAMES).count()
-    dim_t = F.broadcast(dimensions_table(spark, names))
-    per_dim = dim_t.join(counts, "dimension", "left").select(
+    counts = (f.rollup("dimension")
+              .agg(*[F.count_if(F.col("severity") == s).alias(s) for s in C.SEVERITY_NAMES])
+              .withColumn("dimension", F.coalesce(F.col("dimension"), F.lit(C.GRAND_TOTAL_LABEL))))
+    dim_t = F.broadcast(dimensions_table(spark, list(names) + [C.GRAND_TOTAL_LABEL]))
+    out = dim_t.join(counts, "dimension", "left").select(
         "dim_ord", "dimension",
         *[F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(s) for s in C.SEVERITY_NAMES])
-    per_dim = per_dim.withColumn("total", reduce(lambda a, b: a + b,
-                                                 [F.col(s) for s in C.SEVERITY_NAMES]))
-    grand = per_dim.agg(*[F.sum(s).cast("bigint").alias(s) for s in C.SEVERITY_NAMES + ["total"]])
-    grand = grand.select(F.lit(len(names)).cast("bigint").alias("dim_ord"),
-                         F.lit(C.GRAND_TOTAL_LABEL).alias("dimension"),
-                         *C.SEVERITY_NAMES, "total")
-    return per_dim.unionByName(grand)
+    return out.withColumn("total", reduce(lambda a, b: a + b, [F.col(s) for s in C.SEVERITY_NAMES]))
 
 
 def report_rejects(findings: DataFrame, dims="core10") -> DataFrame:

@@ -11,6 +11,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,24 @@ def q(name: str, rows_only: bool = False):
 # shared derived inputs
 # --------------------------------------------------------------------------
 
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(fn):
+    """Build a shared input once per application and scale directory: the
+    queries of one run reuse the same DataFrame (and its persisted data)
+    instead of planning it again."""
+    def wrapper(spark, d):
+        key = (spark.sparkContext.applicationId, d, fn.__name__)
+        if key not in _SHARED:
+            _SHARED[key] = fn(spark, d)
+        return _SHARED[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@shared
 def _bitext(spark, d):
     """The aligned workbook.  The sheet map and the pairs feed several
     outputs, so they are persisted (identical plans share one cache entry
@@ -58,20 +77,25 @@ def _pairs(spark, d):
     return _bitext(spark, d)[3]
 
 
+@shared
 def _bitext_findings(spark, d):
     _, _, sm, pairs = _bitext(spark, d)
     return bitext_findings(pairs, sm)
 
 
+@shared
 def _report_findings(spark, d):
     """Everything the automated passes find on the derived inputs: the
     bilingual workbook (sheets, omissions, additions, consistency), CJK left
-    in its target cells, and sensitive terms in the document lines."""
+    in its target cells, and sensitive terms in the document lines.  The
+    report outputs (detail, summary, groupings) all read it, so it is
+    persisted; findings are sparse next to the corpus."""
     tgt_segments = G.segment_cells(FX.fx_tgt(spark, d), admit="nonnull")
     return R.merge_findings(
         _bitext_findings(spark, d),
         K.residual_findings(tgt_segments),
-        K.sensitive_findings(FX.fx_sensitive_lines(spark, d), "extended7"))
+        K.sensitive_findings(FX.fx_sensitive_lines(spark, d), "extended7")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _manual_findings(spark, d):
@@ -312,6 +336,7 @@ def classify_pairs(spark, d):
     return _pairs(spark, d).select("workbook_id", "sheet", "coordinate", "match")
 
 
+@shared
 def _compare(spark, d):
     docs = FX.fx_sensitive(spark, d)
     segs = G.segment_lines(docs.select("doc_id", "text"))
