@@ -2,7 +2,7 @@
 
 Plan shape::
 
-    distinct sheets (src, tgt) --theta join on workbook_id--> min(stage, idx)
+    distinct sheets (src, tgt) --equi-joins on (workbook_id, key)--> min(stage, idx)
         -> sheet_map (one row per source sheet; small, cached, size-checked)
     src cells --broadcast sheet_map--+
                                      +--full outer on cell key--> pairs
@@ -42,21 +42,35 @@ def match_sheets(src_sheets: DataFrame, tgt_sheets: DataFrame) -> DataFrame:
     the source name; (3) the target at the same position; else none.
     Several source sheets may take the same target.
 
-    Theta join on ``workbook_id`` with the OR predicate (sheets only, never
-    cells), then ``min(struct(stage, target_idx, ...))`` per source sheet: an
-    aggregate with map-side partial combine instead of a window.
+    Every stage is an *equi*-join on ``workbook_id`` plus a key — the name,
+    the stripped name, each prefix of the target name (``starts with`` is
+    ``source == prefix``; sheet names are short), or the position — so no
+    pair of sheets is ever enumerated.  ``min(struct(stage, target_idx,
+    ...))`` per source sheet then keeps the first candidate: an aggregate
+    with map-side combine instead of a window.
     """
     s = src_sheets.select("workbook_id", "sheet", "sheet_idx")
-    t = tgt_sheets.select(F.col("workbook_id").alias("t_wb"),
-                          F.col("sheet").alias("target_sheet"),
+    t = tgt_sheets.select("workbook_id", F.col("sheet").alias("target_sheet"),
                           F.col("sheet_idx").alias("target_idx"))
-    eq = F.col("target_sheet") == F.col("sheet")
-    pre = ((X.strip_sheet_suffix("target_sheet") == F.col("sheet"))
-           | F.col("target_sheet").startswith(F.col("sheet")))
-    pos = F.col("target_idx") == F.col("sheet_idx")
-    cand = (s.join(t, (F.col("workbook_id") == F.col("t_wb")) & (eq | pre | pos))
-            .withColumn("stage", F.when(eq, 1).when(pre, 2).otherwise(3)))
-    best = (cand.groupBy("workbook_id", "sheet")
+    cand_cols = ["workbook_id", "target_sheet", "target_idx"]
+    keyed = [
+        (1, t.select(*cand_cols, F.col("target_sheet").alias("key"))),
+        (2, t.select(*cand_cols, X.strip_sheet_suffix("target_sheet").alias("key"))),
+        (2, t.select(*cand_cols,
+                     F.explode(F.sequence(F.lit(0), F.length("target_sheet"))).alias("k"))
+         .select(*cand_cols, F.substring("target_sheet", 1, F.col("k")).alias("key"))),
+    ]
+    cands = None
+    for stage, k in keyed:
+        c = s.join(k, (s["workbook_id"] == k["workbook_id"]) & (s["sheet"] == k["key"])) \
+            .select(s["workbook_id"], s["sheet"], F.lit(stage).alias("stage"),
+                    k["target_idx"], k["target_sheet"])
+        cands = c if cands is None else cands.unionByName(c)
+    by_pos = s.join(t, (s["workbook_id"] == t["workbook_id"]) & (s["sheet_idx"] == t["target_idx"])) \
+        .select(s["workbook_id"], s["sheet"], F.lit(3).alias("stage"), t["target_idx"],
+                t["target_sheet"])
+    cands = cands.unionByName(by_pos)
+    best = (cands.groupBy("workbook_id", "sheet")
             .agg(F.min(F.struct("stage", "target_idx", "target_sheet")).alias("b"))
             .select("workbook_id", "sheet",
                     F.col("b.target_sheet").alias("target_sheet"),

@@ -782,8 +782,8 @@ o("truncate_text", "SELECT doc_id, " + ", ".join(f"{cut('text', n)} AS t{n}" for
 o("char_count", "SELECT doc_id, CAST(length(text) AS BIGINT) AS char_count FROM documents")
 o("strip_sheet_suffix", "SELECT sheet, regexp_replace(sheet, '[_ENJAKODFRS]+\\z', '') AS base "
   "FROM (SELECT DISTINCT workbook_id, sheet, sheet_idx FROM fx_tgt)", "fx_tgt")
-o("starts_with", """SELECT s.sheet AS source_sheet, t.sheet AS target_sheet, starts_with(t.sheet, s.sheet) AS starts_with
-  FROM src_sheets s JOIN tgt_sheets t ON s.workbook_id = t.workbook_id""", "sheets")
+o("starts_with", """SELECT sheet AS source_sheet, target_sheet, starts_with(target_sheet, sheet) AS starts_with
+  FROM sheet_map WHERE target_sheet IS NOT NULL""", "sheet_map")
 o("file_suffix", f"SELECT doc_id, path, {SUFFIX} AS suffix FROM fx_routed", "fx_routed")
 o("compare_mode", f"SELECT doc_id, CASE WHEN {SUFFIX} IN ('.xlsx', '.xls') THEN 'excel' ELSE 'generic' END AS mode "
   "FROM fx_routed", "fx_routed")

@@ -646,11 +646,10 @@ def strip_sheet_suffix(spark, d):
 
 @q("starts_with")
 def starts_with(spark, d):
-    s = A.sheets_of(FX.fx_src(spark, d)).select("workbook_id", F.col("sheet").alias("source_sheet"))
-    t = A.sheets_of(FX.fx_tgt(spark, d)).select("workbook_id", F.col("sheet").alias("target_sheet"))
-    return s.join(t, "workbook_id").select(
-        "source_sheet", "target_sheet",
-        F.col("target_sheet").startswith(F.col("source_sheet")).alias("starts_with"))
+    """Whether each source sheet's chosen target starts with its name."""
+    m = _bitext(spark, d)[2].filter(F.col("target_sheet").isNotNull())
+    return m.select(F.col("sheet").alias("source_sheet"), "target_sheet",
+                    F.col("target_sheet").startswith(F.col("sheet")).alias("starts_with"))
 
 
 @q("file_suffix")
