@@ -164,11 +164,13 @@ def fx_conv_cells(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as a workbook: one sheet per role (alphabetical
     position), row = conversation + 1, column = turn + 1."""
     c = conversations(spark, d)
-    roles = c.select("role").distinct()
-    ranked = roles.withColumn("sheet_idx",
-                              (F.dense_rank().over(Window.orderBy("role")) - 1).cast("bigint"))
+    roles = c.select(F.lit("conversations").alias("workbook_id"), "role").distinct()
+    ranked = roles.withColumn(
+        "sheet_idx",
+        (F.dense_rank().over(Window.partitionBy("workbook_id").orderBy("role")) - 1)
+        .cast("bigint"))
     return c.join(F.broadcast(ranked), "role").select(
-        F.lit("conversations").alias("workbook_id"), F.col("role").alias("sheet"),
+        "workbook_id", F.col("role").alias("sheet"),
         "sheet_idx", (F.col("conv_id") + 1).cast("bigint").alias("row_no"),
         (F.col("turn") + 1).cast("bigint").alias("col_no"), F.col("text").alias("value"))
 

@@ -6,14 +6,14 @@
 * ``number_rows``: a dense, global 1..N numbering in a total order without a
   single-partition window: range-partition + sort, materialise once with a
   reliable checkpoint (range bounds come from sampling, so two evaluations
-  could split the rows differently), count rows per partition, turn the
-  (tiny, one row per partition) counts into offsets, add them back.
+  could split the rows differently), count rows per partition, turn those
+  counts (one integer per partition) into offsets, broadcast them back.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -50,12 +50,15 @@ def number_rows(df: DataFrame, order_cols: list, name: str = "n",
                .withColumn("_mid", F.monotonically_increasing_id()))
     # within a partition monotonically_increasing_id is (pid << 33) + index
     ordered = ordered.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid")
-                                      .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
+    # one count per partition (a few thousand integers at most) comes to the
+    # driver and goes back as a broadcast table of offsets
+    counts = sorted((r["_pid"], r["_cnt"]) for r in
+                    ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).collect())
+    rows, total = [], 0
+    for pid, cnt in counts:
+        rows.append((pid, total))
+        total += cnt
+    offsets = spark.createDataFrame(rows, "_pid int, _off bigint")
     out = ordered.join(F.broadcast(offsets), "_pid")
     return (out.withColumn(name, (F.col("_off") + F.col("_idx") + 1).cast("bigint"))
             .drop("_pid", "_mid", "_idx", "_off"))
