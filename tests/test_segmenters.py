@@ -108,3 +108,22 @@ def test_many_fences_binary_search(spark):
         if not inside:
             keep.append(ln)
     assert segs == keep
+
+
+def test_load_text_files_and_route(spark, tmp_dir):
+    import os
+    from polyglint.sources.readers import load_text_files
+    files = {"a.md": "# T\n```\nx\n```\nmarkdown body\n", "b.txt": "one\n\ntwo lines\n",
+             "sub/c.html": "<p>html para</p><nav><p>menu</p></nav>", "d": "no suffix text"}
+    for name, text in files.items():
+        p = os.path.join(tmp_dir, name)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "w", encoding="utf-8") as fh:
+            fh.write(text)
+    docs = load_text_files(spark, tmp_dir)
+    assert docs.count() == 4
+    segs = {(os.path.basename(r.doc_id), r.location, r.text)
+            for r in G.segment_routed(docs).collect()}
+    assert segs == {("a.md", "Line 5", "markdown body"), ("b.txt", "Line 1", "one"),
+                    ("b.txt", "Line 3", "two lines"), ("c.html", '<p> "html para"', "html para"),
+                    ("d", "Line 1", "no suffix text")}
