@@ -59,3 +59,19 @@ def test_result_independent_of_partitioning(spark):
         rows = r["findings"].select("location", "description", "severity").collect()
         outs.append(sorted(tuple(x) for x in rows))
     assert outs[0] == outs[1] and len(outs[0]) > 0
+
+
+def test_review_texts_under_a_hot_text(spark):
+    """One boilerplate line in every document: counts stay whole and the
+    first locations are the first three in (doc, line) order."""
+    docs = spark.range(0, 3000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("All rights reserved.\nbody "), F.col("id").cast("string")).alias("text"))
+    from polyglint.sources.segmenters import segment_lines
+    segs = segment_lines(docs.repartition(12))
+    t = {r.text: r for r in S.review_texts(segs, per_document=False).collect()}
+    hot = t["All rights reserved."]
+    assert hot.occurrence_count == 3000
+    assert hot.locations == "0:Line 1; 1:Line 1; 2:Line 1"
+    assert (hot.first_doc, hot.first_seq) == (0, 1)
+    assert len(t) == 3001
