@@ -65,9 +65,11 @@ def list_repr(arr) -> Column:
 # script / language
 # --------------------------------------------------------------------------
 
-def has_cjk(c) -> Column:
-    """True when the text holds a code point in U+4E00..U+9FFF; NULL -> false."""
-    return F.coalesce(col_(c).rlike(C.CJK_CLASS), F.lit(False))
+def has_cjk(c, script_class: str = C.CJK_CLASS) -> Column:
+    """True when the text holds a code point of ``script_class`` (default the
+    "Chinese" range U+4E00..U+9FFF, which includes Japanese kanji but not
+    extension A, kana or full-width punctuation); NULL -> false."""
+    return F.coalesce(col_(c).rlike(script_class), F.lit(False))
 
 
 def count_matches(c, pattern: str) -> Column:

@@ -60,12 +60,14 @@ def match_sheets(src_sheets: DataFrame, tgt_sheets: DataFrame) -> DataFrame:
                      F.explode(F.sequence(F.lit(0), F.length("target_sheet"))).alias("k"))
          .select(*cand_cols, F.substring("target_sheet", 1, F.col("k")).alias("key"))),
     ]
-    cands = None
+    # all name keys of the targets in one table: one join for stages 1 and 2
+    keys = None
     for stage, k in keyed:
-        c = s.join(k, (s["workbook_id"] == k["workbook_id"]) & (s["sheet"] == k["key"])) \
-            .select(s["workbook_id"], s["sheet"], F.lit(stage).alias("stage"),
-                    k["target_idx"], k["target_sheet"])
-        cands = c if cands is None else cands.unionByName(c)
+        k = k.withColumn("stage", F.lit(stage))
+        keys = k if keys is None else keys.unionByName(k)
+    cands = s.join(keys, (s["workbook_id"] == keys["workbook_id"]) & (s["sheet"] == keys["key"])) \
+        .select(s["workbook_id"], s["sheet"], keys["stage"], keys["target_idx"],
+                keys["target_sheet"])
     by_pos = s.join(t, (s["workbook_id"] == t["workbook_id"]) & (s["sheet_idx"] == t["target_idx"])) \
         .select(s["workbook_id"], s["sheet"], F.lit(3).alias("stage"), t["target_idx"],
                 t["target_sheet"])
@@ -156,6 +158,22 @@ def addition_findings(pairs: DataFrame) -> DataFrame:
                    description=desc, seq="pair_seq")
 
 
+def unpicked_target_findings(tgt_cells: DataFrame, sheet_map: DataFrame) -> DataFrame:
+    """Optional (off by default): 增译 / P2 for the non-blank cells, longer
+    than 3, of target sheets that no source sheet picked — by default such
+    sheets are ignored.  A left anti join on (workbook_id, sheet)."""
+    picked = sheet_map.filter(F.col("target_sheet").isNotNull()) \
+        .select("workbook_id", F.col("target_sheet").alias("sheet")).distinct()
+    cells = cell_map(tgt_cells).join(picked, ["workbook_id", "sheet"], "left_anti") \
+        .filter(F.length("value") > C.ADDITION_MIN_LEN)
+    coord = X.a1_coordinate("col_no", "row_no")
+    desc = F.concat(F.lit("Added "), X.quote(X.truncate_text("value", C.CUT_PAIR)),
+                    F.lit(" with no source"))
+    return finding(cells, detector="unpicked_target", dimension=C.DIM_ADDITION, severity="P2",
+                   doc_id="workbook_id", location=X.loc_cell("sheet", coord), description=desc,
+                   seq=F.lit(1 << 62) + pair_seq("sheet_idx", "col_no", "row_no"))
+
+
 def missing_sheet_findings(sheet_map: DataFrame) -> DataFrame:
     """漏翻 / P1 for every source sheet without a target."""
     p = missing_sheets(sheet_map)

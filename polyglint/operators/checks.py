@@ -48,9 +48,10 @@ def target_only(segments: DataFrame) -> DataFrame:
 # residual (untranslated) text
 # --------------------------------------------------------------------------
 
-def residual_findings(segments: DataFrame) -> DataFrame:
-    """漏翻 / P1 for every target segment holding a CJK character."""
-    hit = target_only(segments).filter(X.has_cjk("text"))
+def residual_findings(segments: DataFrame, script_class: str = C.CJK_CLASS) -> DataFrame:
+    """漏翻 / P1 for every target segment holding a character of the source
+    script (``script_class``, default U+4E00..U+9FFF)."""
+    hit = target_only(segments).filter(X.has_cjk("text", script_class))
     desc = F.concat(F.lit("Untranslated Chinese: "),
                     X.quote(X.truncate_text("text", C.CUT_FINDING)))
     return finding(hit, detector="residual", dimension=C.DIM_MISSING, severity="P1",

@@ -71,11 +71,19 @@ def align_bitext(src_cells: DataFrame, tgt_cells: DataFrame,
 
 def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool = True,
                   with_target_checks: bool = False, pack: str = "basic5",
-                  qualified_location: bool = False) -> dict[str, DataFrame]:
+                  qualified_location: bool = False,
+                  report_unmatched_targets: bool = False) -> dict[str, DataFrame]:
     """Align a source and a target workbook cell by cell and derive findings,
-    statistics and consistency issues."""
+    statistics and consistency issues.
+
+    Options: ``with_target_checks`` also runs the residual / sensitive checks
+    on the target cells; ``qualified_location`` writes consistency
+    coordinates as ``Sheet!A1``; ``report_unmatched_targets`` reports cells
+    of target sheets no source sheet picked as additions."""
     sheet_map, pairs = align_bitext(src_cells, tgt_cells, persist)
     findings = bitext_findings(pairs, sheet_map, qualified_location)
+    if report_unmatched_targets:
+        findings = findings.unionByName(A.unpicked_target_findings(tgt_cells, sheet_map))
     if with_target_checks:
         segs = G.segment_cells(tgt_cells, admit="nonnull")
         findings = findings.unionByName(K.automated_findings(segs, pack))

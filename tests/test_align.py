@@ -89,3 +89,18 @@ def test_match_stats_and_sheet_alignment(spark):
     assert [(x.sheet, x.target_sheet, x.pairs) for x in al] == [("S", "S", 2)]
     miss = [x for x in r["findings"].collect() if x.detector == "missing_sheet"]
     assert miss[0].location == "Sheet: T" and miss[0].dimension == "漏翻"
+
+
+def test_options_unmatched_targets_and_script_class(spark):
+    from polyglint.functions import text as X
+    src = wb(spark, [("w", "A", 0, 1, 1, "中文")])
+    tgt = wb(spark, [("w", "A", 0, 1, 1, "text"), ("w", "Extra", 1, 1, 1, "orphan cell"),
+                     ("w", "Extra", 1, 2, 1, "abc")])
+    plain = review_bitext(src, tgt, persist=False)["findings"].collect()
+    assert not [f for f in plain if f.detector == "unpicked_target"]
+    opt = review_bitext(src, tgt, persist=False, report_unmatched_targets=True)["findings"]
+    extra = [f for f in opt.collect() if f.detector == "unpicked_target"]
+    assert [(f.location, f.dimension) for f in extra] == [("Extra!A1", "增译")]
+    df = spark.createDataFrame([("カタカナ",), ("漢",)], "v string")
+    kana = "[ぁ-ゟ゠-ヿ]"
+    assert [r[0] for r in df.select(X.has_cjk("v", kana)).collect()] == [True, False]
