@@ -43,6 +43,20 @@ def review_documents(docs: DataFrame, fmt: str = "txt", pack: str = "basic5",
     }
 
 
+def review_corpus(docs: DataFrame, pack: str = "basic5") -> dict[str, DataFrame]:
+    """Review a mixed corpus (``doc_id, path, text``; e.g. from
+    ``sources.readers.load_text_files``): route each document by its suffix
+    (markdown, HTML, plain text), segment, check, deduplicate and count."""
+    segs = G.segment_routed(docs)
+    findings = K.automated_findings(segs, pack)
+    return {
+        "segments": segs,
+        "findings": findings,
+        "review_texts": S.review_texts(segs),
+        "totals": S.segment_totals(segs, findings),
+    }
+
+
 def bitext_findings(pairs: DataFrame, sheet_map: DataFrame,
                     qualified_location: bool = False) -> DataFrame:
     """Missing sheets, omissions and additions (phase 0, sheet then

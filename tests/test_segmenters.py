@@ -127,3 +127,22 @@ def test_load_text_files_and_route(spark, tmp_dir):
     assert segs == {("a.md", "Line 5", "markdown body"), ("b.txt", "Line 1", "one"),
                     ("b.txt", "Line 3", "two lines"), ("c.html", '<p> "html para"', "html para"),
                     ("d", "Line 1", "no suffix text")}
+
+
+def test_review_corpus_end_to_end(spark, tmp_dir):
+    import os
+    from polyglint.plans.review import review_corpus
+    from polyglint.sources.readers import load_text_files
+    with open(os.path.join(tmp_dir, "t.md"), "w", encoding="utf-8") as fh:
+        fh.write("# H\nWe must attack 中文 here\n```\nbomb\n```\nWe must attack 中文 here\n")
+    with open(os.path.join(tmp_dir, "p.html"), "w", encoding="utf-8") as fh:
+        fh.write("<p>Taiwan Strait</p><p>Taiwan</p>")
+    r = review_corpus(load_text_files(spark, tmp_dir))
+    f = sorted((os.path.basename(x.doc_id), x.location, x.description) for x in r["findings"].collect())
+    assert f == [("p.html", '<p> "Taiwan"', "Possible Taiwan reference: 'Taiwan'"),
+                 ("t.md", "Line 2", "Untranslated Chinese: 'We must attack 中文 here'"),
+                 ("t.md", "Line 2", "Violence-related term: 'attack'"),
+                 ("t.md", "Line 6", "Untranslated Chinese: 'We must attack 中文 here'"),
+                 ("t.md", "Line 6", "Violence-related term: 'attack'")]
+    t = [x for x in r["review_texts"].collect() if x.text == "We must attack 中文 here"][0]
+    assert (t.occurrence_count, t.locations) == (2, "Line 2; Line 6")
