@@ -88,9 +88,17 @@ def spread_scan(df: DataFrame) -> DataFrame:
     return df
 
 
+_SCANS: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                spread: bool | None = None) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
-    if spread if spread is not None else name in TEXT_TABLES:
-        df = spread_scan(df)
-    return df
+    """Read a bundled table; text tables are spread when the scan is narrow.
+    The DataFrame is built once per application (DataFrames are immutable,
+    so every query of a run can share it)."""
+    spread = spread if spread is not None else name in TEXT_TABLES
+    key = (spark.sparkContext.applicationId, table_path(sf_dir, name), spread)
+    if key not in _SCANS:
+        df = spark.read.parquet(table_path(sf_dir, name))
+        _SCANS[key] = spread_scan(df) if spread else df
+    return _SCANS[key]

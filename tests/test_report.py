@@ -78,3 +78,23 @@ def test_write_report_status(spark, tmp_dir):
     assert status["status"] == "success" and status["findings_count"] == 2
     detail = spark.read.parquet(os.path.join(tmp_dir, "out", "审查结果"))
     assert set(detail.columns) >= {"#", "问题位置", "问题描述", "严重程度", "问题类别"}
+
+
+def test_size_ratio_golden_rows(spark):
+    from polyglint.operators import compare as CMP
+    from polyglint.sources.segmenters import segment_lines
+    # pair 0: source 2 lines, target 3; pair 1: source 2, target 1; pair 2: both empty;
+    # pair 3: the target document is absent (failed side)
+    docs = spark.createDataFrame(
+        [(0, "aa\nbb"), (1, "aa\nbb\ncc"), (2, "aa\nbb"), (3, "aa"), (4, ""), (5, ""), (6, "aa\nbb")],
+        "doc_id long, text string")
+    segs = segment_lines(docs)
+    roles = CMP.doc_pairs_by_parity(docs).unionByName(
+        spark.createDataFrame([(3, "target", 7)], "pair_id long, role string, doc_id long"))
+    out = {r.pair_id: r for r in CMP.size_ratio(CMP.compare_sections(docs, segs, roles)).collect()}
+    assert (out[0].ratio, out[0].size_flag) == (1.5, None)
+    assert (out[1].ratio, out[1].size_flag) == (0.5, None)
+    assert (out[2].ratio, out[2].size_flag, out[2].size_warning) == (
+        0.0, "smaller", "Target is 0.0x smaller than source — possible omissions")
+    assert (out[3].target_ok, out[3].target_count, out[3].ratio, out[3].size_warning) == (
+        False, 0, None, None)
