@@ -16,6 +16,7 @@ from ..operators import compare as CMP
 from ..operators import report as R
 from ..operators import summary as S
 from ..sources import segmenters as G
+from ..session import cut_lineage
 from .strategy import checked_broadcast
 
 SEGMENTERS = {
@@ -67,10 +68,14 @@ def bitext_findings(pairs: DataFrame, sheet_map: DataFrame,
             .unionByName(A.consistency_findings(pairs, qualified_location)))
 
 
-def align_bitext(src_cells: DataFrame, tgt_cells: DataFrame,
-                 persist: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(sheet_map, pairs).  Both feed several outputs, so they are persisted;
-    the sheet map is broadcast into the cell joins behind a row-count check."""
+def align_bitext(src_cells: DataFrame, tgt_cells: DataFrame, persist: bool = True,
+                 materialize: str = "persist") -> tuple[DataFrame, DataFrame]:
+    """(sheet_map, pairs).  Both feed several outputs, so they are kept:
+    ``materialize="persist"`` caches the pairs (memory and disk; a lost
+    executor recomputes its part through the join), ``"checkpoint"`` writes
+    them to the shared checkpoint folder and cuts the lineage — the choice
+    for very large workbooks.  The sheet map is small: it is persisted and
+    broadcast into the cell joins behind a row-count check."""
     sheet_map = A.match_sheets(A.sheets_of(src_cells), A.sheets_of(tgt_cells))
     if persist:
         sheet_map = sheet_map.persist(StorageLevel.MEMORY_AND_DISK)
@@ -79,14 +84,16 @@ def align_bitext(src_cells: DataFrame, tgt_cells: DataFrame,
         sm_join = sheet_map
     pairs = A.align_cells(src_cells, tgt_cells, sm_join)
     if persist:
-        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+        pairs = (cut_lineage(pairs) if materialize == "checkpoint"
+                 else pairs.persist(StorageLevel.MEMORY_AND_DISK))
     return sheet_map, pairs
 
 
 def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool = True,
                   with_target_checks: bool = False, pack: str = "basic5",
                   qualified_location: bool = False,
-                  report_unmatched_targets: bool = False) -> dict[str, DataFrame]:
+                  report_unmatched_targets: bool = False,
+                  materialize: str = "persist") -> dict[str, DataFrame]:
     """Align a source and a target workbook cell by cell and derive findings,
     statistics and consistency issues.
 
@@ -94,7 +101,7 @@ def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool =
     on the target cells; ``qualified_location`` writes consistency
     coordinates as ``Sheet!A1``; ``report_unmatched_targets`` reports cells
     of target sheets no source sheet picked as additions."""
-    sheet_map, pairs = align_bitext(src_cells, tgt_cells, persist)
+    sheet_map, pairs = align_bitext(src_cells, tgt_cells, persist, materialize)
     findings = bitext_findings(pairs, sheet_map, qualified_location)
     if report_unmatched_targets:
         findings = findings.unionByName(A.unpicked_target_findings(tgt_cells, sheet_map))

@@ -104,3 +104,14 @@ def test_options_unmatched_targets_and_script_class(spark):
     df = spark.createDataFrame([("カタカナ",), ("漢",)], "v string")
     kana = "[ぁ-ゟ゠-ヿ]"
     assert [r[0] for r in df.select(X.has_cjk("v", kana)).collect()] == [True, False]
+
+
+def test_checkpointed_pairs_match_persisted(spark):
+    from polyglint.plans import fixtures as FX
+    from conftest import SF_SMALL
+    src, tgt = FX.fx_src(spark, SF_SMALL), FX.fx_tgt(spark, SF_SMALL)
+    a = review_bitext(src, tgt)["findings"]
+    b = review_bitext(src, tgt, materialize="checkpoint")["findings"]
+    cols = ["location", "description", "severity"]
+    assert a.count() == b.count() > 0
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0
