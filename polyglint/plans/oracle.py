@@ -627,6 +627,9 @@ o("report_detail", """SELECT CAST(row_number() OVER (ORDER BY stream, doc_id, ph
   coalesce(f.severity, 'P3') AS severity, coalesce(dimension, '') AS dimension, s.fill_rgb
   FROM f_report f LEFT JOIN severities s ON coalesce(f.severity, 'P3') = s.severity""", "f_report", "severities")
 
+o("run_status", f"""SELECT 'success' AS status, count(*) AS findings_count,
+  '{C.DETAIL_SHEET},{C.SUMMARY_SHEET}' AS sheets FROM f_report""", "f_report")
+
 # 2.2
 o("has_cjk", f"SELECT workbook_id, sheet, row_no, col_no, value, {cjk('value')} AS has_cjk FROM fx_tgt", "fx_tgt")
 o("residual_findings", "SELECT * FROM f_residual", "f_residual")

@@ -233,7 +233,7 @@ def report_detail(spark, d):
     return R.report_detail(_report_findings(spark, d))
 
 
-@q("run_status", rows_only=True)
+@q("run_status")
 def run_status(spark, d):
     path = _io_dir(spark, "report")
     status = R.write_report(_report_findings(spark, d), path, dims="all12")
