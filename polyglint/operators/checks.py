@@ -80,8 +80,40 @@ def rule_pattern(body: str) -> str:
     return JVM_FLAGS + body
 
 
-def combined_pattern(pack: str) -> str:
-    return JVM_FLAGS + "|".join(f"(?:{body})" for _, body, _, _ in C.RULE_PACKS[pack])
+RULES_SCHEMA = ("rule_id string, pattern string, severity string, description string, "
+                "exempt_if_contains string")
+
+
+def rules_table(spark, pack: str = "basic5") -> DataFrame:
+    """A built-in rule pack as a table (rule_id, pattern, severity,
+    description, exempt_if_contains): the form in which users supply their
+    own packs."""
+    ex = C.RULE_EXEMPTIONS.get(pack, {})
+    rows = [(rid, body, sev, desc, ex.get(rid)) for rid, body, sev, desc in C.RULE_PACKS[pack]]
+    return spark.createDataFrame(rows, RULES_SCHEMA)
+
+
+def resolve_rules(pack) -> tuple[list, dict]:
+    """(rules, exemptions) from a pack name, a list of
+    (rule_id, pattern, severity, description[, exempt_if_contains]) tuples,
+    or a rules DataFrame.  A rule pack is configuration — a handful of rows —
+    so a DataFrame pack is read on the driver and compiled into expressions."""
+    if isinstance(pack, str):
+        return list(C.RULE_PACKS[pack]), dict(C.RULE_EXEMPTIONS.get(pack, {}))
+    if isinstance(pack, DataFrame):
+        pack = [tuple(r) for r in pack.select("rule_id", "pattern", "severity", "description",
+                                              "exempt_if_contains").collect()]
+    rules, exempt = [], {}
+    for r in pack:
+        rules.append(tuple(r[:4]))
+        if len(r) > 4 and r[4]:
+            exempt[r[0]] = r[4].lower()
+    return rules, exempt
+
+
+def combined_pattern(pack) -> str:
+    rules, _ = resolve_rules(pack)
+    return JVM_FLAGS + "|".join(f"(?:{body})" for _, body, _, _ in rules)
 
 
 def _rule_hits(text: Column, rule_no: int, rule) -> Column:
@@ -96,7 +128,7 @@ def _rule_hits(text: Column, rule_no: int, rule) -> Column:
                                  F.lit(desc).alias("rule_desc")))
 
 
-def sensitive_matches(df: DataFrame, pack: str = "basic5", text_col: str = "text") -> DataFrame:
+def sensitive_matches(df: DataFrame, pack="basic5", text_col: str = "text") -> DataFrame:
     """All rule hits per row: one output row per match, in rule order then
     text order, with ``rule_no, rule_id, match_no, term, severity, rule_desc``.
 
@@ -105,18 +137,18 @@ def sensitive_matches(df: DataFrame, pack: str = "basic5", text_col: str = "text
     exploded once.  Exemptions (a rule dropped when the text contains a word)
     are applied after the explode.
     """
-    rules = C.RULE_PACKS[pack]
+    rules, exemptions = resolve_rules(pack)
     text = F.col(text_col)
     hits = F.flatten(F.array(*[_rule_hits(text, i, r) for i, r in enumerate(rules)]))
-    out = (df.filter(text.rlike(combined_pattern(pack)))
+    out = (df.filter(text.rlike(combined_pattern(rules)))
            .select("*", F.inline(hits)))
-    for rule_id, word in C.RULE_EXEMPTIONS.get(pack, {}).items():
+    for rule_id, word in exemptions.items():
         out = out.filter(~((F.col("rule_id") == rule_id)
                            & F.lower(text).contains(word)))
     return out
 
 
-def sensitive_findings(segments: DataFrame, pack: str = "basic5") -> DataFrame:
+def sensitive_findings(segments: DataFrame, pack="basic5") -> DataFrame:
     """敏感词 findings over segments: ``<description>: '<term>'``."""
     m = sensitive_matches(target_only(segments), pack)
     desc = F.concat(F.col("rule_desc"), F.lit(": "), X.quote("term"))
@@ -126,7 +158,7 @@ def sensitive_findings(segments: DataFrame, pack: str = "basic5") -> DataFrame:
                    seq="seq", sub=sub)
 
 
-def sensitive_findings_cells(cells: DataFrame, pack: str = "extended7") -> DataFrame:
+def sensitive_findings_cells(cells: DataFrame, pack="extended7") -> DataFrame:
     """Scan wording over ``scan_cells`` output:
     ``<description>: '<term>' in '<value cut at 60>'``."""
     m = sensitive_matches(cells, pack, "value")
@@ -139,12 +171,12 @@ def sensitive_findings_cells(cells: DataFrame, pack: str = "extended7") -> DataF
                    seq="cell_seq", sub=sub)
 
 
-def automated_findings(segments: DataFrame, pack: str = "basic5") -> DataFrame:
+def automated_findings(segments: DataFrame, pack="basic5") -> DataFrame:
     """Residual + sensitive findings of target segments (document review)."""
     return residual_findings(segments).unionByName(sensitive_findings(segments, pack))
 
 
-def scan_findings(scanned: DataFrame, pack: str = "extended7") -> DataFrame:
+def scan_findings(scanned: DataFrame, pack="extended7") -> DataFrame:
     """Residual + sensitive findings of scanned workbook cells."""
     return residual_findings_cells(scanned).unionByName(
         sensitive_findings_cells(scanned, pack))

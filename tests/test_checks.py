@@ -106,3 +106,15 @@ def test_terminology_equi_join_matches_contains(spark):
     f = RP.terminology_findings(pairs, gloss).collect()
     # A1: all terms rendered; A2: 数据库 not rendered as database (数据 -> data is fine)
     assert [(r.location, r.description.split("'")[1]) for r in f] == [("S!A2", "数据库")]
+
+
+def test_rule_pack_as_table(spark):
+    rules = K.rules_table(spark, "extended7")
+    assert rules.count() == 7
+    texts = ["hack the Security system", "a backdoor", "Mao"]
+    by_name = sorted((r.seq, r.term) for r in K.sensitive_matches(segs(spark, texts), "extended7").collect())
+    by_table = sorted((r.seq, r.term) for r in K.sensitive_matches(segs(spark, texts), rules).collect())
+    assert by_name == by_table == [(2, "backdoor"), (3, "Mao")]
+    custom = [("brand", r"\bAcme\b", "P2", "Competitor name", "partner")]
+    m = K.sensitive_matches(segs(spark, ["acme rocks", "Acme partner deal"]), custom).collect()
+    assert [(r.seq, r.term, r.rule_desc) for r in m] == [(1, "acme", "Competitor name")]
