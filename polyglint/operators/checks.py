@@ -8,6 +8,8 @@ Findings share one flat schema (``FINDING_COLS``).  Ordering columns:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +173,30 @@ def sensitive_findings_cells(cells: DataFrame, pack="extended7") -> DataFrame:
                    seq="cell_seq", sub=sub)
 
 
+def loose_pattern(pack) -> str:
+    """The combined rule alternation with look-aheads removed.  On a whole
+    document it matches whenever any line of it could match a rule (a
+    look-ahead can fail across a line break that segmentation removes), so
+    it is a safe pre-filter."""
+    rules, _ = resolve_rules(pack)
+    return JVM_FLAGS + "|".join(f"(?:{re.sub(r'[(][?]![^()]*[)]', '', body)})"
+                                for _, body, _, _ in rules)
+
+
+def document_findings(docs: DataFrame, segmenter, pack="basic5",
+                      script_class: str = C.CJK_CLASS, text_col: str = "text") -> DataFrame:
+    """Residual + sensitive findings of line-segmented documents (plain
+    text, markdown), exploding only the documents that can hold a finding:
+    a document matching neither the script class nor the loose rule pattern
+    is dropped before its lines are split.  Exact for segmenters whose
+    segments are stripped substrings of the text (not for HTML, where tag
+    removal can join text)."""
+    t = F.col(text_col)
+    candidates = docs.filter(t.rlike(script_class) | t.rlike(loose_pattern(pack)))
+    segs = segmenter(candidates)
+    return residual_findings(segs, script_class).unionByName(sensitive_findings(segs, pack))
+
+
 def automated_findings(segments: DataFrame, pack="basic5") -> DataFrame:
     """Residual + sensitive findings of target segments (document review)."""
     return residual_findings(segments).unionByName(sensitive_findings(segments, pack))

@@ -290,6 +290,14 @@ def sensitive_findings_cells(spark, d):
     return K.sensitive_findings_cells(G.scan_cells(FX.fx_sensitive_cells(spark, d)), "extended7")
 
 
+@q("document_findings")
+def document_findings(spark, d):
+    """Findings of the sensitive corpus with the document pre-filter: only
+    documents that can hold a finding are split into lines."""
+    return K.document_findings(FX.fx_sensitive(spark, d).select("doc_id", "text"),
+                               G.segment_lines, "basic5")
+
+
 @q("nonblank_filter")
 def nonblank_filter(spark, d):
     s = FX.fx_slides(spark, d)

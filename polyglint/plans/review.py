@@ -27,9 +27,13 @@ SEGMENTERS = {
 
 
 def review_documents(docs: DataFrame, fmt: str = "txt", pack: str = "basic5",
-                     is_source: bool = False) -> dict[str, DataFrame]:
+                     is_source: bool = False, findings_only: bool = False) -> dict[str, DataFrame]:
     """Segment documents (``doc_id, text``), check target segments, and
-    prepare the deduplicated reading list."""
+    prepare the deduplicated reading list.  With ``findings_only`` (plain
+    text / markdown) only documents that can hold a finding are segmented."""
+    if findings_only and fmt in ("txt", "md"):
+        return {"findings": K.document_findings(docs.select("doc_id", "text"),
+                                                SEGMENTERS[fmt], pack)}
     segs = SEGMENTERS[fmt](docs.select("doc_id", "text"))
     if is_source:
         empty = K.automated_findings(segs.limit(0), pack)

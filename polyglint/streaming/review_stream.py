@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..operators.checks import automated_findings
+from ..operators.checks import automated_findings, document_findings
 from ..sources.segmenters import segment_html, segment_lines, segment_markdown
 
 DOCUMENT_SCHEMA = T.StructType([
@@ -40,9 +40,13 @@ def read_document_stream(spark: SparkSession, path: str, schema: T.StructType =
 
 
 def stream_findings(docs: DataFrame, fmt: str = "txt", pack: str = "basic5") -> DataFrame:
-    """Findings of a (streaming or batch) documents DataFrame."""
-    segs = SEGMENTERS[fmt](docs.select("doc_id", "text"))
-    return automated_findings(segs, pack)
+    """Findings of a (streaming or batch) documents DataFrame.  Plain text
+    and markdown skip documents that cannot hold a finding before their
+    lines are split (exact pre-filter, see ``checks.document_findings``)."""
+    docs = docs.select("doc_id", "text")
+    if fmt in ("txt", "md"):
+        return document_findings(docs, SEGMENTERS[fmt], pack)
+    return automated_findings(SEGMENTERS[fmt](docs), pack)
 
 
 def start_review_stream(spark: SparkSession, source_path: str, sink_path: str,

@@ -118,3 +118,18 @@ def test_rule_pack_as_table(spark):
     custom = [("brand", r"\bAcme\b", "P2", "Competitor name", "partner")]
     m = K.sensitive_matches(segs(spark, ["acme rocks", "Acme partner deal"]), custom).collect()
     assert [(r.seq, r.term, r.rule_desc) for r in m] == [(1, "acme", "Competitor name")]
+
+
+def test_document_prefilter_is_exact(spark):
+    from polyglint.sources.segmenters import segment_lines, segment_markdown
+    texts = ["clean text\nnothing here", "see Taiwan\nStrait ahead", "x\n中文 left\nkill", "Taiwan Strait",
+             "```\nbomb\n```\nok"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for seg in (segment_lines, segment_markdown):
+        full = K.automated_findings(seg(docs), "basic5")
+        pre = K.document_findings(docs, seg, "basic5")
+        cols = ["doc_id", "location", "description"]
+        assert sorted(tuple(r) for r in full.select(cols).collect()) == \
+            sorted(tuple(r) for r in pre.select(cols).collect())
+    got = sorted((r.doc_id, r.location) for r in K.document_findings(docs, segment_lines).collect())
+    assert got == [("1", "Line 1"), ("2", "Line 2"), ("2", "Line 3"), ("4", "Line 2")]
