@@ -82,20 +82,22 @@ def find_terms(c, pattern: str) -> Column:
     return F.regexp_extract_all(col_(c), F.lit(pattern), 0)
 
 
-def language_scores(c) -> dict[str, Column]:
-    return {lang: count_matches(c, pat) for lang, pat in C.LANG_PATTERNS}
+def language_scores(c, patterns=C.LANG_PATTERNS) -> dict[str, Column]:
+    return {lang: count_matches(c, pat) for lang, pat in patterns}
 
 
-def detect_language(c) -> Column:
+def detect_language(c, patterns=C.LANG_PATTERNS) -> Column:
     """Most likely language code.
 
     Scores are match counts per class; the highest wins, ties go to the
-    earlier class (EN, JA, KO, DE, FR, ES); no score at all is EN; blank or
-    NULL text is ``unknown``.  Each regex is evaluated once per row thanks to
-    common-subexpression elimination in the generated code.
+    earlier class (default order EN, JA, KO, DE, FR, ES); no score at all is
+    the first class (EN); blank or NULL text is ``unknown``.  ``patterns`` is
+    an ordered list of (code, regex) — the language rules as data.  Each
+    regex is evaluated once per row thanks to common-subexpression
+    elimination in the generated code.
     """
     c = col_(c)
-    scores = language_scores(c)
+    scores = language_scores(c, patterns)
     best = F.greatest(*scores.values())
     expr = F.when(is_blank(c), F.lit(C.LANG_UNKNOWN))
     for lang, score in scores.items():

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 # Default bound for broadcasting a derived side.  Rows of the small tables we
-# broadcast (sheet maps, glossaries) are ~100 bytes; 2M rows stay well below
-# the driver/executor memory a broadcast may use.
-BROADCAST_MAX_ROWS = 2_000_000
+# broadcast (sheet maps, glossaries) are ~100 bytes, so the bound keeps a
+# broadcast near 50 MB; anything larger stays a shuffle join.
+BROADCAST_MAX_ROWS = 500_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -89,3 +89,9 @@ def test_locations(spark):
     assert r[2] == "Paragraph 3"
     assert r[3] == "Slide 3, Table Row 3, Col 3"
     assert r[4] == '<h1> "' + "x" * 40 + '..."'
+
+
+def test_language_rules_as_data(spark):
+    rules = [("IT", "[àèìòù]"), ("EN", "[a-zA-Z]{3,}")]
+    got = one(spark, ["più già", "plain words", "", "42"], lambda c: X.detect_language(c, rules))
+    assert got == ["IT", "EN", "unknown", "IT"]
