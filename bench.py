@@ -41,14 +41,17 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    from polyglint.session import get_spark
     from polyglint.plans.queries import QUERIES
+    from polyglint.session import get_spark, size_partitions
 
     spark = get_spark(f"local[{cpus}]", app="polyglint-bench",
                       shuffle_partitions=max(8, 2 * int(cpus)),
                       **{"spark.ui.enabled": "false",
                          "spark.ui.showConsoleProgress": "false",
                          "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+    input_bytes = sum(os.path.getsize(os.path.join(sf_dir, f)) for f in os.listdir(sf_dir)
+                      if f.endswith(".parquet"))
+    size_partitions(spark, input_bytes)
     QUERIES["segment_lines"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}

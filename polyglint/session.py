@@ -14,9 +14,26 @@ JOB_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
     "spark.sql.session.timeZone": "UTC",
 }
 
+PARTITION_BYTES = 128 << 20
+
+
+def size_partitions(spark: SparkSession, input_bytes: int,
+                    partition_bytes: int = PARTITION_BYTES) -> int:
+    """Size shuffles and scan splits for an input of ``input_bytes``: one
+    shuffle partition per ``partition_bytes`` of input (at least one per
+    core), scan splits of the same size.  AQE coalesces partitions that turn
+    out small, so erring high is cheap; erring low spills.  Returns the
+    shuffle partition count."""
+    import math
+    n = max(spark.sparkContext.defaultParallelism, math.ceil(input_bytes / partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
+    return n
+
 
 def get_spark(master: str | None = None, app: str = "polyglint",
               shuffle_partitions: int | None = None, **conf) -> SparkSession:
