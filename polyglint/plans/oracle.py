@@ -347,13 +347,15 @@ def _html_patterns():
 def decode(x: str) -> str:
     out = x
     for ent, ch in C.HTML_ENTITIES:
+        if ent == "&nbsp;":
+            continue
         out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
     return out
 
 
 def html_text(x: str) -> str:
     _, _, _, inline = _html_patterns()
-    return strip(decode(f"regexp_replace({x}, '{inline}', '', 'g')"))
+    return strip(decode(f"regexp_replace(replace({x}, '&nbsp;', chr(160)), '{inline}', '', 'g')"))
 
 
 def loc_html(tag: str, text: str) -> str:
@@ -363,7 +365,7 @@ def loc_html(tag: str, text: str) -> str:
 
 def _html_cte(name: str, src: str, idc: str, col: str) -> str:
     skip, opn, bnd, _ = _html_patterns()
-    h = (f"regexp_replace(regexp_replace(regexp_replace({col}, '{skip}', '', 'g'), '{opn}', "
+    h = (f"regexp_replace(regexp_replace(regexp_replace({col}, '{skip}', '<>', 'g'), '{opn}', "
          f"chr(1) || '\\1' || chr(2), 'g'), '{bnd}', chr(1), 'g')")
     return f"""{name}_p AS (
   SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, arr[i] AS piece

@@ -156,26 +156,35 @@ def _inline_tag_pattern() -> str:
     return rf"{C.STRIP_CLASS}*<[^>]*>{C.STRIP_CLASS}*"
 
 
-def decode_entities(c) -> Column:
+SPACE_ENTITY = "&nbsp;"
+EMPTY_TAG = "<>"      # stands in for a removed node, so text nodes stay apart
+
+
+def decode_entities(c, skip_space: bool = False) -> Column:
     out = X.col_(c)
     for ent, ch in C.HTML_ENTITIES:      # "&amp;" is last
+        if skip_space and ent == SPACE_ENTITY:
+            continue
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out
 
 
 def html_blocks(html: Column) -> Column:
     """Array of ``tag \\x02 inner-html`` pieces, one per text block."""
-    h = F.regexp_replace(html, _skip_pattern(), "")
+    h = F.regexp_replace(html, _skip_pattern(), EMPTY_TAG)
     h = F.regexp_replace(h, _text_open_pattern(), MARK_PIECE + "$1" + MARK_TAG)
     h = F.regexp_replace(h, _boundary_pattern(), MARK_PIECE)
     return F.split(h, MARK_PIECE, -1)
 
 
 def html_text(inner) -> Column:
-    """Text of an HTML fragment: tags removed (and the whitespace next to
-    them), entities decoded, stripped."""
-    t = F.regexp_replace(X.col_(inner), _inline_tag_pattern(), "")
-    return X.py_strip(decode_entities(t))
+    """Text of an HTML fragment as the concatenation of its stripped text
+    nodes: no-break spaces decoded first (they are whitespace at a node's
+    edge), then every tag removed with the whitespace next to it, the other
+    entities decoded (``&amp;`` last, so ``&amp;lt;`` stays text), stripped."""
+    t = F.replace(X.col_(inner), F.lit(SPACE_ENTITY), F.lit("\u00a0"))
+    t = F.regexp_replace(t, _inline_tag_pattern(), "")
+    return X.py_strip(decode_entities(t, skip_space=True))
 
 
 def segment_html(pages: DataFrame, id_col: str = "page_id",

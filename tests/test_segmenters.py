@@ -146,3 +146,11 @@ def test_review_corpus_end_to_end(spark, tmp_dir):
                  ("t.md", "Line 6", "Violence-related term: 'attack'")]
     t = [x for x in r["review_texts"].collect() if x.text == "We must attack 中文 here"][0]
     assert (t.occurrence_count, t.locations) == (2, "Line 2; Line 6")
+
+
+def test_html_text_nodes_are_stripped_one_by_one(spark):
+    html = ('<p>a <!-- c --> b</p><p>x <span>y</span>&nbsp;<b>z</b></p>'
+            '<p>left <nav>menu</nav> right &amp;lt;ok&amp;gt;</p>')
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    out = [r.text for r in G.segment_html(pages).orderBy("seq").collect()]
+    assert out == ["ab", "xyz", "leftright &lt;ok&gt;"]
