@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import text as X
-from ..sources.segmenters import cell_map, pair_seq
+from ..sources.segmenters import SHEET_SHIFT, cell_map, pair_seq
 from .checks import finding
 
 MATCH_CLASSES = ["translated", "missing", "addition", "unchanged", "modified"]
@@ -180,7 +180,7 @@ def missing_sheet_findings(sheet_map: DataFrame) -> DataFrame:
     desc = F.concat(F.lit("No matching sheet in target for "), X.quote("sheet"))
     return finding(p, detector="missing_sheet", dimension=C.DIM_MISSING, severity="P1",
                    doc_id="workbook_id", location=X.loc_sheet("sheet"), description=desc,
-                   seq=F.col("sheet_idx") * F.lit(1 << 36))
+                   seq=F.col("sheet_idx") * F.lit(1 << SHEET_SHIFT))
 
 
 # --------------------------------------------------------------------------

@@ -111,13 +111,13 @@ def fx_sensitive_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_sensitive_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The sensitive corpus as a workbook: one sheet per document
-    (``doc<id>``), one cell per line in column A."""
+    """The sensitive corpus as workbooks: one workbook per document
+    (``doc<id>``) with one sheet, one cell per line in column A."""
     lines = explode_lines(fx_sensitive(spark, d).select("doc_id", "text"))
     return lines.select(
-        F.lit("documents").alias("workbook_id"),
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("sheet"),
-        F.col("doc_id").cast("bigint").alias("sheet_idx"),
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("workbook_id"),
+        F.lit("Sheet1").alias("sheet"),
+        F.lit(0).cast("bigint").alias("sheet_idx"),
         F.col("line_no").alias("row_no"), F.lit(1).cast("bigint").alias("col_no"),
         F.col("raw").alias("value"))
 

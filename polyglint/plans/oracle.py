@@ -12,8 +12,12 @@ NULL as Spark's ``concat`` does.
 from __future__ import annotations
 
 from .. import catalog as C
+from ..sources.segmenters import CELL_ROW_SHIFT, PAIR_COL_SHIFT, SHEET_SHIFT
 
 S = C.STRIP_CLASS
+SHEET_MUL = 1 << SHEET_SHIFT
+PAIR_SEQ = f"sheet_idx * {1 << SHEET_SHIFT} + col_no * {1 << PAIR_COL_SHIFT} + row_no"
+CELL_SEQ = f"sheet_idx * {1 << SHEET_SHIFT} + row_no * {1 << CELL_ROW_SHIFT} + col_no"
 ALPHA = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NL = r"\r\n|\r|\n"
 
@@ -151,7 +155,7 @@ pairs0 AS (
    AND s2.row_no = t2.row_no AND s2.col_no = t2.col_no),
 pairs AS (
   SELECT workbook_id, sheet, sheet_idx, target_sheet, row_no, col_no, {a1('col_no', 'row_no')} AS coordinate,
-         source, target, sheet_idx * 68719476736 + col_no * 2097152 + row_no AS pair_seq,
+         source, target, {PAIR_SEQ} AS pair_seq,
          {_CLASSIFY} AS match
   FROM pairs0)"""
 
@@ -175,7 +179,7 @@ _ADDITION = f"""f_addition AS (SELECT {_fcols('workbook_id', 'addition', "'增
 _MISSING_SHEET = f"""f_missing_sheet AS (SELECT {_fcols('workbook_id', 'missing_sheet', "'漏翻'", "'P1'",
                                                       "'Sheet: ' || sheet",
                                                       "'No matching sheet in target for ' || " + qt('sheet'),
-                                                      0, 'sheet_idx * 68719476736')}
+                                                      0, f'sheet_idx * {SHEET_MUL}')}
   FROM sheet_map WHERE target_sheet IS NULL)"""
 
 
@@ -206,7 +210,7 @@ _BITEXT_FINDINGS = """f_bitext AS (SELECT * FROM f_missing_sheet UNION ALL SELEC
                 UNION ALL SELECT * FROM f_addition UNION ALL SELECT * FROM f_consistency)"""
 
 _SEG_CELLS_TGT = f"""seg_tgt AS (
-  SELECT workbook_id AS doc_id, sheet_idx * 68719476736 + row_no * 32768 + col_no AS seq,
+  SELECT workbook_id AS doc_id, {CELL_SEQ} AS seq,
          sheet || '!' || {a1('col_no', 'row_no')} AS location, {strip('value')} AS text,
          sheet, sheet_idx, row_no, col_no
   FROM fx_tgt WHERE value IS NOT NULL AND {strip('value')} <> '')"""
@@ -394,7 +398,7 @@ def scan_cte(name: str, cells: str) -> str:
   SELECT workbook_id, sheet, sheet_idx, row_no, col_no, coordinate, cell_seq, value,
          {lang_case('value')} AS lang, has_cjk, char_count
   FROM (SELECT workbook_id, sheet, sheet_idx, row_no, col_no, {a1('col_no', 'row_no')} AS coordinate,
-               sheet_idx * 68719476736 + row_no * 32768 + col_no AS cell_seq, sv AS value,
+               {CELL_SEQ} AS cell_seq, sv AS value,
                {cjk('sv')} AS has_cjk, CAST(length(sv) AS BIGINT) AS char_count, {lang_scores('sv')}
         FROM (SELECT *, {v} AS sv FROM {cells} WHERE value IS NOT NULL AND {v} <> '')) t)"""
 
@@ -402,8 +406,8 @@ def scan_cte(name: str, cells: str) -> str:
 _add("conv_scan", scan_cte("conv_scan", "fx_conv_cells"), ["fx_conv_cells"])
 _add("tgt_scan", scan_cte("tgt_scan", "fx_tgt"), ["fx_tgt"])
 _add("sens_cells", """sens_cells AS (
-  SELECT 'documents' AS workbook_id, 'doc' || CAST(doc_id AS VARCHAR) AS sheet,
-         CAST(doc_id AS BIGINT) AS sheet_idx, line_no AS row_no, CAST(1 AS BIGINT) AS col_no, raw AS value
+  SELECT 'doc' || CAST(doc_id AS VARCHAR) AS workbook_id, 'Sheet1' AS sheet,
+         CAST(0 AS BIGINT) AS sheet_idx, line_no AS row_no, CAST(1 AS BIGINT) AS col_no, raw AS value
   FROM sens_lines)""", ["sens_lines"])
 _add("sens_scan", scan_cte("sens_scan", "sens_cells"), ["sens_cells"])
 _add("sens_scan_hits", _rule_hits("sens_scan_hits", "sens_scan", "extended7", text="value",
@@ -744,8 +748,8 @@ o("pick_first_target", "SELECT * FROM sheet_map WHERE target_sheet IS NOT NULL",
 o("sort_column_major", """SELECT workbook_id, sheet, coordinate, pair_seq,
   CAST(row_number() OVER (ORDER BY workbook_id, pair_seq) AS BIGINT) AS rn FROM pairs""", "pairs")
 o("sort_row_major", f"""SELECT workbook_id, sheet, {a1('col_no', 'row_no')} AS coordinate,
-  sheet_idx * 68719476736 + row_no * 32768 + col_no AS cell_seq,
-  CAST(row_number() OVER (ORDER BY workbook_id, sheet_idx * 68719476736 + row_no * 32768 + col_no) AS BIGINT) AS rn
+  {CELL_SEQ} AS cell_seq,
+  CAST(row_number() OVER (ORDER BY workbook_id, {CELL_SEQ}) AS BIGINT) AS rn
   FROM fx_src""", "fx_src")
 o("sort_by_frequency", """SELECT *, CAST(row_number() OVER (ORDER BY occurrence_count DESC, first_doc, first_seq) AS BIGINT)
   AS rn FROM corpus_texts""", "corpus_texts")

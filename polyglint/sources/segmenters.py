@@ -213,16 +213,23 @@ def segment_html(pages: DataFrame, id_col: str = "page_id",
 # value [, value_type])
 # --------------------------------------------------------------------------
 
+# Packed cell order keys: sheets < 2^18, columns < 2^14 (the sheet format's
+# limit), rows < 2^31 — one BIGINT, so order columns stay primitive.
+SHEET_SHIFT = 45
+PAIR_COL_SHIFT = 31
+CELL_ROW_SHIFT = 14
+
+
 def cell_seq(sheet_idx, row_no, col_no) -> Column:
     """Row-major order of a cell inside its workbook."""
-    return (_bigint(sheet_idx) * F.lit(1 << 36) + _bigint(row_no) * F.lit(1 << 15)
-            + _bigint(col_no))
+    return (_bigint(sheet_idx) * F.lit(1 << SHEET_SHIFT)
+            + _bigint(row_no) * F.lit(1 << CELL_ROW_SHIFT) + _bigint(col_no))
 
 
 def pair_seq(sheet_idx, col_no, row_no) -> Column:
     """Column-major order of a cell inside its workbook (comparison order)."""
-    return (_bigint(sheet_idx) * F.lit(1 << 36) + _bigint(col_no) * F.lit(1 << 21)
-            + _bigint(row_no))
+    return (_bigint(sheet_idx) * F.lit(1 << SHEET_SHIFT)
+            + _bigint(col_no) * F.lit(1 << PAIR_COL_SHIFT) + _bigint(row_no))
 
 
 def admit_cells(cells: DataFrame, admit: str = "nonnull") -> DataFrame:
