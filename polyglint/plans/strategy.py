@@ -37,13 +37,15 @@ def number_rows(df: DataFrame, order_cols: list, name: str = "n",
     """Add ``name`` = 1..N following ``order_cols`` (which must be a total
     order: ties would make the numbering depend on row arrival order)."""
     spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the range partitioner samples its input before the shuffle computes it:
     # keep the input cached so the upstream plan runs once
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ordered = cut_lineage(src.repartitionByRange(n_parts, *order_cols)
-                              .sortWithinPartitions(*order_cols))
+        # without an explicit count AQE sizes the range partitions from the
+        # data (the ids are read back from the checkpoint, so they are stable)
+        ranged = (src.repartitionByRange(num_partitions, *order_cols) if num_partitions
+                  else src.repartitionByRange(*order_cols))
+        ordered = cut_lineage(ranged.sortWithinPartitions(*order_cols))
     finally:
         src.unpersist()
     ordered = (ordered.withColumn("_pid", F.spark_partition_id())
