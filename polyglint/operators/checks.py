@@ -197,9 +197,40 @@ def document_findings(docs: DataFrame, segmenter, pack="basic5",
     return residual_findings(segs, script_class).unionByName(sensitive_findings(segs, pack))
 
 
-def automated_findings(segments: DataFrame, pack="basic5") -> DataFrame:
-    """Residual + sensitive findings of target segments (document review)."""
-    return residual_findings(segments).unionByName(sensitive_findings(segments, pack))
+def automated_findings(segments: DataFrame, pack="basic5", dedup: bool = False) -> DataFrame:
+    """Residual + sensitive findings of target segments (document review).
+
+    ``dedup=True`` checks each distinct text once and joins the texts that
+    have hits back to their segments — worth it when boilerplate repeats
+    massively (the regexes then run once per distinct text; the join-back of
+    a hot text is an inner join AQE can split)."""
+    if not dedup:
+        return residual_findings(segments).unionByName(sensitive_findings(segments, pack))
+    segs = target_only(segments)
+    texts = segs.select("text").distinct()
+    res = texts.filter(X.has_cjk("text")).select(
+        "text", F.lit(None).cast("bigint").alias("rule_no"),
+        F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("bigint").alias("match_no"),
+        F.lit(None).cast("string").alias("term"), F.lit("P1").alias("severity"),
+        F.lit(None).cast("string").alias("rule_desc"))
+    sen = sensitive_matches(texts, pack).select("text", "rule_no", "rule_id", "match_no", "term",
+                                                "severity", "rule_desc")
+    hits = res.unionByName(sen)
+    j = segs.join(hits, "text")
+    is_res = F.col("rule_no").isNull()
+    desc = F.when(is_res, F.concat(F.lit("Untranslated Chinese: "),
+                                   X.quote(X.truncate_text("text", C.CUT_FINDING)))) \
+        .otherwise(F.concat(F.col("rule_desc"), F.lit(": "), X.quote("term")))
+    sub = F.when(is_res, F.lit(0)).otherwise((F.col("rule_no") + 1) * F.lit(RULE_STRIDE)
+                                             + F.col("match_no"))
+    out = j.select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.when(is_res, "residual").otherwise("sensitive").alias("detector"),
+        F.when(is_res, C.DIM_MISSING).otherwise(C.DIM_SENSITIVE).alias("dimension"),
+        "severity", "location", desc.alias("description"),
+        F.lit(0).cast("bigint").alias("phase"), F.col("seq").cast("bigint").alias("seq"),
+        sub.cast("bigint").alias("sub"))
+    return out
 
 
 def scan_findings(scanned: DataFrame, pack="extended7") -> DataFrame:

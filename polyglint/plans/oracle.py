@@ -659,6 +659,9 @@ o("source_gate", "SELECT * FROM (SELECT * FROM f_sensitive5 UNION ALL "
 o("document_findings", "SELECT * FROM f_sensitive5 UNION ALL "
   f"SELECT {_fcols('doc_id', 'residual', chr(39) + '漏翻' + chr(39), chr(39) + 'P1' + chr(39), 'location', chr(39) + 'Untranslated Chinese: ' + chr(39) + ' || ' + qt(cut('text', 60)), 0, 'seq')} "
   f"FROM sens_segs WHERE {cjk('text')}", "f_sensitive5", "sens_segs")
+o("dedup_findings", "SELECT * FROM f_sensitive7 UNION ALL "
+  f"SELECT {_fcols('doc_id', 'residual', chr(39) + '漏翻' + chr(39), chr(39) + 'P1' + chr(39), 'location', chr(39) + 'Untranslated Chinese: ' + chr(39) + ' || ' + qt(cut('text', 60)), 0, 'seq')} "
+  f"FROM sens_segs WHERE {cjk('text')}", "f_sensitive7", "sens_segs")
 o("omission_findings", "SELECT * FROM f_omission", "f_omission")
 o("addition_findings", "SELECT * FROM f_addition", "f_addition")
 o("missing_sheet_findings", "SELECT * FROM f_missing_sheet", "f_missing_sheet")

@@ -298,6 +298,13 @@ def document_findings(spark, d):
                                G.segment_lines, "basic5")
 
 
+@q("dedup_findings")
+def dedup_findings(spark, d):
+    """Residual + sensitive findings checked once per distinct line text and
+    joined back to every segment holding it."""
+    return K.automated_findings(FX.fx_sensitive_lines(spark, d), "extended7", dedup=True)
+
+
 @q("nonblank_filter")
 def nonblank_filter(spark, d):
     s = FX.fx_slides(spark, d)

@@ -133,3 +133,16 @@ def test_document_prefilter_is_exact(spark):
             sorted(tuple(r) for r in pre.select(cols).collect())
     got = sorted((r.doc_id, r.location) for r in K.document_findings(docs, segment_lines).collect())
     assert got == [("1", "Line 1"), ("2", "Line 2"), ("2", "Line 3"), ("4", "Line 2")]
+
+
+def test_dedup_then_check_equals_direct(spark):
+    from polyglint.plans import fixtures as FX
+    from conftest import SF_SMALL
+    segs = FX.fx_sensitive_lines(spark, SF_SMALL)
+    from pyspark.sql import functions as F
+    segs = segs.withColumn("text", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("中 "), "text"))
+                           .otherwise(F.col("text")))
+    a = K.automated_findings(segs, "extended7")
+    b = K.automated_findings(segs, "extended7", dedup=True)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
