@@ -2,9 +2,10 @@
 
 Per document pair: segment counts of both sides, the target's automated
 finding count, and a size warning when the target has more than 1.5x or
-fewer than 0.5x the source's segments.  All aggregation happens per
-document first (map-side combine), so the pair-level joins only see one row
-per document.
+fewer than 0.5x the source's segments.  With the 2k / 2k+1 pairing, pair
+and role are expressions of the document id and the whole compare is one
+aggregation per pair; with an explicit pairing table all aggregation
+happens per document first, so the joins only see one row per document.
 """
 
 from __future__ import annotations
@@ -60,6 +61,53 @@ def compare_sections(docs: DataFrame, segments: DataFrame, roles: DataFrame,
     return out
 
 
+def parity_pair(doc_id) -> tuple:
+    d = X.col_(doc_id).cast("bigint")
+    return (F.floor(d / 2).cast("bigint"),
+            F.when(d % 2 == 0, "source").otherwise("target"))
+
+
+def compare_sections_by_parity(docs: DataFrame, segments: DataFrame,
+                               findings: DataFrame | None = None) -> DataFrame:
+    """``compare_sections`` for the 2k / 2k+1 pairing without any join: pair
+    and role are expressions of ``doc_id``, so document presence, segment
+    counts and finding counts are unioned as per-document rows and reduced
+    by one aggregation per pair (map-side combined)."""
+    def rows(df, ok, n_seg, n_find):
+        pid, role = parity_pair("doc_id")
+        return df.select(pid.alias("pair_id"), role.alias("role"),
+                         F.col("doc_id").cast("bigint").alias("doc_id"),
+                         ok.alias("ok"), n_seg.cast("bigint").alias("n_seg"),
+                         n_find.cast("bigint").alias("n_find"))
+
+    null_l = F.lit(None).cast("bigint")
+    parts = [rows(docs.select("doc_id"), F.lit(True), null_l, null_l),
+             rows(_per_doc_counts(segments, "n"), F.lit(None).cast("boolean"), F.col("n"), null_l)]
+    if findings is not None:
+        parts.append(rows(_per_doc_counts(findings, "n"), F.lit(None).cast("boolean"), null_l,
+                          F.col("n")))
+    per_doc = parts[0]
+    for part in parts[1:]:
+        per_doc = per_doc.unionByName(part)
+    src = F.col("role") == "source"
+    tgt = F.col("role") == "target"
+    return per_doc.groupBy("pair_id").agg(
+        F.max(F.when(src, F.col("doc_id"))).alias("source_doc"),
+        F.max(F.when(tgt, F.col("doc_id"))).alias("target_doc"),
+        F.coalesce(F.max(F.when(src, F.col("ok"))), F.lit(False)).alias("source_ok"),
+        F.coalesce(F.max(F.when(tgt, F.col("ok"))), F.lit(False)).alias("target_ok"),
+        F.sum(F.when(src, F.col("n_seg"))).alias("_s"),
+        F.sum(F.when(tgt, F.col("n_seg"))).alias("_t"),
+        F.sum(F.when(tgt, F.col("n_find"))).alias("_f"),
+    ).select("pair_id", "source_doc", "target_doc", "source_ok", "target_ok",
+             F.when(F.col("source_ok"), F.coalesce("_s", F.lit(0))).otherwise(F.lit(0))
+             .cast("bigint").alias("source_count"),
+             F.when(F.col("target_ok"), F.coalesce("_t", F.lit(0))).otherwise(F.lit(0))
+             .cast("bigint").alias("target_count"),
+             F.when(F.col("target_ok"), F.coalesce("_f", F.lit(0))).otherwise(F.lit(0))
+             .cast("bigint").alias("automated_count"))
+
+
 def size_ratio(cmp: DataFrame, with_message: bool = True) -> DataFrame:
     """Add ``ratio = target / max(source, 1)``, ``size_flag`` (larger when
     ratio > 1.5, smaller when < 0.5, strict) and the warning text; nothing

@@ -354,11 +354,10 @@ def classify_pairs(spark, d):
 @shared
 def _compare(spark, d):
     docs = FX.fx_sensitive(spark, d)
-    segs = G.segment_lines(docs.select("doc_id", "text"))
-    roles = CMP.doc_pairs_by_parity(docs)
-    tgt_segs = segs.join(roles.filter("role = 'target'").select("doc_id"), "doc_id", "left_semi")
-    findings = K.automated_findings(tgt_segs, "basic5")
-    return CMP.compare_sections(docs, segs, roles, findings)
+    segs = G.segment_lines(docs.select("doc_id", "text")) \
+        .withColumn("is_source", F.col("doc_id") % 2 == 0)
+    findings = K.automated_findings(segs, "basic5")      # sources are skipped
+    return CMP.compare_sections_by_parity(docs, segs, findings)
 
 
 @q("compare_sections")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import align as A
 from ..operators import checks as K
@@ -125,14 +126,22 @@ def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool =
 
 
 def compare_documents(docs: DataFrame, fmt: str = "txt", pack: str = "basic5",
-                      cap: int | None = 200) -> dict[str, DataFrame]:
-    """Generic compare of document pairs 2k (source) / 2k+1 (target)."""
+                      cap: int | None = 200, roles: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Generic compare of document pairs.  Without ``roles`` documents 2k
+    (source) and 2k+1 (target) pair up and everything is computed without a
+    join; ``roles`` (pair_id, role, doc_id) gives any other pairing."""
     segs = SEGMENTERS[fmt](docs.select("doc_id", "text"))
-    roles = CMP.doc_pairs_by_parity(docs)
-    tgt_ids = roles.filter("role = 'target'").select("doc_id")
-    tgt_segs = segs.join(tgt_ids, "doc_id", "left_semi")
-    findings = K.automated_findings(tgt_segs, pack)
-    cmp = CMP.size_ratio(CMP.compare_sections(docs, segs, roles, findings))
+    if roles is None:
+        segs = segs.withColumn("is_source", F.col("doc_id") % 2 == 0)
+        findings = K.automated_findings(segs, pack)
+        cmp = CMP.compare_sections_by_parity(docs, segs, findings)
+        tgt_segs = segs.filter(~F.col("is_source"))
+    else:
+        tgt_ids = roles.filter("role = 'target'").select("doc_id")
+        tgt_segs = segs.join(tgt_ids, "doc_id", "left_semi")
+        findings = K.automated_findings(tgt_segs, pack)
+        cmp = CMP.compare_sections(docs, segs, roles, findings)
+    cmp = CMP.size_ratio(cmp)
     out = {"compare": cmp, "findings": findings,
            "review_texts": S.review_texts(tgt_segs)}
     if cap:
