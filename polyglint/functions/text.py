@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 
-ColumnOrName = "Column | str"
-
-
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

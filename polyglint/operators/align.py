@@ -78,8 +78,10 @@ def match_sheets(src_sheets: DataFrame, tgt_sheets: DataFrame) -> DataFrame:
                     F.col("b.target_sheet").alias("target_sheet"),
                     F.col("b.target_idx").cast("bigint").alias("target_idx"),
                     F.col("b.stage").alias("stage_no")))
-    stage = F.when(F.col("stage_no") == 1, "exact").when(F.col("stage_no") == 2, "prefix") \
-        .when(F.col("stage_no") == 3, "position")
+    stage = None
+    for no, label in STAGES.items():
+        stage = (F.when(F.col("stage_no") == no, label) if stage is None
+                 else stage.when(F.col("stage_no") == no, label))
     return (s.join(best, ["workbook_id", "sheet"], "left")
             .select("workbook_id", "sheet", F.col("sheet_idx").cast("bigint").alias("sheet_idx"),
                     "target_sheet", "target_idx", stage.alias("stage")))

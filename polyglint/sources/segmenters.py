@@ -17,7 +17,6 @@ from .. import catalog as C
 from ..functions import text as X
 
 NEWLINES = r"\r\n|\r|\n"          # universal-newline line split of a text file
-SEGMENT_COLS = ["doc_id", "seq", "location", "text"]
 
 
 def _bigint(c) -> Column:
