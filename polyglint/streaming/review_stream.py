@@ -58,3 +58,24 @@ def start_review_stream(spark: SparkSession, source_path: str, sink_path: str,
          .option("path", sink_path).option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def summary_stream(findings: DataFrame) -> DataFrame:
+    """Running dimension x severity counts of a findings stream.  The state
+    is one row per (dimension, severity) — bounded by the fixed lists — so
+    ``complete`` output mode is safe for an unbounded stream."""
+    from pyspark.sql import functions as F
+    return (findings.withColumn("severity", F.coalesce("severity", F.lit("P3")))
+            .groupBy("dimension", "severity").agg(F.count(F.lit(1)).alias("n")))
+
+
+def start_summary_stream(spark: SparkSession, source_path: str, checkpoint_location: str,
+                         query_name: str = "review_summary", fmt: str = "txt",
+                         pack: str = "basic5", available_now: bool = True):
+    """Maintain the running summary in an in-memory table ``query_name``
+    (``complete`` mode); returns the ``StreamingQuery``."""
+    findings = stream_findings(read_document_stream(spark, source_path), fmt, pack)
+    w = (summary_stream(findings).writeStream.format("memory").queryName(query_name)
+         .outputMode("complete").option("checkpointLocation", checkpoint_location))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

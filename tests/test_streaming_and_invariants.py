@@ -75,3 +75,29 @@ def test_review_texts_under_a_hot_text(spark):
     assert hot.locations == "0:Line 1; 1:Line 1; 2:Line 1"
     assert (hot.first_doc, hot.first_seq) == (0, 1)
     assert len(t) == 3001
+
+
+def test_summary_stream(spark, tmp_dir):
+    from polyglint.streaming.review_stream import start_summary_stream
+    src = os.path.join(tmp_dir, "in")
+    FX.fx_sensitive(spark, SF_SMALL).select("doc_id", "text", "lang",
+                                            F.lit("s").alias("source"),
+                                            F.length("text").cast("long").alias("n_chars")) \
+        .repartition(2).write.parquet(src)
+    q = start_summary_stream(spark, src, os.path.join(tmp_dir, "ck2"), "summary_t")
+    q.awaitTermination(300)
+    got = {(r.dimension, r.severity): r.n for r in spark.sql("SELECT * FROM summary_t").collect()}
+    batch = stream_findings(spark.read.parquet(src)).groupBy("dimension", "severity").count()
+    assert got == {(r.dimension, r.severity): r["count"] for r in batch.collect()}
+    assert sum(got.values()) > 0
+
+
+def test_numbering_with_a_hot_document(spark):
+    from polyglint.plans.strategy import number_rows
+    df = spark.range(0, 20000).select(
+        F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("doc_id"),
+        F.col("id").alias("seq"))
+    out = number_rows(df.repartition(7), ["doc_id", "seq"], "n").orderBy("n").collect()
+    assert [r.n for r in out] == list(range(1, 20001))
+    keys = [(r.doc_id, r.seq) for r in out]
+    assert keys == sorted(keys)
