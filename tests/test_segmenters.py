@@ -154,3 +154,13 @@ def test_html_text_nodes_are_stripped_one_by_one(spark):
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     out = [r.text for r in G.segment_html(pages).orderBy("seq").collect()]
     assert out == ["ab", "xyz", "leftright &lt;ok&gt;"]
+
+
+def test_load_text_files_glob(spark, tmp_dir):
+    import os
+    from polyglint.sources.readers import load_text_files
+    for name in ("a.md", "b.txt", "c.md"):
+        with open(os.path.join(tmp_dir, name), "w", encoding="utf-8") as fh:
+            fh.write("hello world\n")
+    got = sorted(os.path.basename(r.path) for r in load_text_files(spark, tmp_dir, glob="*.md").collect())
+    assert got == ["a.md", "c.md"]
