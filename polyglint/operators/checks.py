@@ -184,7 +184,8 @@ def loose_pattern(pack) -> str:
 
 
 def document_findings(docs: DataFrame, segmenter, pack="basic5",
-                      script_class: str = C.CJK_CLASS, text_col: str = "text") -> DataFrame:
+                      script_class: str = C.CJK_CLASS, text_col: str = "text",
+                      include_residual: bool = True) -> DataFrame:
     """Residual + sensitive findings of line-segmented documents (plain
     text, markdown), exploding only the documents that can hold a finding:
     a document matching neither the script class nor the loose rule pattern
@@ -192,6 +193,8 @@ def document_findings(docs: DataFrame, segmenter, pack="basic5",
     segments are stripped substrings of the text (not for HTML, where tag
     removal can join text)."""
     t = F.col(text_col)
+    if not include_residual:
+        return sensitive_findings(segmenter(docs.filter(t.rlike(loose_pattern(pack)))), pack)
     candidates = docs.filter(t.rlike(script_class) | t.rlike(loose_pattern(pack)))
     segs = segmenter(candidates)
     return residual_findings(segs, script_class).unionByName(sensitive_findings(segs, pack))

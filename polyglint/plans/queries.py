@@ -91,11 +91,12 @@ def _report_findings(spark, d):
     report outputs (detail, summary, groupings) all read it, so it is
     persisted; findings are sparse next to the corpus."""
     tgt_segments = G.segment_cells(FX.fx_tgt(spark, d), admit="nonnull")
+    sensitive = K.document_findings(FX.fx_sensitive(spark, d).select("doc_id", "text"),
+                                    G.segment_lines, "extended7", include_residual=False)
     return R.merge_findings(
         _bitext_findings(spark, d),
         K.residual_findings(tgt_segments),
-        K.sensitive_findings(FX.fx_sensitive_lines(spark, d), "extended7")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        sensitive).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _manual_findings(spark, d):

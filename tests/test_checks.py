@@ -146,3 +146,14 @@ def test_dedup_then_check_equals_direct(spark):
     b = K.automated_findings(segs, "extended7", dedup=True)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_document_prefilter_sensitive_only(spark):
+    from polyglint.sources.segmenters import segment_lines
+    docs = spark.createDataFrame([(0, "中文 only"), (1, "a Taiwan\nStrait b"), (2, "hacke it")],
+                                 "doc_id long, text string")
+    a = K.sensitive_findings(segment_lines(docs), "extended7")
+    b = K.document_findings(docs, segment_lines, "extended7", include_residual=False)
+    cols = ["doc_id", "location", "description"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    assert b.count() == 2
