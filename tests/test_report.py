@@ -98,3 +98,15 @@ def test_size_ratio_golden_rows(spark):
         0.0, "smaller", "Target is 0.0x smaller than source — possible omissions")
     assert (out[3].target_ok, out[3].target_count, out[3].ratio, out[3].size_warning) == (
         False, 0, None, None)
+
+
+def test_detail_defaults_and_addition_outside_core10(spark):
+    f = findings(spark, [("增译", None, "S!A7", "Added 'abcd' with no source"),
+                         (None, "P1", None, None)])
+    d = {r.location: r for r in R.report_detail(f).collect()}
+    assert (d["S!A7"].severity, d["S!A7"].dimension, d["S!A7"].fill_rgb) == ("P3", "增译", "88CCEE")
+    assert (d[""].dimension, d[""].description, d[""].severity) == ("", "", "P1")
+    core = {r.dimension: r.total for r in R.report_summary(f, "core10").collect()}
+    assert "增译" not in core and core["总计"] == 0
+    all12 = {r.dimension: (r.P3, r.total) for r in R.report_summary(f, "all12").collect()}
+    assert all12["增译"] == (1, 1) and all12["总计"] == (1, 1)
