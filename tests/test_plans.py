@@ -34,3 +34,9 @@ def test_segmenters_do_not_shuffle_by_document(spark):
     for name in ("segment_lines", "segment_markdown", "sensitive_findings", "segment_html"):
         p = plan(E.queries()[name](spark, SF_SMALL))
         assert "hashpartitioning(doc_id" not in p, name
+
+
+def test_global_numbering_has_no_single_partition(spark):
+    for name in ("sort_row_major", "report_detail"):
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        assert "SinglePartition" not in p, name
