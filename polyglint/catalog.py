@@ -62,6 +62,36 @@ SUMMARY_HEADINGS = {"dimension": "维度", "P0": "P0", "P1": "P1", "P2": "P2",
 DETAIL_SHEET = "审查结果"
 SUMMARY_SHEET = "审查总结"
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: finding messages and location formats.  ``{name}`` marks a
+# value filled in per row; texts are cut as noted (code points).
+# ---------------------------------------------------------------------------
+MESSAGES = {
+    "residual": "Untranslated Chinese: '{text}'",                  # text cut at 60
+    "residual_cell": "Cell contains untranslated Chinese: '{text}'",  # text cut at 60
+    "sensitive": "{description}: '{term}'",
+    "sensitive_cell": "{description}: '{term}' in '{text}'",      # text cut at 60
+    "missing_sheet": "No matching sheet in target for '{sheet}'",
+    "omission": "Source '{text}' not translated",                  # text cut at 50
+    "addition": "Added '{text}' with no source",                   # text cut at 50
+    "consistency": "'{text}' translated {k} ways: {translations}",  # text cut at 30
+    "larger": "Target is {ratio}x larger than source — possible additions or expanded version",
+    "smaller": "Target is {ratio}x smaller than source — possible omissions",
+}
+LOCATIONS = {
+    "cell": "{sheet}!{coordinate}",
+    "sheet": "Sheet: {sheet}",
+    "line": "Line {line}",
+    "paragraph": "Paragraph {para}{style}",
+    "paragraph_style": " [{style}]",                 # left out for Normal / no style
+    "table": "Table {table}, Row {row}, Col {col}",
+    "slide_paragraph": "Slide {slide}, Paragraph {para}",
+    "slide_table": "Slide {slide}, Table Row {row}, Col {col}",
+    "page_line": "Page {page}, Line {line}",
+    "page_table": "Page {page}, Table Row {row}, Col {col}",
+    "html": '<{tag}> "{text}"',                      # text cut at 40, then "..."
+}
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: the "Chinese" character range (U+4E00..U+9FFF).
 # ---------------------------------------------------------------------------

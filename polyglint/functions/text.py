@@ -7,6 +7,8 @@ code runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,24 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_SLOT = re.compile(r"\{(\w+)\}")
+
+
+def render(template: str, **values) -> Column:
+    """A message / location template from ``catalog`` as one ``concat``:
+    literal parts as literals, ``{name}`` slots from ``values`` (columns or
+    column names; numbers are cast to string)."""
+    parts, pos = [], 0
+    for m in _SLOT.finditer(template):
+        if m.start() > pos:
+            parts.append(F.lit(template[pos:m.start()]))
+        parts.append(col_(values[m.group(1)]).cast("string"))
+        pos = m.end()
+    if pos < len(template):
+        parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
+
+
 # --------------------------------------------------------------------------
 # strings
 # --------------------------------------------------------------------------
@@ -188,46 +208,39 @@ def compare_mode(source_path) -> Column:
 # locations
 # --------------------------------------------------------------------------
 
-def _s(c) -> Column:
-    return col_(c).cast("string")
-
-
 def loc_cell(sheet, coordinate) -> Column:
-    return F.concat(col_(sheet), F.lit("!"), col_(coordinate))
+    return render(C.LOCATIONS["cell"], sheet=sheet, coordinate=coordinate)
 
 
 def loc_line(line_no) -> Column:
-    return F.concat(F.lit("Line "), _s(line_no))
+    return render(C.LOCATIONS["line"], line=line_no)
 
 
 def loc_paragraph(para_no, style) -> Column:
     st = col_(style)
     tag = F.when(st.isNull() | (st == "Normal"), F.lit("")) \
-        .otherwise(F.concat(F.lit(" ["), st, F.lit("]")))
-    return F.concat(F.lit("Paragraph "), _s(para_no), tag)
+        .otherwise(render(C.LOCATIONS["paragraph_style"], style=st))
+    return render(C.LOCATIONS["paragraph"], para=para_no, style=tag)
 
 
 def loc_table(table_no, row_no, col_no) -> Column:
-    return F.concat(F.lit("Table "), _s(table_no), F.lit(", Row "), _s(row_no),
-                    F.lit(", Col "), _s(col_no))
+    return render(C.LOCATIONS["table"], table=table_no, row=row_no, col=col_no)
 
 
 def loc_slide_paragraph(slide_no, para_no) -> Column:
-    return F.concat(F.lit("Slide "), _s(slide_no), F.lit(", Paragraph "), _s(para_no))
+    return render(C.LOCATIONS["slide_paragraph"], slide=slide_no, para=para_no)
 
 
 def loc_slide_table(slide_no, row_no, col_no) -> Column:
-    return F.concat(F.lit("Slide "), _s(slide_no), F.lit(", Table Row "), _s(row_no),
-                    F.lit(", Col "), _s(col_no))
+    return render(C.LOCATIONS["slide_table"], slide=slide_no, row=row_no, col=col_no)
 
 
 def loc_page_line(page_no, line_no) -> Column:
-    return F.concat(F.lit("Page "), _s(page_no), F.lit(", Line "), _s(line_no))
+    return render(C.LOCATIONS["page_line"], page=page_no, line=line_no)
 
 
 def loc_page_table(page_no, row_no, col_no) -> Column:
-    return F.concat(F.lit("Page "), _s(page_no), F.lit(", Table Row "), _s(row_no),
-                    F.lit(", Col "), _s(col_no))
+    return render(C.LOCATIONS["page_table"], page=page_no, row=row_no, col=col_no)
 
 
 def loc_html(tag, text) -> Column:
@@ -235,11 +248,11 @@ def loc_html(tag, text) -> Column:
     shown = F.when(F.length(t) > C.CUT_HTML_LOCATION,
                    F.concat(truncate_text(t, C.CUT_HTML_LOCATION), F.lit("...")))\
         .otherwise(t)
-    return F.concat(F.lit("<"), col_(tag), F.lit('> "'), shown, F.lit('"'))
+    return render(C.LOCATIONS["html"], tag=tag, text=shown)
 
 
 def loc_sheet(sheet) -> Column:
-    return F.concat(F.lit("Sheet: "), col_(sheet))
+    return render(C.LOCATIONS["sheet"], sheet=sheet)
 
 
 # --------------------------------------------------------------------------

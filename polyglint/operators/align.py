@@ -142,8 +142,7 @@ def align_cells(src_cells: DataFrame, tgt_cells: DataFrame, sheet_map: DataFrame
 def omission_findings(pairs: DataFrame) -> DataFrame:
     """漏译 / P1 for every ``missing`` pair."""
     p = pairs.filter(F.col("match") == "missing")
-    desc = F.concat(F.lit("Source "), X.quote(X.truncate_text("source", C.CUT_PAIR)),
-                    F.lit(" not translated"))
+    desc = X.render(C.MESSAGES["omission"], text=X.truncate_text("source", C.CUT_PAIR))
     return finding(p, detector="omission", dimension=C.DIM_OMISSION, severity="P1",
                    doc_id="workbook_id", location=X.loc_cell("sheet", "coordinate"),
                    description=desc, seq="pair_seq")
@@ -153,8 +152,7 @@ def addition_findings(pairs: DataFrame) -> DataFrame:
     """增译 / P2 for ``addition`` pairs whose target is longer than 3."""
     p = pairs.filter((F.col("match") == "addition")
                      & (F.length("target") > C.ADDITION_MIN_LEN))
-    desc = F.concat(F.lit("Added "), X.quote(X.truncate_text("target", C.CUT_PAIR)),
-                    F.lit(" with no source"))
+    desc = X.render(C.MESSAGES["addition"], text=X.truncate_text("target", C.CUT_PAIR))
     return finding(p, detector="addition", dimension=C.DIM_ADDITION, severity="P2",
                    doc_id="workbook_id", location=X.loc_cell("sheet", "coordinate"),
                    description=desc, seq="pair_seq")
@@ -169,8 +167,7 @@ def unpicked_target_findings(tgt_cells: DataFrame, sheet_map: DataFrame) -> Data
     cells = cell_map(tgt_cells).join(picked, ["workbook_id", "sheet"], "left_anti") \
         .filter(F.length("value") > C.ADDITION_MIN_LEN)
     coord = X.a1_coordinate("col_no", "row_no")
-    desc = F.concat(F.lit("Added "), X.quote(X.truncate_text("value", C.CUT_PAIR)),
-                    F.lit(" with no source"))
+    desc = X.render(C.MESSAGES["addition"], text=X.truncate_text("value", C.CUT_PAIR))
     return finding(cells, detector="unpicked_target", dimension=C.DIM_ADDITION, severity="P2",
                    doc_id="workbook_id", location=X.loc_cell("sheet", coord), description=desc,
                    seq=F.lit(1 << 62) + pair_seq("sheet_idx", "col_no", "row_no"))
@@ -179,7 +176,7 @@ def unpicked_target_findings(tgt_cells: DataFrame, sheet_map: DataFrame) -> Data
 def missing_sheet_findings(sheet_map: DataFrame) -> DataFrame:
     """漏翻 / P1 for every source sheet without a target."""
     p = missing_sheets(sheet_map)
-    desc = F.concat(F.lit("No matching sheet in target for "), X.quote("sheet"))
+    desc = X.render(C.MESSAGES["missing_sheet"], sheet="sheet")
     return finding(p, detector="missing_sheet", dimension=C.DIM_MISSING, severity="P1",
                    doc_id="workbook_id", location=X.loc_sheet("sheet"), description=desc,
                    seq=F.col("sheet_idx") * F.lit(1 << SHEET_SHIFT))
@@ -243,9 +240,9 @@ def consistency_findings(pairs: DataFrame, qualified_location: bool = False) ->
     coords = first_coordinates(pairs, qualified=qualified_location)
     j = issues.join(coords, ["workbook_id", "source"])
     k = F.col("n_translations")
-    desc = F.concat(X.quote(X.truncate_text("source", C.CUT_CONSISTENCY)),
-                    F.lit(" translated "), k.cast("string"), F.lit(" ways: "),
-                    X.list_repr("translations"))
+    desc = X.render(C.MESSAGES["consistency"],
+                    text=X.truncate_text("source", C.CUT_CONSISTENCY), k=k,
+                    translations=X.list_repr("translations"))
     return finding(j, detector="consistency", dimension=C.DIM_CONSISTENCY,
                    severity=F.when(k > 2, "P1").otherwise("P2"),
                    doc_id="workbook_id", location="coordinates", description=desc,

@@ -54,8 +54,7 @@ def residual_findings(segments: DataFrame, script_class: str = C.CJK_CLASS) -> D
     """漏翻 / P1 for every target segment holding a character of the source
     script (``script_class``, default U+4E00..U+9FFF)."""
     hit = target_only(segments).filter(X.has_cjk("text", script_class))
-    desc = F.concat(F.lit("Untranslated Chinese: "),
-                    X.quote(X.truncate_text("text", C.CUT_FINDING)))
+    desc = X.render(C.MESSAGES["residual"], text=X.truncate_text("text", C.CUT_FINDING))
     return finding(hit, detector="residual", dimension=C.DIM_MISSING, severity="P1",
                    location="location", description=desc, seq="seq")
 
@@ -63,8 +62,7 @@ def residual_findings(segments: DataFrame, script_class: str = C.CJK_CLASS) -> D
 def residual_findings_cells(cells: DataFrame) -> DataFrame:
     """Scan wording, over ``scan_cells`` output."""
     hit = cells.filter(F.col("has_cjk"))
-    desc = F.concat(F.lit("Cell contains untranslated Chinese: "),
-                    X.quote(X.truncate_text("value", C.CUT_FINDING)))
+    desc = X.render(C.MESSAGES["residual_cell"], text=X.truncate_text("value", C.CUT_FINDING))
     return finding(hit, detector="residual", dimension=C.DIM_MISSING, severity="P1",
                    doc_id="workbook_id",
                    location=X.loc_cell("sheet", "coordinate"), description=desc,
@@ -153,7 +151,7 @@ def sensitive_matches(df: DataFrame, pack="basic5", text_col: str = "text") -> D
 def sensitive_findings(segments: DataFrame, pack="basic5") -> DataFrame:
     """敏感词 findings over segments: ``<description>: '<term>'``."""
     m = sensitive_matches(target_only(segments), pack)
-    desc = F.concat(F.col("rule_desc"), F.lit(": "), X.quote("term"))
+    desc = X.render(C.MESSAGES["sensitive"], description="rule_desc", term="term")
     sub = (F.col("rule_no") + 1) * F.lit(RULE_STRIDE) + F.col("match_no")
     return finding(m, detector="sensitive", dimension=C.DIM_SENSITIVE,
                    severity=F.col("severity"), location="location", description=desc,
@@ -164,8 +162,8 @@ def sensitive_findings_cells(cells: DataFrame, pack="extended7") -> DataFrame:
     """Scan wording over ``scan_cells`` output:
     ``<description>: '<term>' in '<value cut at 60>'``."""
     m = sensitive_matches(cells, pack, "value")
-    desc = F.concat(F.col("rule_desc"), F.lit(": "), X.quote("term"), F.lit(" in "),
-                    X.quote(X.truncate_text("value", C.CUT_FINDING)))
+    desc = X.render(C.MESSAGES["sensitive_cell"], description="rule_desc", term="term",
+                    text=X.truncate_text("value", C.CUT_FINDING))
     sub = (F.col("rule_no") + 1) * F.lit(RULE_STRIDE) + F.col("match_no")
     return finding(m, detector="sensitive", dimension=C.DIM_SENSITIVE,
                    severity=F.col("severity"), doc_id="workbook_id",
@@ -221,9 +219,9 @@ def automated_findings(segments: DataFrame, pack="basic5", dedup: bool = False)
     hits = res.unionByName(sen)
     j = segs.join(hits, "text")
     is_res = F.col("rule_no").isNull()
-    desc = F.when(is_res, F.concat(F.lit("Untranslated Chinese: "),
-                                   X.quote(X.truncate_text("text", C.CUT_FINDING)))) \
-        .otherwise(F.concat(F.col("rule_desc"), F.lit(": "), X.quote("term")))
+    desc = F.when(is_res, X.render(C.MESSAGES["residual"],
+                                   text=X.truncate_text("text", C.CUT_FINDING))) \
+        .otherwise(X.render(C.MESSAGES["sensitive"], description="rule_desc", term="term"))
     sub = F.when(is_res, F.lit(0)).otherwise((F.col("rule_no") + 1) * F.lit(RULE_STRIDE)
                                              + F.col("match_no"))
     out = j.select(

@@ -121,12 +121,8 @@ def size_ratio(cmp: DataFrame, with_message: bool = True) -> DataFrame:
         .when(F.col("ratio") < C.RATIO_SMALLER, "smaller"))
     if with_message:
         r = X.format_ratio("ratio")
-        msg = (F.when(F.col("size_flag") == "larger",
-                      F.concat(F.lit("Target is "), r,
-                               F.lit("x larger than source — possible additions or expanded version")))
-               .when(F.col("size_flag") == "smaller",
-                     F.concat(F.lit("Target is "), r,
-                              F.lit("x smaller than source — possible omissions"))))
+        msg = (F.when(F.col("size_flag") == "larger", X.render(C.MESSAGES["larger"], ratio=r))
+               .when(F.col("size_flag") == "smaller", X.render(C.MESSAGES["smaller"], ratio=r)))
         out = out.withColumn("size_warning", msg)
     return out
 
