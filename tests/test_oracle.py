@@ -9,10 +9,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from polyglint.plans.queries import QUERIES
 from tools.oracle_check import TABLES, digest
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+ORACLES = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
