@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyglint.llm import langid, simhash
+from polyglint.llm import bpe_reuse, langid, mixing, sanitize, simhash
 from polyglint.llm.common import read, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found stay."""
+    """Documents whose language is found stay; those without a letter go."""
     return langid.accepted(docs)
 
 
@@ -23,13 +23,32 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data and what discloses it is replaced in their texts."""
+    return sanitize.sanitise(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the target weights of their sources ask for."""
+    return mixing.mixed(docs)
+
+
+def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_chars, n_tokens, ids, ids_sha256) of every row."""
+    return bpe_reuse.with_digest(bpe_reuse.encode(docs)).select(
+        "doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "ids_sha256")
+
+
 STAGES = [
     ("language ID", language_id),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("PII", personal_data),
+    ("mixing sources to target weights", source_mixture),
+    ("BPE encoding and decoding", bpe_ids),
 ]
 
-# Naive Bayes scores and greedy graph contraction are not said in SQL; the
-# tests hold run() against a brute-force version.
+# A fitted classifier, contracted graphs and a tokenizer's merges are not said
+# in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

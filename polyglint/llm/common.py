@@ -63,3 +63,47 @@ def batches_of(it: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.R
     """The record batches with one string column as Python strings (null: empty)."""
     for batch in it:
         yield batch, [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def id_ranges(df: DataFrame, id_col: str, name: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with an integer column that deals it into ranges of ascending
+    ``id_col`` of about equal size; all rows of an id, and those without one
+    (in range 0), share a range.
+
+    The edges are quantiles, fixed before anything is shuffled: the same row is
+    in the same range whenever a task runs again.  By default there are four
+    ranges to a shuffle partition.
+    """
+    spark = df.sparkSession
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / ranges for k in range(1, ranges)]
+    edges = df.agg(F.percentile_approx(id_col, shares, 20 * ranges).alias("e")).first()["e"] if shares else []
+    edges = sorted(set(edges or []))
+    group = max(1, round(len(edges) ** 0.5))
+    coarse, fine = edges[::group], [edges[s + 1:s + group] for s in range(0, len(edges), group)]
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda e: e <= F.col(id_col)))
+
+    def longs(values: list) -> str:
+        return f"cast(array({','.join(f'{v}L' for v in values)}) as array<bigint>)"
+
+    if not edges:
+        return df.withColumn(name, F.lit(0))
+    k = below(F.expr(longs(coarse)))
+    inner = F.element_at(F.expr(f"array({','.join(map(longs, fine))})"), k)
+    return df.withColumn(name, F.when(F.col(id_col).isNull() | (k == 0), F.lit(0))
+                         .otherwise((k - 1) * group + 1 + below(inner)).cast("int"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, simhash
+from . import bpe_reuse, langid, licenses, metric_join, mixing, sanitize, simhash, sketch, token_store
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,24 @@ def query(fn):
     return fn
 
 
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+
+
+ORACLE["op1_mix_sources"] = mixing.oracle()
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.find(read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -28,6 +46,21 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprint(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_reuse.digests(read(spark, sf_dir, "documents"))

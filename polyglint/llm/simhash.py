@@ -20,11 +20,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, map_arrow, written
+from .common import batches_of, fresh, map_arrow, written
 from .components import connected_components
+from .forest import Forest
 
 SEED = 42
 FANOUT = 16          # fingerprints or groups in a group of the next level
@@ -68,44 +69,6 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return r
 
 
-class _Forest:
-    """Union-find over positions that keeps the links which joined two sets."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
-
-    def _find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
-    def roots(self) -> np.ndarray:
-        p = self.parent
-        while True:
-            q = p[p]
-            if np.array_equal(q, p):
-                return p
-            self.parent = p = q
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        r = self.roots()
-        a, b = r[i], r[j]
-        new = a != b
-        if not new.any():
-            return
-        i, j, a, b = i[new], j[new], a[new], b[new]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        _, first = np.unique(lo * len(r) + hi, return_index=True)
-        for x, y in zip(i[first].tolist(), j[first].tolist()):
-            a, b = self._find(x), self._find(y)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                self.edges.append((x, y))
-
-
 def _levels(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per level, from single fingerprints upwards: the bits shared by all
     members of each group, and a mask that tells which bits these are."""
@@ -118,7 +81,7 @@ def _levels(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def node_links(fp: np.ndarray, max_bits: int, forest: _Forest, base: int = 0) -> None:
+def node_links(fp: np.ndarray, max_bits: int, forest: Forest, base: int = 0) -> None:
     """Add the links among the fingerprints of one node, given in Gray order."""
     levels = _levels(fp)
     top = len(levels) - 1
@@ -161,7 +124,7 @@ def node_links(fp: np.ndarray, max_bits: int, forest: _Forest, base: int = 0) ->
             forest.add(a[keep] + base, b[keep] + base)
 
 
-def _small_nodes(fp: np.ndarray, node: np.ndarray, sizes: np.ndarray, max_bits: int, forest: _Forest) -> None:
+def _small_nodes(fp: np.ndarray, node: np.ndarray, sizes: np.ndarray, max_bits: int, forest: Forest) -> None:
     """Links inside all nodes of at most ``SMALL_NODE`` fingerprints, side by side."""
     left = sizes[node] - 1 - (np.arange(len(fp)) - np.concatenate([[0], np.cumsum(sizes)[:-1]])[node])
     small = sizes[node] <= SMALL_NODE
@@ -178,7 +141,7 @@ def _forest_of(keys: np.ndarray, fp: np.ndarray, ids: np.ndarray, max_bits: int)
     keys, fp, ids = keys[order], fp[order], ids[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(start, len(keys)))
-    forest = _Forest(len(fp))
+    forest = Forest(len(fp))
     _small_nodes(fp, np.repeat(np.arange(len(start)), sizes), sizes, max_bits, forest)
     for k in np.flatnonzero(sizes > SMALL_NODE):
         s = start[k]
@@ -279,8 +242,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     smallest id.  Of rows that repeat an id the one with the smallest text
     stays; rows without an id stay unless they repeat a text of such a row."""
     gone = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    alone = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-    from pyspark.sql import Window
-    first = F.row_number().over(Window.partitionBy("doc_id", "_alone").orderBy("text"))
-    return (docs.join(gone, "doc_id", "left_anti").withColumn("_alone", alone)
-            .withColumn("_nth", first).where("_nth = 1").select(*docs.columns))
+    alone, nth = fresh(docs, "alone", "nth")
+    first = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy("text"))
+    return (docs.join(gone, "doc_id", "left_anti")
+            .withColumn(alone, F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+            .withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns))
