@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_reuse, langid, licenses, metric_join, mixing, sanitize, simhash, sketch, token_store
+from . import bpe_reuse, langid, licenses, metric_join, mixing, sanitize, simhash, sketch, suffix_dedup, token_store
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
