@@ -41,8 +41,11 @@ TIE = 1e-10                # cosines this near the limit are computed exactly
 
 def units(raw: list[bytes], dim: int) -> np.ndarray:
     """Unit vectors in double precision of vectors stored as 32-bit or 64-bit floats."""
-    kind = "<f4" if len(raw[0]) == 4 * dim else "<f8"
-    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+    x = np.empty((len(raw), dim))
+    sizes = np.array([len(v) for v in raw])
+    for kind, size in (("<f4", 4 * dim), ("<f8", 8 * dim)):
+        at = np.flatnonzero(sizes == size)
+        x[at] = np.frombuffer(b"".join([raw[i] for i in at]), kind).reshape(-1, dim)
     # scaled first, so that no square overflows or vanishes
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -248,19 +251,13 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, id_col: str =
 
         def compare(rep, vec):
             """Count the links of some vectors with those at home in the piece."""
-            dim_of = [len(v) for v in vec]
             h = state["homes"]
             forest = Forest(len(h["rep"]) + len(rep))
-            counts = np.zeros(len(rep), np.int64)
-            for size in set(dim_of):
-                at = np.array([i for i, d in enumerate(dim_of) if d == size])
-                x = units([vec[i] for i in at], h["dim"])
-                for hat, hx in h["x"].values():
-                    i, j = linked(x, hx, min_cosine)
-                    other = rep[at[i]] != h["rep"][hat[j]]
-                    i, j = i[other], j[other]
-                    counts[at] += np.bincount(i, h["copies"][hat[j]], len(at)).astype(np.int64)
-                    forest.add(hat[j], len(h["rep"]) + at[i])
+            i, j = linked(units(vec, state["dim"]), h["x"], min_cosine)
+            other = rep[i] != h["rep"][j]
+            i, j = i[other], j[other]
+            counts = np.bincount(i, h["copies"][j], len(rep)).astype(np.int64)
+            forest.add(j, len(h["rep"]) + i)
             e = np.array(forest.edges, np.int64).reshape(-1, 2)
             both = np.concatenate([h["rep"], rep])
             return result(rep[counts > 0], counts[counts > 0], both[e[:, 0]], both[e[:, 1]])
@@ -276,11 +273,8 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, id_col: str =
         def settle():
             """All vectors at home are known: their matrix."""
             rep, copies, vec = zip(*state["own"])
-            sizes = np.array([len(v) for v in vec])
-            dim = state["dim"]
-            state["homes"] = {"rep": np.array(rep, np.int64), "copies": np.array(copies, np.int64), "dim": dim,
-                              "x": {s: (at, units([vec[i] for i in at], dim))
-                                    for s in np.unique(sizes) for at in [np.flatnonzero(sizes == s)]}}
+            state["homes"] = {"rep": np.array(rep, np.int64), "copies": np.array(copies, np.int64),
+                              "x": units(vec, state["dim"])}
 
         for b in it:
             cols = [b.column(i).to_pylist() for i in range(7)]
