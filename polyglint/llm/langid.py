@@ -40,28 +40,29 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code points (a letter or a space) with the number of the text of each.
-    Texts stand between spaces; a text longer than a piece runs over several,
-    which overlap by the two code points that its n-grams need."""
-    table, parts, of, size = _letters(), [], [], 0
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points (a letter or a space), the number of the text of each, and
+    whether an n-gram may start there.  Texts stand between spaces; a text
+    longer than a piece runs over several, each with the first code points of
+    the next one, which its last n-grams reach into."""
+    table, parts, of, starts, size = _letters(), [], [], [], 0
+    more = max(ORDERS) - 1
     for i, t in enumerate(texts):
         c = table[np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
         for s in range(0, len(c), PIECE):
-            part = c[s:s + PIECE + 2]
-            if s and len(part) <= 2:
-                break
+            part = c[s:s + PIECE + more]
             parts.append(part)
             of.append(np.full(len(part), i, np.int32))
+            starts.append(np.arange(len(part)) < PIECE)
             size += len(part)
             if size >= PIECE:
-                yield np.concatenate(parts), np.concatenate(of)
-                parts, of, size = [], [], 0
+                yield np.concatenate(parts), np.concatenate(of), np.concatenate(starts)
+                parts, of, starts, size = [], [], [], 0
     if parts:
-        yield np.concatenate(parts), np.concatenate(of)
+        yield np.concatenate(parts), np.concatenate(of), np.concatenate(starts)
 
 
-def _buckets(c: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _buckets(c: np.ndarray, of: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets of the n-grams of each order, with the text of each n-gram.
     N-grams across two texts, and those without a letter, are left out."""
     h = np.zeros(len(c), np.uint64)
@@ -72,7 +73,7 @@ def _buckets(c: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
             return
         h = (h[:m] * np.uint64(0x100000001B3)) ^ c[n - 1:].astype(np.uint64)
         letter = letter[:m] | (c[n - 1:] != 32)
-        ok = letter & (of[:m] == of[n - 1:])
+        ok = letter & starts[:m] & (of[:m] == of[n - 1:])
         mixed = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
         yield (mixed[ok].astype(np.int64) + (k << BITS)), of[:m][ok]
 
@@ -89,8 +90,8 @@ class Model:
         """Log-posterior (not normalised) of each text and language; n-grams found."""
         total = np.tile(self.prior, (len(texts), 1))
         seen = np.zeros(len(texts), np.int64)
-        for c, of in _pieces(texts):
-            for bucket, text in _buckets(c, of):
+        for piece in _pieces(texts):
+            for bucket, text in _buckets(*piece):
                 if not len(bucket):
                     continue
                 at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
@@ -139,8 +140,8 @@ def fit(labelled: DataFrame, docs_per_language: int = FIT_DOCS_PER_LANGUAGE,
                 own = [t for t, x in zip(texts, langs) if x == lang]
                 vec = sums.setdefault(lang, np.zeros(width, np.int64))
                 rows[lang] = rows.get(lang, 0) + len(own)
-                for c, of in _pieces(own):
-                    for bucket, _ in _buckets(c, of):
+                for piece in _pieces(own):
+                    for bucket, _ in _buckets(*piece):
                         vec += np.bincount(bucket, minlength=width)
         for lang, vec in sums.items():
             yield pa.RecordBatch.from_pydict({
