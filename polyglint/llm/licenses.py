@@ -87,6 +87,12 @@ def _tags() -> ahocorasick.Automaton:
     return a
 
 
+def is_identifier(token: str) -> bool:
+    """A known licence, or a name with a digit or hyphen; a plain word behind
+    an expression is prose."""
+    return token in FREEDOM or token in ALIASES or bool(re.search("[0-9-]", token))
+
+
 def to_postfix(expression: str) -> list[str]:
     """The longest licence expression at the start of a text (in lower case),
     operands first (shunting-yard); empty where there is none.  What cannot
@@ -116,9 +122,10 @@ def to_postfix(expression: str) -> list[str]:
             ops.append(tok)
             operand = False
         else:
-            if operand:
+            tok = tok.rstrip(".-")
+            if operand or not is_identifier(tok):
                 break
-            out.append(tok.rstrip(".-") or tok)
+            out.append(tok)
             operand = True
         if operand and "(" not in ops:
             good = out + ops[::-1]
