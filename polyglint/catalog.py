@@ -43,13 +43,13 @@ DIM_OMISSION = "漏译"
 GRAND_TOTAL_LABEL = "总计"
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: severities, rank order, fill colour, criteria.
+# FIXED VALUES: severities, rank order, fill colour.
 # ---------------------------------------------------------------------------
 SEVERITIES = [
-    ("P0", 0, "FF4444", "Harmful/offensive, security, legal exposure"),
-    ("P1", 1, "FF9933", "Meaning wrong, technical inaccuracy, critical omission"),
-    ("P2", 2, "FFDD44", "Awkward phrasing, minor terminology, style deviation"),
-    ("P3", 3, "88CCEE", "Idiomaticity, minor preference"),
+    ("P0", 0, "FF4444"),
+    ("P1", 1, "FF9933"),
+    ("P2", 2, "FFDD44"),
+    ("P3", 3, "88CCEE"),
 ]
 SEVERITY_NAMES = [s[0] for s in SEVERITIES]
 DEFAULT_SEVERITY = "P3"
@@ -157,7 +157,7 @@ LANG_UNKNOWN = "unknown"
 # FIXED VALUES: characters stripped from the end of a target sheet name
 # before comparing it with a source sheet name (a character set, not a suffix).
 # ---------------------------------------------------------------------------
-SHEET_SUFFIX_CHARS = "_ENJAKODFRS"
+SHEET_SUFFIX_CHARS = "_EN_JA_KO_DE_FR_ES"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: document suffix -> parser.  Unknown suffixes read as text.
@@ -198,6 +198,21 @@ HTML_SKIP_TAGS = ["script", "style", "nav", "footer", "code", "pre"]
 HTML_TEXT_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th"]
 HTML_BLOCK_TAGS = HTML_TEXT_TAGS + ["ul", "ol", "table", "tr", "div", "article",
                                     "section", "body", "html"]
+# Elements that end an open element of the second list when they begin, unless
+# one of the third list stands between (an item ends the item before it in the
+# same list, a cell the cell before it in the same row).
+HTML_IMPLIED_ENDS = [
+    (["li"], ["li"], ["ul", "ol"]),
+    (["td", "th"], ["td", "th"], ["tr", "table"]),
+    (["tr"], ["tr"], ["table"]),
+]
+# Character references that would read as markup; decoded after tags are gone,
+# "&amp;" last, so that "&amp;lt;" stays "&lt;".
+HTML_MARKUP_REFERENCES = [
+    ("<", ["&lt;", "&#60;", "&#x3c;", "&#x3C;"]), (">", ["&gt;", "&#62;", "&#x3e;", "&#x3E;"]),
+    ("&", ["&#38;", "&#x26;", "&amp;"]),
+]
+# The references that the bundled pages use:
 # entity -> text; "&amp;" is decoded last so "&amp;lt;" stays "&lt;".
 HTML_ENTITIES = [
     ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),

@@ -18,6 +18,13 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often
+    ``body`` uses it (an expression that stands in several places of a lambda
+    would be evaluated at each of them)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 _SLOT = re.compile(r"\{(\w+)\}")
 
 
@@ -71,11 +78,30 @@ def quote(c) -> Column:
     return F.concat(F.lit("'"), col_(c), F.lit("'"))
 
 
+# how Python's repr writes the characters that it does not print
+_ESCAPES = {"\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t",
+            **{chr(c): f"\\x{c:02x}" for c in [*range(9), 11, 12, *range(14, 32), *range(127, 161), 173]},
+            **{chr(c): f"\\u{c:04x}" for c in [0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F,
+                                               0x2060, 0x3000, 0xFEFF]}}
+_ESCAPED = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _ESCAPES) + "]"
+
+
+def str_repr(c) -> Column:
+    """A string as Python's ``repr`` prints it: in double quotes if it holds a
+    single quote but no double one, else in single quotes, with backslashes,
+    control characters and unprinted spaces escaped."""
+    c = col_(c)
+    escaped = c
+    for ch, shown in _ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(ch), F.lit(shown))
+    plain = F.when(c.rlike(_ESCAPED), escaped).otherwise(c)
+    return F.when(c.contains("'") & ~c.contains('"'), F.concat(F.lit('"'), plain, F.lit('"'))) \
+        .otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def list_repr(arr) -> Column:
-    """``['a', 'b']`` — list shown the way a Python list of strings prints."""
-    arr = col_(arr)
-    return F.when(F.size(arr) == 0, F.lit("[]")).otherwise(
-        F.concat(F.lit("['"), F.array_join(arr, "', '"), F.lit("']")))
+    """``['a', "l'b"]`` — list shown the way a Python list of strings prints."""
+    return F.concat(F.lit("["), F.array_join(F.transform(col_(arr), str_repr), ", "), F.lit("]"))
 
 
 # --------------------------------------------------------------------------
@@ -110,25 +136,21 @@ def detect_language(c, patterns=C.LANG_PATTERNS) -> Column:
     earlier class (default order EN, JA, KO, DE, FR, ES); no score at all is
     the first class (EN); blank or NULL text is ``unknown``.  ``patterns`` is
     an ordered list of (code, regex) — the language rules as data.  Each
-    regex is evaluated once per row thanks to common-subexpression
-    elimination in the generated code.
+    regex stands once in the expression: the scores become one array of
+    (score, rank, code) and its maximum decides.
     """
     c = col_(c)
     scores = language_scores(c, patterns)
-    best = F.greatest(*scores.values())
-    expr = F.when(is_blank(c), F.lit(C.LANG_UNKNOWN))
-    for lang, score in scores.items():
-        expr = expr.when(score == best, F.lit(lang))
-    return expr
+    best = F.array_max(F.array(*[
+        F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
+        for i, (lang, score) in enumerate(scores.items())]))
+    return F.when(is_blank(c), F.lit(C.LANG_UNKNOWN)).otherwise(best["lang"])
 
 
 def lang_name(c) -> Column:
-    c = col_(c)
-    expr = None
-    for code, name in C.LANG_NAMES.items():
-        expr = (F.when(c == code, F.lit(name)) if expr is None
-                else expr.when(c == code, F.lit(name)))
-    return expr
+    """Name of a language code (NULL for ``unknown``); ``c`` is used once."""
+    names = F.create_map(*[F.lit(x) for pair in C.LANG_NAMES.items() for x in pair])
+    return F.try_element_at(names, col_(c))
 
 
 # --------------------------------------------------------------------------

@@ -29,10 +29,21 @@ STAGES = {1: "exact", 2: "prefix", 3: "position"}
 
 
 def sheets_of(cells: DataFrame) -> DataFrame:
-    """Distinct (workbook_id, sheet, sheet_idx) of a cell table."""
+    """Distinct (workbook_id, sheet, sheet_idx) of a cell table.  Sheets
+    without cells are not in it: where a sheet list exists, use that."""
     return cells.select("workbook_id", "sheet", "sheet_idx").distinct()
 
 
+def sheet_position(sheets: DataFrame, order_col: str = "ord") -> DataFrame:
+    """(workbook_id, sheet, sheet_idx): the place of each sheet in its
+    workbook, from 0, in the order of ``order_col``.  Sheets of a workbook are
+    few: they are listed and numbered inside one row."""
+    listed = sheets.select("workbook_id", F.col(order_col).alias("o"), "sheet").distinct().groupBy("workbook_id").agg(
+        F.array_sort(F.collect_set(F.struct("o", "sheet"))).alias("s"))
+    return listed.select("workbook_id", F.posexplode("s").alias("i", "x")).select(
+        "workbook_id", "x.sheet", F.col("i").cast("bigint").alias("sheet_idx"))
+
+
 def match_sheets(src_sheets: DataFrame, tgt_sheets: DataFrame) -> DataFrame:
     """Pick a target sheet for every source sheet.
 
@@ -197,19 +208,17 @@ def distinct_translations(pairs: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), F.min("pair_seq").alias("first_seq")))
 
 
-def consistency_stats(pairs: DataFrame) -> DataFrame:
-    """One row per distinct CJK source: occurrences, distinct non-NULL
-    translations (sorted), first position.
+def consistency_counts(pairs: DataFrame) -> DataFrame:
+    """One row per distinct CJK source: occurrences, number of distinct
+    non-NULL translations, first position.
 
     Two-level aggregation: (source, target) first, with map-side combine, so a
     boilerplate source repeated millions of times reaches the second level as
-    one row per distinct translation; no occurrence list is ever collected.
+    one row per distinct translation.  Counts only; nothing is collected.
     """
-    dt = distinct_translations(pairs)
-    return (dt.groupBy("workbook_id", "source")
+    return (distinct_translations(pairs).groupBy("workbook_id", "source")
             .agg(F.sum("n").cast("bigint").alias("occurrences"),
                  F.count("target").cast("bigint").alias("n_translations"),
-                 F.array_sort(F.collect_list("target")).alias("translations"),
                  F.min("first_seq").alias("first_seq")))
 
 
@@ -230,13 +239,37 @@ def first_coordinates(pairs: DataFrame, k: int = C.CAP_COORDINATES,
 
 def consistency_issues(pairs: DataFrame) -> DataFrame:
     """CJK sources with more than one distinct non-NULL translation."""
-    return consistency_stats(pairs).filter(F.col("n_translations") > 1)
+    return consistency_counts(pairs).filter(F.col("n_translations") > 1)
+
+
+def issue_translations(pairs: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """The translations of the inconsistent sources as flat rows:
+    (workbook_id, source, target, n, first_seq)."""
+    issues = consistency_issues(pairs) if issues is None else issues
+    return distinct_translations(pairs).where(F.col("target").isNotNull()).join(
+        issues.select("workbook_id", "source"), ["workbook_id", "source"], "left_semi")
+
+
+def issue_occurrences(pairs: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """Every place of the inconsistent sources: (workbook_id, source, sheet,
+    coordinate, target, pair_seq), a missing target included."""
+    issues = consistency_issues(pairs) if issues is None else issues
+    return cjk_pairs(pairs).select("workbook_id", "source", "sheet", "coordinate", "target", "pair_seq").join(
+        issues.select("workbook_id", "source"), ["workbook_id", "source"], "left_semi")
+
+
+def with_translations(issues: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Issues with their translations as a sorted list: the finding's message
+    holds them all, so they are gathered here, for issues only."""
+    lists = issue_translations(pairs, issues).groupBy("workbook_id", "source").agg(
+        F.array_sort(F.collect_list("target")).alias("translations"))
+    return issues.join(lists, ["workbook_id", "source"])
 
 
 def consistency_findings(pairs: DataFrame, qualified_location: bool = False) -> DataFrame:
     """一致性: P1 when translated more than two ways, else P2; location lists
     the first five coordinates; description quotes the source cut at 30."""
-    issues = consistency_issues(pairs)
+    issues = with_translations(consistency_issues(pairs), pairs)
     coords = first_coordinates(pairs, qualified=qualified_location)
     j = issues.join(coords, ["workbook_id", "source"])
     k = F.col("n_translations")
@@ -249,11 +282,22 @@ def consistency_findings(pairs: DataFrame, qualified_location: bool = False) ->
                    seq="first_seq", phase=1)
 
 
-def consistency_totals(pairs: DataFrame) -> DataFrame:
-    """Per workbook: distinct CJK sources (singletons too) and issue count."""
-    return (consistency_stats(pairs).groupBy("workbook_id")
-            .agg(F.count(F.lit(1)).alias("total_unique"),
-                 F.count_if(F.col("n_translations") > 1).alias("issues")))
+def _every_workbook(counts: DataFrame, workbooks: DataFrame | None) -> DataFrame:
+    """``counts`` with a row of zeros for each workbook that has none."""
+    if workbooks is None:
+        return counts
+    names = [c for c in counts.columns if c != "workbook_id"]
+    return workbooks.select("workbook_id").distinct().join(counts, "workbook_id", "left").select(
+        "workbook_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names])
+
+
+def consistency_totals(pairs: DataFrame, workbooks: DataFrame | None = None) -> DataFrame:
+    """Per workbook: distinct CJK sources (singletons too) and issue count,
+    from counts alone; with ``workbooks``, those without pairs too."""
+    return _every_workbook(
+        consistency_counts(pairs).groupBy("workbook_id")
+        .agg(F.count(F.lit(1)).alias("total_unique"),
+             F.count_if(F.col("n_translations") > 1).alias("issues")), workbooks)
 
 
 # --------------------------------------------------------------------------
@@ -283,19 +327,22 @@ def sheet_alignment(pairs: DataFrame, sheet_map: DataFrame) -> DataFrame:
                         for c in ["pairs"] + MATCH_CLASSES])
 
 
-def pair_totals(pairs: DataFrame, findings: DataFrame) -> DataFrame:
-    """Total pairs and findings per workbook."""
-    p = pairs.groupBy("workbook_id").agg(F.count(F.lit(1)).alias("total_pairs"))
-    f = findings.groupBy(F.col("doc_id").alias("workbook_id")) \
-        .agg(F.count(F.lit(1)).alias("total_findings"))
-    return p.join(f, "workbook_id", "left").select(
-        "workbook_id", "total_pairs",
-        F.coalesce("total_findings", F.lit(0)).cast("bigint").alias("total_findings"))
-
-
-def coord_union(src_cells: DataFrame, tgt_cells: DataFrame) -> DataFrame:
-    """Distinct coordinates of both sides (stand-alone form of what the full
-    outer join does implicitly)."""
-    a = cell_map(src_cells).select("workbook_id", "sheet", "row_no", "col_no")
-    b = cell_map(tgt_cells).select("workbook_id", "sheet", "row_no", "col_no")
+def pair_totals(pairs: DataFrame, findings: DataFrame, workbooks: DataFrame | None = None) -> DataFrame:
+    """Total pairs and findings per workbook: of every workbook that has one
+    or the other and, with ``workbooks``, of all others too."""
+    p = pairs.select("workbook_id", F.lit(1).alias("p"), F.lit(0).alias("f"))
+    f = findings.select(F.col("doc_id").alias("workbook_id"), F.lit(0).alias("p"), F.lit(1).alias("f"))
+    return _every_workbook(p.unionByName(f).groupBy("workbook_id").agg(
+        F.sum("p").cast("bigint").alias("total_pairs"), F.sum("f").cast("bigint").alias("total_findings")), workbooks)
+
+
+def coord_union(src_cells: DataFrame, tgt_cells: DataFrame, sheet_map: DataFrame) -> DataFrame:
+    """Distinct coordinates of both sides of every matched sheet, under the
+    source sheet's name (stand-alone form of what the full outer join of
+    ``align_cells`` does implicitly)."""
+    m = sheet_map.filter(F.col("target_sheet").isNotNull()).select("workbook_id", "sheet", "target_sheet")
+    a = cell_map(src_cells).select("workbook_id", "sheet", "row_no", "col_no").join(
+        m.select("workbook_id", "sheet"), ["workbook_id", "sheet"], "left_semi")
+    b = cell_map(tgt_cells).select("workbook_id", F.col("sheet").alias("target_sheet"), "row_no", "col_no").join(
+        m, ["workbook_id", "target_sheet"]).select("workbook_id", "sheet", "row_no", "col_no")
     return a.union(b).distinct()

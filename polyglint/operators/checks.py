@@ -100,9 +100,7 @@ def resolve_rules(pack) -> tuple[list, dict]:
     so a DataFrame pack is read on the driver and compiled into expressions."""
     if isinstance(pack, str):
         return list(C.RULE_PACKS[pack]), dict(C.RULE_EXEMPTIONS.get(pack, {}))
-    if isinstance(pack, DataFrame):
-        pack = [tuple(r) for r in pack.select("rule_id", "pattern", "severity", "description",
-                                              "exempt_if_contains").collect()]
+    pack = resolve_pack(pack)
     rules, exempt = [], {}
     for r in pack:
         rules.append(tuple(r[:4]))
@@ -111,6 +109,19 @@ def resolve_rules(pack) -> tuple[list, dict]:
     return rules, exempt
 
 
+MAX_RULES = 10_000
+
+
+def resolve_pack(pack):
+    """A pack that is a DataFrame, read once; any other as it is."""
+    if isinstance(pack, DataFrame):
+        rows = pack.select("rule_id", "pattern", "severity", "description", "exempt_if_contains").limit(MAX_RULES + 1).collect()
+        if len(rows) > MAX_RULES:
+            raise ValueError(f"a rule pack holds at most {MAX_RULES} rules")
+        return [tuple(r) for r in rows]
+    return pack
+
+
 def combined_pattern(pack) -> str:
     rules, _ = resolve_rules(pack)
     return JVM_FLAGS + "|".join(f"(?:{body})" for _, body, _, _ in rules)
@@ -171,67 +182,100 @@ def sensitive_findings_cells(cells: DataFrame, pack="extended7") -> DataFrame:
                    seq="cell_seq", sub=sub)
 
 
-def loose_pattern(pack) -> str:
-    """The combined rule alternation with look-aheads removed.  On a whole
-    document it matches whenever any line of it could match a rule (a
-    look-ahead can fail across a line break that segmentation removes), so
-    it is a safe pre-filter."""
+HIT = "array<struct<detector:string,dimension:string,severity:string,description:string,sub:bigint>>"
+
+
+def _sensitive_hit(no: int, severity: str, rule_desc: str):
+    return lambda term, i: F.struct(
+        F.lit("sensitive").alias("detector"), F.lit(C.DIM_SENSITIVE).alias("dimension"),
+        F.lit(severity).alias("severity"),
+        X.render(C.MESSAGES["sensitive"], description=F.lit(rule_desc), term=term).alias("description"),
+        (F.lit((no + 1) * RULE_STRIDE) + i).cast("bigint").alias("sub"))
+
+
+def finding_hits(text, pack="basic5", script_class: str = C.CJK_CLASS, include_residual: bool = True) -> Column:
+    """All findings of one text, as an array inside the row: the residual
+    finding first, then rule by rule, match by match.  One pass serves both
+    checks."""
+    text = X.col_(text)
+    rules, exemptions = resolve_rules(pack)
+    none = F.array().cast(HIT)
+    parts = []
+    if include_residual:
+        desc = X.render(C.MESSAGES["residual"], text=X.truncate_text(text, C.CUT_FINDING))
+        parts.append(F.when(X.has_cjk(text, script_class), F.array(F.struct(
+            F.lit("residual").alias("detector"), F.lit(C.DIM_MISSING).alias("dimension"), F.lit("P1").alias("severity"),
+            desc.alias("description"), F.lit(0).cast("bigint").alias("sub"))).cast(HIT)).otherwise(none))
+    for no, (rule_id, body, severity, rule_desc) in enumerate(rules):
+        found = F.transform(F.regexp_extract_all(text, F.lit(rule_pattern(body)), 0),
+                            _sensitive_hit(no, severity, rule_desc)).cast(HIT)
+        if rule_id in exemptions:
+            found = F.when(F.lower(text).contains(exemptions[rule_id]), none).otherwise(found)
+        parts.append(found)
+    hits = F.flatten(F.array(*parts))
+    return F.when(_may_hit(text, rules, script_class, include_residual), hits).otherwise(none)
+
+
+def _may_hit(text: Column, rules: list, script_class: str, include_residual: bool) -> Column:
+    any_rule = text.rlike(combined_pattern(rules)) if rules else F.lit(False)
+    return (any_rule | X.has_cjk(text, script_class)) if include_residual else any_rule
+
+
+def loose_pattern(pack) -> str | None:
+    """A pattern that matches a whole document whenever any line of it could
+    match a rule, or None where there is no telling.
+
+    Negative look-aheads without groups are dropped, which only widens a rule.
+    A rule with an anchor, with another look-around or with a back reference
+    depends on where a line begins or ends, which the whole text doesn't
+    show."""
     rules, _ = resolve_rules(pack)
-    return JVM_FLAGS + "|".join(f"(?:{re.sub(r'[(][?]![^()]*[)]', '', body)})"
-                                for _, body, _, _ in rules)
+    parts = []
+    for _, body, _, _ in rules:
+        wide = re.sub(r"[(][?]![^()]*[)]", "", body)
+        # escaped characters and character classes can't anchor anything
+        bare = re.sub(r"\\[^AzZGbBkQE0-9]|\[\^?\]?[^\]]*\]", "", wide)
+        if re.search(r"[\^$]|\\[AzZGBkQE0-9]|[(][?][^:]", bare):
+            return None
+        parts.append(f"(?:{wide})")
+    return JVM_FLAGS + "|".join(parts) if parts else None
 
 
 def document_findings(docs: DataFrame, segmenter, pack="basic5",
                       script_class: str = C.CJK_CLASS, text_col: str = "text",
                       include_residual: bool = True) -> DataFrame:
     """Residual + sensitive findings of line-segmented documents (plain
-    text, markdown), exploding only the documents that can hold a finding:
-    a document matching neither the script class nor the loose rule pattern
-    is dropped before its lines are split.  Exact for segmenters whose
-    segments are stripped substrings of the text (not for HTML, where tag
-    removal can join text)."""
+    text, markdown).  A document that can hold no finding is dropped before
+    its lines are split, where the rules allow to tell (``loose_pattern``);
+    else all are split.  Equal to ``automated_findings`` of all segments for
+    segmenters whose segments are stripped substrings of the text (not for
+    HTML, where tag removal can join text)."""
     t = F.col(text_col)
-    if not include_residual:
-        return sensitive_findings(segmenter(docs.filter(t.rlike(loose_pattern(pack)))), pack)
-    candidates = docs.filter(t.rlike(script_class) | t.rlike(loose_pattern(pack)))
-    segs = segmenter(candidates)
-    return residual_findings(segs, script_class).unionByName(sensitive_findings(segs, pack))
+    pack = resolve_pack(pack)
+    loose = loose_pattern(pack)
+    if loose is not None:
+        docs = docs.filter((t.rlike(script_class) | t.rlike(loose)) if include_residual else t.rlike(loose))
+    return automated_findings(segmenter(docs), pack, script_class=script_class, include_residual=include_residual)
 
 
-def automated_findings(segments: DataFrame, pack="basic5", dedup: bool = False) -> DataFrame:
-    """Residual + sensitive findings of target segments (document review).
+def automated_findings(segments: DataFrame, pack="basic5", dedup: bool = False,
+                       script_class: str = C.CJK_CLASS, include_residual: bool = True) -> DataFrame:
+    """Residual + sensitive findings of target segments (document review), in
+    one pass over them.
 
     ``dedup=True`` checks each distinct text once and joins the texts that
     have hits back to their segments — worth it when boilerplate repeats
     massively (the regexes then run once per distinct text; the join-back of
     a hot text is an inner join AQE can split)."""
-    if not dedup:
-        return residual_findings(segments).unionByName(sensitive_findings(segments, pack))
     segs = target_only(segments)
-    texts = segs.select("text").distinct()
-    res = texts.filter(X.has_cjk("text")).select(
-        "text", F.lit(None).cast("bigint").alias("rule_no"),
-        F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("bigint").alias("match_no"),
-        F.lit(None).cast("string").alias("term"), F.lit("P1").alias("severity"),
-        F.lit(None).cast("string").alias("rule_desc"))
-    sen = sensitive_matches(texts, pack).select("text", "rule_no", "rule_id", "match_no", "term",
-                                                "severity", "rule_desc")
-    hits = res.unionByName(sen)
-    j = segs.join(hits, "text")
-    is_res = F.col("rule_no").isNull()
-    desc = F.when(is_res, X.render(C.MESSAGES["residual"],
-                                   text=X.truncate_text("text", C.CUT_FINDING))) \
-        .otherwise(X.render(C.MESSAGES["sensitive"], description="rule_desc", term="term"))
-    sub = F.when(is_res, F.lit(0)).otherwise((F.col("rule_no") + 1) * F.lit(RULE_STRIDE)
-                                             + F.col("match_no"))
-    out = j.select(
-        F.col("doc_id").cast("string").alias("doc_id"),
-        F.when(is_res, "residual").otherwise("sensitive").alias("detector"),
-        F.when(is_res, C.DIM_MISSING).otherwise(C.DIM_SENSITIVE).alias("dimension"),
-        "severity", "location", desc.alias("description"),
-        F.lit(0).cast("bigint").alias("phase"), F.col("seq").cast("bigint").alias("seq"),
-        sub.cast("bigint").alias("sub"))
-    return out
+    hits = finding_hits("text", pack, script_class, include_residual)
+    if dedup:
+        segs = segs.join(segs.select("text").distinct().select("text", F.inline(hits)), "text")
+    else:
+        segs = segs.select("doc_id", "location", "seq", F.inline(hits))
+    return segs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), "detector", "dimension", "severity", "location",
+        "description", F.lit(0).cast("bigint").alias("phase"), F.col("seq").cast("bigint").alias("seq"), "sub")
 
 
 def scan_findings(scanned: DataFrame, pack="extended7") -> DataFrame:

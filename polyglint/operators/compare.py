@@ -2,10 +2,8 @@
 
 Per document pair: segment counts of both sides, the target's automated
 finding count, and a size warning when the target has more than 1.5x or
-fewer than 0.5x the source's segments.  With the 2k / 2k+1 pairing, pair
-and role are expressions of the document id and the whole compare is one
-aggregation per pair; with an explicit pairing table all aggregation
-happens per document first, so the joins only see one row per document.
+fewer than 0.5x the source's segments.  Documents are counted inside the
+row, so that the join with the pairing only sees one row per document.
 """
 
 from __future__ import annotations
@@ -17,95 +15,33 @@ from .. import catalog as C
 from ..functions import text as X
 
 
-def doc_pairs_by_parity(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Pair documents 2k (source) and 2k+1 (target) as pair k."""
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    return ids.select(F.floor(F.col("doc_id") / 2).cast("bigint").alias("pair_id"),
-                      F.when(F.col("doc_id") % 2 == 0, "source").otherwise("target").alias("role"),
-                      "doc_id")
-
-
-def _per_doc_counts(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-
-
-def compare_sections(docs: DataFrame, segments: DataFrame, roles: DataFrame,
-                     findings: DataFrame | None = None) -> DataFrame:
+def compare_sections(counts: DataFrame, roles: DataFrame) -> DataFrame:
     """One row per pair: ``pair_id, source_doc, target_doc, source_ok,
-    target_ok, source_count, target_count, automated_count``.
-
-    ``roles`` is (pair_id, role in {source, target}, doc_id).  A side whose
-    document is absent from ``docs`` failed to extract: it counts 0.
+    target_ok, source_format, target_format, source_count, target_count,
+    automated_count``.
+
+    ``counts`` is one row per document (doc_id, total_sections,
+    automated_count and, where known, format; see ``summary.document_counts``);
+    ``roles`` is (pair_id, role in {source, target}, doc_id).  Ids may be of
+    any type.  A side whose document has no row failed to extract: it counts 0
+    and its format is ``unknown``.  One join of one row per document and one
+    aggregation: no segment is shuffled.
     """
-    present = docs.select("doc_id").distinct().withColumn("ok", F.lit(True))
-    seg_n = _per_doc_counts(segments, "n_seg")
-    per_doc = roles.join(present, "doc_id", "left").join(seg_n, "doc_id", "left")
-    if findings is not None:
-        fnd = _per_doc_counts(findings, "n_find")
-        per_doc = per_doc.join(fnd.withColumn("doc_id", F.col("doc_id")), "doc_id", "left")
-    else:
-        per_doc = per_doc.withColumn("n_find", F.lit(0))
-    src = F.col("role") == "source"
-    tgt = F.col("role") == "target"
-    ok = F.coalesce(F.col("ok"), F.lit(False))
-    n = F.when(ok, F.coalesce(F.col("n_seg"), F.lit(0)))
-    out = per_doc.groupBy("pair_id").agg(
-        F.max(F.when(src, F.col("doc_id"))).alias("source_doc"),
-        F.max(F.when(tgt, F.col("doc_id"))).alias("target_doc"),
-        F.coalesce(F.max(F.when(src, ok)), F.lit(False)).alias("source_ok"),
-        F.coalesce(F.max(F.when(tgt, ok)), F.lit(False)).alias("target_ok"),
-        F.coalesce(F.sum(F.when(src, n)), F.lit(0)).cast("bigint").alias("source_count"),
-        F.coalesce(F.sum(F.when(tgt, n)), F.lit(0)).cast("bigint").alias("target_count"),
-        F.coalesce(F.sum(F.when(tgt & ok, F.col("n_find"))), F.lit(0)).cast("bigint")
-        .alias("automated_count"))
-    return out
-
-
-def parity_pair(doc_id) -> tuple:
-    d = X.col_(doc_id).cast("bigint")
-    return (F.floor(d / 2).cast("bigint"),
-            F.when(d % 2 == 0, "source").otherwise("target"))
-
-
-def compare_sections_by_parity(docs: DataFrame, segments: DataFrame,
-                               findings: DataFrame | None = None) -> DataFrame:
-    """``compare_sections`` for the 2k / 2k+1 pairing without any join: pair
-    and role are expressions of ``doc_id``, so document presence, segment
-    counts and finding counts are unioned as per-document rows and reduced
-    by one aggregation per pair (map-side combined)."""
-    def rows(df, ok, n_seg, n_find):
-        pid, role = parity_pair("doc_id")
-        return df.select(pid.alias("pair_id"), role.alias("role"),
-                         F.col("doc_id").cast("bigint").alias("doc_id"),
-                         ok.alias("ok"), n_seg.cast("bigint").alias("n_seg"),
-                         n_find.cast("bigint").alias("n_find"))
-
-    null_l = F.lit(None).cast("bigint")
-    parts = [rows(docs.select("doc_id"), F.lit(True), null_l, null_l),
-             rows(_per_doc_counts(segments, "n"), F.lit(None).cast("boolean"), F.col("n"), null_l)]
-    if findings is not None:
-        parts.append(rows(_per_doc_counts(findings, "n"), F.lit(None).cast("boolean"), null_l,
-                          F.col("n")))
-    per_doc = parts[0]
-    for part in parts[1:]:
-        per_doc = per_doc.unionByName(part)
-    src = F.col("role") == "source"
-    tgt = F.col("role") == "target"
+    if "format" not in counts.columns:
+        counts = counts.withColumn("format", F.lit(None).cast("string"))
+    per_doc = roles.select("pair_id", "role", "doc_id").join(
+        counts.select("doc_id", "format", "total_sections", "automated_count", F.lit(True).alias("ok")), "doc_id", "left")
+    side = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return per_doc.groupBy("pair_id").agg(
-        F.max(F.when(src, F.col("doc_id"))).alias("source_doc"),
-        F.max(F.when(tgt, F.col("doc_id"))).alias("target_doc"),
-        F.coalesce(F.max(F.when(src, F.col("ok"))), F.lit(False)).alias("source_ok"),
-        F.coalesce(F.max(F.when(tgt, F.col("ok"))), F.lit(False)).alias("target_ok"),
-        F.sum(F.when(src, F.col("n_seg"))).alias("_s"),
-        F.sum(F.when(tgt, F.col("n_seg"))).alias("_t"),
-        F.sum(F.when(tgt, F.col("n_find"))).alias("_f"),
-    ).select("pair_id", "source_doc", "target_doc", "source_ok", "target_ok",
-             F.when(F.col("source_ok"), F.coalesce("_s", F.lit(0))).otherwise(F.lit(0))
-             .cast("bigint").alias("source_count"),
-             F.when(F.col("target_ok"), F.coalesce("_t", F.lit(0))).otherwise(F.lit(0))
-             .cast("bigint").alias("target_count"),
-             F.when(F.col("target_ok"), F.coalesce("_f", F.lit(0))).otherwise(F.lit(0))
-             .cast("bigint").alias("automated_count"))
+        side("source", "doc_id").alias("source_doc"), side("target", "doc_id").alias("target_doc"),
+        F.coalesce(side("source", "ok"), F.lit(False)).alias("source_ok"),
+        F.coalesce(side("target", "ok"), F.lit(False)).alias("target_ok"),
+        F.coalesce(side("source", "format"), F.lit("unknown")).alias("source_format"),
+        F.coalesce(side("target", "format"), F.lit("unknown")).alias("target_format"),
+        zero(side("source", "total_sections")).alias("source_count"),
+        zero(side("target", "total_sections")).alias("target_count"),
+        zero(side("target", "automated_count")).alias("automated_count"))
 
 
 def size_ratio(cmp: DataFrame, with_message: bool = True) -> DataFrame:

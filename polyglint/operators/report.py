@@ -19,7 +19,10 @@ from .. import catalog as C
 from ..plans.strategy import number_rows
 from .summary import dimensions_table
 
-ORDER_COLS = ["stream", "doc_id", "phase", "seq", "sub"]
+# order of findings: by input, document, pass and place; of findings read from
+# files by file and the place in it
+ORDER_COLS = ["stream", "doc_id", "phase", "seq", "sub", "file", "block", "pos"]
+FILE_COLS = ["file", "block", "pos"]
 
 FINDING_SCHEMA = T.StructType([
     T.StructField("dimension", T.StringType()),
@@ -32,12 +35,12 @@ FINDINGS_FILE_SCHEMA = T.StructType(FINDING_SCHEMA.fields + [
     T.StructField("findings", T.ArrayType(FINDING_SCHEMA)),
     T.StructField("automated_findings", T.ArrayType(FINDING_SCHEMA)),
     T.StructField("assessment", T.StringType()),
+    T.StructField("_corrupt_record", T.StringType()),
 ])
 
 
 def severities_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, r, f, c) for s, r, f, c in C.SEVERITIES],
-                                 "severity string, sev_rank bigint, fill_rgb string, criteria string")
+    return spark.createDataFrame(C.SEVERITIES, "severity string, sev_rank bigint, fill_rgb string")
 
 
 def merge_findings(*dfs: DataFrame) -> DataFrame:
@@ -70,11 +73,9 @@ def report_detail(findings: DataFrame) -> DataFrame:
     sev = F.broadcast(severities_table(findings.sparkSession).select("severity", "fill_rgb"))
     f = f.join(sev, "severity", "left")
     order = _order_cols(f)
-    if not order:
-        # findings read from files carry no ordering columns: number them in
-        # input order (scan partition, then position in it)
-        f = f.withColumn("_in", F.monotonically_increasing_id())
-        order = ["_in"]
+    # equal places, and findings that say nothing of theirs, fall back on the
+    # contents, so that the numbering is the same in every run
+    order = [*order, *[c for c in ("location", "description", "severity", "dimension") if c not in order]]
     numbered = number_rows(f, order, "n")
     return numbered.select("n", "location", "description", "severity", "dimension", "fill_rgb")
 
@@ -93,8 +94,8 @@ def report_summary(findings: DataFrame, dims="core10") -> DataFrame:
     Only listed dimensions and the severities P0..P3 are counted.
 
     One pass: ``rollup(dimension)`` with a conditional count per severity
-    yields the per-dimension rows and the grand total together; the fixed
-    dimension list (plus the total label) is a broadcast left join, so empty
+    yields the per-dimension rows and the grand total together; they are
+    joined to the fixed dimension list (plus the total label), so empty
     dimensions and an empty input still give every row."""
     spark = findings.sparkSession
     names = _dims(dims)
@@ -103,7 +104,7 @@ def report_summary(findings: DataFrame, dims="core10") -> DataFrame:
     counts = (f.rollup("dimension")
               .agg(*[F.count_if(F.col("severity") == s).alias(s) for s in C.SEVERITY_NAMES])
               .withColumn("dimension", F.coalesce(F.col("dimension"), F.lit(C.GRAND_TOTAL_LABEL))))
-    dim_t = F.broadcast(dimensions_table(spark, list(names) + [C.GRAND_TOTAL_LABEL]))
+    dim_t = dimensions_table(spark, list(names) + [C.GRAND_TOTAL_LABEL])
     out = dim_t.join(counts, "dimension", "left").select(
         "dim_ord", "dimension",
         *[F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(s) for s in C.SEVERITY_NAMES])
@@ -148,27 +149,47 @@ def markdown_summary(summary: DataFrame) -> DataFrame:
 # sources and sinks
 # --------------------------------------------------------------------------
 
-def read_findings(spark: SparkSession, path: str,
-                  multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def _findings_files(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    return (spark.read.option("multiLine", multi_line).schema(FINDINGS_FILE_SCHEMA).json(path)
+            .select("*", F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("pos")))
+
+
+def read_findings(spark: SparkSession, path: str, multi_line: bool = True,
+                  findings_key: str = "findings") -> tuple[DataFrame, DataFrame]:
     """Read findings JSON.  With ``multi_line`` each file is one JSON value: a
-    list of findings, or an object with ``findings`` (or
-    ``automated_findings``) and ``assessment``.  Without it, each line is one
-    finding (the form our own sinks write, splittable at any size).
-    Returns (findings, assessments), both with the source file path."""
-    raw = (spark.read.option("multiLine", multi_line).schema(FINDINGS_FILE_SCHEMA).json(path)
-           .withColumn("file", F.col("_metadata.file_path")))
-    listed = raw.filter(F.col("findings").isNull() & F.col("automated_findings").isNull()
-                        & (F.col("assessment").isNull()))
-    flat = listed.select("file", "dimension", "severity", "location", "description")
-    nested = raw.select("file", F.explode(F.coalesce("findings", "automated_findings")).alias("f")) \
-        .select("file", "f.*")
+    list of findings, or an object whose ``findings_key`` (``findings``, or
+    ``automated_findings`` for the output of a review) holds one, with an
+    ``assessment``.  Without it, each line is one finding (the form our own
+    sinks write, splittable at any size).
+
+    Returns (findings, assessments).  Findings carry the file, the block of it
+    and the place therein, which order them as they stand.  An empty object
+    is no finding; what isn't JSON is listed by ``read_rejects``."""
+    if findings_key not in ("findings", "automated_findings"):
+        raise ValueError(f"unknown findings key {findings_key!r}")
+    raw = _findings_files(spark, path, multi_line)
+    one = [f.name for f in FINDING_SCHEMA]
+    flat = raw.filter(F.coalesce(*one).isNotNull()).select(*FILE_COLS, *one)
+    nested = raw.select("file", "block", F.col("pos").alias("p"), F.posexplode(findings_key).alias("k", "f")).select(
+        "file", "block", (F.col("p") + F.col("k")).alias("pos"), "f.*")
     assessments = raw.filter(F.col("assessment").isNotNull()).select("file", "assessment")
-    return flat.unionByName(nested), assessments
+    return flat.unionByName(nested.where(F.coalesce(*one).isNotNull())), assessments
+
+
+def read_rejects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(file, record): what ``read_findings`` can't read, as it stands there."""
+    raw = _findings_files(spark, path, multi_line)
+    # Spark reads the column of corrupt records only together with others; theirs are null in such records
+    record = F.concat("_corrupt_record", F.coalesce("dimension", F.lit("")))
+    return raw.where(F.col("_corrupt_record").isNotNull()).select("file", record.alias("record"))
 
 
 def ingest_manual(findings: DataFrame, manual: DataFrame) -> DataFrame:
-    """Append findings a reader wrote (any dimension) after the automated ones."""
-    return merge_findings(findings, manual.select(*[c for c in manual.columns if c != "file"]))
+    """Append findings a reader wrote (any dimension) after the automated ones,
+    in the order of their files."""
+    return merge_findings(findings, manual)
 
 
 def finding_json(findings: DataFrame) -> DataFrame:

@@ -62,12 +62,21 @@ def register_patterns():
 
 
 def register_mix_findings(docs: DataFrame, id_col: str = "doc_id",
-                          text_col: str = "text") -> DataFrame:
+                          text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """翻译规范 / P2 per document and language that uses both the formal and
-    the informal form of address (Sie/du, vous/tu, usted/tú)."""
+    the informal form of address (Sie/du, vous/tu, usted/tú).  Where the
+    documents have a language column, only that language's forms count ("du"
+    is French too, "tu" Spanish); a document without a language is checked for
+    all."""
     text = F.col(text_col)
+
+    def applies(lang):
+        if lang_col is None or lang_col not in docs.columns:
+            return F.lit(True)
+        return F.coalesce(F.lower(F.col(lang_col)) == lang, F.lit(True))
+
     hits = F.array(*[
-        F.when(text.rlike(fp) & text.rlike(ip),
+        F.when(applies(lang) & text.rlike(fp) & text.rlike(ip),
                F.struct(F.lit(i).cast("bigint").alias("k"), F.lit(lang).alias("lang"),
                         F.lit(formal).alias("formal"), F.lit(informal).alias("informal")))
         for i, (lang, formal, informal, fp, ip) in enumerate(register_patterns())])
@@ -182,4 +191,4 @@ def terminology_findings(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     return finding(bad, detector="terminology", dimension=C.DIM_TERMINOLOGY, severity="P2",
                    doc_id="workbook_id", location=X.loc_cell("sheet", "coordinate"),
                    description=desc, seq="pair_seq",
-                   sub=F.xxhash64("term"))
+                   sub=F.position(F.col("term"), F.col("source")))

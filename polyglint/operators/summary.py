@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
+from ..functions.text import let
+from ..sources.segmenters import SEGMENTS
+from .checks import finding_hits, resolve_pack
 
 
 def _ordered_join(values_with_order, sep: str):
@@ -68,8 +71,39 @@ def first_locations(segments: DataFrame, k: int = C.CAP_LOCATIONS) -> DataFrame:
             .select("doc_id", "text", "seq", "location", F.col("rn").cast("bigint").alias("rn")))
 
 
-def segment_totals(segments: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """Per document: total segments, distinct texts, automated findings."""
+def document_counts(docs: DataFrame, segments, pack="basic5", id_col: str = "doc_id",
+                    is_source=None) -> DataFrame:
+    """(doc_id, total_sections, unique_texts, automated_count) of every
+    document, those without segments included: counted inside the row, in one
+    scan and without a shuffle.
+
+    ``segments`` is an in-row segment array (``segmenters.line_segments`` ...);
+    documents for which the column ``is_source`` holds get no findings."""
+    def counts(segs):
+        found = F.aggregate(segs, F.lit(0).cast("bigint"),
+                            lambda n, s: n + F.size(finding_hits(s["text"], pack)))
+        if is_source is not None:
+            found = F.when(F.coalesce(is_source, F.lit(False)), F.lit(0).cast("bigint")).otherwise(found)
+        return F.struct(F.size(segs).cast("bigint").alias("total_sections"),
+                        F.size(F.array_distinct(F.transform(segs, lambda s: s["text"]))).cast("bigint").alias("unique_texts"),
+                        found.alias("automated_count"))
+
+    pack = resolve_pack(pack)
+    none = F.array().cast(SEGMENTS)
+    return docs.select(F.col(id_col).alias("doc_id"), let(F.coalesce(segments, none), counts).alias("n")).select(
+        "doc_id", "n.*")
+
+
+def segment_totals(segments: DataFrame, findings: DataFrame | None = None,
+                   docs: DataFrame | None = None) -> DataFrame:
+    """Per document: total segments, distinct texts, automated findings.  With
+    ``docs`` (doc_id) documents without segments have zeros; without it they
+    are not known here (``document_counts`` needs only the documents)."""
+    if docs is not None:
+        t = segment_totals(segments, findings)
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+        return docs.select("doc_id").distinct().join(t, "doc_id", "left").select(
+            "doc_id", zero("total_sections"), zero("unique_texts"), zero("automated_count"))
     t = segments.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_sections"),
         F.countDistinct("text").alias("unique_texts"))
@@ -91,8 +125,16 @@ def cells_by_language(scanned: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cells"), F.min("cell_seq").alias("first_seq"))
 
 
-def sheet_summary(scanned: DataFrame) -> DataFrame:
-    """Per sheet: total cells and its languages in first-seen order."""
+def sheet_summary(scanned: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """Per sheet: total cells and its languages in first-seen order.  With
+    ``sheets`` (workbook_id, sheet, sheet_idx) a sheet without string cells has
+    a row too: no cells, no languages."""
+    if sheets is not None:
+        known = sheet_summary(scanned).select("workbook_id", "sheet", "total_cells", "languages")
+        return sheets.select("workbook_id", "sheet", "sheet_idx").distinct().join(
+            known, ["workbook_id", "sheet"], "left").select(
+                "workbook_id", "sheet", "sheet_idx", F.coalesce("total_cells", F.lit(0)).cast("bigint").alias("total_cells"),
+                F.coalesce("languages", F.lit("")).alias("languages"))
     by_lang = cells_by_language(scanned)
     return by_lang.groupBy("workbook_id", "sheet", "sheet_idx").agg(
         F.sum("cells").cast("bigint").alias("total_cells"),
@@ -110,7 +152,9 @@ def sample_texts(scanned: DataFrame, k: int = C.CAP_SAMPLES) -> DataFrame:
 
 
 def workbook_summary(cells: DataFrame) -> DataFrame:
-    """Per workbook: sheet count and sheet names in workbook order."""
+    """Per workbook: sheet count and sheet names in workbook order.  Takes
+    cells or, better, the sheet list itself (workbook_id, sheet, sheet_idx),
+    which also holds the sheets without cells."""
     sheets = cells.select("workbook_id", "sheet", "sheet_idx").distinct()
     return sheets.groupBy("workbook_id").agg(
         F.count(F.lit(1)).alias("sheet_count"),

@@ -12,9 +12,10 @@ the rows processed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.align import sheet_position
 from ..session import read_table
 from ..sources.segmenters import explode_lines, segment_lines
 
@@ -67,15 +68,43 @@ def fx_tgt(spark: SparkSession, d: str) -> DataFrame:
     cells = c1.unionByName(c2)
     # sheet position = rank of the brand number among the target's sheets
     # (distinct sheets of one workbook: a handful of rows)
-    sheets = cells.select("workbook_id", "sheet", "ord").distinct()
-    ranked = sheets.withColumn(
-        "sheet_idx",
-        (F.dense_rank().over(Window.partitionBy("workbook_id").orderBy("ord")) - 1)
-        .cast("bigint")).drop("ord")
-    return cells.join(F.broadcast(ranked), ["workbook_id", "sheet"]) \
+    ranked = sheet_position(cells.select("workbook_id", "sheet", "ord"))
+    return cells.join(ranked, ["workbook_id", "sheet"]) \
         .select("workbook_id", "sheet", "sheet_idx", "row_no", "col_no", "value")
 
 
+def tgt_sheet_names(spark: SparkSession, d: str) -> DataFrame:
+    """(workbook_id, sheet, ord): the target workbook's sheets, unnumbered."""
+    t = fx_tgt(spark, d).select("workbook_id", "sheet").distinct()
+    return t.withColumn("ord", F.regexp_extract("sheet", "[0-9]+", 0).cast("int"))
+
+
+def listed_sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sheet lists of both workbooks with sheets that have no cells: the
+    target has ``Brand#1`` (empty) in front of its sheets, the source a last
+    sheet ``Notes``."""
+    src = fx_src(spark, d).select("workbook_id", "sheet", "sheet_idx").distinct()
+    more = src.groupBy("workbook_id").agg((F.max("sheet_idx") + 1).alias("sheet_idx")).select(
+        "workbook_id", F.lit("Notes").alias("sheet"), "sheet_idx")
+    names = tgt_sheet_names(spark, d)
+    empty = names.select("workbook_id", F.lit("Brand#1").alias("sheet"), F.lit(0).alias("ord")).distinct()
+    return src.unionByName(more), sheet_position(names.unionByName(empty))
+
+
+def workbooks(spark: SparkSession, d: str) -> DataFrame:
+    """Workbook ids: the bilingual one and one for each region, without cells."""
+    return read_table(spark, d, "region").select(
+        F.concat(F.lit("empty-"), F.col("r_name")).alias("workbook_id")).unionByName(
+            _part(spark, d).select(F.lit(PART_WORKBOOK).alias("workbook_id")).distinct())
+
+
+def conv_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Sheet list of the conversation workbook, with an empty sheet ``zz``."""
+    s = fx_conv_cells(spark, d).select("workbook_id", "sheet", "sheet_idx").distinct()
+    return s.unionByName(s.groupBy("workbook_id").agg((F.max("sheet_idx") + 1).alias("sheet_idx")).select(
+        "workbook_id", F.lit("zz").alias("sheet"), "sheet_idx"))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents")
 
@@ -139,6 +168,31 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "pages")
 
 
+def fx_nested_html(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with nested elements, character references and bare ``<`` put in
+    front of their own blocks."""
+    p = pages(spark, d)
+    n, url = F.col("page_id").cast("string"), F.col("url")
+    front = F.concat(
+        F.lit("<ul><li>Item "), n, F.lit(" &eacute;&#20013;&#x6587; a < b<div> inner <b>"), url,
+        F.lit("</b>&nbsp;</div> tail<li>next &amp;lt; &unknown; &lt;x&gt;</ul><table><tr><td>Cell <p> para &rsquo;x&rsquo; "), n,
+        F.lit("</p> end</td></tr></table>"))
+    return p.select("page_id", F.concat(front, F.col("html")).alias("html"))
+
+
+def doc_roles(docs: DataFrame) -> DataFrame:
+    """Documents 2k + 1 (source) and 2k (target) as pair k, with string ids; pair
+    -1 has a target that doesn't exist."""
+    k = F.col("doc_id")
+    name = F.concat(F.lit("doc-"), k.cast("string"))
+    pairs = docs.select(F.floor(k / 2).cast("bigint").alias("pair_id"),
+                        F.when(k % 2 == 1, "source").otherwise("target").alias("role"), name.alias("doc_id"))
+    lost = docs.where(k == 0).select(F.explode(F.array(
+        F.struct(F.lit("source").alias("role"), name.alias("doc_id")),
+        F.struct(F.lit("target").alias("role"), F.lit("doc-lost").alias("doc_id")))).alias("x"))
+    return pairs.unionByName(lost.select(F.lit(-1).cast("bigint").alias("pair_id"), "x.role", "x.doc_id"))
+
+
 def fx_routed(spark: SparkSession, d: str) -> DataFrame:
     """A mixed corpus with file paths: documents under several suffixes
     (markdown, plain text, csv, none) and web pages as ``.html``."""
@@ -164,13 +218,10 @@ def fx_conv_cells(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as a workbook: one sheet per role (alphabetical
     position), row = conversation + 1, column = turn + 1."""
     c = conversations(spark, d)
-    roles = c.select(F.lit("conversations").alias("workbook_id"), "role").distinct()
-    ranked = roles.withColumn(
-        "sheet_idx",
-        (F.dense_rank().over(Window.partitionBy("workbook_id").orderBy("role")) - 1)
-        .cast("bigint"))
-    return c.join(F.broadcast(ranked), "role").select(
-        "workbook_id", F.col("role").alias("sheet"),
+    ranked = sheet_position(c.select(F.lit("conversations").alias("workbook_id"), F.col("role").alias("sheet"),
+                                     F.col("role").alias("ord")))
+    return c.withColumnRenamed("role", "sheet").join(ranked, "sheet").select(
+        "workbook_id", "sheet",
         "sheet_idx", (F.col("conv_id") + 1).cast("bigint").alias("row_no"),
         (F.col("turn") + 1).cast("bigint").alias("col_no"), F.col("text").alias("value"))
 

@@ -439,25 +439,26 @@ _add("fx_page_tables", """fx_page_tables AS (
   SELECT t.doc_id, CAST(p.p_size AS BIGINT) AS page_no, t.table_no, t.row_no, t.col_no, t.text
   FROM fx_part_tables t JOIN part p ON t.row_no = CAST(p.p_partkey + 1 AS BIGINT))""", ["fx_part_tables"])
 
-_add("compare", f"""roles AS (SELECT CAST(floor(doc_id / 2) AS BIGINT) AS pair_id,
-                         CASE WHEN doc_id % 2 = 0 THEN 'source' ELSE 'target' END AS role, doc_id
-                  FROM fx_sensitive),
-seg_n AS (SELECT doc_id, count(*) AS n_seg FROM sens_segs GROUP BY doc_id),
-tgt_f AS (SELECT doc_id, count(*) AS n_find FROM sens_hits5
-          WHERE doc_id IN (SELECT doc_id FROM roles WHERE role = 'target') GROUP BY doc_id),
-per_doc AS (SELECT r.pair_id, r.role, r.doc_id, p.ok, s.n_seg, f.n_find
-            FROM roles r LEFT JOIN (SELECT DISTINCT doc_id, true AS ok FROM fx_sensitive) p ON r.doc_id = p.doc_id
-            LEFT JOIN seg_n s ON r.doc_id = s.doc_id LEFT JOIN tgt_f f ON r.doc_id = f.doc_id),
+_add("compare", """roles AS (
+  SELECT CAST(floor(doc_id / 2) AS BIGINT) AS pair_id, CASE WHEN doc_id % 2 = 1 THEN 'source' ELSE 'target' END AS role,
+         'doc-' || CAST(doc_id AS VARCHAR) AS doc_id FROM documents
+  UNION ALL SELECT -1, 'source', 'doc-0' FROM documents WHERE doc_id = 0
+  UNION ALL SELECT -1, 'target', 'doc-lost' FROM documents WHERE doc_id = 0),
+per_doc AS (
+  SELECT 'doc-' || CAST(d.doc_id AS VARCHAR) AS doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'txt' ELSE 'csv' END AS format,
+         coalesce(s.n, 0) AS n_seg, CASE WHEN d.doc_id % 2 = 1 THEN 0 ELSE coalesce(f.n, 0) END AS n_find
+  FROM fx_sensitive d LEFT JOIN (SELECT doc_id, count(*) AS n FROM sens_segs GROUP BY doc_id) s ON d.doc_id = s.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM sens_hits5 GROUP BY doc_id) f ON d.doc_id = f.doc_id),
+sides AS (SELECT r.pair_id, r.role, r.doc_id, p.format, p.n_seg, p.n_find, p.doc_id IS NOT NULL AS ok
+          FROM roles r LEFT JOIN per_doc p ON r.doc_id = p.doc_id),
 cmp AS (
-  SELECT pair_id,
-         max(CASE WHEN role = 'source' THEN doc_id END) AS source_doc,
-         max(CASE WHEN role = 'target' THEN doc_id END) AS target_doc,
-         coalesce(bool_or(CASE WHEN role = 'source' THEN coalesce(ok, false) END), false) AS source_ok,
-         coalesce(bool_or(CASE WHEN role = 'target' THEN coalesce(ok, false) END), false) AS target_ok,
-         CAST(coalesce(sum(CASE WHEN role = 'source' AND coalesce(ok, false) THEN coalesce(n_seg, 0) END), 0) AS BIGINT) AS source_count,
-         CAST(coalesce(sum(CASE WHEN role = 'target' AND coalesce(ok, false) THEN coalesce(n_seg, 0) END), 0) AS BIGINT) AS target_count,
-         CAST(coalesce(sum(CASE WHEN role = 'target' AND coalesce(ok, false) THEN n_find END), 0) AS BIGINT) AS automated_count
-  FROM per_doc GROUP BY pair_id)""", ["fx_sensitive", "sens_segs", "sens_hits5"])
+  SELECT p.pair_id, s.doc_id AS source_doc, t.doc_id AS target_doc, coalesce(s.ok, false) AS source_ok,
+         coalesce(t.ok, false) AS target_ok, coalesce(s.format, 'unknown') AS source_format,
+         coalesce(t.format, 'unknown') AS target_format, CAST(coalesce(s.n_seg, 0) AS BIGINT) AS source_count,
+         CAST(coalesce(t.n_seg, 0) AS BIGINT) AS target_count, CAST(coalesce(t.n_find, 0) AS BIGINT) AS automated_count
+  FROM (SELECT DISTINCT pair_id FROM roles) p
+  LEFT JOIN (SELECT * FROM sides WHERE role = 'source') s ON p.pair_id = s.pair_id
+  LEFT JOIN (SELECT * FROM sides WHERE role = 'target') t ON p.pair_id = t.pair_id)""", ["fx_sensitive", "sens_segs", "sens_hits5"])
 _add("cmp_ratio", """cmp_ratio AS (
   SELECT *, CASE WHEN ratio > 1.5 THEN 'larger' WHEN ratio < 0.5 THEN 'smaller' END AS size_flag
   FROM (SELECT *, CASE WHEN source_ok AND target_ok THEN CAST(target_count AS DOUBLE)
@@ -524,7 +525,7 @@ _summary("f_report_manual", C.DIMENSIONS_CORE10, "summary_manual")
 
 FIND = "doc_id, detector, dimension, severity, location, description, phase, seq, sub"
 SEV_TABLE = ("severities(severity, fill_rgb) AS (VALUES "
-             + ", ".join(f"('{s}', '{f}')" for s, _, f, _ in C.SEVERITIES) + ")")
+             + ", ".join(f"('{s}', '{f}')" for s, _, f in C.SEVERITIES) + ")")
 _add("severities", SEV_TABLE)
 SEG = "doc_id, seq, location, text"
 
@@ -598,6 +599,19 @@ UNION ALL SELECT h.doc_id, r.format, 'html', h.seq, h.location, h.text FROM r_ht
 o("segment_lines", "SELECT * FROM fx_lines", "fx_lines")
 o("segment_markdown", "SELECT * FROM md_segs", "md_segs")
 o("segment_html", "SELECT * FROM html_segs", "html_segs")
+# the nested front of each page, said outright: an element's text is that of its whole subtree, node by node;
+# the page's own blocks follow, 14 block tags further
+_add("nested_front", """nested_front AS (
+  SELECT page_id AS doc_id, CAST(x.seq AS BIGINT) AS seq, x.tag AS tag, x.text AS text FROM (
+    SELECT page_id, unnest([
+      {'seq': 2, 'tag': 'li', 'text': 'Item ' || page_id || ' é中文 a < b' || 'inner' || url || 'tail'},
+      {'seq': 5, 'tag': 'li', 'text': 'next &lt; &unknown; <x>'},
+      {'seq': 9, 'tag': 'td', 'text': 'Cell' || 'para ’x’ ' || page_id || 'end'},
+      {'seq': 10, 'tag': 'p', 'text': 'para ’x’ ' || page_id}]) AS x FROM pages))""")
+o("segment_html_nested", f"""SELECT doc_id, seq, {loc_html('tag', 'text')} AS location, text, tag FROM nested_front
+  UNION ALL SELECT doc_id, seq + 14, location, text, tag FROM html_segs""", "nested_front", "html_segs")
+o("unsegmented", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'docx' ELSE 'pdf' END AS format,
+  CASE WHEN doc_id % 3 = 0 THEN 'docx' ELSE 'pdf' END AS parser FROM documents WHERE doc_id % 3 <> 2""")
 o("segment_cells", "SELECT * FROM seg_tgt", "seg_tgt")
 o("cell_map", f"SELECT workbook_id, sheet, sheet_idx, row_no, col_no, {strip('value')} AS value FROM fx_src "
   f"WHERE value IS NOT NULL AND {strip('value')} <> ''", "fx_src")
@@ -606,23 +620,23 @@ o("segment_paragraphs", f"""SELECT doc_id, para_no AS seq, 'Paragraph ' || CAST(
   CASE WHEN style IS NULL OR style = 'Normal' THEN '' ELSE ' [' || style || ']' END AS location, t AS text
   FROM (SELECT *, {strip('text')} AS t FROM fx_paragraphs) WHERE t IS NOT NULL AND length(t) > 0""",
   "doc_lines_raw_paras")
-o("segment_doc_tables", f"""SELECT doc_id, 1125899906842624 + table_no * 4294967296 + row_no * 32768 + col_no AS seq,
+o("segment_doc_tables", f"""SELECT doc_id, (((1 * 262144 + table_no) * 1073741824) + row_no) * 16384 + col_no AS seq,
   'Table ' || CAST(table_no AS VARCHAR) || ', Row ' || CAST(row_no AS VARCHAR) || ', Col ' || CAST(col_no AS VARCHAR) AS location,
   t AS text FROM (SELECT *, {strip('text')} AS t FROM fx_part_tables) WHERE t IS NOT NULL AND length(t) > 0""",
   "fx_part_tables")
-o("segment_slides", f"""SELECT doc_id, slide_no * 17592186044416 + shape_no * 1073741824 + para_no AS seq,
+o("segment_slides", f"""SELECT doc_id, (((slide_no * 4096 + shape_no) * 2 + 0) * 4194304 + para_no) * 16384 AS seq,
   'Slide ' || CAST(slide_no AS VARCHAR) || ', Paragraph ' || CAST(para_no AS VARCHAR) AS location, t AS text, shape_no
   FROM (SELECT *, {strip('text')} AS t FROM fx_slides) WHERE t IS NOT NULL AND length(t) > 0""", "fx_slides")
-o("segment_slide_tables", f"""SELECT doc_id, slide_no * 17592186044416 + shape_no * 1073741824 + 536870912 + row_no * 32768 + col_no AS seq,
+o("segment_slide_tables", f"""SELECT doc_id, (((slide_no * 4096 + shape_no) * 2 + 1) * 4194304 + row_no) * 16384 + col_no AS seq,
   'Slide ' || CAST(slide_no AS VARCHAR) || ', Table Row ' || CAST(row_no AS VARCHAR) || ', Col ' || CAST(col_no AS VARCHAR) AS location,
   t AS text, shape_no FROM (SELECT *, {strip('text')} AS t FROM fx_slide_tables) WHERE t IS NOT NULL AND length(t) > 0""",
   "fx_slide_tables")
-o("segment_page_lines", f"""SELECT doc_id, page_no * 4294967296 + (i - 1) AS seq,
+o("segment_page_lines", f"""SELECT doc_id, page_no * 8796093022208 + (i - 1) AS seq,
   'Page ' || CAST(page_no AS VARCHAR) || ', Line ' || CAST(i AS VARCHAR) AS location, t AS text
   FROM (SELECT *, {strip('arr[i]')} AS t FROM (SELECT doc_id, page_no, arr, unnest(range(1, len(arr) + 1)) AS i
         FROM (SELECT conv_id AS doc_id, CAST(turn + 1 AS BIGINT) AS page_no, string_split(text, chr(10)) AS arr
               FROM conversations))) WHERE length(t) > 1""")
-o("segment_page_tables", f"""SELECT doc_id, page_no * 4294967296 + 2147483648 + table_no * 16777216 + row_no * 1024 + col_no AS seq,
+o("segment_page_tables", f"""SELECT doc_id, page_no * 8796093022208 + 4398046511104 + table_no * 4294967296 + row_no * 1024 + col_no AS seq,
   'Page ' || CAST(page_no AS VARCHAR) || ', Table Row ' || CAST(row_no AS VARCHAR) || ', Col ' || CAST(col_no AS VARCHAR) AS location,
   t AS text FROM (SELECT *, {strip('text')} AS t FROM fx_page_tables) WHERE t IS NOT NULL AND length(t) > 0""",
   "fx_page_tables")
@@ -655,7 +669,7 @@ o("nonblank_filter", f"""SELECT doc_id, slide_no, para_no, t AS text FROM (SELEC
   WHERE t IS NOT NULL AND length(t) > 1""", "fx_slides")
 o("source_gate", "SELECT * FROM (SELECT * FROM f_sensitive5 UNION ALL "
   f"SELECT {_fcols('doc_id', 'residual', chr(39) + '漏翻' + chr(39), chr(39) + 'P1' + chr(39), 'location', chr(39) + 'Untranslated Chinese: ' + chr(39) + ' || ' + qt(cut('text', 60)), 0, 'seq')} "
-  f"FROM sens_segs WHERE {cjk('text')}) WHERE CAST(doc_id AS BIGINT) % 2 <> 0", "f_sensitive5", "sens_segs")
+  f"FROM sens_segs WHERE {cjk('text')}) WHERE CAST(doc_id AS BIGINT) % 2 = 0", "f_sensitive5", "sens_segs")
 o("document_findings", "SELECT * FROM f_sensitive5 UNION ALL "
   f"SELECT {_fcols('doc_id', 'residual', chr(39) + '漏翻' + chr(39), chr(39) + 'P1' + chr(39), 'location', chr(39) + 'Untranslated Chinese: ' + chr(39) + ' || ' + qt(cut('text', 60)), 0, 'seq')} "
   f"FROM sens_segs WHERE {cjk('text')}", "f_sensitive5", "sens_segs")
@@ -681,8 +695,14 @@ o("consistency_issues", """SELECT workbook_id, source, occurrences, n_translatio
   array_to_string(translations, ' | ') AS translations, first_seq FROM cstats WHERE n_translations > 1""",
   "consistency")
 o("consistency_findings", "SELECT * FROM f_consistency", "consistency")
-o("consistency_totals", """SELECT workbook_id, count(*) AS total_unique, count(*) FILTER (WHERE n_translations > 1)
-  AS issues FROM cstats GROUP BY workbook_id""", "consistency")
+_add("workbooks", """workbooks AS (SELECT 'part' AS workbook_id UNION ALL SELECT 'empty-' || r_name FROM region)""")
+o("consistency_totals", """SELECT w.workbook_id, count(s.source) AS total_unique,
+  count(*) FILTER (WHERE s.n_translations > 1) AS issues
+  FROM workbooks w LEFT JOIN cstats s ON w.workbook_id = s.workbook_id GROUP BY w.workbook_id""", "workbooks", "consistency")
+o("issue_translations", """SELECT d.workbook_id, d.source, d.target, d.n, d.first_seq FROM dtrans d JOIN cstats s
+  ON d.workbook_id = s.workbook_id AND d.source = s.source WHERE s.n_translations > 1 AND d.target IS NOT NULL""", "consistency")
+o("issue_occurrences", """SELECT p.workbook_id, p.source, p.sheet, p.coordinate, p.target, p.pair_seq FROM cjkp p JOIN cstats s
+  ON p.workbook_id = s.workbook_id AND p.source = s.source WHERE s.n_translations > 1""", "consistency")
 o("review_texts", """SELECT doc_id, text, string_agg(location, '; ' ORDER BY seq) FILTER (WHERE rn <= 3) AS locations,
   count(*) AS occurrence_count, min(seq) AS first_seq
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY seq) AS rn FROM fx_lines)
@@ -695,10 +715,21 @@ _add("corpus_texts", """corpus_texts AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, seq) AS rn FROM fx_lines)
   GROUP BY text)""", ["fx_lines"])
 o("review_texts_corpus", "SELECT * FROM corpus_texts", "corpus_texts")
-o("segment_totals", """SELECT s.doc_id, s.total_sections, s.unique_texts, CAST(coalesce(f.n, 0) AS BIGINT) AS automated_count
-  FROM (SELECT doc_id, count(*) AS total_sections, count(DISTINCT text) AS unique_texts FROM sens_segs GROUP BY doc_id) s
-  LEFT JOIN (SELECT doc_id, count(*) AS n FROM f_sensitive5 GROUP BY doc_id) f ON CAST(s.doc_id AS VARCHAR) = f.doc_id""",
+o("segment_totals_sensitive", """SELECT d.doc_id, coalesce(s.total_sections, 0) AS total_sections,
+  coalesce(s.unique_texts, 0) AS unique_texts, CAST(coalesce(f.n, 0) AS BIGINT) AS automated_count
+  FROM documents d
+  LEFT JOIN (SELECT doc_id, count(*) AS total_sections, count(DISTINCT text) AS unique_texts FROM sens_segs GROUP BY doc_id) s
+    ON d.doc_id = s.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM f_sensitive5 GROUP BY doc_id) f ON CAST(d.doc_id AS VARCHAR) = f.doc_id""",
   "sens_segs", "f_sensitive5")
+_add("md_hits5", _rule_hits("md_hits5", "md_segs", "basic5", keys="doc_id, seq, location"), ["md_segs"])
+o("segment_totals", f"""SELECT d.doc_id, coalesce(s.total_sections, 0) AS total_sections,
+  coalesce(s.unique_texts, 0) AS unique_texts, CAST(coalesce(f.n, 0) + coalesce(s.residual, 0) AS BIGINT) AS automated_count
+  FROM documents d
+  LEFT JOIN (SELECT doc_id, count(*) AS total_sections, count(DISTINCT text) AS unique_texts,
+                    count(*) FILTER (WHERE {cjk('text')}) AS residual FROM md_segs GROUP BY doc_id) s ON d.doc_id = s.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM md_hits5 GROUP BY doc_id) f ON d.doc_id = f.doc_id""",
+  "md_segs", "md_hits5")
 _cls = ", ".join(f"CAST(coalesce(c.{m}, 0) AS BIGINT) AS {m}" for m in
                  ["translated", "missing", "addition", "unchanged", "modified"])
 _cnt = ", ".join(f"count(*) FILTER (WHERE match = '{m}') AS {m}" for m in
@@ -707,10 +738,11 @@ o("sheet_alignment", f"""SELECT m.workbook_id, m.sheet, m.sheet_idx, m.target_sh
   CAST(coalesce(c.pairs, 0) AS BIGINT) AS pairs, {_cls}
   FROM sheet_map m LEFT JOIN (SELECT workbook_id, sheet, count(*) AS pairs, {_cnt} FROM pairs GROUP BY workbook_id, sheet) c
   ON m.workbook_id = c.workbook_id AND m.sheet = c.sheet WHERE m.target_sheet IS NOT NULL""", "pairs")
-o("pair_totals", """SELECT p.workbook_id, p.total_pairs, CAST(coalesce(f.n, 0) AS BIGINT) AS total_findings
-  FROM (SELECT workbook_id, count(*) AS total_pairs FROM pairs GROUP BY workbook_id) p
-  LEFT JOIN (SELECT doc_id, count(*) AS n FROM f_bitext GROUP BY doc_id) f ON p.workbook_id = f.doc_id""",
-  "pairs", "f_bitext")
+o("pair_totals", """SELECT w.workbook_id, CAST(coalesce(p.n, 0) AS BIGINT) AS total_pairs,
+  CAST(coalesce(f.n, 0) AS BIGINT) AS total_findings
+  FROM workbooks w LEFT JOIN (SELECT workbook_id, count(*) AS n FROM pairs GROUP BY workbook_id) p ON w.workbook_id = p.workbook_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM f_bitext GROUP BY doc_id) f ON w.workbook_id = f.doc_id""",
+  "workbooks", "pairs", "f_bitext")
 o("size_ratio", """SELECT *, CASE WHEN size_flag = 'larger' THEN 'Target is ' || printf('%.1f', ratio) ||
   'x larger than source — possible additions or expanded version'
   WHEN size_flag = 'smaller' THEN 'Target is ' || printf('%.1f', ratio) || 'x smaller than source — possible omissions'
@@ -718,9 +750,10 @@ o("size_ratio", """SELECT *, CASE WHEN size_flag = 'larger' THEN 'Target is ' ||
 o("sheet_summary", """SELECT workbook_id, sheet, sheet_idx, CAST(sum(cells) AS BIGINT) AS total_cells,
   string_agg(lang, ',' ORDER BY first_seq) AS languages
   FROM (SELECT workbook_id, sheet, sheet_idx, lang, count(*) AS cells, min(cell_seq) AS first_seq FROM conv_scan
-        GROUP BY ALL) GROUP BY workbook_id, sheet, sheet_idx""", "conv_scan")
-o("workbook_summary", """SELECT workbook_id, count(*) AS sheet_count, string_agg(sheet, ', ' ORDER BY sheet_idx) AS sheet_names
-  FROM (SELECT DISTINCT workbook_id, sheet, sheet_idx FROM conv_scan) GROUP BY workbook_id""", "conv_scan")
+        GROUP BY ALL) GROUP BY workbook_id, sheet, sheet_idx
+  UNION ALL SELECT 'conversations', 'zz', CAST(count(DISTINCT role) AS BIGINT), 0, '' FROM conversations""", "conv_scan")
+o("workbook_summary", """SELECT 'conversations' AS workbook_id, count(DISTINCT role) + 1 AS sheet_count,
+  string_agg(DISTINCT role, ', ' ORDER BY role) || ', zz' AS sheet_names FROM conversations""")
 o("cells_by_language", """SELECT workbook_id, sheet, sheet_idx, lang, count(*) AS cells, min(cell_seq) AS first_seq
   FROM conv_scan GROUP BY ALL""", "conv_scan")
 o("findings_by_dimension", "SELECT dimension, count(*) AS n FROM f_report GROUP BY dimension", "f_report")
@@ -746,6 +779,22 @@ o("sample_texts", """SELECT workbook_id, sheet, lang, coordinate, value, rn FROM
   FROM conv_scan) WHERE rn <= 25""", "conv_scan")
 o("cap_sections", """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS rn
   FROM fx_lines) WHERE rn <= 200""", "fx_lines")
+o("cap_sections_cells", """SELECT doc_id, seq, location, text, rn FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS rn FROM seg_tgt) WHERE rn <= 200""", "seg_tgt")
+# sheet lists with sheets that have no cells; matched as the rule says, by comparing all names
+_add("listed", """l_src AS (SELECT * FROM src_sheets UNION ALL
+  SELECT workbook_id, 'Notes', max(sheet_idx) + 1 FROM src_sheets GROUP BY workbook_id),
+l_tgt AS (SELECT workbook_id, sheet, sheet_idx + 1 AS sheet_idx FROM tgt_sheets UNION ALL SELECT DISTINCT workbook_id, 'Brand#1', 0 FROM tgt_sheets),
+l_cand AS (
+  SELECT s.workbook_id, s.sheet, t.sheet AS target_sheet, t.sheet_idx AS target_idx,
+         CASE WHEN t.sheet = s.sheet THEN 1 WHEN """ + _PREFIX + """ THEN 2 ELSE 3 END AS stage_no
+  FROM l_src s JOIN l_tgt t ON s.workbook_id = t.workbook_id
+   AND (t.sheet = s.sheet OR """ + _PREFIX + """ OR t.sheet_idx = s.sheet_idx)),
+l_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY stage_no, target_idx) AS rn
+           FROM l_cand) WHERE rn = 1)""", ["sheets"])
+o("match_sheets_listed", """SELECT s.workbook_id, s.sheet, s.sheet_idx, b.target_sheet, CAST(b.target_idx AS BIGINT) AS target_idx,
+  CASE b.stage_no WHEN 1 THEN 'exact' WHEN 2 THEN 'prefix' WHEN 3 THEN 'position' END AS stage
+  FROM l_src s LEFT JOIN l_best b ON s.workbook_id = b.workbook_id AND s.sheet = b.sheet""", "listed")
 o("sheet_position", "SELECT DISTINCT workbook_id, sheet, sheet_idx FROM fx_tgt", "fx_tgt")
 o("pick_first_target", "SELECT * FROM sheet_map WHERE target_sheet IS NOT NULL", "sheet_map")
 o("sort_column_major", """SELECT workbook_id, sheet, coordinate, pair_seq,
@@ -760,8 +809,7 @@ o("number_findings", """SELECT CAST(row_number() OVER (ORDER BY stream, doc_id,
   stream, doc_id, location, dimension FROM f_report""", "f_report")
 
 # 2.6
-o("coord_union", """SELECT workbook_id, sheet, row_no, col_no FROM src_cm UNION
-  SELECT workbook_id, sheet, row_no, col_no FROM tgt_cm""", "pairs")
+o("coord_union", "SELECT DISTINCT workbook_id, sheet, row_no, col_no FROM pairs", "pairs")
 o("merge_findings", "SELECT * FROM f_report", "f_report")
 o("merge_pairs", "SELECT workbook_id, sheet, target_sheet, coordinate, source, target FROM pairs", "pairs")
 o("distinct_translations", "SELECT * FROM dtrans", "consistency")
@@ -803,7 +851,19 @@ o("file_suffix", f"SELECT doc_id, path, {SUFFIX} AS suffix FROM fx_routed", "fx_
 o("compare_mode", f"SELECT doc_id, CASE WHEN {SUFFIX} IN ('.xlsx', '.xls') THEN 'excel' ELSE 'generic' END AS mode "
   "FROM fx_routed", "fx_routed")
 o("format_ratio", "SELECT pair_id, printf('%.1f', ratio) AS ratio_text FROM cmp_ratio", "cmp_ratio")
-o("list_repr", f"SELECT source, {list_repr('translations')} AS repr FROM cstats", "consistency")
+
+def py_list(x: str) -> str:
+    """A list as Python prints it: escapes, then the quotes that need fewest of them."""
+    esc = "replace(replace(replace(e, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(160), chr(92) || 'xa0')"
+    one = (f"CASE WHEN contains(e, chr(39)) AND NOT contains(e, chr(34)) THEN chr(34) || {esc} || chr(34) "
+           f"ELSE chr(39) || replace({esc}, chr(39), chr(92) || chr(39)) || chr(39) END")
+    return f"('[' || array_to_string(list_transform({x}, lambda e: {one}), ', ') || ']')"
+
+
+o("list_repr", f"""SELECT source, {py_list('translations')} AS repr,
+  {py_list("list_transform(translations, lambda t: 'l' || chr(39) || t || chr(92))")} AS quoted,
+  {py_list("list_transform(translations, lambda t: 'l' || chr(39) || chr(34) || t || chr(10) || chr(160))")} AS both,
+  '[]' AS none FROM cstats WHERE n_translations > 1""", "consistency")
 o("html_text", f"SELECT page_id, {html_text('html')} AS text FROM pages")
 o("severity_style", """SELECT stream, doc_id, phase, seq, sub, coalesce(f.severity, 'P3') AS severity, s.fill_rgb
   FROM f_report f LEFT JOIN severities s ON coalesce(f.severity, 'P3') = s.severity""", "f_report", "severities")
@@ -820,7 +880,10 @@ _reg_parts = []
 for _i, (_lang, _f, _inf, _fp, _ip) in enumerate(_register()):
     _reg_parts.append(
         f"SELECT {_fcols('doc_id', 'register_mix', chr(39) + '翻译规范' + chr(39), chr(39) + 'P2' + chr(39), chr(39) + 'Document' + chr(39), chr(39) + f'Mixed formal and informal address ({_lang}): ' + chr(39) + ' || ' + qt(chr(39) + _f + chr(39)) + ' || ' + chr(39) + ' and ' + chr(39) + ' || ' + qt(chr(39) + _inf + chr(39)), 0, 0, _i)} "
-        f"FROM fx_register WHERE regexp_matches(text, '{_fp}') AND regexp_matches(text, '{_ip}')")
+        f"FROM fx_register WHERE coalesce(lower(lang) = '{_lang}', true) AND regexp_matches(text, '{_fp}') AND regexp_matches(text, '{_ip}')")
+# without a language column all forms count
+_reg_any = [p.replace(f"coalesce(lower(lang) = '{lang}', true) AND ", "") for p, (lang, *_) in zip(_reg_parts, _register())]
+o("register_mix_any", " UNION ALL ".join(_reg_any), "fx_register")
 o("register_mix", " UNION ALL ".join(_reg_parts), "fx_register")
 o("register_mix_jako", "SELECT * FROM jako_counts", "jako_counts")
 o("register_mix_jako_findings", f"""SELECT {_fcols('doc_id', 'register_mix_jako', "'翻译规范'", "'P2'", "'Document'",

@@ -26,7 +26,7 @@ from ..operators import summary as S
 from ..session import checkpoint_dir, read_table, spread_scan
 from ..sources import segmenters as G
 from . import fixtures as FX
-from .review import align_bitext, bitext_findings
+from .review import align_bitext, bitext_findings, corpus_counts
 from .strategy import number_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,12 @@ def shared(fn):
     return wrapper
 
 
+def forget_shared(spark: SparkSession) -> None:
+    """Drop the shared inputs and everything that is cached."""
+    _SHARED.clear()
+    spark.catalog.clearCache()
+
+
 @shared
 def _bitext(spark, d):
     """The aligned workbook.  The sheet map and the pairs feed several
@@ -166,6 +172,21 @@ def segment_html(spark, d):
     return G.segment_html(FX.pages(spark, d))
 
 
+@q("segment_html_nested")
+def segment_html_nested(spark, d):
+    """Nested elements, character references and bare ``<``."""
+    return G.segment_html(FX.fx_nested_html(spark, d))
+
+
+@q("unsegmented")
+def unsegmented(spark, d):
+    """Documents whose format comes as decoded tables."""
+    docs = FX.documents(spark, d).select("doc_id", F.concat(
+        F.lit("/in/"), F.col("doc_id").cast("string"),
+        F.when(F.col("doc_id") % 3 == 0, ".DOCX").when(F.col("doc_id") % 3 == 1, ".pdf").otherwise(".md")).alias("path"))
+    return G.unsegmented(docs)
+
+
 @q("segment_cells")
 def segment_cells(spark, d):
     return G.segment_cells(FX.fx_tgt(spark, d), admit="truthy")
@@ -314,7 +335,7 @@ def nonblank_filter(spark, d):
 
 @q("source_gate")
 def source_gate(spark, d):
-    segs = FX.fx_sensitive_lines(spark, d).withColumn("is_source", F.col("doc_id") % 2 == 0)
+    segs = FX.fx_sensitive_lines(spark, d).withColumn("is_source", F.col("doc_id") % 2 == 1)
     return K.automated_findings(segs, "basic5")
 
 
@@ -355,10 +376,11 @@ def classify_pairs(spark, d):
 @shared
 def _compare(spark, d):
     docs = FX.fx_sensitive(spark, d)
-    segs = G.segment_lines(docs.select("doc_id", "text")) \
-        .withColumn("is_source", F.col("doc_id") % 2 == 0)
-    findings = K.automated_findings(segs, "basic5")      # sources are skipped
-    return CMP.compare_sections_by_parity(docs, segs, findings)
+    named = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_id"),
+                        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".txt")
+                                 .otherwise(".csv")).alias("path"),
+                        "text", (F.col("doc_id") % 2 == 1).alias("is_source"))
+    return CMP.compare_sections(corpus_counts(named), FX.doc_roles(FX.documents(spark, d).select("doc_id")))
 
 
 @q("compare_sections")
@@ -382,11 +404,21 @@ def match_stats(spark, d):
 
 @q("consistency_issues")
 def consistency_issues(spark, d):
-    i = A.consistency_issues(_pairs(spark, d))
+    i = A.with_translations(A.consistency_issues(_pairs(spark, d)), _pairs(spark, d))
     return i.select("workbook_id", "source", "occurrences", "n_translations",
                     F.array_join("translations", " | ").alias("translations"), "first_seq")
 
 
+@q("issue_translations")
+def issue_translations(spark, d):
+    return A.issue_translations(_pairs(spark, d))
+
+
+@q("issue_occurrences")
+def issue_occurrences(spark, d):
+    return A.issue_occurrences(_pairs(spark, d))
+
+
 @q("consistency_findings")
 def consistency_findings(spark, d):
     return A.consistency_findings(_pairs(spark, d))
@@ -394,7 +426,7 @@ def consistency_findings(spark, d):
 
 @q("consistency_totals")
 def consistency_totals(spark, d):
-    return A.consistency_totals(_pairs(spark, d))
+    return A.consistency_totals(_pairs(spark, d), FX.workbooks(spark, d))
 
 
 @q("review_texts")
@@ -409,8 +441,16 @@ def review_texts_corpus(spark, d):
 
 @q("segment_totals")
 def segment_totals(spark, d):
+    """Every document of the markdown corpus, those that an unclosed fence
+    leaves without segments included."""
+    docs = FX.fx_markdown(spark, d)
+    return S.document_counts(docs, G.markdown_segments("text"), "basic5")
+
+
+@q("segment_totals_sensitive")
+def segment_totals_sensitive(spark, d):
     segs = FX.fx_sensitive_lines(spark, d)
-    return S.segment_totals(segs, K.automated_findings(segs, "basic5"))
+    return S.segment_totals(segs, K.automated_findings(segs, "basic5"), FX.documents(spark, d))
 
 
 @q("sheet_alignment")
@@ -422,7 +462,7 @@ def sheet_alignment(spark, d):
 @q("pair_totals")
 def pair_totals(spark, d):
     _, _, sm, pairs = _bitext(spark, d)
-    return A.pair_totals(pairs, bitext_findings(pairs, sm))
+    return A.pair_totals(pairs, bitext_findings(pairs, sm), FX.workbooks(spark, d))
 
 
 @q("size_ratio")
@@ -432,12 +472,12 @@ def size_ratio(spark, d):
 
 @q("sheet_summary")
 def sheet_summary(spark, d):
-    return S.sheet_summary(G.scan_cells(FX.fx_conv_cells(spark, d)))
+    return S.sheet_summary(G.scan_cells(FX.fx_conv_cells(spark, d)), FX.conv_sheets(spark, d))
 
 
 @q("workbook_summary")
 def workbook_summary(spark, d):
-    return S.workbook_summary(G.scan_cells(FX.fx_conv_cells(spark, d)))
+    return S.workbook_summary(FX.conv_sheets(spark, d))
 
 
 @q("cells_by_language")
@@ -506,9 +546,23 @@ def cap_sections(spark, d):
     return CMP.cap_sections(FX.fx_lines(spark, d))
 
 
+@q("cap_sections_cells")
+def cap_sections_cells(spark, d):
+    """A workbook with more segments than the cap."""
+    return CMP.cap_sections(G.segment_cells(FX.fx_tgt(spark, d), admit="nonnull")).select(
+        "doc_id", "seq", "location", "text", "rn")
+
+
 @q("sheet_position")
 def sheet_position(spark, d):
-    return A.sheets_of(FX.fx_tgt(spark, d))
+    return A.sheet_position(FX.tgt_sheet_names(spark, d))
+
+
+@q("match_sheets_listed")
+def match_sheets_listed(spark, d):
+    """Sheets matched from sheet lists that hold sheets without cells."""
+    src, tgt = FX.listed_sheets(spark, d)
+    return A.match_sheets(src, tgt)
 
 
 @q("pick_first_target")
@@ -539,7 +593,7 @@ def sort_by_frequency(spark, d):
 @q("number_findings")
 def number_findings(spark, d):
     f = _report_findings(spark, d)
-    return number_rows(f, R.ORDER_COLS, "n").select("n", "stream", "doc_id", "location",
+    return number_rows(f, [c for c in R.ORDER_COLS if c in f.columns], "n").select("n", "stream", "doc_id", "location",
                                                     "dimension")
 
 
@@ -549,7 +603,8 @@ def number_findings(spark, d):
 
 @q("coord_union")
 def coord_union(spark, d):
-    return A.coord_union(FX.fx_src(spark, d), FX.fx_tgt(spark, d))
+    src, tgt, sm, _ = _bitext(spark, d)
+    return A.coord_union(src, tgt, sm)
 
 
 @q("merge_findings")
@@ -687,8 +742,16 @@ def format_ratio(spark, d):
 
 @q("list_repr")
 def list_repr(spark, d):
-    s = A.consistency_stats(_pairs(spark, d))
-    return s.select("source", X.list_repr("translations").alias("repr"))
+    """Lists as Python prints them: as they are, with single quotes and
+    backslashes, and with both kinds of quotes and a line end."""
+    pairs = _pairs(spark, d)
+    s = A.with_translations(A.consistency_issues(pairs), pairs)
+    t = F.col("translations")
+    return s.select(
+        "source", X.list_repr(t).alias("repr"),
+        X.list_repr(F.transform(t, lambda x: F.concat(F.lit("l'"), x, F.lit("\\")))).alias("quoted"),
+        X.list_repr(F.transform(t, lambda x: F.concat(F.lit("l'\""), x, F.lit("\n\u00a0")))).alias("both"),
+        X.list_repr(F.array().cast("array<string>")).alias("none"))
 
 
 @q("html_text")
@@ -724,7 +787,13 @@ def fullwidth_punct(spark, d):
 
 @q("register_mix")
 def register_mix(spark, d):
-    return RP.register_mix_findings(FX.fx_register(spark, d))
+    return RP.register_mix_findings(FX.fx_register(spark, d), lang_col="lang")
+
+
+@q("register_mix_any")
+def register_mix_any(spark, d):
+    """Every language's forms in every document."""
+    return RP.register_mix_findings(FX.fx_register(spark, d), lang_col=None)
 
 
 @q("register_mix_jako")

@@ -25,44 +25,62 @@ SEGMENTERS = {
     "md": G.segment_markdown,
     "html": lambda d: G.segment_html(d, "doc_id", "text"),
 }
+ARRAYS = {"txt": G.line_segments, "md": G.markdown_segments, "html": G.html_segments}
 
 
 def review_documents(docs: DataFrame, fmt: str = "txt", pack: str = "basic5",
                      is_source: bool = False, findings_only: bool = False) -> dict[str, DataFrame]:
     """Segment documents (``doc_id, text``), check target segments, and
-    prepare the deduplicated reading list.  With ``findings_only`` (plain
-    text / markdown) only documents that can hold a finding are segmented."""
+    prepare the deduplicated reading list.  Totals hold every document.  With
+    ``findings_only`` (plain text / markdown) only documents that can hold a
+    finding are segmented."""
     if findings_only and fmt in ("txt", "md"):
         return {"findings": K.document_findings(docs.select("doc_id", "text"),
                                                 SEGMENTERS[fmt], pack)}
     segs = SEGMENTERS[fmt](docs.select("doc_id", "text"))
+    totals = S.document_counts(docs, ARRAYS[fmt]("text"), pack, is_source=F.lit(is_source))
     if is_source:
-        empty = K.automated_findings(segs.limit(0), pack)
-        return {"segments": segs, "findings": empty,
-                "totals": S.segment_totals(segs)}
-    findings = K.automated_findings(segs, pack)
+        return {"segments": segs, "findings": K.automated_findings(segs.limit(0), pack), "totals": totals}
     return {
         "segments": segs,
-        "findings": findings,
+        "findings": K.automated_findings(segs, pack),
         "review_texts": S.review_texts(segs),
-        "totals": S.segment_totals(segs, findings),
+        "totals": totals,
     }
 
 
 def review_corpus(docs: DataFrame, pack: str = "basic5") -> dict[str, DataFrame]:
     """Review a mixed corpus (``doc_id, path, text``; e.g. from
     ``sources.readers.load_text_files``): route each document by its suffix
-    (markdown, HTML, plain text), segment, check, deduplicate and count."""
+    (markdown, HTML, plain text), segment, check, deduplicate and count.
+    Where there is a column ``is_source``, source documents are segmented and
+    counted but not checked.  Documents that come as decoded tables instead
+    are listed under ``unsegmented``."""
     segs = G.segment_routed(docs)
-    findings = K.automated_findings(segs, pack)
+    targets = docs
+    if "is_source" in docs.columns:
+        targets = docs.where(~F.coalesce(F.col("is_source"), F.lit(False)))
+    checked = G.segment_routed(targets)
     return {
         "segments": segs,
-        "findings": findings,
-        "review_texts": S.review_texts(segs),
-        "totals": S.segment_totals(segs, findings),
+        "findings": K.automated_findings(checked, pack),
+        "review_texts": S.review_texts(checked),
+        "totals": corpus_counts(docs, pack),
+        "unsegmented": G.unsegmented(docs),
     }
 
 
+def corpus_counts(docs: DataFrame, pack: str = "basic5") -> DataFrame:
+    """(doc_id, format, total_sections, unique_texts, automated_count) of every
+    document of a mixed corpus, in one scan."""
+    gate = F.col("is_source") if "is_source" in docs.columns else F.lit(False)
+    routed = G.route_format(docs.select("doc_id", "path", "text", gate.alias("is_source")))
+    counts = S.document_counts(routed.withColumn("doc_id", F.struct("doc_id", "format")), F.when(
+        F.col("parser") == "md", G.markdown_segments("text")).when(F.col("parser") == "html", G.html_segments("text"))
+        .when(F.col("parser") == "txt", G.line_segments("text")), pack, is_source=F.col("is_source"))
+    return counts.select("doc_id.doc_id", "doc_id.format", "total_sections", "unique_texts", "automated_count")
+
+
 def bitext_findings(pairs: DataFrame, sheet_map: DataFrame,
                     qualified_location: bool = False) -> DataFrame:
     """Missing sheets, omissions and additions (phase 0, sheet then
@@ -74,14 +92,20 @@ def bitext_findings(pairs: DataFrame, sheet_map: DataFrame,
 
 
 def align_bitext(src_cells: DataFrame, tgt_cells: DataFrame, persist: bool = True,
-                 materialize: str = "persist") -> tuple[DataFrame, DataFrame]:
+                 materialize: str = "persist", src_sheets: DataFrame | None = None,
+                 tgt_sheets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(sheet_map, pairs).  Both feed several outputs, so they are kept:
     ``materialize="persist"`` caches the pairs (memory and disk; a lost
     executor recomputes its part through the join), ``"checkpoint"`` writes
     them to the shared checkpoint folder and cuts the lineage — the choice
     for very large workbooks.  The sheet map is small: it is persisted and
-    broadcast into the cell joins behind a row-count check."""
-    sheet_map = A.match_sheets(A.sheets_of(src_cells), A.sheets_of(tgt_cells))
+    broadcast into the cell joins behind a row-count check.
+
+    ``src_sheets`` and ``tgt_sheets`` (workbook_id, sheet, sheet_idx) list the
+    sheets, those without cells included; without them only sheets with cells
+    are known."""
+    sheet_map = A.match_sheets(A.sheets_of(src_cells) if src_sheets is None else src_sheets,
+                               A.sheets_of(tgt_cells) if tgt_sheets is None else tgt_sheets)
     if persist:
         sheet_map = sheet_map.persist(StorageLevel.MEMORY_AND_DISK)
         sm_join = checked_broadcast(sheet_map)
@@ -98,15 +122,17 @@ def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool =
                   with_target_checks: bool = False, pack: str = "basic5",
                   qualified_location: bool = False,
                   report_unmatched_targets: bool = False,
-                  materialize: str = "persist") -> dict[str, DataFrame]:
+                  materialize: str = "persist", src_sheets: DataFrame | None = None,
+                  tgt_sheets: DataFrame | None = None) -> dict[str, DataFrame]:
     """Align a source and a target workbook cell by cell and derive findings,
     statistics and consistency issues.
 
     Options: ``with_target_checks`` also runs the residual / sensitive checks
     on the target cells; ``qualified_location`` writes consistency
     coordinates as ``Sheet!A1``; ``report_unmatched_targets`` reports cells
-    of target sheets no source sheet picked as additions."""
-    sheet_map, pairs = align_bitext(src_cells, tgt_cells, persist, materialize)
+    of target sheets no source sheet picked as additions; ``src_sheets`` and
+    ``tgt_sheets`` list all sheets (see ``align_bitext``)."""
+    sheet_map, pairs = align_bitext(src_cells, tgt_cells, persist, materialize, src_sheets, tgt_sheets)
     findings = bitext_findings(pairs, sheet_map, qualified_location)
     if report_unmatched_targets:
         findings = findings.unionByName(A.unpicked_target_findings(tgt_cells, sheet_map))
@@ -120,44 +146,47 @@ def review_bitext(src_cells: DataFrame, tgt_cells: DataFrame, *, persist: bool =
         "stats": A.match_stats(pairs),
         "sheets": A.sheet_alignment(pairs, sheet_map),
         "consistency": A.consistency_issues(pairs),
-        "consistency_totals": A.consistency_totals(pairs),
-        "totals": A.pair_totals(pairs, findings),
+        "consistency_translations": A.issue_translations(pairs),
+        "consistency_occurrences": A.issue_occurrences(pairs),
+        "consistency_totals": A.consistency_totals(pairs, sheet_map),
+        "totals": A.pair_totals(pairs, findings, sheet_map),
     }
 
 
-def compare_documents(docs: DataFrame, fmt: str = "txt", pack: str = "basic5",
-                      cap: int | None = 200, roles: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Generic compare of document pairs.  Without ``roles`` documents 2k
-    (source) and 2k+1 (target) pair up and everything is computed without a
-    join; ``roles`` (pair_id, role, doc_id) gives any other pairing."""
-    segs = SEGMENTERS[fmt](docs.select("doc_id", "text"))
-    if roles is None:
-        segs = segs.withColumn("is_source", F.col("doc_id") % 2 == 0)
-        findings = K.automated_findings(segs, pack)
-        cmp = CMP.compare_sections_by_parity(docs, segs, findings)
-        tgt_segs = segs.filter(~F.col("is_source"))
-    else:
-        tgt_ids = roles.filter("role = 'target'").select("doc_id")
-        tgt_segs = segs.join(tgt_ids, "doc_id", "left_semi")
-        findings = K.automated_findings(tgt_segs, pack)
-        cmp = CMP.compare_sections(docs, segs, roles, findings)
-    cmp = CMP.size_ratio(cmp)
-    out = {"compare": cmp, "findings": findings,
-           "review_texts": S.review_texts(tgt_segs)}
-    if cap:
-        out["sections"] = CMP.cap_sections(segs, cap)
-    return out
-
-
-def scan_workbook(cells: DataFrame, pack: str = "extended7") -> dict[str, DataFrame]:
+def compare_documents(docs: DataFrame, roles: DataFrame, pack: str = "basic5",
+                      cap: int | None = 200) -> dict[str, DataFrame]:
+    """Generic compare of document pairs.  ``docs`` is (doc_id, path, text),
+    routed by suffix; ``roles`` is (pair_id, role in {source, target}, doc_id).
+    Ids may be of any type, such as the paths that our reader gives.
+
+    A document that is a target of any pair is checked.  ``sections`` holds
+    the first ``cap`` segments of every document, all of them without a cap."""
+    targets = roles.where("role = 'target'").select("doc_id").distinct().withColumn("_target", F.lit(True))
+    docs = docs.select("doc_id", "path", "text").join(targets, "doc_id", "left").select(
+        "doc_id", "path", "text", F.col("_target").isNull().alias("is_source"))
+    segs = G.segment_routed(docs)
+    tgt_segs = G.segment_routed(docs.where(~F.col("is_source")))
+    return {
+        "compare": CMP.size_ratio(CMP.compare_sections(corpus_counts(docs, pack), roles)),
+        "findings": K.automated_findings(tgt_segs, pack),
+        "review_texts": S.review_texts(tgt_segs),
+        "sections": segs if cap is None else CMP.cap_sections(segs, cap),
+    }
+
+
+def scan_workbook(cells: DataFrame, pack: str = "extended7",
+                  sheets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Scan the cells of workbooks.  ``sheets`` (workbook_id, sheet, sheet_idx)
+    lists all sheets; without it those that have any cell are known."""
+    sheets = A.sheets_of(cells) if sheets is None else sheets
     scanned = G.scan_cells(cells)
     findings = K.scan_findings(scanned, pack)
     return {
         "cells": scanned,
         "findings": findings,
-        "sheets": S.sheet_summary(scanned),
+        "sheets": S.sheet_summary(scanned, sheets),
         "samples": S.sample_texts(scanned),
-        "workbook": S.workbook_summary(scanned),
+        "workbook": S.workbook_summary(sheets),
         "by_dimension": S.findings_by_dimension(findings),
         "by_language": S.cells_by_language(scanned),
     }

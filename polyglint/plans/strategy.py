@@ -38,8 +38,11 @@ def number_rows(df: DataFrame, order_cols: list, name: str = "n",
     order: ties would make the numbering depend on row arrival order)."""
     spark = df.sparkSession
     # the range partitioner samples its input before the shuffle computes it:
-    # keep the input cached so the upstream plan runs once
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # keep the input cached so the upstream plan runs once.  A frame that the
+    # caller has cached stays the caller's to release.
+    level = df.storageLevel
+    cached = level.useMemory or level.useDisk
+    src = df if cached else df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # without an explicit count AQE sizes the range partitions from the
         # data (the ids are read back from the checkpoint, so they are stable)
@@ -47,7 +50,8 @@ def number_rows(df: DataFrame, order_cols: list, name: str = "n",
                   else src.repartitionByRange(*order_cols))
         ordered = cut_lineage(ranged.sortWithinPartitions(*order_cols))
     finally:
-        src.unpersist()
+        if not cached:
+            src.unpersist()
     ordered = (ordered.withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
     # within a partition monotonically_increasing_id is (pid << 33) + index

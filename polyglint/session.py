@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings a review job wants on any cluster.  AQE re-plans joins at runtime
@@ -16,6 +15,7 @@ JOB_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 PARTITION_BYTES = 128 << 20
@@ -72,17 +72,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder (never local).
-
-    The input is persisted for the duration of the checkpoint: an eager
-    checkpoint runs one job to compute the rows and another to write them,
-    and without the cache the second job would compute them again."""
+    """Materialise ``df`` in the reliable checkpoint folder (never local): one
+    job computes the rows and writes them.  ``spark.cleaner.
+    referenceTracking.cleanCheckpoints`` removes the files with the frame."""
     checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    return df.checkpoint(eager=True)
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -8,8 +8,6 @@ format-specific ordinals.  ``seq`` is the document order of the segment.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,40 +36,42 @@ def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     X.py_strip("raw").alias("line")))
 
 
+SEGMENTS = "array<struct<seq:bigint,location:string,text:string,tag:string>>"
+
+
+def _inlined(docs: DataFrame, id_col: str, segments: Column, *extra: str) -> DataFrame:
+    """One row per segment of an in-row segment array."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(segments)).select(
+        "doc_id", "seq", "location", "text", *extra)
+
+
+def line_segments(text, min_len: int = 1) -> Column:
+    """The segments of a plain text, as an array inside the row."""
+    lines = F.transform(F.split(X.col_(text), NEWLINES, -1), X.py_strip)
+    located = F.transform(lines, lambda x, i: F.struct(
+        (i + 1).cast("bigint").alias("seq"), X.loc_line(i + 1).alias("location"), x.alias("text"),
+        F.lit(None).cast("string").alias("tag")))
+    return F.filter(located, lambda s: F.length(s["text"]) > min_len)
+
+
 def segment_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_len: int = 1) -> DataFrame:
     """Text-file segmentation: strip each line, keep those longer than
     ``min_len`` code points, location ``Line N`` (N counts every line)."""
-    lines = explode_lines(docs, id_col, text_col)
-    return (lines.filter(F.length("line") > min_len)
-            .select("doc_id", F.col("line_no").alias("seq"),
-                    X.loc_line("line_no").alias("location"),
-                    F.col("line").alias("text"), "line_no"))
+    return _inlined(docs, id_col, line_segments(text_col, min_len)).withColumn("line_no", F.col("seq"))
 
 
 # --------------------------------------------------------------------------
 # markdown
 # --------------------------------------------------------------------------
 
-def fence_positions(text: Column) -> Column:
-    """0-based indexes of the lines that open or close a code fence."""
-    lines = F.split(text, NEWLINES, -1)
-    marks = F.transform(lines, lambda x, i: F.when(X.py_strip(x).startswith("```"), i))
-    return F.filter(marks, lambda i: i.isNotNull())
-
-
-SMALL_FENCE_COUNT = 16
+FENCE = "```"
 
 
 def fences_before(fences: Column, pos: Column) -> Column:
-    """Number of fence positions (a sorted array) below ``pos``.
-
-    Few fences: count them directly.  Many fences: a lower-bound binary
-    search unrolled as a fixed 32-step ``aggregate`` over (lo, hi), so a
-    document with n lines and f fences costs O(n log f) — inside the row,
-    with no window and no shuffle.
-    """
-    n = F.size(fences)
+    """Number of fence positions (a sorted array) below ``pos``: a lower-bound
+    binary search, unrolled as a fixed 32-step ``aggregate`` over (lo, hi), so
+    that a document with n lines and f fences costs O(n log f)."""
 
     def step(acc, _):
         lo, hi = acc["lo"], acc["hi"]
@@ -81,60 +81,61 @@ def fences_before(fences: Column, pos: Column) -> Column:
             below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
             F.struct(lo.alias("lo"), mid.alias("hi")))
 
-    search = F.aggregate(F.sequence(F.lit(1), F.lit(32)),
-                         F.struct(F.lit(0).alias("lo"), n.alias("hi")), step)["lo"]
-    return (F.when(n == 0, F.lit(0))
-            .when(n <= SMALL_FENCE_COUNT, F.size(F.filter(fences, lambda f: f < pos)))
-            .otherwise(search))
+    return F.when(F.size(fences) == 0, F.lit(0)).otherwise(F.aggregate(
+        F.sequence(F.lit(1), F.lit(32)),
+        F.struct(F.lit(0).alias("lo"), F.size(fences).alias("hi")), step)["lo"])
+
+
+def marked_lines(text) -> Column:
+    """Array of (line_no, line, is_fence, in_code): every line whose stripped
+    form starts with three backticks toggles a fence.  Parity is decided here,
+    inside the row, before anything is exploded."""
+
+    def with_fences(lines):
+        marks = F.filter(F.transform(lines, lambda x, i: F.when(x.startswith(FENCE), i)),
+                         lambda i: i.isNotNull())
+        return X.let(marks, lambda fences: F.transform(lines, lambda x, i: F.struct(
+            (i + 1).cast("bigint").alias("line_no"), x.alias("line"),
+            x.startswith(FENCE).alias("is_fence"),
+            (fences_before(fences, i) % 2 == 1).alias("in_code"))))
+
+    return X.let(F.transform(F.split(X.col_(text), NEWLINES, -1), X.py_strip), with_fences)
+
+
+def markdown_segments(text) -> Column:
+    """The segments of a markdown text, as an array inside the row."""
+    kept = F.filter(marked_lines(text), lambda s: ~s["is_fence"] & ~s["in_code"]
+                    & ~s["line"].startswith("#") & (F.length(s["line"]) > 1))
+    return F.transform(kept, lambda s: F.struct(
+        s["line_no"].alias("seq"), X.loc_line(s["line_no"]).alias("location"), s["line"].alias("text"),
+        F.lit(None).cast("string").alias("tag")))
 
 
 def segment_markdown(docs: DataFrame, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """Markdown segmentation.
-
-    Every line whose stripped form starts with three backticks toggles a
-    fence (an unclosed fence swallows the rest of the document); fence lines,
-    lines inside fences, heading lines (``#``) and lines of one character or
-    less are dropped.  Fence parity is computed inside the row from the sorted
-    array of fence positions (``fences_before``), so there is no window and
-    no shuffle; documents without a fence pay nothing for it.
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
-                       fence_positions(F.col(text_col)).alias("_fences"))
-    lines = base.select(
-        "doc_id", "_fences",
-        F.posexplode(F.split("_t", NEWLINES, -1)).alias("pos", "raw"))
-    opened = fences_before(F.col("_fences"), F.col("pos"))
-    seg = (lines
-           .withColumn("line", X.py_strip("raw"))
-           .filter(~F.col("line").startswith("```"))
-           .filter(opened % 2 == 0)
-           .filter(~F.col("line").startswith("#") & (F.length("line") > 1)))
-    return seg.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("seq"),
-                      X.loc_line(F.col("pos") + 1).alias("location"),
-                      F.col("line").alias("text"),
-                      (F.col("pos") + 1).cast("bigint").alias("line_no"))
+    """Markdown segmentation: fence lines, lines inside fences (an unclosed
+    fence swallows the rest of the document), heading lines (``#``) and lines
+    of one character or less are dropped."""
+    return _inlined(docs, id_col, markdown_segments(text_col)).withColumn("line_no", F.col("seq"))
 
 
 def fence_parity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line with ``is_fence`` and ``in_code`` (an odd number of fence
-    lines before it), computed inside the row: no window, no shuffle."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
-                       fence_positions(F.col(text_col)).alias("_fences"))
-    lines = base.select("doc_id", "_fences",
-                        F.posexplode(F.split("_t", NEWLINES, -1)).alias("pos", "raw"))
-    opened = fences_before(F.col("_fences"), F.col("pos"))
-    return lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"),
-                        X.py_strip("raw").startswith("```").alias("is_fence"),
-                        (opened % 2 == 1).alias("in_code"))
+    lines before it)."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(marked_lines(text_col))).select(
+        "doc_id", "line_no", "is_fence", "in_code")
 
 
 # --------------------------------------------------------------------------
 # HTML
 # --------------------------------------------------------------------------
 
-MARK_PIECE = "\x01"   # starts a piece of text at every block boundary
-MARK_TAG = "\x02"     # ends the tag name of a piece that holds block text
+MARK_PIECE = "\x01"   # starts a piece of text at every block tag
+MARK_TAG = "\x02"     # ends the tag at the start of a piece
+EMPTY_TAG = "<>"      # stands in for a removed node, so text nodes stay apart
+# a tag begins with a letter, "/", "!" or "?" behind "<"; any other "<" is text
+TAG = r"<(?:[A-Za-z/!?][^>]*)?>"
+END_OF_PAGE = 1 << 30
 
 
 def _skip_pattern() -> str:
@@ -142,48 +143,140 @@ def _skip_pattern() -> str:
     return "(?is)" + "|".join(parts + ["<!--.*?-->"])
 
 
-def _text_open_pattern() -> str:
-    return r"(?i)<(" + "|".join(C.HTML_TEXT_TAGS) + r")(\s[^>]*)?>"
-
-
-def _boundary_pattern() -> str:
-    return r"(?i)</?(" + "|".join(C.HTML_BLOCK_TAGS) + r")(\s[^>]*)?/?>"
+def _block_pattern() -> str:
+    return r"(?i)<(/?)(" + "|".join(C.HTML_BLOCK_TAGS) + r")(\s[^>]*)?/?>"
 
 
 def _inline_tag_pattern() -> str:
     # a tag plus the whitespace around it: text nodes are stripped one by one
-    return rf"{C.STRIP_CLASS}*<[^>]*>{C.STRIP_CLASS}*"
+    return rf"{C.STRIP_CLASS}*{TAG}{C.STRIP_CLASS}*"
 
 
-SPACE_ENTITY = "&nbsp;"
-EMPTY_TAG = "<>"      # stands in for a removed node, so text nodes stay apart
+def _references() -> Column:
+    """Named character references as a literal map, from the standard list;
+    those that would read as markup are decoded apart from these."""
+    from html.entities import name2codepoint
+    names = {n: chr(c) for n, c in name2codepoint.items() if n not in ("lt", "gt", "amp")} | {"apos": "'"}
+    return F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
 
 
-def decode_entities(c, skip_space: bool = False) -> Column:
-    out = X.col_(c)
-    for ent, ch in C.HTML_ENTITIES:      # "&amp;" is last
-        if skip_space and ent == SPACE_ENTITY:
-            continue
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+def decode_references(c) -> Column:
+    """Named and numeric character references as characters, all but those of
+    ``<``, ``>`` and ``&``; a code that is no character becomes U+FFFD."""
+    c = X.col_(c)
+    found = r"^(#[0-9]{1,18}|#[xX][0-9a-fA-F]{1,15}|[A-Za-z][A-Za-z0-9]*);"
 
+    def one(part):
+        name = F.regexp_extract(part, found, 1)
+        digits = F.regexp_replace(name, "^#[xX]?", "")
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).try_cast("bigint")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        shown = (F.when(name == "", F.lit(None)).when(~name.startswith("#"), F.try_element_at(_references(), name))
+                 .when(~code.isin(60, 62, 38), char))
+        return F.when(shown.isNull(), F.concat(F.lit("&"), part)).otherwise(
+            F.concat(shown, F.substr(part, F.length(name) + 2, F.lit(1 << 30))))
 
-def html_blocks(html: Column) -> Column:
-    """Array of ``tag \\x02 inner-html`` pieces, one per text block."""
-    h = F.regexp_replace(html, _skip_pattern(), EMPTY_TAG)
-    h = F.regexp_replace(h, _text_open_pattern(), MARK_PIECE + "$1" + MARK_TAG)
-    h = F.regexp_replace(h, _boundary_pattern(), MARK_PIECE)
-    return F.split(h, MARK_PIECE, -1)
+    def decoded(parts):
+        return F.concat(F.element_at(parts, 1), F.array_join(
+            F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+
+    return F.when(c.contains("&"), X.let(F.split(c, "&", -1), decoded)).otherwise(c)
 
 
 def html_text(inner) -> Column:
     """Text of an HTML fragment as the concatenation of its stripped text
-    nodes: no-break spaces decoded first (they are whitespace at a node's
-    edge), then every tag removed with the whitespace next to it, the other
-    entities decoded (``&amp;`` last, so ``&amp;lt;`` stays text), stripped."""
-    t = F.replace(X.col_(inner), F.lit(SPACE_ENTITY), F.lit("\u00a0"))
-    t = F.regexp_replace(t, _inline_tag_pattern(), "")
-    return X.py_strip(decode_entities(t, skip_space=True))
+    nodes: references decoded first (a no-break space is white space at a
+    node's edge), then every tag removed with the white space next to it, the
+    references of ``<``, ``>`` and ``&`` last."""
+    t = F.regexp_replace(decode_references(inner), _inline_tag_pattern(), "")
+    t = X.py_strip(t)
+    for char, refs in C.HTML_MARKUP_REFERENCES:
+        for ref in refs:
+            t = F.replace(t, F.lit(ref), F.lit(char))
+    return t
+
+
+def html_pieces(html) -> Column:
+    """Array of ``tag \\x02 text``, one piece from each block tag to the next;
+    a closing tag is written ``/tag``.  The first piece has no tag."""
+    h = F.regexp_replace(X.col_(html), _skip_pattern(), EMPTY_TAG)
+    h = F.regexp_replace(h, _block_pattern(), MARK_PIECE + "$1$2" + MARK_TAG)
+    return F.split(h, MARK_PIECE, -1)
+
+
+_OPEN = "array<struct<i:int,tag:string>>"
+_DONE = "array<struct<i:int,tag:string,j:int>>"
+
+
+def html_elements(pieces: Column) -> Column:
+    """Array of (i, tag, j): the text elements among ``pieces``, each from its
+    opening tag (piece i) to the piece j that ends it.
+
+    A fold over the pieces with the stack of open block elements.  A closing
+    tag ends its element and what is open inside; one without its element is
+    ignored.  A paragraph ends where a block begins, a heading where another
+    one does, and items, cells and rows as ``HTML_IMPLIED_ENDS`` says.
+    """
+    heads = [t for t in C.HTML_TEXT_TAGS if t[0] == "h"]
+    tag_of = lambda p: F.when(p.contains(MARK_TAG), F.lower(F.substring_index(p, MARK_TAG, 1))).otherwise("")
+    marks = F.transform(pieces, lambda p, i: F.struct(i.cast("int").alias("i"), tag_of(p).alias("tag")))
+
+    def step(acc, x):
+        closing = x["tag"].startswith("/")
+        tag = F.when(closing, F.substring(x["tag"], 2, 16)).otherwise(x["tag"])
+
+        def on(names):       # the tags that are open, from the innermost
+            def depth(tags):
+                return F.least(*[F.coalesce(F.nullif(F.array_position(names, t), F.lit(0)), F.lit(END_OF_PAGE)) for t in tags],
+                               F.lit(END_OF_PAGE))
+
+            ends = [F.when(tag.isin(starts) & (depth(ended) < depth(fence)), depth(ended))
+                    for starts, ended, fence in C.HTML_IMPLIED_ENDS]
+            top = F.try_element_at(names, F.lit(1))
+            ends.append(F.when((top == "p") | (top.isin(heads) & tag.isin(heads)), 1))
+            own = F.coalesce(F.nullif(F.array_position(names, tag), F.lit(0)), F.lit(0))
+            return F.when(x["tag"] == "", 0).when(closing, own).otherwise(
+                F.greatest(*[F.coalesce(e, F.lit(0)) for e in ends], F.lit(0))).cast("int")
+
+        def moved(gone):     # so many elements end here
+            left = F.size(acc["open"]) - gone
+            ended = F.filter(F.slice(acc["open"], left + 1, gone), lambda e: e["tag"].isin(C.HTML_TEXT_TAGS))
+            here = F.when(closing | (x["tag"] == ""), F.array().cast(_OPEN)).otherwise(
+                F.array(F.struct(x["i"].alias("i"), tag.alias("tag"))).cast(_OPEN))
+            return F.struct(F.concat(F.slice(acc["open"], 1, left), here).cast(_OPEN).alias("open"),
+                            F.concat(acc["done"], F.transform(ended, lambda e: F.struct(
+                                e["i"].alias("i"), e["tag"].alias("tag"), x["i"].alias("j")))).cast(_DONE).alias("done"))
+
+        names = F.reverse(F.transform(acc["open"], lambda e: e["tag"]))
+        return X.let(X.let(names, on), moved)
+
+    def rest(acc):           # elements that nothing ends reach to the end of the page
+        open_ = F.filter(acc["open"], lambda e: e["tag"].isin(C.HTML_TEXT_TAGS))
+        return F.array_sort(F.concat(acc["done"], F.transform(open_, lambda e: F.struct(
+            e["i"].alias("i"), e["tag"].alias("tag"), F.lit(END_OF_PAGE).alias("j"))).cast(_DONE)))
+
+    zero = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(_DONE).alias("done"))
+    return F.aggregate(marks, zero, step, rest)
+
+
+def html_segments(html) -> Column:
+    """The segments of an HTML page, as an array inside the row."""
+
+    def with_texts(pieces):
+        texts = F.transform(pieces, lambda p: html_text(F.substring_index(p, MARK_TAG, -1)))
+        return X.let(F.struct(texts.alias("texts"), html_elements(pieces).alias("elements")), located)
+
+    def located(page):
+        found = F.transform(page["elements"], lambda e: F.struct(
+            e["i"].cast("bigint").alias("seq"), e["tag"].alias("tag"),
+            F.array_join(F.slice(page["texts"], e["i"] + 1, e["j"] - e["i"]), "").alias("text")))
+        kept = F.filter(found, lambda s: F.length(s["text"]) > 1)
+        return F.transform(kept, lambda s: F.struct(
+            s["seq"].alias("seq"), X.loc_html(s["tag"], s["text"]).alias("location"), s["text"].alias("text"),
+            s["tag"].alias("tag")))
+
+    return X.let(html_pieces(html), with_texts)
 
 
 def segment_html(pages: DataFrame, id_col: str = "page_id",
@@ -191,20 +284,12 @@ def segment_html(pages: DataFrame, id_col: str = "page_id",
     """HTML segmentation without a DOM.
 
     script/style/nav/footer/code/pre subtrees and comments are removed; each
-    h1-h6/p/li/td/th element yields its text up to the next block boundary;
-    text of one character or less is dropped.  Location: ``<tag> "text"``,
-    the text cut at 40 code points plus ``...``.
+    h1-h6/p/li/td/th element yields the text of its whole subtree, so that
+    nested elements yield theirs too; text of one character or less is
+    dropped.  Location: ``<tag> "text"``, the text cut at 40 code points plus
+    ``...``.
     """
-    pieces = pages.select(F.col(id_col).alias("doc_id"),
-                          F.posexplode(html_blocks(F.col(html_col))).alias("pos", "piece"))
-    blocks = (pieces.filter(F.col("piece").contains(MARK_TAG))
-              .select("doc_id", "pos",
-                      F.lower(F.substring_index("piece", MARK_TAG, 1)).alias("tag"),
-                      html_text(F.expr(f"substr(piece, instr(piece, '{MARK_TAG}') + 1)"))
-                      .alias("text")))
-    return (blocks.filter(F.length("text") > 1)
-            .select("doc_id", F.col("pos").cast("bigint").alias("seq"),
-                    X.loc_html("tag", "text").alias("location"), "text", "tag"))
+    return _inlined(pages, id_col, html_segments(html_col), "tag")
 
 
 # --------------------------------------------------------------------------
@@ -212,8 +297,20 @@ def segment_html(pages: DataFrame, id_col: str = "page_id",
 # value [, value_type])
 # --------------------------------------------------------------------------
 
-# Packed cell order keys: sheets < 2^18, columns < 2^14 (the sheet format's
-# limit), rows < 2^31 — one BIGINT, so order columns stay primitive.
+def packed(*parts: tuple) -> Column:
+    """Order key of (value, bits) parts in one BIGINT, the first part highest.
+    A value that doesn't fit its bits raises: two places never share a key."""
+    assert sum(bits for _, bits in parts) <= 63
+    out = None
+    for value, bits in parts:
+        v = _bigint(value)
+        v = F.when((v >= 0) & (v < F.lit(1 << bits)), v).otherwise(F.when(
+            v.isNotNull(), F.raise_error(F.format_string(f"order key: %d needs more than {bits} bits", v)).cast("bigint")))
+        out = v if out is None else out * F.lit(1 << bits) + v
+    return out
+
+
+# Cell order keys: sheets 2^18, columns 2^14 (the sheet format's limit), rows 2^31.
 SHEET_SHIFT = 45
 PAIR_COL_SHIFT = 31
 CELL_ROW_SHIFT = 14
@@ -221,14 +318,12 @@ CELL_ROW_SHIFT = 14
 
 def cell_seq(sheet_idx, row_no, col_no) -> Column:
     """Row-major order of a cell inside its workbook."""
-    return (_bigint(sheet_idx) * F.lit(1 << SHEET_SHIFT)
-            + _bigint(row_no) * F.lit(1 << CELL_ROW_SHIFT) + _bigint(col_no))
+    return packed((sheet_idx, 18), (row_no, 31), (col_no, 14))
 
 
 def pair_seq(sheet_idx, col_no, row_no) -> Column:
     """Column-major order of a cell inside its workbook (comparison order)."""
-    return (_bigint(sheet_idx) * F.lit(1 << SHEET_SHIFT)
-            + _bigint(col_no) * F.lit(1 << PAIR_COL_SHIFT) + _bigint(row_no))
+    return packed((sheet_idx, 18), (col_no, 14), (row_no, 31))
 
 
 def admit_cells(cells: DataFrame, admit: str = "nonnull") -> DataFrame:
@@ -312,22 +407,20 @@ def segment_doc_tables(cells: DataFrame) -> DataFrame:
     """(doc_id, table_no, row_no, col_no, text) -> ``Table T, Row R, Col C``.
     Tables come after all paragraphs in document order."""
     c = _nonblank_text(cells)
-    seq = (F.lit(1 << 50) + _bigint("table_no") * F.lit(1 << 32)
-           + _bigint("row_no") * F.lit(1 << 15) + _bigint("col_no"))
+    seq = packed((F.lit(1), 1), ("table_no", 18), ("row_no", 30), ("col_no", 14))
     return c.select("doc_id", seq.alias("seq"),
                     X.loc_table("table_no", "row_no", "col_no").alias("location"), "text")
 
 
 def _slide_seq(slide_no, shape_no, kind: int, a, b) -> Column:
-    return (_bigint(slide_no) * F.lit(1 << 44) + _bigint(shape_no) * F.lit(1 << 30)
-            + F.lit(kind << 29) + _bigint(a) * F.lit(1 << 15) + _bigint(b))
+    return packed((slide_no, 14), (shape_no, 12), (F.lit(kind), 1), (a, 22), (b, 14))
 
 
 def segment_slides(paras: DataFrame) -> DataFrame:
     """(doc_id, slide_no, shape_no, para_no, text) -> ``Slide S, Paragraph P``.
     Paragraph numbers restart per shape, so locations need not be unique."""
     p = _nonblank_text(paras)
-    return p.select("doc_id", _slide_seq("slide_no", "shape_no", 0, F.lit(0), "para_no")
+    return p.select("doc_id", _slide_seq("slide_no", "shape_no", 0, "para_no", F.lit(0))
                     .alias("seq"),
                     X.loc_slide_paragraph("slide_no", "para_no").alias("location"),
                     "text", "shape_no")
@@ -351,7 +444,7 @@ def segment_page_lines(pages: DataFrame) -> DataFrame:
                          F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     lines = lines.withColumn("text", X.py_strip("raw")).filter(F.length("text") > 1)
     return lines.select("doc_id",
-                        (_bigint("page_no") * F.lit(1 << 32) + F.col("pos")).alias("seq"),
+                        packed(("page_no", 20), (F.lit(0), 1), (F.col("pos"), 42)).alias("seq"),
                         X.loc_page_line("page_no", F.col("pos") + 1).alias("location"),
                         "text")
 
@@ -360,9 +453,7 @@ def segment_page_tables(cells: DataFrame) -> DataFrame:
     """(doc_id, page_no, table_no, row_no, col_no, text) ->
     ``Page P, Table Row R, Col C`` (the table text also appears as lines)."""
     c = _nonblank_text(cells)
-    seq = (_bigint("page_no") * F.lit(1 << 32) + F.lit(1 << 31)
-           + _bigint("table_no") * F.lit(1 << 24) + _bigint("row_no") * F.lit(1 << 10)
-           + _bigint("col_no"))
+    seq = packed(("page_no", 20), (F.lit(1), 1), ("table_no", 10), ("row_no", 22), ("col_no", 10))
     return c.select("doc_id", seq.alias("seq"),
                     X.loc_page_table("page_no", "row_no", "col_no").alias("location"),
                     "text")
@@ -384,21 +475,21 @@ def route_format(docs: DataFrame, path_col: str = "path") -> DataFrame:
 def segment_routed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    path_col: str = "path") -> DataFrame:
     """Segment a mixed corpus by suffix: txt/csv/unknown as lines, md as
-    markdown, html/htm as HTML.  Each branch is a filter over the same scan,
-    so there is no shuffle.  Binary formats (xlsx/docx/pptx/pdf) enter through
-    their decoded tables instead (``segment_cells``, ``segment_paragraphs``...)
-    and yield nothing here."""
-    routed = route_format(docs, path_col).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "format", "parser")
-    out = []
-    for parser, fn in (("txt", lambda d: segment_lines(d)),
-                       ("md", lambda d: segment_markdown(d)),
-                       ("html", lambda d: segment_html(d, "doc_id", "text"))):
-        part = routed.filter(F.col("parser") == parser)
-        # carry the format through the segmenter by keying it into doc_id
-        segs = fn(part.select(F.struct("doc_id", "format").alias("doc_id"), "text"))
-        out.append(segs.select(F.col("doc_id.doc_id").alias("doc_id"),
-                               F.col("doc_id.format").alias("format"),
-                               F.lit(parser).alias("parser"),
-                               "seq", "location", "text"))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    markdown, html/htm as HTML; one pass, one array per document.  Binary
+    formats (xlsx/docx/pptx/pdf) come as decoded tables instead
+    (``segment_cells``, ``segment_paragraphs`` ...): they yield no segment here
+    and ``unsegmented`` lists them."""
+    routed = route_format(docs, path_col)
+    text = F.col(text_col)
+    segments = (F.when(F.col("parser") == "md", markdown_segments(text))
+                .when(F.col("parser") == "html", html_segments(text))
+                .when(F.col("parser") == "txt", line_segments(text)))
+    return routed.select(F.col(id_col).alias("doc_id"), "format", "parser", F.inline(segments)).select(
+        "doc_id", "format", "parser", "seq", "location", "text")
+
+
+def unsegmented(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path") -> DataFrame:
+    """(doc_id, format, parser) of the documents that ``segment_routed`` leaves
+    to the decoded-table segmenters."""
+    return route_format(docs, path_col).where(~F.col("parser").isin("txt", "md", "html")).select(
+        F.col(id_col).alias("doc_id"), "format", "parser")

@@ -72,7 +72,7 @@ def test_consistency_under_a_hot_source(spark):
     tgt = src.withColumn("value", F.when(F.col("row_no") % 3 == 0, "common")
                          .when(F.col("row_no") % 3 == 1, "usual").otherwise("frequent"))
     pairs = review_bitext(src.repartition(16), tgt.repartition(16), persist=False)["pairs"]
-    stats = A.consistency_stats(pairs).collect()
+    stats = A.consistency_counts(pairs).collect()
     assert len(stats) == 1 and stats[0].occurrences == n and stats[0].n_translations == 3
     f = A.consistency_findings(pairs).collect()
     assert f[0].location == "A1, A2, A3, A4, A5"
@@ -115,3 +115,31 @@ def test_checkpointed_pairs_match_persisted(spark):
     cols = ["location", "description", "severity"]
     assert a.count() == b.count() > 0
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
+def test_sheet_lists_and_workbooks_without_cells(spark):
+    """Sheets without cells are matched by name; workbooks without pairs have
+    totals."""
+    src = wb(spark, [("w", "A", 0, 1, 1, "中文"), ("w", "A", 0, 2, 1, "中"), ("v", "B", 0, 1, 1, "无")])
+    tgt = wb(spark, [("w", "Z", 1, 1, 1, "text")])
+    sheets = "workbook_id string, sheet string, sheet_idx long"
+    tgt_sheets = spark.createDataFrame([("w", "A", 0), ("w", "Z", 1)], sheets)
+    src_sheets = spark.createDataFrame([("w", "A", 0), ("v", "B", 0), ("u", "C", 0)], sheets)
+    r = review_bitext(src, tgt, persist=False, src_sheets=src_sheets, tgt_sheets=tgt_sheets)
+    m = {x.sheet: (x.target_sheet, x.stage) for x in r["sheet_map"].collect()}
+    assert m == {"A": ("A", "exact"), "B": (None, None), "C": (None, None)}
+    assert sorted(f.detector for f in r["findings"].collect()) == ["missing_sheet", "missing_sheet", "omission", "omission"]
+    totals = {t.workbook_id: (t.total_pairs, t.total_findings) for t in r["totals"].collect()}
+    assert totals == {"w": (2, 2), "v": (0, 1), "u": (0, 1)}
+    cons = {t.workbook_id: (t.total_unique, t.issues) for t in r["consistency_totals"].collect()}
+    assert cons == {"w": (2, 0), "v": (0, 0), "u": (0, 0)}
+
+
+def test_issue_rows(spark):
+    src = wb(spark, [("w", "S", 0, i, 1, "好") for i in range(1, 5)])
+    tgt = wb(spark, [("w", "S", 0, 1, 1, "l'un"), ("w", "S", 0, 2, 1, "fine"), ("w", "S", 0, 3, 1, "fine")])
+    pairs = review_bitext(src, tgt, persist=False)["pairs"]
+    assert sorted((r.target, r.n) for r in A.issue_translations(pairs).collect()) == [("fine", 2), ("l'un", 1)]
+    assert sorted((r.coordinate, r.target) for r in A.issue_occurrences(pairs).collect()) == [
+        ("A1", "l'un"), ("A2", "fine"), ("A3", "fine"), ("A4", None)]
+    assert A.consistency_findings(pairs).first().description == "'好' translated 2 ways: ['fine', \"l'un\"]"

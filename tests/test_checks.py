@@ -1,6 +1,7 @@
 """Residual and sensitive-term checks."""
 
 from polyglint.operators import checks as K
+from polyglint.sources.segmenters import segment_lines
 from polyglint.operators import rulepacks as RP
 
 
@@ -157,3 +158,16 @@ def test_document_prefilter_sensitive_only(spark):
     cols = ["doc_id", "location", "description"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
     assert b.count() == 2
+
+
+def test_document_filter_is_exact_for_every_pack(spark):
+    """Anchors and look-arounds see lines, so those packs are not filtered."""
+    docs = spark.createDataFrame([(1, "a\nfoo bar"), (2, "a foo\nbar"), (3, "x foo"), (4, "foo"), (5, "foo\u2028 bar"),
+                                  (6, "a\n  foo\n")], "doc_id long, text string")
+    for body in (r"^foo\b", r"foo$", r"(?<=a )foo", r"foo(?= bar)", r"(?<!a )foo", r"\Afoo", r"foo\z", r"[$^]|foo",
+                 r"foo(?!\s+bar)", r"(?:^a|foo)", r"(f)oo\b"):
+        pack = [("r", body, "P1", "d")]
+        want = sorted((f.doc_id, f.location) for f in K.automated_findings(segment_lines(docs), pack).collect())
+        got = sorted((f.doc_id, f.location) for f in K.document_findings(docs, segment_lines, pack).collect())
+        assert got == want, body
+    assert K.loose_pattern([("r", "^foo", "P1", "d")]) is None and K.loose_pattern("basic5")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from polyglint import catalog as C
 from polyglint.functions import text as X
 
 
@@ -95,3 +96,17 @@ def test_language_rules_as_data(spark):
     rules = [("IT", "[àèìòù]"), ("EN", "[a-zA-Z]{3,}")]
     got = one(spark, ["più già", "plain words", "", "42"], lambda c: X.detect_language(c, rules))
     assert got == ["IT", "EN", "unknown", "IT"]
+
+
+def test_lists_print_as_python_prints_them(spark):
+    values = [[], ["a"], ["l'homme"], ['say "x"'], ["l'\"x\""], ["a\\b", "t\tn\nr\r"], ["\x00\x1b\x7f\xa0\u3000\u200b"],
+              ["é中", "😀"]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v array<string>")
+    got = {r.i: r.s for r in df.select("i", X.list_repr("v").alias("s")).collect()}
+    assert got == {i: repr(v) for i, v in enumerate(values)}
+
+
+def test_language_uses_each_pattern_once(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(
+        X.lang_name(X.detect_language("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") == len(C.LANG_PATTERNS)

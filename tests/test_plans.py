@@ -2,8 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from polyglint.plans.queries import QUERIES, _report_findings
 
 WRITES = {"run_status", "write_review", "read_findings", "ingest_manual"}
 FORBIDDEN = ["BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
@@ -14,29 +14,47 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - WRITES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
 def test_no_pairwise_join_or_python(spark, name):
-    p = plan(E.queries()[name](spark, SF_SMALL))
+    p = plan(QUERIES[name](spark, SF_SMALL))
     assert not [f for f in FORBIDDEN if f in p]
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
-    p = plan(E.queries()["review_texts"](spark, SF_SMALL))
+    p = plan(QUERIES["review_texts"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
 def test_scan_reads_only_needed_columns(spark):
-    p = plan(E.queries()["segment_lines"](spark, SF_SMALL))
+    p = plan(QUERIES["segment_lines"](spark, SF_SMALL))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
 
 
 def test_segmenters_do_not_shuffle_by_document(spark):
     for name in ("segment_lines", "segment_markdown", "sensitive_findings", "segment_html"):
-        p = plan(E.queries()[name](spark, SF_SMALL))
+        p = plan(QUERIES[name](spark, SF_SMALL))
         assert "hashpartitioning(doc_id" not in p, name
 
 
 def test_global_numbering_has_no_single_partition(spark):
-    for name in ("sort_row_major", "report_detail"):
-        p = plan(E.queries()[name](spark, SF_SMALL))
-        assert "SinglePartition" not in p, name
+    # the frames that the numbering reads, before its checkpoint
+    for p in (plan(QUERIES["sort_row_major"](spark, SF_SMALL)), plan(_report_findings(spark, SF_SMALL))):
+        assert "SinglePartition" not in p
+
+
+@pytest.mark.parametrize("name,tables", [
+    ("segment_routed", 2), ("document_findings", 1), ("segment_totals", 1), ("segment_html", 1), ("segment_markdown", 1)])
+def test_one_scan_for_each_table(spark, name, tables):
+    from polyglint.session import _SCANS
+    kept = dict(_SCANS)
+    _SCANS.clear()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")     # a wide scan: nothing is spread and reused
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        p = plan(QUERIES[name](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        _SCANS.update(kept)
+    assert p.count("FileScan") == tables, p

@@ -72,6 +72,36 @@ def test_read_findings_list_and_object(spark, tmp_dir):
     assert [r.assessment for r in assess.collect()] == ["ok"]
 
 
+def test_read_findings_keys_empty_and_broken_files(spark, tmp_dir):
+    files = {
+        "a.json": json.dumps({"automated_findings": [{"dimension": "漏翻", "location": "A"}], "findings": [
+            {"dimension": "一致性", "location": "F"}]}),
+        "b.json": "{}", "c.json": "not json at all", "d.json": "[]",
+        "e.json": json.dumps([{"dimension": "x", "location": f"E{i}"} for i in range(12)]),
+        "f.jsonl": "",
+    }
+    for name, text in files.items():
+        with open(os.path.join(tmp_dir, name), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    found, _ = R.read_findings(spark, tmp_dir)
+    assert sorted(r.location for r in found.collect()) == sorted(["F", *[f"E{i}" for i in range(12)]])
+    auto, _ = R.read_findings(spark, tmp_dir, findings_key="automated_findings")
+    assert "A" in {r.location for r in auto.collect()} and "F" not in {r.location for r in auto.collect()}
+    rejects = R.read_rejects(spark, tmp_dir).collect()
+    assert [r.record for r in rejects] == ["not json at all"] and rejects[0].file.endswith("c.json")
+    # numbered in the order of files and places, the same in every run
+    for _ in range(2):
+        detail = sorted((r.n, r.location) for r in R.report_detail(found).collect())
+        assert [x for _, x in detail] == ["F", *[f"E{i}" for i in range(12)]]
+
+
+def test_numbering_leaves_the_callers_cache(spark):
+    f = findings(spark, [("漏翻", "P1", f"L{i}", "d") for i in range(20)]).cache()
+    f.count()
+    assert R.report_detail(f).count() == 20 and f.storageLevel.useMemory
+    f.unpersist()
+
+
 def test_write_report_status(spark, tmp_dir):
     f = findings(spark, [("漏翻", "P1", "a", "x"), ("增译", "P2", "c", "z")])
     status = R.write_report(f, os.path.join(tmp_dir, "out"), dims="all12", assessment="fine")
@@ -82,16 +112,17 @@ def test_write_report_status(spark, tmp_dir):
 
 def test_size_ratio_golden_rows(spark):
     from polyglint.operators import compare as CMP
-    from polyglint.sources.segmenters import segment_lines
+    from polyglint.operators.summary import document_counts
+    from polyglint.sources.segmenters import line_segments
     # pair 0: source 2 lines, target 3; pair 1: source 2, target 1; pair 2: both empty;
     # pair 3: the target document is absent (failed side)
     docs = spark.createDataFrame(
         [(0, "aa\nbb"), (1, "aa\nbb\ncc"), (2, "aa\nbb"), (3, "aa"), (4, ""), (5, ""), (6, "aa\nbb")],
         "doc_id long, text string")
-    segs = segment_lines(docs)
-    roles = CMP.doc_pairs_by_parity(docs).unionByName(
-        spark.createDataFrame([(3, "target", 7)], "pair_id long, role string, doc_id long"))
-    out = {r.pair_id: r for r in CMP.size_ratio(CMP.compare_sections(docs, segs, roles)).collect()}
+    counts = document_counts(docs, line_segments("text"))
+    roles = spark.createDataFrame([(i // 2, "target" if i % 2 else "source", i) for i in range(8)],
+                                  "pair_id long, role string, doc_id long")
+    out = {r.pair_id: r for r in CMP.size_ratio(CMP.compare_sections(counts, roles)).collect()}
     assert (out[0].ratio, out[0].size_flag) == (1.5, None)
     assert (out[1].ratio, out[1].size_flag) == (0.5, None)
     assert (out[2].ratio, out[2].size_flag, out[2].size_warning) == (

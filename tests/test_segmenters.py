@@ -164,3 +164,44 @@ def test_load_text_files_glob(spark, tmp_dir):
             fh.write("hello world\n")
     got = sorted(os.path.basename(r.path) for r in load_text_files(spark, tmp_dir, glob="*.md").collect())
     assert got == ["a.md", "c.md"]
+
+
+def html(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    return [[(r.tag, r.text) for r in G.segment_html(df).where(f"doc_id = {i}").orderBy("seq").collect()]
+            for i in range(len(pages))]
+
+
+def test_html_keeps_nested_text(spark):
+    got = html(
+        spark, "<li><div>nested 中文 kill</div></li>", "<td>Hello <div>world</div></td>",
+        "<ul><li>one<ul><li>two</li></ul>three</li><li>four</ul>", "<p>open <b>bold<p>next",
+        "<table><tr><td>aa<td>bb<tr><th>cc</table><p>dd</p>", "<p>xx</div>yy</p>", "x < 3 and <p>y > 2 < then</p>", "", None,
+        "<p>&eacute;&rsquo;&#20013;&#x4e2d;&nbsp;</p><p>&amp;lt;&lt;&#60;&#x3E;&bogus;&#0;&#55555555;&</p>",
+        "<li><p>inner</p></li>", "<h1>ab<h2>cd</h2>", "<p title='z'>attr</p><P\n class=x>upper</P>")
+    assert got[0] == [("li", "nested 中文 kill")] and got[1] == [("td", "Helloworld")]
+    assert got[2] == [("li", "onetwothree"), ("li", "two"), ("li", "four")]
+    assert got[3] == [("p", "openbold"), ("p", "next")]
+    assert got[4] == [("td", "aa"), ("td", "bb"), ("th", "cc"), ("p", "dd")]
+    assert got[5] == [("p", "xxyy")] and got[6] == [("p", "y > 2 < then")] and got[7] == [] and got[8] == []
+    assert got[9] == [("p", "é’中中"), ("p", "&lt;<<>&bogus;\ufffd\ufffd&")]
+    assert got[10] == [("li", "inner"), ("p", "inner")] and got[11] == [("h1", "ab"), ("h2", "cd")]
+    assert got[12] == [("p", "attr"), ("p", "upper")]
+
+
+def test_html_text_of_bare_signs(spark):
+    df = spark.createDataFrame([("x < 3 and y > 2 then",), ("a<b>c</b>",), ("1 <2 <!-- c --> 3",)], "t string")
+    assert [r[0] for r in df.select(G.html_text("t")).collect()] == ["x < 3 and y > 2 then", "ac", "1 <23"]
+
+
+def test_order_keys_never_collide(spark):
+    n = 20_000
+    cells = spark.range(n).selectExpr("1L as doc_id", "1L as page_no", "id as row_no", "1L as col_no", "'tt' as text")
+    both = cells.selectExpr("*", "1L as table_no").unionByName(cells.selectExpr("*", "2L as table_no"))
+    segs = G.segment_page_tables(both)
+    assert segs.select("seq").distinct().count() == 2 * n
+    ordered = segs.orderBy("seq").selectExpr("location").limit(n + 1).collect()
+    assert ordered[0].location == "Page 1, Table Row 0, Col 1" and ordered[n].location == "Page 1, Table Row 0, Col 1"
+    import pytest
+    with pytest.raises(Exception, match="order key"):
+        G.segment_page_tables(both.selectExpr("doc_id", "page_no", "table_no", "row_no + 5000000 as row_no", "col_no", "text")).collect()
