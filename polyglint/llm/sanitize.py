@@ -21,7 +21,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, fresh, map_arrow, text_key, written
@@ -147,6 +147,11 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                                  F.col(text_col).alias("text")), run, "doc_id long, " + _FOUND)
 
 
+def _share(n: float, n_ct: Column, n_c: Column, n_t: Column) -> Column:
+    """What a term reveals of an entity, as a share of the entity's information."""
+    return F.log2(n_ct * n / (n_c * n_t)) / F.log2(n / n_c)
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT,
                      generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """(entity, term, share, action): what terms reveal of the entities near them.
@@ -161,16 +166,19 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     near = F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
     n_ct = (texts.select(F.explode(near).alias("x")).groupBy("x.entity", "x.term")
             .agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_support))
-    pairs = written(n_ct.join(n_c, "entity"), "pii-pairs")
-    # how many texts hold each of these terms anywhere
+    # a term stands in at least the texts that hold it near any entity, so its share is at most this
+    n_near = (texts.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
+              .groupBy("term").agg(F.count(F.lit(1)).alias("n_near")))
+    at_most = _share(n, F.col("n_ct"), F.col("n_c"), F.col("n_near"))
+    pairs = written(n_ct.join(n_c, "entity").join(n_near, "term")
+                    .where((F.col("n_c") < n) & (at_most >= generalise_at)).drop("n_near"), "pii-pairs")
+    # how many texts hold each of the terms that are left anywhere
     words = docs.select(*text_key(F.col(text_col)), F.explode(F.array_distinct(F.split(
         F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
     n_t = (words.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
            .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    n_t_of = F.greatest(F.coalesce("n_t", F.lit(0)), "n_ct")
-    share = F.log2(F.col("n_ct") * n / (F.col("n_c") * n_t_of)) / F.log2(n / F.col("n_c"))
-    return (pairs.join(n_t, "term", "left").where(F.col("n_c") < n)
-            .select("entity", "term", share.alias("share")).where(F.col("share") >= generalise_at)
+    share = _share(n, F.col("n_ct"), F.col("n_c"), F.greatest(F.coalesce("n_t", F.lit(0)), "n_ct"))
+    return (pairs.join(n_t, "term", "left").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise_at)
             .withColumn("action", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised")))
 
 
