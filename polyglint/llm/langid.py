@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, map_arrow
+from .common import batches_of, fresh, map_arrow
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -169,14 +169,16 @@ def fit(labelled: DataFrame, docs_per_language: int = FIT_DOCS_PER_LANGUAGE,
     return Model([r["lang"] for r in rows], np.log(docs / docs.sum()), np.ascontiguousarray(log_prob.T))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; all other columns are kept.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred",
+            score_col: str = "score") -> DataFrame:
+    """``docs`` with lang_pred and score; all other columns are kept, those of
+    these two names are replaced.
 
     A null, empty or letterless text, and every text when nothing could be
     learned, is ``und`` with score 0.  No shuffle; the model is a broadcast of
     bounded size.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in (lang_col.lower(), score_col.lower())]
     docs = docs.select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -185,10 +187,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             langs, score = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"])
+                [*names, lang_col, score_col])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(lang_col, StringType()).add(score_col, DoubleType())
     return map_arrow(docs, run, schema)
 
 
@@ -203,5 +205,6 @@ def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows whose language is found: not ``und``, and its probability at
     least ``min_score``."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    out = predict(docs, model)
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    out = predict(docs, model, lang_col=lang, score_col=score)
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)

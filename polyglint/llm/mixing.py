@@ -157,10 +157,14 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
         F.col("start") / F.col(own_budget) * F.lit(float(output_blocks))).cast("long").alias("mix_block"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          **options) -> DataFrame:
     """The mixture with the columns of ``docs`` alone: rows repeat as often as
     their source's weight asks, and those beyond its budget are gone."""
-    return mix(docs, **options).select(*docs.columns)
+    # the row travels as one column, so that no name in it meets one of ours
+    row = F.struct(*docs.columns).alias("row")
+    own = docs.select(row, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    return mix(own, **options).select("row.*")
 
 
 def oracle(entropy_share: float = ENTROPY_SHARE, max_repetition: float = MAX_REPETITION,
