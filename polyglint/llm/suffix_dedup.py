@@ -243,11 +243,6 @@ def _resolve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["trigger", "doc", "place", "end"])
 
 
-def _words(windows: np.ndarray) -> np.ndarray:
-    """Windows as values that numpy sorts."""
-    return np.ascontiguousarray(windows).view(np.dtype((np.void, WINDOW))).ravel()
-
-
 def _sorted_suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases sorted by trigger, document and place, with their bytes ->
     stretches of windows that an earlier phrase has."""
@@ -264,7 +259,7 @@ def _sorted_suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(raw)), lens - WINDOW + 1)
         within = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(lens - WINDOW + 1)[:-1]]), lens - WINDOW + 1)
         windows = np.lib.stride_tricks.sliding_window_view(b, WINDOW)[first[of] + within]
-        order = np.argsort(_words(windows), kind="stable")
+        order = np.argsort(np.ascontiguousarray(windows).view(np.dtype((np.void, WINDOW))).ravel(), kind="stable")
         ranked = windows[order]
         equal = np.concatenate([[False], (ranked[1:] == ranked[:-1]).all(axis=1)])
         d, p = np.array(d, np.int64), np.array(p, np.int64)
@@ -359,7 +354,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (t, c, d, p)), pa.array(raw, pa.binary())],
                                                  [*_NAMES, "raw"])
 
-    # pieces of a text that is cut at another place elsewhere, and phrases of every trigger, meet here
     bytes_of = written(map_arrow(texts.join(wanted, ["doc", "tie"]).select("doc", "tie", "z", "phrases"), fetch,
                                  _ROW + ", raw binary"), "phrase-bytes")
     by_suffix = map_arrow(bytes_of.where("raw is not null").select("trigger", "doc", "place", "raw")
