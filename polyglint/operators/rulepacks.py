@@ -160,7 +160,7 @@ def term_hits(texts: DataFrame, glossary: DataFrame, text_col: str = "source") -
     check; texts are deduplicated first, so a boilerplate text repeated
     millions of times is cut once.
     """
-    g = glossary.select("term", "approved").filter(F.length("term") > 0).distinct().cache()
+    g = glossary.select("term", "approved").filter(F.length("term") > 0).distinct()
     lengths = sorted(r[0] for r in g.select(F.length("term")).distinct().collect())
     gb = checked_broadcast(g)
     distinct = texts.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()) \
@@ -177,14 +177,34 @@ def term_hits(texts: DataFrame, glossary: DataFrame, text_col: str = "source") -
     return cut.join(gb, "term").select("text", "term", "approved")
 
 
-def terminology_findings(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
+INLINE_TERMS = 2_000
+
+
+def _inline_misses(pairs: DataFrame, terms: list) -> DataFrame:
+    """(pair, term, approved) of the terms in a source whose rendering isn't in
+    the target, looked for inside the row."""
+    known = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(a).alias("approved")) for t, a in terms]) if terms \
+        else F.array().cast("array<struct<term:string,approved:string>>")
+    missed = F.filter(known, lambda g: F.col("source").contains(g["term"]) & ~F.col("target").contains(g["approved"]))
+    return pairs.select("*", F.inline(missed))
+
+
+def terminology_findings(pairs: DataFrame, glossary: DataFrame, inline_terms: int = INLINE_TERMS) -> DataFrame:
     """术语错误 / P2 for every pair whose source contains a glossary term and
     whose target does not contain the approved rendering (case-sensitive).
-    Pairs without a target are left to the omission check."""
-    hits = term_hits(pairs.filter(F.col("target").isNotNull()), glossary, "source")
-    p = pairs.filter(F.col("target").isNotNull()) \
-        .join(hits.withColumnRenamed("text", "source"), "source")
-    bad = p.filter(~F.col("target").contains(F.col("approved")))
+    Pairs without a target are left to the omission check.
+
+    A glossary of at most ``inline_terms`` entries is tested inside the row,
+    without any join; a larger one by an equi-join on substrings of the
+    distinct sources, joined back to the pairs.  Both give the same rows."""
+    p = pairs.filter(F.col("target").isNotNull())
+    terms = glossary.select("term", "approved").filter(F.length("term") > 0).distinct().limit(inline_terms + 1).collect()
+    if len(terms) <= inline_terms:
+        bad = _inline_misses(p.filter(F.col("source").isNotNull()), sorted(map(tuple, terms)))
+    else:
+        hits = term_hits(p, glossary, "source")
+        bad = p.join(hits.withColumnRenamed("text", "source"), "source").filter(
+            ~F.col("target").contains(F.col("approved")))
     desc = F.concat(F.lit("Term "), X.quote("term"), F.lit(" should be rendered as "),
                     X.quote("approved"), F.lit(", target: "),
                     X.quote(X.truncate_text("target", C.CUT_PAIR)))

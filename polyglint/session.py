@@ -88,13 +88,17 @@ def table_path(sf_dir: str, name: str) -> str:
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that is narrower than the cluster (a small file
-    with one row group is read by a single task) over one partition per
-    core.  A scan that is already wide — any large input — is left as it is,
-    so no text is shuffled at scale."""
+SPREAD_BYTES = 1 << 30
+
+
+def spread_scan(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Round-robin a small scan that is narrower than the cluster (a file with
+    one row group is read by a single task) over one partition per core.
+    Inputs over ``max_bytes`` are left as they are however many cores there
+    are: their text is not shuffled for this."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= max_bytes and df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
 

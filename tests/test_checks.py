@@ -171,3 +171,15 @@ def test_document_filter_is_exact_for_every_pack(spark):
         got = sorted((f.doc_id, f.location) for f in K.document_findings(docs, segment_lines, pack).collect())
         assert got == want, body
     assert K.loose_pattern([("r", "^foo", "P1", "d")]) is None and K.loose_pattern("basic5")
+
+
+def test_large_and_small_glossaries_agree(spark):
+    pairs = spark.createDataFrame(
+        [("w", "S", "A1", 1, "甲乙丙", "one two"), ("w", "S", "A2", 2, "乙", "x"), ("w", "S", "A3", 3, "甲乙", None),
+         ("w", "S", "A4", 4, None, "y"), ("w", "S", "A5", 5, "丁", "four")],
+        "workbook_id string, sheet string, coordinate string, pair_seq long, source string, target string")
+    glossary = spark.createDataFrame([("甲", "one"), ("乙", "2"), ("甲乙", "one two"), ("", "z"), ("乙", "2")],
+                                     "term string, approved string")
+    rows = lambda n: sorted(tuple(r) for r in RP.terminology_findings(pairs, glossary, inline_terms=n).collect())
+    assert rows(10) == rows(1) and len(rows(10)) == 2
+    assert RP.terminology_findings(pairs, glossary.limit(0)).count() == 0

@@ -11,8 +11,12 @@ HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HERE)
 
 NOTES = {
-    "segment_lines": "Narrow: scan (two columns) -> spread -> posexplode -> strip/filter in one "
-                     "codegen stage; no shuffle besides spreading the single-row-group file.",
+    "segment_lines": "Narrow: scan (two columns) -> spread -> one array of segments, exploded once; "
+                     "no shuffle besides spreading the single-row-group file.",
+    "segment_html_nested": "The element stack is folded inside the row; no shuffle.",
+    "document_findings": "Both checks in one pass over the lines of documents that can hold a finding.",
+    "segment_totals": "Counted inside the row: one scan, no shuffle.",
+    "size_ratio": "One join of the pairing with one row per document.",
     "sensitive_findings": "One combined-alternation filter, then one Generate over the "
                           "flattened per-rule hits; no shuffle.",
     "segment_markdown": "Fence parity is computed inside the row (no Window, no Exchange on doc).",
@@ -24,11 +28,10 @@ NOTES = {
     "consistency_findings": "(source, target) partial aggregate before the shuffle; coordinates "
                             "via partial WindowGroupLimit(5).",
     "report_summary_all12": "One Expand (rollup) + conditional counts over the persisted "
-                            "findings; the fixed dimension list is a broadcast left join.",
+                            "findings, joined to the fixed dimension list.",
     "report_detail": "Global numbering: the range-partitioned, sorted findings come from a "
                      "reliable checkpoint; per-partition offsets are a broadcast table.",
-    "terminology_check": "Distinct sources cut into glossary-length substrings, equi-joined to "
-                         "the broadcast glossary; no theta join.",
+    "terminology_check": "A small glossary is tested inside the row; no join.",
 }
 
 
