@@ -35,7 +35,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_chars, n_tokens, ids, ids_sha256) of every row."""
-    return bpe_reuse.with_digest(bpe_reuse.encode(docs)).select(
+    return bpe_reuse.encode(docs).select(
         "doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "ids_sha256")
 
 

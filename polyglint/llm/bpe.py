@@ -14,6 +14,8 @@ import functools
 import os
 import re
 
+from .common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MAX_UNITS = 500_000        # units of a generation; at most two generations are held
@@ -110,10 +112,9 @@ class _Units(dict):
         return self.ids(key if key[:1] == "\n" else " " + key)
 
 
-@functools.lru_cache(maxsize=1)
-def unit_encoder(path: str) -> UnitEncoder:
+def unit_encoder(path: str, max_units: int = MAX_UNITS) -> UnitEncoder:
     """One encoder in each worker process."""
-    return UnitEncoder(path)
+    return kept("bpe-units", (path, max_units), lambda: UnitEncoder(path, max_units))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

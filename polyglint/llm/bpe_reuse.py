@@ -12,7 +12,6 @@ end over the whole text, until both sides agree.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -23,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import batches_of, map_arrow
+from .common import batches_of, kept, map_arrow, slices
 
 WINDOW = 16                # code points that the rolling hash sees
 CHUNK_BITS = 9             # a chunk has about 2 ** CHUNK_BITS code points
-KEPT_CODE_POINTS = 1 << 23 # text of the chunks that a worker keeps, at most twice
+KEPT_CODE_POINTS = 1 << 22 # text of the chunks that a worker keeps, at most twice
+KEPT_UNITS = 200_000       # units that it keeps beside them, at most twice
+
+KEEPS = "bpe-chunks"
 
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -53,7 +55,7 @@ class ChunkEncoder:
     """Encodes whole texts chunk by chunk and keeps what chunks come to."""
 
     def __init__(self, path: str, kept: int = KEPT_CODE_POINTS, bits: int = CHUNK_BITS):
-        self.units = bpe.unit_encoder(path)
+        self.units = bpe.UnitEncoder(path, KEPT_UNITS)
         self.kept, self.bits, self.size = kept, bits, 0
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
@@ -103,26 +105,32 @@ class ChunkEncoder:
         return b"".join(out)
 
 
-@functools.lru_cache(maxsize=1)
 def chunk_encoder(path: str) -> ChunkEncoder:
     """One encoder in each worker process."""
-    return ChunkEncoder(path)
+    return kept(KEEPS, path, lambda: ChunkEncoder(path))
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ids (array<int>) of each whole text; a null or empty text
-    has none.  Every row and other column is kept.  No shuffle."""
+    """``docs`` with ids (array<int>) of each whole text, n_tokens and
+    ids_sha256, of the ids as little-endian unsigned 32-bit integers; a null or
+    empty text has none.  Every row is kept, and every other column.  No
+    shuffle."""
     vocabulary = vocabulary or bpe.vocabulary()
-    names = [c for c in docs.columns if c.lower() != "ids"]
+    made = ["ids", "n_tokens", "ids_sha256"]
+    names = [c for c in docs.columns if c.lower() not in made]
     docs = docs.select(*names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = chunk_encoder(vocabulary).encode
         for batch, texts in batches_of(it, text_col):
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists([enc(t) for t in texts])], [*names, "ids"])
+            ids = [enc(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, _lists(ids), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())], [*names, *made])
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
-    return map_arrow(docs, run, StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())))
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+    schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType())
+    return map_arrow(docs, run, schema.add("ids_sha256", StringType()), KEEPS)
 
 
 def _lists(ids: list[bytes]) -> pa.ListArray:
@@ -137,35 +145,15 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     encoded = encoded.select(*names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = bpe.unit_encoder(vocabulary).decode
-        for batch in it:
+        dec = chunk_encoder(vocabulary).units.decode
+        for batch in slices(it):
             ids = batch.column(batch.schema.get_field_index("ids"))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([dec(x.values.tolist() if x.is_valid else []) for x in ids], pa.string())],
                 [*names, "decoded"])
 
     from pyspark.sql.types import StringType, StructType
-    return map_arrow(encoded, run, StructType([*encoded.schema.fields]).add("decoded", StringType()))
-
-
-def with_digest(encoded: DataFrame) -> DataFrame:
-    """``encoded`` with n_tokens and ids_sha256, of the ids as little-endian
-    unsigned 32-bit integers."""
-    names = [c for c in encoded.columns if c.lower() not in ("n_tokens", "ids_sha256")]
-    encoded = encoded.select(*names)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4") if x.is_valid else np.empty(0, "<u4")
-                   for x in batch.column(batch.schema.get_field_index("ids"))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string())],
-                [*names, "n_tokens", "ids_sha256"])
-
-    from pyspark.sql.types import LongType, StringType, StructType
-    return map_arrow(encoded, run, StructType([*encoded.schema.fields]).add("n_tokens", LongType())
-                     .add("ids_sha256", StringType()))
+    return map_arrow(encoded, run, StructType([*encoded.schema.fields]).add("decoded", StringType()), KEEPS)
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +161,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_i
     vocabulary = vocabulary or bpe.vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = chunk_encoder(vocabulary).encode, bpe.unit_encoder(vocabulary).decode
+        enc, dec = chunk_encoder(vocabulary).encode, chunk_encoder(vocabulary).units.decode
         for batch, texts in batches_of(it, "text"):
             n, ids_sha, text_sha = [], [], []
             for t in texts:
@@ -186,4 +174,4 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_i
                  pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run,
-                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", KEEPS)

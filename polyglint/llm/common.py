@@ -32,10 +32,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    """``mapInArrow`` with the package made importable in the workers."""
+              schema, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` with the package made importable in the workers.
+
+    A worker process serves one operator after the other: what others have
+    kept there (``kept``, under another name than ``keeps``) is dropped first."""
     attach(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(keeps)
+        return fn(it)
+
+    return df.mapInArrow(task, schema)
+
+
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(name: str, key, make: Callable):
+    """``make()``, made once in a worker process and kept under ``name`` from
+    task to task while operators that keep this name run there."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT[name] = (key, make())
+    return _KEPT[name][1]
+
+
+def forget_others(name: str | None) -> None:
+    for other in [n for n in _KEPT if n != name]:
+        del _KEPT[other]
+
+
+SLICE_ROWS = 512
+
+
+def slices(it: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The record batches in pieces of at most ``rows`` rows, which bounds what
+    is held as Python objects at a time."""
+    for batch in it:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -60,8 +95,9 @@ def text_key(text: Column) -> list[Column]:
 
 
 def batches_of(it: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """The record batches with one string column as Python strings (null: empty)."""
-    for batch in it:
+    """The record batches, in slices, with one string column as Python strings
+    (null: empty)."""
+    for batch in slices(it):
         yield batch, [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, fresh, map_arrow, text_key, written
+from .common import batches_of, fresh, map_arrow, slices, text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
@@ -246,7 +246,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     has_length = length_col in names and dict(docs.dtypes)[length_col] == "bigint"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             old = batch.column(at).to_pylist()
             terms = batch.column(len(names)).to_pylist()
             new = [t if t is None else _masked(t, x) for t, x in zip(old, terms)]

@@ -133,7 +133,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str
         if held:
             yield record()
 
-    map_arrow(ordered, run, SCHEMA).write.parquet(path)
+    map_arrow(ordered, run, SCHEMA, keeps="bpe-units").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
