@@ -91,6 +91,10 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', value)}"
 
 
+def _words(text: str) -> set[str]:
+    return {w for w in _WORD.findall(text.lower()) if len(w) >= MIN_TERM}
+
+
 def context_terms(text: str, spans: dict[str, list[tuple[int, int]]], words: int = CONTEXT_WORDS) -> list[tuple]:
     """(entity, term, start, end) of the words around each entity; words that
     overlap personal data themselves are not terms."""
@@ -119,14 +123,15 @@ def context_terms(text: str, spans: dict[str, list[tuple[int, int]]], words: int
 
 
 _FOUND = ("text_hash long, text_len int, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-          "base_spans string, entities array<string>, "
+          "base_spans string, entities array<string>, words array<string>, "
           "terms array<struct<entity:string,term:string,start:int,end:int>>")
 _TERMS = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()),
                              ("end", pa.int32())]))
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: its text's key, base spans, entities and the terms around them."""
+    """Per row: its text's key, base spans and entities; where there are any,
+    all words of the text and the terms around the entities."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of(it, "text"):
@@ -138,10 +143,12 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                  pa.array(said, pa.string()),
                  pa.array([sorted({entity(k, t[a:b]) for k in KINDS for a, b in s[k]}) for t, s in zip(texts, found)],
                           pa.list_(pa.string())),
+                 pa.array([sorted(_words(t)) if any(s.values()) else [] for t, s in zip(texts, found)],
+                          pa.list_(pa.string())),
                  pa.array([[dict(zip(("entity", "term", "start", "end"), x)) for x in context_terms(t, s)]
                            for t, s in zip(texts, found)], _TERMS)],
                 ["doc_id", "text_hash", "text_len", *(f"n_{k}" for k in KINDS), "base_sha256", "base_spans",
-                 "entities", "terms"])
+                 "entities", "words", "terms"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(F.col(text_col)),
                                  F.col(text_col).alias("text")), run, "doc_id long, " + _FOUND)
@@ -166,18 +173,19 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     near = F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
     n_ct = (texts.select(F.explode(near).alias("x")).groupBy("x.entity", "x.term")
             .agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_support))
-    # a term stands in at least the texts that hold it near any entity, so its share is at most this
-    n_near = (texts.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
-              .groupBy("term").agg(F.count(F.lit(1)).alias("n_near")))
-    at_most = _share(n, F.col("n_ct"), F.col("n_c"), F.col("n_near"))
-    pairs = written(n_ct.join(n_c, "entity").join(n_near, "term")
-                    .where((F.col("n_c") < n) & (at_most >= generalise_at)).drop("n_near"), "pii-pairs")
+    # a term stands in no fewer texts than in those with an entity, so its share
+    # is at most this; that leaves out frequent words before the corpus is counted
+    n_some = (texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_some")))
+    n_least = F.greatest(F.coalesce("n_some", F.lit(0)), "n_ct")
+    pairs = written(n_ct.join(n_c, "entity").join(n_some, "term", "left").withColumn("n_some", n_least)
+                    .where((F.col("n_c") < n) & (_share(n, F.col("n_ct"), F.col("n_c"), F.col("n_some")) >= generalise_at)),
+                    "pii-pairs")
     # how many texts hold each of the terms that are left anywhere
     words = docs.select(*text_key(F.col(text_col)), F.explode(F.array_distinct(F.split(
         F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
     n_t = (words.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
            .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    share = _share(n, F.col("n_ct"), F.col("n_c"), F.greatest(F.coalesce("n_t", F.lit(0)), "n_ct"))
+    share = _share(n, F.col("n_ct"), F.col("n_c"), F.greatest(F.coalesce("n_t", F.lit(0)), "n_some"))
     return (pairs.join(n_t, "term", "left").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise_at)
             .withColumn("action", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised")))
 
