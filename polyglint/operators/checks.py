@@ -241,6 +241,16 @@ def loose_pattern(pack) -> str | None:
     return JVM_FLAGS + "|".join(parts) if parts else None
 
 
+def may_hold_findings(text, pack="basic5", script_class: str = C.CJK_CLASS, include_residual: bool = True) -> Column:
+    """False only for a document none of whose lines can have a finding (see
+    ``loose_pattern``); for plain text and markdown."""
+    text = X.col_(text)
+    loose = loose_pattern(pack)
+    if loose is None:
+        return F.lit(True)
+    return (text.rlike(script_class) | text.rlike(loose)) if include_residual else text.rlike(loose)
+
+
 def document_findings(docs: DataFrame, segmenter, pack="basic5",
                       script_class: str = C.CJK_CLASS, text_col: str = "text",
                       include_residual: bool = True) -> DataFrame:
@@ -250,11 +260,8 @@ def document_findings(docs: DataFrame, segmenter, pack="basic5",
     else all are split.  Equal to ``automated_findings`` of all segments for
     segmenters whose segments are stripped substrings of the text (not for
     HTML, where tag removal can join text)."""
-    t = F.col(text_col)
     pack = resolve_pack(pack)
-    loose = loose_pattern(pack)
-    if loose is not None:
-        docs = docs.filter((t.rlike(script_class) | t.rlike(loose)) if include_residual else t.rlike(loose))
+    docs = docs.filter(may_hold_findings(text_col, pack, script_class, include_residual))
     return automated_findings(segmenter(docs), pack, script_class=script_class, include_residual=include_residual)
 
 

@@ -72,16 +72,20 @@ def first_locations(segments: DataFrame, k: int = C.CAP_LOCATIONS) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, segments, pack="basic5", id_col: str = "doc_id",
-                    is_source=None) -> DataFrame:
+                    is_source=None, may_hold=None) -> DataFrame:
     """(doc_id, total_sections, unique_texts, automated_count) of every
     document, those without segments included: counted inside the row, in one
     scan and without a shuffle.
 
     ``segments`` is an in-row segment array (``segmenters.line_segments`` ...);
-    documents for which the column ``is_source`` holds get no findings."""
+    documents for which the column ``is_source`` holds get no findings, and
+    neither do those for which ``may_hold`` does not (``checks.
+    may_hold_findings``; their segments are not looked at)."""
     def counts(segs):
         found = F.aggregate(segs, F.lit(0).cast("bigint"),
                             lambda n, s: n + F.size(finding_hits(s["text"], pack)))
+        if may_hold is not None:
+            found = F.when(F.coalesce(may_hold, F.lit(False)), found).otherwise(F.lit(0).cast("bigint"))
         if is_source is not None:
             found = F.when(F.coalesce(is_source, F.lit(False)), F.lit(0).cast("bigint")).otherwise(found)
         return F.struct(F.size(segs).cast("bigint").alias("total_sections"),
@@ -90,8 +94,8 @@ def document_counts(docs: DataFrame, segments, pack="basic5", id_col: str = "doc
 
     pack = resolve_pack(pack)
     none = F.array().cast(SEGMENTS)
-    return docs.select(F.col(id_col).alias("doc_id"), let(F.coalesce(segments, none), counts).alias("n")).select(
-        "doc_id", "n.*")
+    # inline: the counts of a row are one value, which no later projection works out again
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(let(F.coalesce(segments, none), counts))))
 
 
 def segment_totals(segments: DataFrame, findings: DataFrame | None = None,

@@ -444,7 +444,7 @@ def segment_totals(spark, d):
     """Every document of the markdown corpus, those that an unclosed fence
     leaves without segments included."""
     docs = FX.fx_markdown(spark, d)
-    return S.document_counts(docs, G.markdown_segments("text"), "basic5")
+    return S.document_counts(docs, G.markdown_segments("text"), "basic5", may_hold=K.may_hold_findings("text", "basic5"))
 
 
 @q("segment_totals_sensitive")

@@ -38,7 +38,8 @@ def review_documents(docs: DataFrame, fmt: str = "txt", pack: str = "basic5",
         return {"findings": K.document_findings(docs.select("doc_id", "text"),
                                                 SEGMENTERS[fmt], pack)}
     segs = SEGMENTERS[fmt](docs.select("doc_id", "text"))
-    totals = S.document_counts(docs, ARRAYS[fmt]("text"), pack, is_source=F.lit(is_source))
+    totals = S.document_counts(docs, ARRAYS[fmt]("text"), pack, is_source=F.lit(is_source),
+                               may_hold=None if fmt == "html" else K.may_hold_findings("text", pack))
     if is_source:
         return {"segments": segs, "findings": K.automated_findings(segs.limit(0), pack), "totals": totals}
     return {
@@ -77,7 +78,8 @@ def corpus_counts(docs: DataFrame, pack: str = "basic5") -> DataFrame:
     routed = G.route_format(docs.select("doc_id", "path", "text", gate.alias("is_source")))
     counts = S.document_counts(routed.withColumn("doc_id", F.struct("doc_id", "format")), F.when(
         F.col("parser") == "md", G.markdown_segments("text")).when(F.col("parser") == "html", G.html_segments("text"))
-        .when(F.col("parser") == "txt", G.line_segments("text")), pack, is_source=F.col("is_source"))
+        .when(F.col("parser") == "txt", G.line_segments("text")), pack, is_source=F.col("is_source"),
+        may_hold=(F.col("parser") == "html") | K.may_hold_findings("text", pack))
     return counts.select("doc_id.doc_id", "doc_id.format", "total_sections", "unique_texts", "automated_count")
 
 

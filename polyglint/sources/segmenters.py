@@ -70,8 +70,9 @@ FENCE = "```"
 
 def fences_before(fences: Column, pos: Column) -> Column:
     """Number of fence positions (a sorted array) below ``pos``: a lower-bound
-    binary search, unrolled as a fixed 32-step ``aggregate`` over (lo, hi), so
-    that a document with n lines and f fences costs O(n log f)."""
+    binary search as an ``aggregate`` over (lo, hi) with as many steps as the
+    number of fences needs, so that a document with n lines and f fences costs
+    O(n log f)."""
 
     def step(acc, _):
         lo, hi = acc["lo"], acc["hi"]
@@ -82,7 +83,7 @@ def fences_before(fences: Column, pos: Column) -> Column:
             F.struct(lo.alias("lo"), mid.alias("hi")))
 
     return F.when(F.size(fences) == 0, F.lit(0)).otherwise(F.aggregate(
-        F.sequence(F.lit(1), F.lit(32)),
+        F.sequence(F.lit(1), F.ceil(F.log2(F.size(fences) + 1)).cast("int")),
         F.struct(F.lit(0).alias("lo"), F.size(fences).alias("hi")), step)["lo"])
 
 
