@@ -2,22 +2,23 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; their
 values are the protected entities.  Corpus co-occurrence then tells how much a
-term near an entity reveals of it: the pointwise mutual information of the two,
+term in the text of an entity reveals of it: the pointwise mutual information of the two,
 as a share of the information that the entity itself carries,
 
     PMI(c; t) / IC(c) = log2(n_ct * N / (n_c * n_t)) / log2(N / n_c),
 
 where N counts the distinct texts, n_c those with the entity, n_t those with
-the term and n_ct those with the term close to the entity.  The share is 1 for
-a term that occurs in no text without the entity.  Terms over a threshold are
-generalised to their class, those over a higher one are removed.
+the term and n_ct those with both, wherever they stand.  The share is 1 for a
+term that occurs in no text without the entity.  Terms over a threshold are
+generalised to their class, those over a higher one are removed, at all their
+places in the texts with the entity.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,6 @@ from .common import batches_of, fresh, map_arrow, slices, text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
-CONTEXT_WORDS = 4        # terms looked at on either side of an entity
 MIN_TERM = 3             # letters or digits of a term, at least
 MIN_SUPPORT = 3          # distinct texts that must hold entity and term together
 GENERALISE_AT = 0.7
@@ -91,47 +91,37 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', value)}"
 
 
-def _words(text: str) -> set[str]:
-    return {w for w in _WORD.findall(text.lower()) if len(w) >= MIN_TERM}
-
-
-def context_terms(text: str, spans: dict[str, list[tuple[int, int]]], words: int = CONTEXT_WORDS) -> list[tuple]:
-    """(entity, term, start, end) of the words around each entity; words that
-    overlap personal data themselves are not terms."""
+def terms_of(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words of the whole text; words that overlap
+    personal data themselves are not terms."""
     taken = sorted(s for k in KINDS for s in spans[k])
-    if not taken:
-        return []
     ends, top = [], 0
     for _, e in taken:
         top = max(top, e)
         ends.append(top)
     starts = [s for s, _ in taken]
-    terms = []
+    out = []
     for m in _WORD.finditer(text):
         k = bisect_left(starts, m.end())       # spans that start before the word ends
-        if not (k and ends[k - 1] > m.start()):
-            terms.append((m.start(), m.end()))
-    firsts, lasts = [a for a, _ in terms], [b for _, b in terms]
-    out = set()
-    for kind in KINDS:
-        for s, e in spans[kind]:
-            before, after = bisect_right(lasts, s), bisect_left(firsts, e)
-            for a, b in terms[max(0, before - words):before] + terms[after:after + words]:
-                if b - a >= MIN_TERM:
-                    out.add((entity(kind, text[s:e]), text[a:b].lower(), a, b))
-    return sorted(out)
+        if m.end() - m.start() >= MIN_TERM and not (k and ends[k - 1] > m.start()):
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
+
+
+def context_terms(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple]:
+    """(entity, term, start, end): the terms of a text with each of its entities."""
+    held = {entity(k, text[s:e]) for k in KINDS for s, e in spans[k]}
+    return sorted((e, *t) for e in held for t in (terms_of(text, spans) if held else ()))
 
 
 _FOUND = ("text_hash long, text_len int, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-          "base_spans string, entities array<string>, words array<string>, "
-          "terms array<struct<entity:string,term:string,start:int,end:int>>")
-_TERMS = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()),
-                             ("end", pa.int32())]))
+          "base_spans string, entities array<string>, terms array<struct<term:string,start:int,end:int>>")
+_TERMS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its text's key, base spans and entities; where there are any,
-    all words of the text and the terms around the entities."""
+    all terms of the text with their places."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of(it, "text"):
@@ -143,12 +133,10 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                  pa.array(said, pa.string()),
                  pa.array([sorted({entity(k, t[a:b]) for k in KINDS for a, b in s[k]}) for t, s in zip(texts, found)],
                           pa.list_(pa.string())),
-                 pa.array([sorted(_words(t)) if any(s.values()) else [] for t, s in zip(texts, found)],
-                          pa.list_(pa.string())),
-                 pa.array([[dict(zip(("entity", "term", "start", "end"), x)) for x in context_terms(t, s)]
+                 pa.array([[dict(zip(("term", "start", "end"), x)) for x in (terms_of(t, s) if any(s.values()) else ())]
                            for t, s in zip(texts, found)], _TERMS)],
                 ["doc_id", "text_hash", "text_len", *(f"n_{k}" for k in KINDS), "base_sha256", "base_spans",
-                 "entities", "words", "terms"])
+                 "entities", "terms"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(F.col(text_col)),
                                  F.col(text_col).alias("text")), run, "doc_id long, " + _FOUND)
@@ -159,44 +147,60 @@ def _share(n: float, n_ct: Column, n_c: Column, n_t: Column) -> Column:
     return F.log2(n_ct * n / (n_c * n_t)) / F.log2(n / n_c)
 
 
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n_t): in how many distinct texts each word stands.  The distinct
+    words of a text are shuffled once, to leave out copies."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches_of(it, "text"):
+            words = [" ".join(sorted({w.lower() for w in _WORD.findall(t) if len(w) >= MIN_TERM})) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, pa.string())],
+                                             ["text_hash", "text_len", "words"])
+
+    texts = map_arrow(docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("text")), run,
+                      "text_hash long, text_len int, words string").dropDuplicates(["text_hash", "text_len"])
+    return (texts.select(F.explode(F.split("words", " ")).alias("term")).groupBy("term")
+            .agg(F.count(F.lit(1)).alias("n_t")))
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT,
                      generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """(entity, term, share, action): what terms reveal of the entities near them.
+    """(entity, term, share, action): what terms reveal of the entities in their texts.
 
     ``found`` is ``find_base`` of ``docs``.  All counts are of distinct texts,
     so that copies of one text do not stand for a habit of the corpus."""
     key = ["text_hash", "text_len"]
     texts = found.where(F.size("entities") > 0).dropDuplicates(key)
     n = found.select(*key).distinct().agg(F.count(F.lit(1)).cast("double").alias("n")).first()["n"]
-    n_c = (texts.select(F.explode(F.array_distinct("entities")).alias("entity")).groupBy("entity")
-           .agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= min_support))
-    near = F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    n_ct = (texts.select(F.explode(near).alias("x")).groupBy("x.entity", "x.term")
-            .agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_support))
-    # a term stands in no fewer texts than in those with an entity, so its share
-    # is at most this; that leaves out frequent words before the corpus is counted
-    n_some = (texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_some")))
-    n_least = F.greatest(F.coalesce("n_some", F.lit(0)), "n_ct")
-    pairs = written(n_ct.join(n_c, "entity").join(n_some, "term", "left").withColumn("n_some", n_least)
-                    .where((F.col("n_c") < n) & (_share(n, F.col("n_ct"), F.col("n_c"), F.col("n_some")) >= generalise_at)),
-                    "pii-pairs")
-    # how many texts hold each of the terms that are left anywhere
-    words = docs.select(*text_key(F.col(text_col)), F.explode(F.array_distinct(F.split(
-        F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
-    n_t = (words.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
-           .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    share = _share(n, F.col("n_ct"), F.col("n_c"), F.greatest(F.coalesce("n_t", F.lit(0)), "n_some"))
-    return (pairs.join(n_t, "term", "left").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise_at)
-            .withColumn("action", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised")))
+    held = texts.select(*key, F.explode("entities").alias("entity"))
+    n_c = written(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+                  .where((F.col("n_c") >= min_support) & (F.col("n_c") < n)), "pii-entities")
+    most = n_c.agg(F.max("n_c").alias("m")).first()["m"] or 0
+    # n_ct is at most n_c, so no term in more texts than this can reach the share
+    at_most = lambda n_c: F.pow(F.lit(n), 1 - generalise_at) * F.pow(n_c, generalise_at) * (1 + 1e-9)
+    n_t = term_counts(docs, text_col).where((F.col("n_t") >= min_support) & (F.col("n_t") <= at_most(F.lit(most))))
+    near = (texts.select(*key, F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
+            .join(n_t, "term"))
+    share = _share(n, F.col("n_ct"), F.col("n_c"), F.col("n_t"))
+    pairs = (near.join(held.join(n_c, "entity"), key).where(F.col("n_t") <= at_most(F.col("n_c")))
+             .groupBy("entity", "term", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct"))
+             .where(F.col("n_ct") >= min_support))
+    return written(pairs.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise_at)
+                   .withColumn("action", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised")),
+                   "pii-pairs")
 
 
 def term_spans(found: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(text_hash, text_len, term_spans string): spans of disclosing terms by text."""
+    """(text_hash, text_len, term_spans string): by text, all places of the terms
+    that disclose one of its entities."""
     key = ["text_hash", "text_len"]
-    texts = found.where(F.size("terms") > 0).dropDuplicates(key)
-    hits = (texts.select(*key, F.explode("terms").alias("x")).select(*key, "x.*")
-            .join(disclosing.select("entity", "term", "action"), ["entity", "term"])
-            # a term near two entities is removed if it must be for one of them
+    texts = found.where(F.size("entities") > 0).dropDuplicates(key)
+    places = (texts.select(*key, F.explode("terms").alias("x")).select(*key, "x.*")
+              .join(disclosing.select("term").distinct(), "term", "left_semi"))
+    held = (texts.select(*key, F.explode("entities").alias("entity"))
+            .join(disclosing.select("entity").distinct(), "entity", "left_semi"))
+    hits = (places.join(held, key).join(disclosing.select("entity", "term", "action"), ["entity", "term"])
+            # a term that discloses two entities is removed if it must be for one of them
             .groupBy(*key, "start", "end").agg(F.max("action").alias("action")))
     one = F.struct(F.when(F.col("action") == "removed", 0).otherwise(1).alias("rank"), "start", "end", "action")
     return hits.groupBy(*key).agg(F.array_join(F.transform(

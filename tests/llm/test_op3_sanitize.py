@@ -113,3 +113,15 @@ def test_awkward_rows_and_query(spark):
     assert len(kept) == len(data) and all(r in kept for r in untouched)
     same(cols(QUERIES["op3_personal_data"](spark, SF)), expected([(r.doc_id, r.text) for r in given(spark).collect()]))
     assert sanitize.find(df.limit(0)).count() == 0 and sanitize.sanitise(df.limit(0)).count() == 0
+
+
+def test_terms_far_from_the_entity(spark):
+    """A disclosing name goes wherever it stands in a text with the entity."""
+    far = " ".join(f"of{k}" for k in range(20))
+    data = [(i, f"Zorblax the boss at boss@corp.example.com {far} Zorblax said {w}; {far} Quuxly too", "en", "a", 0)
+            for i, w in enumerate(["many", "few", "some", "odd"])]
+    data += [(10 + i, f"plain text number {i} about the boss {far}", "en", "a", 0) for i in range(40)]
+    same(cols(sanitize.find(docs(spark, data))), expected(data))
+    masked = {r.doc_id: r.text for r in sanitize.sanitise(docs(spark, data)).collect()}
+    assert all("Zorblax" not in masked[i] and "Quuxly" not in masked[i] and "of7" in masked[i] for i in range(4))
+    assert masked[10] == data[4][1]
