@@ -2,8 +2,8 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; their
 values are the protected entities.  Corpus co-occurrence then tells how much a
-term in the text of an entity reveals of it: the pointwise mutual information of the two,
-as a share of the information that the entity itself carries,
+term in the text of an entity reveals of it: the pointwise mutual information of
+the two, as a share of the information that the entity itself carries,
 
     PMI(c; t) / IC(c) = log2(n_ct * N / (n_c * n_t)) / log2(N / n_c),
 
@@ -12,6 +12,10 @@ the term and n_ct those with both, wherever they stand.  The share is 1 for a
 term that occurs in no text without the entity.  Terms over a threshold are
 generalised to their class, those over a higher one are removed, at all their
 places in the texts with the entity.
+
+Most values stand in one text only, so the same shares are taken for what they
+have in common with others (``classes``): a term that gives away the class of a
+value goes from the texts with such a value.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ MIN_TERM = 3             # letters or digits of a term, at least
 MIN_SUPPORT = 3          # distinct texts that must hold entity and term together
 GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
+PREFIXES = {"ip": (1, 2, 3), "card": (6,), "phone": (4, 7)}    # parts of an address, digits of a number
+COPY_BUCKETS = 1 << 18   # of hashes of texts, to tell which may have copies
 
 # The patterns of the contract.  The e-mail pattern is applied
 # around each "@", and numbers start where no digit stands before them, which
@@ -44,6 +50,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W_]+")
+_NAME = re.compile("[a-z]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -91,6 +98,19 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', value)}"
 
 
+def classes(kind: str, value: str) -> set[str]:
+    """What a value shares with others: its kind, the domain and the name parts
+    of an e-mail address, the prefixes of an address or number.  No class has
+    the colon of an entity."""
+    if kind == "email":
+        local, _, domain = value.lower().rpartition("@")
+        return {kind, f"{kind}@{domain}", *(f"{kind}~{w}" for w in _NAME.findall(local) if len(w) >= MIN_TERM)}
+    if kind == "ip":
+        parts = [str(int(x)) for x in value.split(".")]
+        return {kind, *(f"{kind}/{'.'.join(parts[:k])}" for k in PREFIXES[kind])}
+    return {kind, *(f"{kind}/{_NOT_DIGIT.sub('', value)[:k]}" for k in PREFIXES[kind])}
+
+
 def terms_of(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
     """(term, start, end) of the words of the whole text; words that overlap
     personal data themselves are not terms."""
@@ -115,13 +135,14 @@ def context_terms(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tu
 
 
 _FOUND = ("text_hash long, text_len int, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-          "base_spans string, entities array<string>, terms array<struct<term:string,start:int,end:int>>")
+          "base_spans string, entities array<string>, classes array<string>, "
+          "terms array<struct<term:string,start:int,end:int>>")
 _TERMS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: its text's key, base spans and entities; where there are any,
-    all terms of the text with their places."""
+    """Per row: its text's key, base spans, entities and their classes; where there
+    are any, all terms of the text with their places."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of(it, "text"):
@@ -133,10 +154,12 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                  pa.array(said, pa.string()),
                  pa.array([sorted({entity(k, t[a:b]) for k in KINDS for a, b in s[k]}) for t, s in zip(texts, found)],
                           pa.list_(pa.string())),
+                 pa.array([sorted({c for k in KINDS for a, b in s[k] for c in classes(k, t[a:b])})
+                           for t, s in zip(texts, found)], pa.list_(pa.string())),
                  pa.array([[dict(zip(("term", "start", "end"), x)) for x in (terms_of(t, s) if any(s.values()) else ())]
                            for t, s in zip(texts, found)], _TERMS)],
                 ["doc_id", "text_hash", "text_len", *(f"n_{k}" for k in KINDS), "base_sha256", "base_spans",
-                 "entities", "terms"])
+                 "entities", "classes", "terms"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(F.col(text_col)),
                                  F.col(text_col).alias("text")), run, "doc_id long, " + _FOUND)
@@ -147,38 +170,50 @@ def _share(n: float, n_ct: Column, n_c: Column, n_t: Column) -> Column:
     return F.log2(n_ct * n / (n_c * n_t)) / F.log2(n / n_c)
 
 
-def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n_t): in how many distinct texts each word stands.  The distinct
-    words of a text are shuffled once, to leave out copies."""
+def term_counts(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n_t): in how many distinct texts each word stands.
+
+    Words are counted where their texts are; only of texts that may have copies
+    (by a bucket of the hash, so that a bounded table tells) are the distinct
+    words shuffled first, to count one copy."""
+    key = ["text_hash", "text_len"]
+    bucket = F.pmod("text_hash", F.lit(COPY_BUCKETS)).alias("bucket")
+    copied = F.broadcast(written(found.groupBy(*key).count().where("count > 1").select(bucket).distinct(), "pii-copies"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of(it, "text"):
             words = [" ".join(sorted({w.lower() for w in _WORD.findall(t) if len(w) >= MIN_TERM})) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, pa.string())],
-                                             ["text_hash", "text_len", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, pa.string())], [*key, "words"])
+
+    def words(how: str) -> DataFrame:
+        rows = docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("text"))
+        return map_arrow(rows.select("*", bucket).join(copied, "bucket", how).select(*key, "text"), run,
+                         "text_hash long, text_len int, words string")
 
-    texts = map_arrow(docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("text")), run,
-                      "text_hash long, text_len int, words string").dropDuplicates(["text_hash", "text_len"])
+    texts = words("left_anti").unionByName(words("left_semi").dropDuplicates(key))
     return (texts.select(F.explode(F.split("words", " ")).alias("term")).groupBy("term")
             .agg(F.count(F.lit(1)).alias("n_t")))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT,
                      generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """(entity, term, share, action): what terms reveal of the entities in their texts.
+    """(entity, term, share, action): what terms reveal of the entities in their
+    texts, and of the classes of these.
 
     ``found`` is ``find_base`` of ``docs``.  All counts are of distinct texts,
     so that copies of one text do not stand for a habit of the corpus."""
     key = ["text_hash", "text_len"]
     texts = found.where(F.size("entities") > 0).dropDuplicates(key)
     n = found.select(*key).distinct().agg(F.count(F.lit(1)).cast("double").alias("n")).first()["n"]
-    held = texts.select(*key, F.explode("entities").alias("entity"))
+    held = texts.select(*key, F.explode(F.concat("entities", "classes")).alias("entity"))
+    # a class of more than half of the texts carries less than one bit: nothing to give away
+    bits = F.when(F.contains("entity", F.lit(":")), F.col("n_c") < n).otherwise(F.col("n_c") * 2 <= n)
     n_c = written(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-                  .where((F.col("n_c") >= min_support) & (F.col("n_c") < n)), "pii-entities")
+                  .where((F.col("n_c") >= min_support) & bits), "pii-entities")
     most = n_c.agg(F.max("n_c").alias("m")).first()["m"] or 0
     # n_ct is at most n_c, so no term in more texts than this can reach the share
     at_most = lambda n_c: F.pow(F.lit(n), 1 - generalise_at) * F.pow(n_c, generalise_at) * (1 + 1e-9)
-    n_t = term_counts(docs, text_col).where((F.col("n_t") >= min_support) & (F.col("n_t") <= at_most(F.lit(most))))
+    n_t = term_counts(found, docs, text_col).where((F.col("n_t") >= min_support) & (F.col("n_t") <= at_most(F.lit(most))))
     near = (texts.select(*key, F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
             .join(n_t, "term"))
     share = _share(n, F.col("n_ct"), F.col("n_c"), F.col("n_t"))
@@ -192,12 +227,12 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
 
 def term_spans(found: DataFrame, disclosing: DataFrame) -> DataFrame:
     """(text_hash, text_len, term_spans string): by text, all places of the terms
-    that disclose one of its entities."""
+    that disclose one of its entities or their classes."""
     key = ["text_hash", "text_len"]
     texts = found.where(F.size("entities") > 0).dropDuplicates(key)
     places = (texts.select(*key, F.explode("terms").alias("x")).select(*key, "x.*")
               .join(disclosing.select("term").distinct(), "term", "left_semi"))
-    held = (texts.select(*key, F.explode("entities").alias("entity"))
+    held = (texts.select(*key, F.explode(F.concat("entities", "classes")).alias("entity"))
             .join(disclosing.select("entity").distinct(), "entity", "left_semi"))
     hits = (places.join(held, key).join(disclosing.select("entity", "term", "action"), ["entity", "term"])
             # a term that discloses two entities is removed if it must be for one of them

@@ -125,3 +125,28 @@ def test_terms_far_from_the_entity(spark):
     masked = {r.doc_id: r.text for r in sanitize.sanitise(docs(spark, data)).collect()}
     assert all("Zorblax" not in masked[i] and "Quuxly" not in masked[i] and "of7" in masked[i] for i in range(4))
     assert masked[10] == data[4][1]
+
+
+def test_terms_that_disclose_a_class(spark):
+    """Every address stands in one text, but those of a domain with one name."""
+    data = [(i, f"{w} from Zorblax to p{i}q@corp.example.com", "en", "a", 0) for i, w in enumerate(["many", "few", "odd"] * 2)]
+    data += [(10 + i, f"Kremlor {w} asks 10.{20 + i}.0.{i} things", "en", "a", 0) for i, w in enumerate(["many", "few", "odd"])]
+    data += [(20 + i, f"Vexil {w} calls +1 (777) {100 + i}-1234 things", "en", "a", 0) for i, w in enumerate(["many", "few", "odd"])]
+    data += [(30 + i, f"plain text number {i} many few odd from things asks calls", "en", "a", 0) for i in range(40)]
+    data += data[:2]                # copies count once
+    got = {r.doc_id: r.text for r in sanitize.sanitise(docs(spark, data)).collect()}
+    assert all("Zorblax" not in got[i] and "from" in got[i] for i in range(6))
+    assert all("Kremlor" not in got[10 + i] and "things" in got[10 + i] for i in range(3))
+    assert all("Vexil" not in got[20 + i] and "calls" in got[20 + i] for i in range(3))
+    rows = sanitize.find(docs(spark, data)).collect()
+    assert all((r.n_terms > 0) == (r.doc_id < 30) for r in rows)
+    found = sanitize.find_base(docs(spark, data))
+    counts = {r.term: r.n_t for r in sanitize.term_counts(found, docs(spark, data)).collect()}
+    assert counts["zorblax"] == 6 and counts["from"] == 46 and counts["plain"] == 40
+
+
+def test_classes():
+    assert sanitize.classes("email", "Jan.Kowalski7@Corp.example.com") == {
+        "email", "email@corp.example.com", "email~jan", "email~kowalski"}
+    assert sanitize.classes("ip", "10.020.3.4") == {"ip", "ip/10", "ip/10.20", "ip/10.20.3"}
+    assert sanitize.classes("phone", "+1 (555) 010-1000") == {"phone", "phone/1555", "phone/1555010"}
