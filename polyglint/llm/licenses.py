@@ -58,6 +58,17 @@ ALIASES = {"apache-2.0": "apache-2", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2"
            "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "cc-by-nc-4.0": "cc-by-nc", "cc-by-sa-4.0": "cc-by-sa",
            "cc0-1.0": "public-domain"}
 
+# SPDX identifiers without digit or hyphen, in lower case.
+PLAIN_IDS = frozenset("""
+aal abstyles adsl afmparse aladdin amdplpa aml ampas apafml baekmuk bahyph barr beerware blessing borceux caldera
+checkmk clartistic crossword crystalstacker cube curl diffmark doc dotseqn dsdp dvipdfm egenix entessa epics
+eudatagrid eurosym fair freeimage fsfap fsful fsfullr ftl gd giftware glide glulxe gnuplot haskellreport hpnd icu ijg
+imagemagick imatix intel ipa isc jam jasper jpnic json leptonica libtiff loop makeindex metamail miros mit mitnfa
+motosoto mtll mup naist naumen nbpl ncsa netcdf newsletr ngpl nlpl nokia noweb nrl ntp ogtsl oml openssl plexus
+postgresql psfrag psutils python qhull rdisc rscpl ruby scea sendmail shl sissl sleepycat smlnj smppl snia swl tcl tmate
+torque tosl ttwl unlicense vim vostrom watcom wsuipa wtfpl xerox xinetd xnet xpp xskat zed zend zlib""".split())
+NO_LICENCE = ("none", "noassertion")    # what SPDX says where there is no licence to name
+
 _NOT_WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
                   for b in range(256))
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -69,6 +80,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NOT_WORD).split()
 
 
+def _lower(text: str) -> str:
+    """A-Z in lower case; places stay as they are."""
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+
+
 @functools.cache
 def _phrases() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -88,15 +104,21 @@ def _tags() -> ahocorasick.Automaton:
 
 
 def is_identifier(token: str) -> bool:
-    """A known licence, or a name with a digit or hyphen; a plain word behind
-    an expression is prose."""
-    return token in FREEDOM or token in ALIASES or bool(re.search("[0-9-]", token))
+    """A known licence, or a name with a digit or hyphen."""
+    return token in FREEDOM or token in ALIASES or token in PLAIN_IDS or bool(re.search("[0-9-]", token))
 
 
 def to_postfix(expression: str) -> list[str]:
-    """The longest licence expression at the start of a text (in lower case),
-    operands first (shunting-yard); empty where there is none.  What cannot
-    follow ends the expression, so that prose behind it is not taken in."""
+    """The longest licence expression at the start of a text, operands first
+    and in lower case (shunting-yard); empty where there is none.  What cannot
+    follow ends the expression, so that prose behind it is not taken in.
+
+    Any word is an operand inside parentheses, which prose would not close in
+    its place.  Elsewhere it must be an identifier (``is_identifier``) or have
+    an upper-case initial at the start or behind an operator in upper case, and
+    no other word right behind it."""
+    said, expression = expression, _lower(expression)
+    formal = True            # whether names in upper case count: at the start, behind AND, OR, WITH
     out: list[str] = []
     ops: list[str] = []
     good: list[str] = []
@@ -121,9 +143,13 @@ def to_postfix(expression: str) -> list[str]:
                 out.append(ops.pop())
             ops.append(tok)
             operand = False
+            formal = said[m.start(1):m.end(1)].isupper()
         else:
             tok = tok.rstrip(".-")
-            if operand or not is_identifier(tok):
+            after = _TOKEN.match(expression, at)
+            ends = not after or after[1] in _PRECEDENCE or after[1] in "()"
+            named = is_identifier(tok) or "(" in ops or formal and ends and said[m.start(1)].isupper()
+            if operand or not named or tok in NO_LICENCE:
                 break
             out.append(tok)
             operand = True
@@ -163,9 +189,9 @@ def scan_text(text: str) -> dict:
         places.append((joined.count(" ", 0, start + 1) - 1, phrase, label))
     freedoms = [FREEDOM.get(label, UNKNOWN_FREEDOM) for _, _, label in places]
     labels = {label for _, _, label in places}
-    low = re.sub("[A-Z]+", lambda m: m[0].lower(), text) if ":" in text else ""
+    low = _lower(text) if ":" in text else ""
     for end, _ in _tags().iter(low):
-        tokens = to_postfix(low[end + 1:].split("\n", 1)[0])
+        tokens = to_postfix(text[end + 1:].split("\n", 1)[0])
         if tokens:
             found.append((end + 1, tokens))
             named, free = evaluate(tokens)

@@ -61,3 +61,14 @@ def test_evaluation():
     free = lambda t: licenses.evaluate(licenses.to_postfix(t))[1]
     assert free("mit and gpl-2.0") == 0.3 and free("mit or gpl-2.0") == 1.0
     assert free("gpl-2.0 with classpath-exception-2.0") == 0.5 and free("") == 0.0
+
+
+@pytest.mark.parametrize("said,labels", [
+    ("ISC", "isc"), ("Zlib", "zlib"), ("curl", "curl"), ("PostgreSQL", "postgresql"), ("WTFPL\nx", "wtfpl"), ("MIT AND ISC", "isc,mit"),
+    ("(MIT OR ISC)", "isc,mit"), ("(MIT OR Acme) AND BSD", "acme,bsd,mit"), ("(mit or acme)", "acme,mit"), ("Acme", "acme"),
+    ("MIT OR Acme", "acme,mit"), ("MIT and Then prose", "mit"), ("MIT or any later", "mit"), ("MIT and (See the file)", "mit"),
+    ("NOASSERTION", ""), ("see the file", ""), ("See LICENSE file", ""), ("isc and other things", "isc"),
+])
+def test_names_without_digit_or_hyphen(said, labels):
+    got = licenses.scan_text(f"é # SPDX-License-Identifier: {said}")
+    assert ",".join(sorted(got["labels"])) == labels
