@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_reuse, langid, licenses, metric_join, mixing, sanitize, simhash, sketch, suffix_dedup, token_store
+from . import (
+    bpe_reuse,
+    langid,
+    licenses,
+    metric_join,
+    mixing,
+    sanitize,
+    sharding,
+    simhash,
+    sketch,
+    suffix_dedup,
+    token_store,
+    turn_repair,
+    whitening,
+)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +83,24 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_reuse.digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.damage_and_audit(read(spark, sf_dir, "conversations"))
+
+
+ORACLE["op11_turn_repair"] = turn_repair.oracle()
+
+
+@query
+def op12_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_byte_shards"] = sharding.oracle()
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings"))
