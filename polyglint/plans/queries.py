@@ -587,7 +587,7 @@ def sort_row_major(spark, d):
 @q("sort_by_frequency")
 def sort_by_frequency(spark, d):
     t = S.review_texts(FX.fx_lines(spark, d), per_document=False)
-    return number_rows(t, [F.col("occurrence_count").desc(), "first_doc", "first_seq"], "rn")
+    return number_rows(t, [-F.col("occurrence_count"), "first_doc", "first_seq"], "rn")
 
 
 @q("number_findings")

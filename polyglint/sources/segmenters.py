@@ -8,6 +8,8 @@ format-specific ordinals.  ``seq`` is the document order of the segment.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,7 +160,8 @@ def _references() -> Column:
     those that would read as markup are decoded apart from these."""
     from html.entities import name2codepoint
     names = {n: chr(c) for n, c in name2codepoint.items() if n not in ("lt", "gt", "amp")} | {"apos": "'"}
-    return F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    # one literal, which the optimiser reads once
+    return F.from_json(F.lit(json.dumps(names, sort_keys=True)), "map<string,string>")
 
 
 def decode_references(c) -> Column:
@@ -206,59 +209,131 @@ def html_pieces(html) -> Column:
     return F.split(h, MARK_PIECE, -1)
 
 
-_OPEN = "array<struct<i:int,tag:string>>"
-_DONE = "array<struct<i:int,tag:string,j:int>>"
+# The fold below copies what it has gathered at every step, so it gathers the
+# elements of so many marks at a time.
+MARKS_A_CHUNK = 64
+_NO_INTS = "array<int>"
+_DONE = "array<struct<i:int,code:int,j:int>>"
+_PARAGRAPH = C.HTML_BLOCK_TAGS.index("p") + 1
+_HEADINGS = [C.HTML_BLOCK_TAGS.index(t) + 1 for t in C.HTML_TEXT_TAGS if t[0] == "h"]
+_TEXT_CODES = len(C.HTML_TEXT_TAGS)          # text elements have the lowest codes
+OPENS, CLOSES, LEAF = 0, 1, 2                # a leaf opens and is closed by the next block tag
+
+
+def _codes(tags: list[str]) -> list[int]:
+    return [C.HTML_BLOCK_TAGS.index(t) + 1 for t in tags]
+
+
+def _ended_by(mark: Column, codes: Column) -> Column:
+    """How many of the open elements (innermost first) end at a mark."""
+
+    def nearest(tags):
+        places = [F.coalesce(F.nullif(F.array_position(codes, c), F.lit(0)), F.lit(END_OF_PAGE)) for c in _codes(tags)]
+        return F.least(*places) if len(places) > 1 else places[0]
+
+    top = F.try_element_at(codes, F.lit(1))
+    implied = F.when(top == _PARAGRAPH, 1).when(mark["code"].isin(_HEADINGS) & top.isin(_HEADINGS), 1).otherwise(0)
+
+    def inside(fence):
+        return lambda n: F.when((n < END_OF_PAGE) & (n < nearest(fence)), F.greatest(n, implied)).otherwise(implied)
+
+    opens = F.when(mark["kind"] == CLOSES, F.array_position(codes, mark["code"]))
+    for starts, ended, fence in C.HTML_IMPLIED_ENDS:
+        opens = opens.when(mark["code"].isin(_codes(starts)), X.let(nearest(ended), inside(fence)))
+    return opens.otherwise(implied).cast("int")
+
+
+def _marks(pieces: Column) -> Column:
+    """Array of (i, code, kind) of the block tags of a page: tag i starts piece i.
+
+    Of an element that the next block tag closes there is one mark, and of such
+    elements of one kind in a row only the first: what its beginning ends is
+    ended when the others begin.  (A heading may end one more heading.)"""
+    names = F.array(*[F.lit(t) for t in C.HTML_BLOCK_TAGS])
+
+    def mark(piece, i):
+        tag = F.lower(F.substring_index(piece, MARK_TAG, 1))
+        return F.struct((i + 1).cast("int").alias("i"),
+                        F.array_position(names, F.ltrim(tag, F.lit("/"))).cast("int").alias("code"),
+                        F.when(tag.startswith("/"), CLOSES).otherwise(OPENS).alias("kind"))
+
+    def leaves(tags):
+        def kind(x, k):
+            after = F.try_element_at(tags, k + 2)
+            return F.struct(x["i"].alias("i"), x["code"].alias("code"), F.when(
+                (x["kind"] == OPENS) & (after["kind"] == CLOSES) & (after["code"] == x["code"]), LEAF).otherwise(x["kind"]).alias("kind"))
+        return F.transform(tags, kind)
+
+    # the first piece has no tag
+    return X.let(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), mark), leaves)
+
+
+def _steps(marks: Column) -> Column:
+    """The marks that the stack of open elements has to see."""
+    def needed(x, k):
+        before = F.try_element_at(marks, F.when(k > 0, k).otherwise(F.size(marks) + 1))
+        twice = F.try_element_at(marks, F.when(k > 1, k - 1).otherwise(F.size(marks) + 1))
+        closed = (x["kind"] == CLOSES) & F.coalesce(before["kind"] == LEAF, F.lit(False))
+        again = ((x["kind"] == LEAF) & ~x["code"].isin(_HEADINGS)
+                 & F.coalesce((twice["kind"] == LEAF) & (twice["code"] == x["code"]), F.lit(False)))
+        return ~closed & ~again
+
+    return F.filter(marks, needed)
 
 
 def html_elements(pieces: Column) -> Column:
     """Array of (i, tag, j): the text elements among ``pieces``, each from its
     opening tag (piece i) to the piece j that ends it.
 
-    A fold over the pieces with the stack of open block elements.  A closing
+    Elements that the next block tag closes are told by the two tags alone.  A
+    fold over the other tags keeps the stack of open block elements: a closing
     tag ends its element and what is open inside; one without its element is
     ignored.  A paragraph ends where a block begins, a heading where another
-    one does, and items, cells and rows as ``HTML_IMPLIED_ENDS`` says.
+    one does, and items, cells and rows as ``HTML_IMPLIED_ENDS`` says.  Marks go
+    by in chunks, so that the time is in proportion to their number (and to the
+    depth of nesting).
     """
-    heads = [t for t in C.HTML_TEXT_TAGS if t[0] == "h"]
-    tag_of = lambda p: F.when(p.contains(MARK_TAG), F.lower(F.substring_index(p, MARK_TAG, 1))).otherwise("")
-    marks = F.transform(pieces, lambda p, i: F.struct(i.cast("int").alias("i"), tag_of(p).alias("tag")))
+    names = F.array(*[F.lit(t) for t in C.HTML_BLOCK_TAGS])
+    place = lambda i, code, j: F.struct(i.alias("i"), code.alias("code"), j.alias("j"))
 
     def step(acc, x):
-        closing = x["tag"].startswith("/")
-        tag = F.when(closing, F.substring(x["tag"], 2, 16)).otherwise(x["tag"])
-
-        def on(names):       # the tags that are open, from the innermost
-            def depth(tags):
-                return F.least(*[F.coalesce(F.nullif(F.array_position(names, t), F.lit(0)), F.lit(END_OF_PAGE)) for t in tags],
-                               F.lit(END_OF_PAGE))
-
-            ends = [F.when(tag.isin(starts) & (depth(ended) < depth(fence)), depth(ended))
-                    for starts, ended, fence in C.HTML_IMPLIED_ENDS]
-            top = F.try_element_at(names, F.lit(1))
-            ends.append(F.when((top == "p") | (top.isin(heads) & tag.isin(heads)), 1))
-            own = F.coalesce(F.nullif(F.array_position(names, tag), F.lit(0)), F.lit(0))
-            return F.when(x["tag"] == "", 0).when(closing, own).otherwise(
-                F.greatest(*[F.coalesce(e, F.lit(0)) for e in ends], F.lit(0))).cast("int")
+        codes, starts = acc["codes"], acc["starts"]
 
         def moved(gone):     # so many elements end here
-            left = F.size(acc["open"]) - gone
-            ended = F.filter(F.slice(acc["open"], left + 1, gone), lambda e: e["tag"].isin(C.HTML_TEXT_TAGS))
-            here = F.when(closing | (x["tag"] == ""), F.array().cast(_OPEN)).otherwise(
-                F.array(F.struct(x["i"].alias("i"), tag.alias("tag"))).cast(_OPEN))
-            return F.struct(F.concat(F.slice(acc["open"], 1, left), here).cast(_OPEN).alias("open"),
-                            F.concat(acc["done"], F.transform(ended, lambda e: F.struct(
-                                e["i"].alias("i"), e["tag"].alias("tag"), x["i"].alias("j")))).cast(_DONE).alias("done"))
-
-        names = F.reverse(F.transform(acc["open"], lambda e: e["tag"]))
-        return X.let(X.let(names, on), moved)
-
-    def rest(acc):           # elements that nothing ends reach to the end of the page
-        open_ = F.filter(acc["open"], lambda e: e["tag"].isin(C.HTML_TEXT_TAGS))
-        return F.array_sort(F.concat(acc["done"], F.transform(open_, lambda e: F.struct(
-            e["i"].alias("i"), e["tag"].alias("tag"), F.lit(END_OF_PAGE).alias("j"))).cast(_DONE)))
-
-    zero = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(_DONE).alias("done"))
-    return F.aggregate(marks, zero, step, rest)
+            depth = F.size(codes)
+            left = lambda a: F.when(gone == 0, a).otherwise(F.slice(a, gone + 1, depth - gone))
+            after = lambda a, v: F.when(x["kind"] == OPENS, F.concat(F.array(v), left(a))).otherwise(left(a))
+            ended = F.filter(F.transform(F.slice(starts, 1, gone), lambda i, k: place(i, F.element_at(codes, k + 1), x["i"])),
+                             lambda e: e["code"] <= _TEXT_CODES)
+            return F.struct(after(codes, x["code"]).alias("codes"), after(starts, x["i"]).alias("starts"),
+                            F.when(gone == 0, acc["done"]).otherwise(F.concat(acc["done"], ended)).alias("done"))
+
+        return X.let(_ended_by(x, codes), moved)
+
+    def state(codes, starts, done):
+        return F.struct(codes.alias("codes"), starts.alias("starts"), done.alias("done"))
+
+    none = F.array().cast(_NO_INTS)
+
+    def folded(marks):
+        def through(acc, k):
+            part = F.slice(marks, k * MARKS_A_CHUNK + 1, MARKS_A_CHUNK)
+            return X.let(F.aggregate(part, state(acc["codes"], acc["starts"], F.array().cast(_DONE)), step),
+                         lambda r: state(r["codes"], r["starts"], F.concat(acc["done"], F.array(r["done"]))))
+
+        def rest(acc):       # elements that nothing ends reach to the end of the page
+            open_ = F.transform(acc["starts"], lambda i, k: place(i, F.element_at(acc["codes"], k + 1), F.lit(END_OF_PAGE)))
+            return F.concat(F.flatten(acc["done"]), F.filter(open_, lambda e: e["code"] <= _TEXT_CODES))
+
+        chunks = F.when(F.size(marks) > 0, F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / MARKS_A_CHUNK).cast("int"))).otherwise(none)
+        return F.aggregate(chunks, state(none, none, F.array().cast(f"array<{_DONE}>")), through, rest)
+
+    def elements(marks):
+        leaves = F.filter(marks, lambda m: (m["kind"] == LEAF) & (m["code"] <= _TEXT_CODES))
+        return F.concat(F.transform(leaves, lambda m: place(m["i"], m["code"], m["i"] + 1)), X.let(_steps(marks), folded))
+
+    return F.transform(F.array_sort(X.let(_marks(pieces), elements)), lambda e: F.struct(
+        e["i"].alias("i"), F.element_at(names, e["code"]).alias("tag"), e["j"].alias("j")))
 
 
 def html_segments(html) -> Column:
