@@ -16,7 +16,7 @@ pre-aggregated on (source, target) before it shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
@@ -216,18 +216,58 @@ def consistency_counts(pairs: DataFrame) -> DataFrame:
     boilerplate source repeated millions of times reaches the second level as
     one row per distinct translation.  Counts only; nothing is collected.
     """
-    return (distinct_translations(pairs).groupBy("workbook_id", "source")
-            .agg(F.sum("n").cast("bigint").alias("occurrences"),
-                 F.count("target").cast("bigint").alias("n_translations"),
-                 F.min("first_seq").alias("first_seq")))
+    return _by_source(distinct_translations(pairs))
+
+
+def _by_source(translations: DataFrame, *more) -> DataFrame:
+    return translations.groupBy("workbook_id", "source").agg(
+        F.sum("n").cast("bigint").alias("occurrences"),
+        F.count("target").cast("bigint").alias("n_translations"),
+        F.min("first_seq").alias("first_seq"), *more)
+
+
+def consistency_issues(pairs: DataFrame) -> DataFrame:
+    """CJK sources with more than one distinct non-NULL translation, and these
+    as a sorted list: the finding's message holds them all.  The pairs are
+    aggregated once; the list of a source that is no issue has one entry."""
+    return _by_source(distinct_translations(pairs), F.array_sort(F.collect_list("target")).alias("translations")).where(
+        "n_translations > 1")
+
+
+# Bits of the filter of issue sources: 4,096 bitmaps of 4 KB, whatever the data.
+FILTER_BITS = 1 << 27
+
+
+def _filter_bit() -> Column:
+    # the coalesce says that it is never null, so that joins put no filter on it
+    return F.coalesce(F.pmod(F.xxhash64("workbook_id", "source"), F.lit(FILTER_BITS)), F.lit(0)) + 1
+
+
+def of_issues(pairs: DataFrame, issues: DataFrame) -> DataFrame:
+    """The CJK pairs that may belong to an issue: those whose source is in a
+    Bloom filter of the issues' sources.  Few others pass; whoever needs none
+    joins the issues afterwards, when hardly any other pair is left to shuffle.
+
+    The filter is a table of bitmaps of a fixed size in total, so its broadcast
+    needs no look at the data.  It reads every column of ``issues``: whoever
+    reads just these too shares the aggregation of the pairs with it."""
+    bitmaps = issues.select(_filter_bit().alias("b"), F.xxhash64(*issues.columns).alias("all")).groupBy(
+        F.bitmap_bucket_number("b").alias("_bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bitmap"), F.bit_xor("all").alias("all")).where(
+                "all is not null").drop("all")
+    at = F.bitmap_bit_position(_filter_bit()).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (cjk_pairs(pairs).withColumn("_bucket", F.bitmap_bucket_number(_filter_bit()))
+            .join(F.broadcast(bitmaps), "_bucket").where(F.getbit(byte, at % 8) == 1).drop("_bucket", "_bitmap"))
 
 
 def first_coordinates(pairs: DataFrame, k: int = C.CAP_COORDINATES,
-                      qualified: bool = False) -> DataFrame:
+                      qualified: bool = False, issues: DataFrame | None = None) -> DataFrame:
     """First ``k`` coordinates (pair order) of every CJK source, joined with
-    ', '.  ``row_number() <= k`` plans as a partial WindowGroupLimit below the
+    ', '; with ``issues``, of the sources of these (and few others) only.
+    ``row_number() <= k`` plans as a partial WindowGroupLimit below the
     shuffle, so at most k rows per source leave each map task."""
-    p = cjk_pairs(pairs)
+    p = cjk_pairs(pairs) if issues is None else of_issues(pairs, issues)
     coord = X.loc_cell("sheet", "coordinate") if qualified else F.col("coordinate")
     w = Window.partitionBy("workbook_id", "source").orderBy("pair_seq")
     top = (p.select("workbook_id", "source", "pair_seq", coord.alias("c"))
@@ -237,40 +277,28 @@ def first_coordinates(pairs: DataFrame, k: int = C.CAP_COORDINATES,
                                           lambda x: x["c"]), ", ").alias("coordinates")))
 
 
-def consistency_issues(pairs: DataFrame) -> DataFrame:
-    """CJK sources with more than one distinct non-NULL translation."""
-    return consistency_counts(pairs).filter(F.col("n_translations") > 1)
-
-
-def issue_translations(pairs: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+def issue_translations(pairs: DataFrame) -> DataFrame:
     """The translations of the inconsistent sources as flat rows:
     (workbook_id, source, target, n, first_seq)."""
-    issues = consistency_issues(pairs) if issues is None else issues
-    return distinct_translations(pairs).where(F.col("target").isNotNull()).join(
+    known = distinct_translations(pairs)
+    issues = _by_source(known).where("n_translations > 1")
+    return known.where(F.col("target").isNotNull()).join(
         issues.select("workbook_id", "source"), ["workbook_id", "source"], "left_semi")
 
 
-def issue_occurrences(pairs: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+def issue_occurrences(pairs: DataFrame) -> DataFrame:
     """Every place of the inconsistent sources: (workbook_id, source, sheet,
     coordinate, target, pair_seq), a missing target included."""
-    issues = consistency_issues(pairs) if issues is None else issues
-    return cjk_pairs(pairs).select("workbook_id", "source", "sheet", "coordinate", "target", "pair_seq").join(
-        issues.select("workbook_id", "source"), ["workbook_id", "source"], "left_semi")
-
-
-def with_translations(issues: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Issues with their translations as a sorted list: the finding's message
-    holds them all, so they are gathered here, for issues only."""
-    lists = issue_translations(pairs, issues).groupBy("workbook_id", "source").agg(
-        F.array_sort(F.collect_list("target")).alias("translations"))
-    return issues.join(lists, ["workbook_id", "source"])
+    issues = consistency_counts(pairs).where("n_translations > 1").select("workbook_id", "source")
+    return of_issues(pairs, issues).select("workbook_id", "source", "sheet", "coordinate", "target", "pair_seq").join(
+        issues, ["workbook_id", "source"], "left_semi")
 
 
 def consistency_findings(pairs: DataFrame, qualified_location: bool = False) -> DataFrame:
     """一致性: P1 when translated more than two ways, else P2; location lists
     the first five coordinates; description quotes the source cut at 30."""
-    issues = with_translations(consistency_issues(pairs), pairs)
-    coords = first_coordinates(pairs, qualified=qualified_location)
+    issues = consistency_issues(pairs).drop("occurrences")
+    coords = first_coordinates(pairs, qualified=qualified_location, issues=issues)
     j = issues.join(coords, ["workbook_id", "source"])
     k = F.col("n_translations")
     desc = X.render(C.MESSAGES["consistency"],

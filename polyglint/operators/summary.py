@@ -1,8 +1,9 @@
 """Review summaries: unique texts, per-document totals, sheet summaries,
 samples and finding counts.
 
-Top-k lists use ``row_number() <= k`` (a partial WindowGroupLimit below the
-shuffle); counts use map-side-combined aggregates.  Nothing collects an
+Documents are counted and deduplicated inside the row, without a shuffle.  Of
+flat tables, top-k lists use ``row_number() <= k`` (a partial WindowGroupLimit
+below the shuffle); counts use map-side-combined aggregates.  Nothing collects an
 unbounded group: the only ``collect_list`` calls run over lists already cut
 to k rows, over the languages of a sheet, or over the sheets of a workbook.
 """
@@ -23,40 +24,83 @@ def _ordered_join(values_with_order, sep: str):
     return F.array_join(F.transform(F.array_sort(values_with_order), lambda x: x["v"]), sep)
 
 
+def unique_texts(segments, k: int = C.CAP_LOCATIONS):
+    """The different texts of an in-row segment array: array of (text,
+    occurrence_count, first_seq, firsts), the last being the (seq, location) of
+    the first ``k`` places.
+
+    Segments are sorted by text and place; a run of equal texts is one entry,
+    which knows its places from the run's beginning and the next one's."""
+    def places(sorted_):
+        begins = F.filter(F.transform(sorted_, lambda x, i: F.when(
+            (i == 0) | (F.try_element_at(sorted_, F.greatest(i, F.lit(1)))["text"] != x["text"]), i)), lambda i: i.isNotNull())
+
+        def runs(starts):
+            def entry(start, r):
+                n = F.coalesce(F.try_element_at(starts, r + 2), F.size(sorted_)) - start
+                first = F.element_at(sorted_, start + 1)
+                return F.struct(first["text"].alias("text"), n.cast("bigint").alias("occurrence_count"), first["seq"].alias("first_seq"),
+                                F.transform(F.slice(sorted_, start + 1, F.least(n, F.lit(k))),
+                                            lambda x: F.struct(x["seq"].alias("seq"), x["location"].alias("location"))).alias("firsts"))
+            return F.transform(starts, entry)
+
+        return let(begins, runs)
+
+    ordered = F.array_sort(F.transform(segments, lambda s: F.struct(
+        s["text"].alias("text"), s["seq"].alias("seq"), s["location"].alias("location"))))
+    return let(ordered, places)
+
+
+def _document_texts(docs: DataFrame, segments, k: int, id_col: str) -> DataFrame:
+    none = F.array().cast(SEGMENTS)
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(unique_texts(F.coalesce(segments, none), k)))
+
+
+def document_texts(docs: DataFrame, segments, k: int = C.CAP_LOCATIONS, sep: str = "; ", id_col: str = "doc_id") -> DataFrame:
+    """``review_texts`` of documents whose segments are an in-row array
+    (``segmenters.line_segments`` ...): one scan, no shuffle."""
+    u = _document_texts(docs, segments, k, id_col)
+    return u.select("doc_id", "text", F.array_join(F.transform("firsts", lambda x: x["location"]), sep).alias("locations"),
+                    "occurrence_count", "first_seq")
+
+
+def document_first_locations(docs: DataFrame, segments, k: int = C.CAP_LOCATIONS, id_col: str = "doc_id") -> DataFrame:
+    """``first_locations`` of documents: one scan, no shuffle."""
+    u = _document_texts(docs, segments, k, id_col).select("doc_id", "text", F.posexplode("firsts").alias("pos", "f"))
+    return u.select("doc_id", "text", "f.seq", "f.location", (F.col("pos") + 1).cast("bigint").alias("rn"))
+
+
 def review_texts(segments: DataFrame, k: int = C.CAP_LOCATIONS, per_document: bool = True,
                  sep: str = "; ") -> DataFrame:
-    """Deduplicated texts for the human reader.
+    """Deduplicated texts for the human reader, of flat segments (cells, slides;
+    documents have ``document_texts``).
 
     One row per (document, text) — or per text across the corpus when
     ``per_document`` is false — with ``occurrence_count``, the first
     ``k`` locations (document order) joined with ``sep``, and ``first_seq``.
     Order the output by ``occurrence_count desc, first_seq`` to get the
     reading order (a range-partitioned sort, no global window).
+
+    Texts are told apart by a digest.  Counts are shuffled as digests, with
+    map-side combine; texts once, in at most ``k`` rows of a map task (partial
+    WindowGroupLimit), to the same partitions.
     """
-    segs = segments
-    if per_document:
-        keys = ["doc_id", "text"]
-        loc = F.col("location")
-        order = [F.col("seq")]
-    else:
-        keys = ["text"]
-        loc = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("location"))
-        order = [F.col("doc_id"), F.col("seq")]
-    # occurrence counts: a plain hash aggregate with map-side combine
+    keys = ["doc_id", "_digest"] if per_document else ["_digest"]
+    loc = F.col("location") if per_document else F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("location"))
+    okeys = ["_o0"] if per_document else ["_o0", "_o1"]
+    order = [F.col("seq")] if per_document else [F.col("doc_id"), F.col("seq")]
+    segs = segments.withColumn("_digest", F.md5(F.col("text").cast("binary")))
     counts = segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrence_count"))
-    # first k occurrences: partial WindowGroupLimit below the shuffle, so a
-    # text repeated everywhere sends at most k rows per map task
-    okeys = [f"_o{i}" for i in range(len(order))]
     w = Window.partitionBy(*keys).orderBy(*okeys)
-    top = (segs.select(*keys, *[o.alias(n) for n, o in zip(okeys, order)], loc.alias("_loc"))
+    top = (segs.select(*keys, "text", *[o.alias(n) for n, o in zip(okeys, order)], loc.alias("_loc"))
            .withColumn("_rn", F.row_number().over(w))
            .filter(F.col("_rn") <= k))
     firsts = F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("o"), F.col("_loc").alias("v"),
                                                   *[F.col(n) for n in okeys])))
-    locs = top.groupBy(*keys).agg(firsts.alias("_f"))
+    locs = top.groupBy(*keys).agg(F.first("text").alias("text"), firsts.alias("_f"))
     out = counts.join(locs, keys)
-    cols = list(keys) + [F.array_join(F.transform("_f", lambda x: x["v"]), sep).alias("locations"),
-                         F.col("occurrence_count").cast("bigint").alias("occurrence_count")]
+    cols = (["doc_id"] if per_document else []) + ["text", F.array_join(F.transform("_f", lambda x: x["v"]), sep).alias("locations"),
+                                                   F.col("occurrence_count").cast("bigint").alias("occurrence_count")]
     if per_document:
         cols.append(F.col("_f")[0]["_o0"].alias("first_seq"))
     else:
@@ -98,27 +142,6 @@ def document_counts(docs: DataFrame, segments, pack="basic5", id_col: str = "doc
     return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(let(F.coalesce(segments, none), counts))))
 
 
-def segment_totals(segments: DataFrame, findings: DataFrame | None = None,
-                   docs: DataFrame | None = None) -> DataFrame:
-    """Per document: total segments, distinct texts, automated findings.  With
-    ``docs`` (doc_id) documents without segments have zeros; without it they
-    are not known here (``document_counts`` needs only the documents)."""
-    if docs is not None:
-        t = segment_totals(segments, findings)
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-        return docs.select("doc_id").distinct().join(t, "doc_id", "left").select(
-            "doc_id", zero("total_sections"), zero("unique_texts"), zero("automated_count"))
-    t = segments.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("total_sections"),
-        F.countDistinct("text").alias("unique_texts"))
-    if findings is None:
-        return t.withColumn("automated_count", F.lit(0).cast("bigint"))
-    f = findings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("automated_count"))
-    t = t.withColumn("_k", F.col("doc_id").cast("string"))
-    return (t.join(f.withColumnRenamed("doc_id", "_k"), "_k", "left").drop("_k")
-            .withColumn("automated_count", F.coalesce("automated_count", F.lit(0)).cast("bigint")))
-
-
 # --------------------------------------------------------------------------
 # workbook scan summaries (over scan_cells output)
 # --------------------------------------------------------------------------

@@ -707,6 +707,13 @@ o("review_texts", """SELECT doc_id, text, string_agg(location, '; ' ORDER BY seq
   count(*) AS occurrence_count, min(seq) AS first_seq
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY seq) AS rn FROM fx_lines)
   GROUP BY doc_id, text""", "fx_lines")
+o("review_texts_cells", """SELECT doc_id, text, string_agg(location, '; ' ORDER BY seq) FILTER (WHERE rn <= 3) AS locations,
+  count(*) AS occurrence_count, min(seq) AS first_seq
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY seq) AS rn FROM seg_tgt)
+  GROUP BY doc_id, text""", "seg_tgt")
+o("first_locations_cells", """SELECT doc_id, text, seq, location, rn FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, text ORDER BY seq) AS BIGINT) AS rn FROM seg_tgt)
+  WHERE rn <= 3""", "seg_tgt")
 _add("corpus_texts", """corpus_texts AS (
   SELECT text, string_agg(CAST(doc_id AS VARCHAR) || ':' || location, '; ' ORDER BY doc_id, seq)
            FILTER (WHERE rn <= 3) AS locations,

@@ -404,7 +404,7 @@ def match_stats(spark, d):
 
 @q("consistency_issues")
 def consistency_issues(spark, d):
-    i = A.with_translations(A.consistency_issues(_pairs(spark, d)), _pairs(spark, d))
+    i = A.consistency_issues(_pairs(spark, d))
     return i.select("workbook_id", "source", "occurrences", "n_translations",
                     F.array_join("translations", " | ").alias("translations"), "first_seq")
 
@@ -431,7 +431,13 @@ def consistency_totals(spark, d):
 
 @q("review_texts")
 def review_texts(spark, d):
-    return S.review_texts(FX.fx_lines(spark, d))
+    return S.document_texts(FX.documents(spark, d), G.line_segments("text"))
+
+
+@q("review_texts_cells")
+def review_texts_cells(spark, d):
+    """Flat segments: the cells of a workbook, whose texts repeat."""
+    return S.review_texts(G.segment_cells(FX.fx_tgt(spark, d), admit="nonnull"))
 
 
 @q("review_texts_corpus")
@@ -449,8 +455,8 @@ def segment_totals(spark, d):
 
 @q("segment_totals_sensitive")
 def segment_totals_sensitive(spark, d):
-    segs = FX.fx_sensitive_lines(spark, d)
-    return S.segment_totals(segs, K.automated_findings(segs, "basic5"), FX.documents(spark, d))
+    return S.document_counts(FX.fx_sensitive(spark, d), G.line_segments("text"), "basic5",
+                             may_hold=K.may_hold_findings("text", "basic5"))
 
 
 @q("sheet_alignment")
@@ -528,7 +534,12 @@ def fence_parity(spark, d):
 
 @q("first_locations")
 def first_locations(spark, d):
-    return S.first_locations(FX.fx_lines(spark, d))
+    return S.document_first_locations(FX.documents(spark, d), G.line_segments("text"))
+
+
+@q("first_locations_cells")
+def first_locations_cells(spark, d):
+    return S.first_locations(G.segment_cells(FX.fx_tgt(spark, d), admit="nonnull"))
 
 
 @q("first_coordinates")
@@ -744,8 +755,7 @@ def format_ratio(spark, d):
 def list_repr(spark, d):
     """Lists as Python prints them: as they are, with single quotes and
     backslashes, and with both kinds of quotes and a line end."""
-    pairs = _pairs(spark, d)
-    s = A.with_translations(A.consistency_issues(pairs), pairs)
+    s = A.consistency_issues(_pairs(spark, d))
     t = F.col("translations")
     return s.select(
         "source", X.list_repr(t).alias("repr"),

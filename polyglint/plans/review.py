@@ -45,7 +45,7 @@ def review_documents(docs: DataFrame, fmt: str = "txt", pack: str = "basic5",
     return {
         "segments": segs,
         "findings": K.automated_findings(segs, pack),
-        "review_texts": S.review_texts(segs),
+        "review_texts": S.document_texts(docs, ARRAYS[fmt]("text")),
         "totals": totals,
     }
 
@@ -65,7 +65,7 @@ def review_corpus(docs: DataFrame, pack: str = "basic5") -> dict[str, DataFrame]
     return {
         "segments": segs,
         "findings": K.automated_findings(checked, pack),
-        "review_texts": S.review_texts(checked),
+        "review_texts": S.document_texts(G.route_format(targets), G.routed_segments("text")),
         "totals": corpus_counts(docs, pack),
         "unsegmented": G.unsegmented(docs),
     }
@@ -76,10 +76,9 @@ def corpus_counts(docs: DataFrame, pack: str = "basic5") -> DataFrame:
     document of a mixed corpus, in one scan."""
     gate = F.col("is_source") if "is_source" in docs.columns else F.lit(False)
     routed = G.route_format(docs.select("doc_id", "path", "text", gate.alias("is_source")))
-    counts = S.document_counts(routed.withColumn("doc_id", F.struct("doc_id", "format")), F.when(
-        F.col("parser") == "md", G.markdown_segments("text")).when(F.col("parser") == "html", G.html_segments("text"))
-        .when(F.col("parser") == "txt", G.line_segments("text")), pack, is_source=F.col("is_source"),
-        may_hold=(F.col("parser") == "html") | K.may_hold_findings("text", pack))
+    counts = S.document_counts(routed.withColumn("doc_id", F.struct("doc_id", "format")), G.routed_segments("text"), pack,
+                               is_source=F.col("is_source"),
+                               may_hold=(F.col("parser") == "html") | K.may_hold_findings("text", pack))
     return counts.select("doc_id.doc_id", "doc_id.format", "total_sections", "unique_texts", "automated_count")
 
 
@@ -171,7 +170,7 @@ def compare_documents(docs: DataFrame, roles: DataFrame, pack: str = "basic5",
     return {
         "compare": CMP.size_ratio(CMP.compare_sections(corpus_counts(docs, pack), roles)),
         "findings": K.automated_findings(tgt_segs, pack),
-        "review_texts": S.review_texts(tgt_segs),
+        "review_texts": S.document_texts(G.route_format(docs.where(~F.col("is_source"))), G.routed_segments("text")),
         "sections": segs if cap is None else CMP.cap_sections(segs, cap),
     }
 

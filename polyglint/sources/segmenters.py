@@ -555,15 +555,20 @@ def segment_routed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     formats (xlsx/docx/pptx/pdf) come as decoded tables instead
     (``segment_cells``, ``segment_paragraphs`` ...): they yield no segment here
     and ``unsegmented`` lists them."""
-    routed = route_format(docs, path_col)
-    text = F.col(text_col)
-    segments = (F.when(F.col("parser") == "md", markdown_segments(text))
-                .when(F.col("parser") == "html", html_segments(text))
-                .when(F.col("parser") == "txt", line_segments(text)))
-    return routed.select(F.col(id_col).alias("doc_id"), "format", "parser", F.inline(segments)).select(
+    return route_format(docs, path_col).select(
+        F.col(id_col).alias("doc_id"), "format", "parser", F.inline(routed_segments(text_col))).select(
         "doc_id", "format", "parser", "seq", "location", "text")
 
 
+def routed_segments(text) -> Column:
+    """The segments of a routed document (column ``parser``), as an array inside
+    the row; null where they come as decoded tables."""
+    text = X.col_(text)
+    return (F.when(F.col("parser") == "md", markdown_segments(text))
+            .when(F.col("parser") == "html", html_segments(text))
+            .when(F.col("parser") == "txt", line_segments(text)))
+
+
 def unsegmented(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path") -> DataFrame:
     """(doc_id, format, parser) of the documents that ``segment_routed`` leaves
     to the decoded-table segmenters."""

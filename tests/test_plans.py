@@ -21,10 +21,68 @@ def test_no_pairwise_join_or_python(spark, name):
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
-    p = plan(QUERIES["review_texts"](spark, SF_SMALL))
+    p = plan(QUERIES["review_texts_cells"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
+def test_texts_of_documents_are_not_shuffled(spark):
+    for name in ("review_texts", "first_locations"):
+        p = plan(QUERIES[name](spark, SF_SMALL))
+        assert "hashpartitioning" not in p and "Sort" not in p, name
+
+
+def some_pairs(spark):
+    from pyspark.sql import functions as F
+    n = F.col("id")
+    return spark.range(400).select(
+        F.lit("w").alias("workbook_id"), F.lit("s").alias("sheet"), F.concat(F.lit("A"), n).alias("coordinate"),
+        F.concat(F.lit("\u4e2d"), n % 30).alias("source"), F.when(n % 11 != 0, F.concat(F.lit("t"), F.when(n % 30 < 9, n % 4).otherwise(0))).alias("target"),
+        n.alias("pair_seq"))
+
+
+def test_flat_texts_move_once(spark):
+    from polyglint.operators.summary import review_texts
+    segs = some_pairs(spark).selectExpr("pair_seq % 3 as doc_id", "pair_seq as seq", "coordinate as location", "source as text")
+    final = executed(review_texts(segs)).split("== Initial Plan ==")[0]
+    shuffles = [x for x in final.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 2 and all("_digest" in x for x in shuffles), final
+    # the counts are of digests; the texts pass the limit first
+    assert final.count("WindowGroupLimit") == 2 and "partial_count(1)" in final
+
+
+def executed(df):
+    df.collect()
+    return plan(df)
+
+
+def test_numbering_moves_rows_once(spark):
+    from pyspark.sql import functions as F
+    from polyglint.plans.strategy import number_rows
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("a"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    out = number_rows(df, ["a"], "n")
+    final = executed(out).split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(_range") - final.count("ReusedExchange") == 1, final
+    assert "ReusedExchange" in final and "InMemory" not in final and "Scan ExistingRDD" not in final
+    # the one step in a single task reads a count for each range
+    single = final[final.index("SinglePartition"):].splitlines()[1]
+    assert "text" not in single
+    again = {r.a: r.n for r in number_rows(df.repartition(11), ["a"], "n").collect()}
+    assert again == {r.a: r.n for r in out.collect()}
+
+
+def test_consistency_reads_the_aggregate_once(spark):
+    """Pairs are aggregated in one place (both readers of it share the shuffle),
+    and only those of the filter's sources reach the window of coordinates."""
+    from polyglint.operators import align as A
+    pairs = some_pairs(spark)
+    found = A.consistency_findings(pairs)
+    assert found.count() == 9
+    final = executed(found).split("== Initial Plan ==")[0]
+    shuffles = [x for x in final.splitlines() if "Exchange hashpartitioning" in x and ", target#" in x.split("]")[0] and "Reused" not in x]
+    assert len(shuffles) == 1, final
+    assert "bitmap_construct_agg" in final
+
+
 def test_scan_reads_only_needed_columns(spark):
     p = plan(QUERIES["segment_lines"](spark, SF_SMALL))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
@@ -36,14 +94,13 @@ def test_segmenters_do_not_shuffle_by_document(spark):
         assert "hashpartitioning(doc_id" not in p, name
 
 
-def test_global_numbering_has_no_single_partition(spark):
-    # the frames that the numbering reads, before its checkpoint
-    for p in (plan(QUERIES["sort_row_major"](spark, SF_SMALL)), plan(_report_findings(spark, SF_SMALL))):
-        assert "SinglePartition" not in p
+def test_findings_have_no_single_partition(spark):
+    assert "SinglePartition" not in plan(_report_findings(spark, SF_SMALL))
 
 
 @pytest.mark.parametrize("name,tables", [
-    ("segment_routed", 2), ("document_findings", 1), ("segment_totals", 1), ("segment_html", 1), ("segment_markdown", 1)])
+    ("segment_routed", 2), ("document_findings", 1), ("segment_totals", 1), ("segment_html", 1), ("segment_markdown", 1),
+    ("review_texts", 1), ("first_locations", 1), ("segment_totals_sensitive", 1)])
 def test_one_scan_for_each_table(spark, name, tables):
     from polyglint.session import _SCANS
     kept = dict(_SCANS)

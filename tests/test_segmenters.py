@@ -1,5 +1,7 @@
 """Segmenters: numbering, filters, fences, HTML blocks, office formatters."""
 
+import pytest
+
 from polyglint.sources import segmenters as G
 
 
@@ -205,3 +207,67 @@ def test_order_keys_never_collide(spark):
     import pytest
     with pytest.raises(Exception, match="order key"):
         G.segment_page_tables(both.selectExpr("doc_id", "page_no", "table_no", "row_no + 5000000 as row_no", "col_no", "text")).collect()
+
+
+def fold_html(tags):
+    """Text elements (i, tag, j) of a list of tags, kept on a stack one by one."""
+    from polyglint import catalog as C
+    far, done, open_ = 1 << 30, [], []
+
+    def end(n, j):
+        for _ in range(n):
+            i, t = open_.pop()
+            if t in C.HTML_TEXT_TAGS:
+                done.append((i, t, j))
+
+    for j, tag in enumerate(tags, 1):
+        names = [t for _, t in reversed(open_)]
+        near = lambda ts: min([names.index(t) + 1 for t in ts if t in names], default=far)
+        if tag[0] == "/":
+            end(near([tag[1:]]) % far, j)
+            continue
+        gone = 1 if names and (names[0] == "p" or (names[0][0] == tag[0] == "h" and names[0][1:].isdigit() and tag[1:].isdigit())) else 0
+        for starts, ended, fence in C.HTML_IMPLIED_ENDS:
+            if tag in starts and near(ended) < near(fence):
+                gone = max(gone, near(ended))
+        end(gone, j)
+        open_.append((j, tag))
+    return sorted(done + [(i, t, far) for i, t in open_ if t in C.HTML_TEXT_TAGS])
+
+
+def test_html_elements_match_a_plain_stack(spark):
+    import random
+    from pyspark.sql import functions as F
+    from polyglint import catalog as C
+    rnd = random.Random(11)
+    pages, want = [], []
+    for k in range(300):
+        some = rnd.sample(C.HTML_BLOCK_TAGS, rnd.randint(1, 6)) + ["li", "p", "h1", "h2"]
+        tags = []
+        for _ in range(rnd.choice([0, 3, 40, 200])):
+            t = rnd.choice(some)
+            tags += rnd.choice([[t], ["/" + t], [t, "/" + t], [t, "/" + t] * 3, [t, t]])
+        pages.append((k, "".join(f"<{t}>x" for t in tags)))
+        want.append(fold_html(tags))
+    df = spark.createDataFrame(pages, "k int, html string").repartition(4)
+    got = df.select("k", G.html_elements(G.html_pieces("html")).alias("e")).collect()
+    for r in got:
+        assert [tuple(e) for e in r.e] == want[r.k], pages[r.k]
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<ul>" + "<li>item</li>" * n + "</ul>", lambda n: "<ul>" + "<li>item" * n,
+    lambda n: "<table>" + "<tr><td>aa<td>bb" * (n // 3), lambda n: "<div><h1>t</h1><p>x</div>" * (n // 4)])
+def test_html_time_is_in_proportion_to_length(spark, make):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, make(n))], "page_id long, html string")
+        out = G.segment_html(df)
+        out.count()                       # planned and compiled
+        t = time.time()
+        out.selectExpr("sum(length(text))").collect()
+        return time.time() - t
+
+    small, large = min(seconds(4000) for _ in range(2)), min(seconds(16000) for _ in range(2))
+    assert large < 8 * small + 1.5, (small, large)

@@ -37,9 +37,36 @@ def test_classes_partition_the_pairs(spark):
 
 
 def test_review_texts_sum_to_segments(spark):
+    from polyglint.sources.segmenters import line_segments
     segs = FX.fx_lines(spark, SF_SMALL)
     t = S.review_texts(segs)
     assert t.agg(F.sum("occurrence_count")).first()[0] == segs.count()
+    # the flat form and the one inside the row give the same
+    inside = S.document_texts(FX.documents(spark, SF_SMALL), line_segments("text"))
+    assert inside.columns == t.columns
+    assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, t.collect()))
+
+
+def test_document_texts_of_odd_documents(spark):
+    from polyglint.sources.segmenters import line_segments
+    docs = spark.createDataFrame([(1, "b\u00e9 x\nzz\nb\u00e9 x\nzz\nzz\nzz"), (2, None), (3, ""), (4, "one"), (5, "aa\n" * 5000 + "bb")],
+                                 "doc_id long, text string")
+    got = {(r.doc_id, r.text): tuple(r)[2:] for r in S.document_texts(docs, line_segments("text")).collect()}
+    assert got == {(1, "b\u00e9 x"): ("Line 1; Line 3", 2, 1), (1, "zz"): ("Line 2; Line 4; Line 5", 4, 2), (4, "one"): ("Line 1", 1, 1),
+                   (5, "aa"): ("Line 1; Line 2; Line 3", 5000, 1), (5, "bb"): ("Line 5001", 1, 5001)}
+
+
+def test_numbering_of_odd_keys(spark):
+    """Nulls first, expressions in the order, quotes and line ends in keys, one range and many."""
+    from polyglint.plans.strategy import number_rows
+    keys = [None, "", "a\"b", "a\\n\n", "\u4e2d\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), "\x00z"]
+    data = [(i % 977, keys[i % 6], -i) for i in range(3000)]
+    df = spark.createDataFrame(data, "a long, s string, i long").repartition(5)
+    want = sorted(data, key=lambda r: (r[1] is not None, (r[1] or "").encode(), -r[0], r[2]))
+    for ranges in (1, 2, 64):
+        out = number_rows(df, ["s", -F.col("a"), "i"], "n", ranges).orderBy("n").collect()
+        assert [r.n for r in out] == list(range(1, 3001)) and [tuple(r)[:3] for r in out] == want
+    assert number_rows(df.limit(0), ["s"], "n").count() == 0
 
 
 def test_summary_total_equals_listed_findings(spark):
