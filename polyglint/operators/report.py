@@ -30,15 +30,6 @@ FINDING_SCHEMA = T.StructType([
     T.StructField("location", T.StringType()),
     T.StructField("description", T.StringType()),
 ])
-# A findings file is a JSON list of findings, or an object holding one.
-FINDINGS_FILE_SCHEMA = T.StructType(FINDING_SCHEMA.fields + [
-    T.StructField("findings", T.ArrayType(FINDING_SCHEMA)),
-    T.StructField("automated_findings", T.ArrayType(FINDING_SCHEMA)),
-    T.StructField("assessment", T.StringType()),
-    T.StructField("_corrupt_record", T.StringType()),
-])
-
-
 def severities_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.SEVERITIES, "severity string, sev_rank bigint, fill_rgb string")
 
@@ -149,41 +140,69 @@ def markdown_summary(summary: DataFrame) -> DataFrame:
 # sources and sinks
 # --------------------------------------------------------------------------
 
-def _findings_files(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    return (spark.read.option("multiLine", multi_line).schema(FINDINGS_FILE_SCHEMA).json(path)
-            .select("*", F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("pos")))
+def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """(file, block, pos, record, v, kind): each JSON value of the files as it
+    stands there and as a VARIANT (null: not JSON), and its kind (ARRAY, OBJECT,
+    or the type of a scalar).  Blank lines and empty files hold no record."""
+    raw = spark.read.text(path, wholetext=multi_line).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), F.col("value").alias("record"))
+    v = F.try_parse_json("record")
+    return raw.where(F.btrim("record", F.lit(" \t\r\n")) != "").withColumn("v", v).withColumn(
+        "kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))
+
+
+def _listed(records: DataFrame, multi_line: bool, findings_key: str) -> DataFrame:
+    """``records`` with ``items``: the findings that each of them holds, an array
+    of VARIANT; null where the record can't hold findings."""
+    as_list = lambda path: F.try_variant_get("v", path, "array<variant>")
+    if not multi_line:
+        return records.withColumn("items", F.when(F.col("kind") == "OBJECT", F.array("v")))
+    key = F.try_variant_get("v", f"$.{findings_key}", "variant")
+    return records.withColumn("items", F.when(F.col("kind") == "ARRAY", as_list("$")).when(
+        (F.col("kind") == "OBJECT") & key.isNull(), F.array().cast("array<variant>")).when(
+            F.col("kind") == "OBJECT", as_list(f"$.{findings_key}")))
+
+
+def _items(records: DataFrame, multi_line: bool, findings_key: str) -> DataFrame:
+    listed = _listed(records, multi_line, findings_key)
+    return listed.select("file", "block", F.col("pos").alias("p"), F.posexplode("items").alias("k", "item")).select(
+        "file", "block", (F.col("p") + F.col("k")).alias("pos"), "item",
+        F.schema_of_variant("item").startswith("OBJECT").alias("is_finding"))
 
 
 def read_findings(spark: SparkSession, path: str, multi_line: bool = True,
                   findings_key: str = "findings") -> tuple[DataFrame, DataFrame]:
-    """Read findings JSON.  With ``multi_line`` each file is one JSON value: a
-    list of findings, or an object whose ``findings_key`` (``findings``, or
-    ``automated_findings`` for the output of a review) holds one, with an
-    ``assessment``.  Without it, each line is one finding (the form our own
-    sinks write, splittable at any size).
-
-    Returns (findings, assessments).  Findings carry the file, the block of it
-    and the place therein, which order them as they stand.  An empty object
-    is no finding; what isn't JSON is listed by ``read_rejects``."""
+    """Read findings JSON.  With ``multi_line`` each file is one JSON value (of at
+    most 128 MB): a list of findings, or an object whose ``findings_key``
+    (``findings``, or ``automated_findings`` for the output of a review) holds
+    one, with an ``assessment``; an object without that key holds none.  Without
+    it, each line is one finding (the form our own sinks write, splittable at
+    any size).
+
+    Returns (findings, assessments).  Any object in a list is a finding, also
+    ``{}`` and one of unknown keys: what it doesn't say is null (the report files
+    it as P3).  Findings carry the file, the block of it and the place therein,
+    which order them as they stand.  What isn't JSON, or can't be or hold a
+    finding, is listed by ``read_rejects``; it ends no run."""
     if findings_key not in ("findings", "automated_findings"):
         raise ValueError(f"unknown findings key {findings_key!r}")
-    raw = _findings_files(spark, path, multi_line)
-    one = [f.name for f in FINDING_SCHEMA]
-    flat = raw.filter(F.coalesce(*one).isNotNull()).select(*FILE_COLS, *one)
-    nested = raw.select("file", "block", F.col("pos").alias("p"), F.posexplode(findings_key).alias("k", "f")).select(
-        "file", "block", (F.col("p") + F.col("k")).alias("pos"), "f.*")
-    assessments = raw.filter(F.col("assessment").isNotNull()).select("file", "assessment")
-    return flat.unionByName(nested.where(F.coalesce(*one).isNotNull())), assessments
-
-
-def read_rejects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """(file, record): what ``read_findings`` can't read, as it stands there."""
-    raw = _findings_files(spark, path, multi_line)
-    # Spark reads the column of corrupt records only together with others; theirs are null in such records
-    record = F.concat("_corrupt_record", F.coalesce("dimension", F.lit("")))
-    return raw.where(F.col("_corrupt_record").isNotNull()).select("file", record.alias("record"))
+    records = _records(spark, path, multi_line)
+    field = lambda c: F.try_variant_get("item", f"$.{c}", "string").alias(c)
+    found = _items(records, multi_line, findings_key).where("is_finding").select(
+        *FILE_COLS, *[field(f.name) for f in FINDING_SCHEMA])
+    assessments = records.where(F.col("kind") == "OBJECT").select(
+        "file", F.try_variant_get("v", "$.assessment", "string").alias("assessment")).where("assessment is not null")
+    return found, assessments
+
+
+def read_rejects(spark: SparkSession, path: str, multi_line: bool = True, findings_key: str = "findings") -> DataFrame:
+    """(file, record): what ``read_findings`` can't read: records as they stand in
+    their file, and entries of lists that are no objects."""
+    records = _records(spark, path, multi_line)
+    whole = _listed(records, multi_line, findings_key).where(F.col("items").isNull()).select("file", "record")
+    entries = _items(records, multi_line, findings_key).where("not is_finding").select("file", F.to_json("item").alias("record"))
+    return whole.unionByName(entries)
 
 
 def ingest_manual(findings: DataFrame, manual: DataFrame) -> DataFrame:

@@ -95,6 +95,36 @@ def test_read_findings_keys_empty_and_broken_files(spark, tmp_dir):
         assert [x for _, x in detail] == ["F", *[f"E{i}" for i in range(12)]]
 
 
+def test_read_findings_counts_as_they_stand(spark, tmp_dir):
+    """{} and objects of unknown keys in a list are findings; an object without
+    findings has none; what is no JSON, no container or no object is a reject."""
+    files = {
+        "a.json": '[{}, {"x": 1}, {"severity": "P0", "location": 7}, {"severity": null}, 5, "s", [1]]',
+        "b.json": '{"findings": [{}], "assessment": "fine"}', "c.json": "{}", "d.json": '{"dimension": "d"}',
+        "e.json": '{"findings": {"severity": "P1"}}', "f.json": "[{]", "g.json": "17", "h.json": "  \n", "i.json": '{"findings": []}',
+    }
+    for name, text in files.items():
+        with open(os.path.join(tmp_dir, name), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    found, assess = R.read_findings(spark, tmp_dir)
+    counts = {os.path.basename(r.file): r["count"] for r in found.groupBy("file").count().collect()}
+    assert counts == {"a.json": 4, "b.json": 1}
+    assert [r.assessment for r in assess.collect()] == ["fine"]
+    detail = R.report_detail(found).orderBy("n").collect()
+    assert [(r.severity, r.location, r.dimension) for r in detail] == [
+        ("P3", "", ""), ("P3", "", ""), ("P0", "7", ""), ("P3", "", ""), ("P3", "", "")]
+    rejects = sorted((os.path.basename(r.file), r.record) for r in R.read_rejects(spark, tmp_dir).collect())
+    assert rejects == [("a.json", '"s"'), ("a.json", "5"), ("a.json", "[1]"), ("e.json", files["e.json"]), ("f.json", "[{]"), ("g.json", "17")]
+
+
+def test_read_findings_lines(spark, tmp_dir):
+    with open(os.path.join(tmp_dir, "a.jsonl"), "w", encoding="utf-8") as fh:
+        fh.write('{"severity": "P1", "location": "L1"}\n{}\n\nnope\n[{}]\n{"location": "L2"}\r\n')
+    found, _ = R.read_findings(spark, tmp_dir, multi_line=False)
+    assert [(r.severity, r.location) for r in R.report_detail(found).orderBy("n").collect()] == [("P1", "L1"), ("P3", ""), ("P3", "L2")]
+    assert sorted(r.record for r in R.read_rejects(spark, tmp_dir, multi_line=False).collect()) == ["[{}]", "nope"]
+
+
 def test_numbering_leaves_the_callers_cache(spark):
     f = findings(spark, [("漏翻", "P1", f"L{i}", "d") for i in range(20)]).cache()
     f.count()

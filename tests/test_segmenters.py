@@ -271,3 +271,37 @@ def test_html_time_is_in_proportion_to_length(spark, make):
 
     small, large = min(seconds(4000) for _ in range(2)), min(seconds(16000) for _ in range(2))
     assert large < 8 * small + 1.5, (small, large)
+
+
+@pytest.mark.parametrize("split", ["64b", "1000b", "128m"])
+def test_lines_read_in_splits_equal_whole_files(spark, tmp_dir, split):
+    """Line numbers and fence parity go on over the splits of a file."""
+    import os
+    import random
+    from polyglint.sources import readers as L
+    rnd = random.Random(5)
+    words = ["```", "```py", "# head", "", "  ", "x", "long line " * 9, "\u4e2d\u6587 text", "ab", "  ``` tail", "\u3000"]
+    for k in range(5):
+        text = "".join(rnd.choice(words) + rnd.choice(["\n", "\r\n", "\n\n"]) for _ in range(rnd.choice([0, 1, 200]))) + rnd.choice(["", "end"])
+        with open(os.path.join(tmp_dir, f"f{k}.md"), "w", encoding="utf-8", newline="") as fh:
+            fh.write(text)
+    whole = L.load_text_files(spark, tmp_dir)
+    want = {n: sorted(map(tuple, f(whole).select("doc_id", "seq", "location", "text").collect()))
+            for n, f in (("txt", G.segment_lines), ("md", G.segment_markdown))}
+    parity = {(r.doc_id, r.line_no): (r.is_fence, r.in_code) for r in G.fence_parity(whole).collect()}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert sorted(map(tuple, L.segment_text_lines(L.load_text_lines(spark, tmp_dir)).collect())) == want["txt"]
+        lines = L.load_text_lines(spark, tmp_dir, fences=True)
+        assert sorted(map(tuple, L.segment_markdown_lines(lines).collect())) == want["md"]
+        got = {(r.doc_id, r.line_no): (r.is_fence, r.in_code) for r in lines.collect()}
+        assert got.items() <= parity.items() and len(parity) - len(got) <= 5
+        if split == "64b":
+            assert L.load_text_lines(spark, tmp_dir).rdd.getNumPartitions() > 20
+        p = L.load_text_lines(spark, tmp_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in p.split("BroadcastExchange")[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
