@@ -8,6 +8,7 @@ Findings share one flat schema (``FINDING_COLS``).  Ordering columns:
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import text as X
+from . import literals
 
 FINDING_COLS = ["doc_id", "detector", "dimension", "severity", "location",
                 "description", "phase", "seq", "sub"]
@@ -122,21 +124,45 @@ def resolve_pack(pack):
     return pack
 
 
+def _factored(rules: list) -> tuple[literals.Pack | None, str, list[int]]:
+    """The literal rules of a large pack as one (None in small packs), a pattern
+    of all rules, and the numbers of the rules that keep a pass of their own."""
+    pack = literals.compiled(tuple(r[1] for r in rules))
+    if pack is None:
+        return None, "|".join(f"(?:{body})" for _, body, _, _ in rules), list(range(len(rules)))
+    own = [rf"\b(?:{pack.trie})\b", *[f"(?:{rules[no][1]})" for no in pack.others]]
+    return pack, "|".join(own), list(pack.others)
+
+
 def combined_pattern(pack) -> str:
     rules, _ = resolve_rules(pack)
-    return JVM_FLAGS + "|".join(f"(?:{body})" for _, body, _, _ in rules)
+    return JVM_FLAGS + _factored(rules)[1]
+
+
+_RULE_HITS = "array<struct<rule_no:bigint,match_no:bigint,term:string>>"
+
+
+def rule_hits(text: Column, rules: list) -> Column:
+    """Array of (rule_no, match_no, term): what each rule finds in a text, one rule
+    after the other where each has its pass, the literal rules of a large pack
+    before the others."""
+    pack, _, others = _factored(rules)
+    parts = [F.transform(F.regexp_extract_all(text, F.lit(rule_pattern(rules[no][1])), 0), _rule_hit(no)) for no in others]
+    if pack is not None:
+        parts.insert(0, literals.literal_hits(text, pack))
+    return F.flatten(F.array(*parts)) if parts else F.array().cast(_RULE_HITS)
 
 
-def _rule_hits(text: Column, rule_no: int, rule) -> Column:
-    rule_id, body, severity, desc = rule
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(rule_pattern(body)), 0),
-        lambda term, i: F.struct(F.lit(rule_no).cast("bigint").alias("rule_no"),
-                                 F.lit(rule_id).alias("rule_id"),
-                                 i.cast("bigint").alias("match_no"),
-                                 term.alias("term"),
-                                 F.lit(severity).alias("severity"),
-                                 F.lit(desc).alias("rule_desc")))
+def _rule_hit(no: int):
+    return lambda term, i: F.struct(F.lit(no).cast("bigint").alias("rule_no"), i.cast("bigint").alias("match_no"), term.alias("term"))
+
+
+def _rules_literal(rules: list, exemptions: dict) -> Column:
+    """The rules as one literal array, read once by the optimiser; a rule is found
+    by its number."""
+    rows = [{"rule_id": r[0], "severity": r[2], "rule_desc": r[3], "exempt": exemptions.get(r[0])} for r in rules]
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)),
+                       "array<struct<rule_id:string,severity:string,rule_desc:string,exempt:string>>")
 
 
 def sensitive_matches(df: DataFrame, pack="basic5", text_col: str = "text") -> DataFrame:
@@ -145,18 +171,20 @@ def sensitive_matches(df: DataFrame, pack="basic5", text_col: str = "text") -> D
 
     One pass for all rules: a single combined alternation pre-filters the
     rows, and the hits of every rule are flattened into one array that is
-    exploded once.  Exemptions (a rule dropped when the text contains a word)
+    exploded once.  The literal rules of a large pack are one factored pattern
+    (``literals``).  Exemptions (a rule dropped when the text contains a word)
     are applied after the explode.
     """
     rules, exemptions = resolve_rules(pack)
     text = F.col(text_col)
-    hits = F.flatten(F.array(*[_rule_hits(text, i, r) for i, r in enumerate(rules)]))
-    out = (df.filter(text.rlike(combined_pattern(rules)))
-           .select("*", F.inline(hits)))
-    for rule_id, word in exemptions.items():
-        out = out.filter(~((F.col("rule_id") == rule_id)
-                           & F.lower(text).contains(word)))
-    return out
+    if not rules:
+        df = df.limit(0)
+    known = _rules_literal(rules, exemptions)
+    out = (df.filter(text.rlike(combined_pattern(rules)) if rules else F.lit(False))
+           .select("*", F.inline(rule_hits(text, rules)))
+           .withColumn("_rule", F.element_at(known, (F.col("rule_no") + 1).cast("int"))))
+    allowed = F.col("_rule.exempt").isNull() | ~F.lower(text).contains(F.col("_rule.exempt"))
+    return out.where(allowed).select(*df.columns, "rule_no", "_rule.rule_id", "match_no", "term", "_rule.severity", "_rule.rule_desc")
 
 
 def sensitive_findings(segments: DataFrame, pack="basic5") -> DataFrame:
@@ -185,14 +213,6 @@ def sensitive_findings_cells(cells: DataFrame, pack="extended7") -> DataFrame:
 HIT = "array<struct<detector:string,dimension:string,severity:string,description:string,sub:bigint>>"
 
 
-def _sensitive_hit(no: int, severity: str, rule_desc: str):
-    return lambda term, i: F.struct(
-        F.lit("sensitive").alias("detector"), F.lit(C.DIM_SENSITIVE).alias("dimension"),
-        F.lit(severity).alias("severity"),
-        X.render(C.MESSAGES["sensitive"], description=F.lit(rule_desc), term=term).alias("description"),
-        (F.lit((no + 1) * RULE_STRIDE) + i).cast("bigint").alias("sub"))
-
-
 def finding_hits(text, pack="basic5", script_class: str = C.CJK_CLASS, include_residual: bool = True) -> Column:
     """All findings of one text, as an array inside the row: the residual
     finding first, then rule by rule, match by match.  One pass serves both
@@ -206,12 +226,20 @@ def finding_hits(text, pack="basic5", script_class: str = C.CJK_CLASS, include_r
         parts.append(F.when(X.has_cjk(text, script_class), F.array(F.struct(
             F.lit("residual").alias("detector"), F.lit(C.DIM_MISSING).alias("dimension"), F.lit("P1").alias("severity"),
             desc.alias("description"), F.lit(0).cast("bigint").alias("sub"))).cast(HIT)).otherwise(none))
-    for no, (rule_id, body, severity, rule_desc) in enumerate(rules):
-        found = F.transform(F.regexp_extract_all(text, F.lit(rule_pattern(body)), 0),
-                            _sensitive_hit(no, severity, rule_desc)).cast(HIT)
-        if rule_id in exemptions:
-            found = F.when(F.lower(text).contains(exemptions[rule_id]), none).otherwise(found)
-        parts.append(found)
+    known = _rules_literal(rules, exemptions)
+
+    def sensitive(hit):
+        def described(rule):
+            return F.when(rule["exempt"].isNull() | ~F.lower(text).contains(rule["exempt"]), F.struct(
+                F.lit("sensitive").alias("detector"), F.lit(C.DIM_SENSITIVE).alias("dimension"), rule["severity"].alias("severity"),
+                X.render(C.MESSAGES["sensitive"], description=rule["rule_desc"], term=hit["term"]).alias("description"),
+                ((hit["rule_no"] + 1) * RULE_STRIDE + hit["match_no"]).cast("bigint").alias("sub")))
+        return X.let(F.element_at(known, (hit["rule_no"] + 1).cast("int")), described)
+
+    if rules:
+        parts.append(F.filter(F.transform(rule_hits(text, rules), sensitive), lambda h: h.isNotNull()).cast(HIT))
+    if not parts:
+        return none
     hits = F.flatten(F.array(*parts))
     return F.when(_may_hit(text, rules, script_class, include_residual), hits).otherwise(none)
 
@@ -230,9 +258,10 @@ def loose_pattern(pack) -> str | None:
     depends on where a line begins or ends, which the whole text doesn't
     show."""
     rules, _ = resolve_rules(pack)
-    parts = []
-    for _, body, _, _ in rules:
-        wide = re.sub(r"[(][?]![^()]*[)]", "", body)
+    factored, _, others = _factored(rules)
+    parts = [] if factored is None else [rf"\b(?:{factored.trie})\b"]
+    for no in others:
+        wide = re.sub(r"[(][?]![^()]*[)]", "", rules[no][1])
         # escaped characters and character classes can't anchor anything
         bare = re.sub(r"\\[^AzZGbBkQE0-9]|\[\^?\]?[^\]]*\]", "", wide)
         if re.search(r"[\^$]|\\[AzZGBkQE0-9]|[(][?][^:]", bare):

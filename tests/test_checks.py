@@ -183,3 +183,68 @@ def test_large_and_small_glossaries_agree(spark):
     rows = lambda n: sorted(tuple(r) for r in RP.terminology_findings(pairs, glossary, inline_terms=n).collect())
     assert rows(10) == rows(1) and len(rows(10)) == 2
     assert RP.terminology_findings(pairs, glossary.limit(0)).count() == 0
+
+
+def every_rule_for_itself(text, rules):
+    """(rule_no, match_no, term) with one pass of Spark's regex a rule."""
+    from pyspark.sql import functions as F
+    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(K.rule_pattern(r[1])), 0), _numbered(no))
+                               for no, r in enumerate(rules)]))
+
+
+def _numbered(no):
+    from pyspark.sql import functions as F
+    return lambda t, i: F.struct(F.lit(no).alias("rule_no"), i.alias("match_no"), t.alias("term"))
+
+
+def test_literal_rules_of_a_large_pack_find_the_same(spark):
+    """Phrases that begin others, rules that share phrases, all cases, words beside
+    marks and signs, phrases that may overlap, and rules that are no phrases."""
+    import random
+    from pyspark.sql import functions as F
+    rnd = random.Random(3)
+    words = ["kill", "killer", "Kill Switch", "kill switch off", "switch", "off", "e-mail", "mail", "\u4e2d\u6587", "\u00e9tat", "stra\u00dfe", "kelvin", "sink",
+             "a", "ab", "a b", "b a", "\u03a3\u03af\u03c3", "x_1", "i", "r&d"]
+    rules = [(f"r{k}", r"\b(" + "|".join(rnd.sample(words, rnd.randint(1, 4))) + r")\b", rnd.choice(["P0", "P1"]), f"d{k}") for k in range(60)]
+    rules += [("opt", r"\bkills?\b", "P2", "o"), ("look", r"\bmail\b(?!\s+man)", "P2", "l"), ("one", r"\bsink\b", "P3", "s", "Stop")]
+    pieces = words + ["KILL", "\u212aill", "\u017fink", "S\u0130NK", "s\u0131nk", "\u00c9TAT", "e\u0301tat", "kill\u0301", " ", "  ", "-", ".", "man", "STRASSE", "\u03c3\u03af\u03c2", "stop", "A"]
+    texts = ["".join(rnd.choice(pieces) + rnd.choice([" ", " ", "-", "", "\n"]) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    plain, _ = K.resolve_rules(rules)
+    from polyglint.operators import literals
+    pack = literals.compiled(tuple(r[1] for r in plain))
+    assert pack is not None and 0 < len(pack.others) < 40
+    got = df.select("doc_id", F.array_sort(K.rule_hits(F.col("text"), plain)).alias("h"),
+                    F.array_sort(every_rule_for_itself(F.col("text"), plain)).alias("w")).collect()
+    assert sum(len(r.h) for r in got) > 1000
+    for r in got:
+        assert [tuple(x) for x in r.h] == [tuple(x) for x in r.w], texts[r.doc_id]
+    # the exemption and both readers of the hits
+    flat = sorted((r.doc_id, r.rule_no, r.match_no, r.term) for r in K.sensitive_matches(df, rules).collect())
+    want = sorted((r.doc_id, *tuple(x)) for r in got for x in r.w if plain[x[0]][0] != "one" or "stop" not in texts[r.doc_id].lower())
+    assert flat == want
+    inside = df.select("doc_id", F.inline(K.finding_hits("text", rules, include_residual=False))).collect()
+    assert sorted((r.doc_id, r["sub"]) for r in inside) == sorted((d, (n + 1) * K.RULE_STRIDE + m) for d, n, m, _ in want)
+
+
+def test_five_thousand_rules_cost_little_more_than_seven(spark):
+    import itertools
+    import time
+    syllables = ["ba", "ke", "lo", "mi", "nu", "pra", "sto", "tri", "vel", "zan"]
+    names = ["".join(p) for p in itertools.product(syllables, repeat=4)][:5000]
+    rules = [(f"r{k}", rf"\b({n}|{n} {n[:2]}x)\b", "P1", "d") for k, n in enumerate(names)]
+    prose = spark.range(4000).selectExpr(
+        "id as doc_id", "array_join(transform(sequence(1, 400), i -> concat('w', substring(md5(concat(id, ':', i)), 1, 5))), ' ')"
+        " || case when id % 50 = 0 then ' bakelomi' else ' stop' end as text").repartition(4).cache()
+    prose.count()
+
+    def seconds(pack):
+        m = K.sensitive_matches(prose, pack)
+        n, t = m.count(), time.time()
+        m.selectExpr("sum(rule_no)").collect()
+        return n, time.time() - t
+
+    n_small, small = seconds([("one", r"\b(bakelomi)\b", "P1", "d")] + [r for r in K.resolve_rules("basic5")[0]] + [("two", r"\b(nubake)\b", "P1", "d")])
+    n_large, large = seconds(rules)
+    assert n_small == n_large == 80
+    assert large < 3 * small + 1.0, (small, large)
