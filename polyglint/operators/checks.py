@@ -13,6 +13,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import catalog as C
 from ..functions import text as X
@@ -24,6 +25,12 @@ FINDING_COLS = ["doc_id", "detector", "dimension", "severity", "location",
 RULE_STRIDE = 1_000_000_000   # sub = (rule_no + 1) * RULE_STRIDE + match_no
 
 
+def _order_value(df: DataFrame, seq) -> Column:
+    """A place as it is, a DECIMAL or a BIGINT."""
+    wide = isinstance(df.select(X.col_(seq).alias("s")).schema["s"].dataType, T.DecimalType)
+    return X.col_(seq).cast("decimal(38,0)" if wide else "bigint")
+
+
 def finding(df: DataFrame, *, detector: str, dimension, severity, location, description,
             seq, doc_id="doc_id", phase: int = 0, sub=None) -> DataFrame:
     lit = lambda v: F.lit(v) if isinstance(v, str) else v
@@ -36,7 +43,7 @@ def finding(df: DataFrame, *, detector: str, dimension, severity, location, desc
         X.col_(location).alias("location"),
         X.col_(description).alias("description"),
         F.lit(phase).cast("bigint").alias("phase"),
-        X.col_(seq).cast("bigint").alias("seq"),
+        _order_value(df, seq).alias("seq"),
         X.col_(sub).cast("bigint").alias("sub"),
     )
 
@@ -311,7 +318,7 @@ def automated_findings(segments: DataFrame, pack="basic5", dedup: bool = False,
         segs = segs.select("doc_id", "location", "seq", F.inline(hits))
     return segs.select(
         F.col("doc_id").cast("string").alias("doc_id"), "detector", "dimension", "severity", "location",
-        "description", F.lit(0).cast("bigint").alias("phase"), F.col("seq").cast("bigint").alias("seq"), "sub")
+        "description", F.lit(0).cast("bigint").alias("phase"), _order_value(segs, "seq").alias("seq"), "sub")
 
 
 def scan_findings(scanned: DataFrame, pack="extended7") -> DataFrame:

@@ -146,9 +146,9 @@ def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     or the type of a scalar).  Blank lines and empty files hold no record."""
     raw = spark.read.text(path, wholetext=multi_line).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), F.col("value").alias("record"))
+        F.monotonically_increasing_id().alias("pos"), F.btrim("value", F.lit(" \t\r\n")).alias("record"))
     v = F.try_parse_json("record")
-    return raw.where(F.btrim("record", F.lit(" \t\r\n")) != "").withColumn("v", v).withColumn(
+    return raw.where(F.col("record") != "").withColumn("v", v).withColumn(
         "kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))
 
 

@@ -12,7 +12,7 @@ NULL as Spark's ``concat`` does.
 from __future__ import annotations
 
 from .. import catalog as C
-from ..sources.segmenters import CELL_ROW_SHIFT, PAIR_COL_SHIFT, SHEET_SHIFT
+from ..sources.segmenters import CELL_ROW_SHIFT, ORDINAL, PAIR_COL_SHIFT, SHEET_SHIFT
 
 S = C.STRIP_CLASS
 SHEET_MUL = 1 << SHEET_SHIFT
@@ -22,6 +22,15 @@ ALPHA = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NL = r"\r\n|\r|\n"
 
 
+def place(*parts) -> str:
+    """``segmenters.place_key`` as text."""
+    out = ""
+    for part in parts:
+        value, base = part if isinstance(part, tuple) else (part, ORDINAL)
+        out = f"({out} * {base} + {value})" if out else f"CAST({value} AS HUGEINT)"
+    return f"CAST({out} AS VARCHAR)"
+
+
 def strip(x: str) -> str:
     return f"regexp_replace({x}, '\\A{S}+|{S}+\\z', '', 'g')"
 
@@ -620,23 +629,23 @@ o("segment_paragraphs", f"""SELECT doc_id, para_no AS seq, 'Paragraph ' || CAST(
   CASE WHEN style IS NULL OR style = 'Normal' THEN '' ELSE ' [' || style || ']' END AS location, t AS text
   FROM (SELECT *, {strip('text')} AS t FROM fx_paragraphs) WHERE t IS NOT NULL AND length(t) > 0""",
   "doc_lines_raw_paras")
-o("segment_doc_tables", f"""SELECT doc_id, (((1 * 262144 + table_no) * 1073741824) + row_no) * 16384 + col_no AS seq,
+o("segment_doc_tables", f"""SELECT doc_id, {place('1', 'table_no', 'row_no', 'col_no')} AS seq,
   'Table ' || CAST(table_no AS VARCHAR) || ', Row ' || CAST(row_no AS VARCHAR) || ', Col ' || CAST(col_no AS VARCHAR) AS location,
   t AS text FROM (SELECT *, {strip('text')} AS t FROM fx_part_tables) WHERE t IS NOT NULL AND length(t) > 0""",
   "fx_part_tables")
-o("segment_slides", f"""SELECT doc_id, (((slide_no * 4096 + shape_no) * 2 + 0) * 4194304 + para_no) * 16384 AS seq,
+o("segment_slides", f"""SELECT doc_id, {place('slide_no', 'shape_no', ('0', 2), 'para_no', '0')} AS seq,
   'Slide ' || CAST(slide_no AS VARCHAR) || ', Paragraph ' || CAST(para_no AS VARCHAR) AS location, t AS text, shape_no
   FROM (SELECT *, {strip('text')} AS t FROM fx_slides) WHERE t IS NOT NULL AND length(t) > 0""", "fx_slides")
-o("segment_slide_tables", f"""SELECT doc_id, (((slide_no * 4096 + shape_no) * 2 + 1) * 4194304 + row_no) * 16384 + col_no AS seq,
+o("segment_slide_tables", f"""SELECT doc_id, {place('slide_no', 'shape_no', ('1', 2), 'row_no', 'col_no')} AS seq,
   'Slide ' || CAST(slide_no AS VARCHAR) || ', Table Row ' || CAST(row_no AS VARCHAR) || ', Col ' || CAST(col_no AS VARCHAR) AS location,
   t AS text, shape_no FROM (SELECT *, {strip('text')} AS t FROM fx_slide_tables) WHERE t IS NOT NULL AND length(t) > 0""",
   "fx_slide_tables")
-o("segment_page_lines", f"""SELECT doc_id, page_no * 8796093022208 + (i - 1) AS seq,
+o("segment_page_lines", f"""SELECT doc_id, {place('page_no', ('0', 2), '(i - 1)', '0', '0')} AS seq,
   'Page ' || CAST(page_no AS VARCHAR) || ', Line ' || CAST(i AS VARCHAR) AS location, t AS text
   FROM (SELECT *, {strip('arr[i]')} AS t FROM (SELECT doc_id, page_no, arr, unnest(range(1, len(arr) + 1)) AS i
         FROM (SELECT conv_id AS doc_id, CAST(turn + 1 AS BIGINT) AS page_no, string_split(text, chr(10)) AS arr
               FROM conversations))) WHERE length(t) > 1""")
-o("segment_page_tables", f"""SELECT doc_id, page_no * 8796093022208 + 4398046511104 + table_no * 4294967296 + row_no * 1024 + col_no AS seq,
+o("segment_page_tables", f"""SELECT doc_id, {place('page_no', ('1', 2), 'table_no', 'row_no', 'col_no')} AS seq,
   'Page ' || CAST(page_no AS VARCHAR) || ', Table Row ' || CAST(row_no AS VARCHAR) || ', Col ' || CAST(col_no AS VARCHAR) AS location,
   t AS text FROM (SELECT *, {strip('text')} AS t FROM fx_page_tables) WHERE t IS NOT NULL AND length(t) > 0""",
   "fx_page_tables")
@@ -915,3 +924,30 @@ o("markdown_summary", f"""SELECT CAST(-2 AS BIGINT) AS dim_ord, '{_md_head}' AS
   UNION ALL SELECT CAST(-1 AS BIGINT), '{_md_rule}'
   UNION ALL SELECT dim_ord, '| ' || concat_ws(' | ', {', '.join(f'CAST({c} AS VARCHAR)' for c in _md_cols)}) || ' |'
   FROM summary""", "summary_all12")
+
+
+# files
+o("load_text_files", """SELECT CAST(doc_id // 50 AS BIGINT) AS part, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars,
+  md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+_add("file_texts", """file_texts AS (SELECT CAST(doc_id // 50 AS BIGINT) AS doc_id,
+  string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1)""")
+_add("file_lines", explode_lines("file_lines", "file_texts"), ["file_texts"])
+_add("file_segs", seg_lines("file_segs", "file_lines"), ["file_lines"])
+o("segment_text_lines", "SELECT doc_id AS part, seq, location, text FROM file_segs", "file_segs")
+_add("label_items", """label_items AS (SELECT CAST(doc_id // 20 AS BIGINT) AS part, doc_id, quality,
+  CASE doc_id % 5 WHEN 0 THEN '{}' WHEN 1 THEN '{"note": 1}' WHEN 2 THEN '"' || CAST(doc_id AS VARCHAR) || '"'
+    ELSE '{"severity": "P' || CAST(quality AS VARCHAR) || '", "location": "Document ' || CAST(doc_id AS VARCHAR)
+      || '", "dimension": "地道性"}' END AS item FROM labels)""")
+o("read_findings_files", """SELECT part, 'finding' AS what, CASE WHEN doc_id % 5 < 3 THEN 'P3' ELSE 'P' || CAST(quality AS VARCHAR) END AS severity,
+  CASE WHEN doc_id % 5 < 3 THEN '' ELSE 'Document ' || CAST(doc_id AS VARCHAR) END AS location,
+  CASE WHEN doc_id % 5 < 3 THEN '' ELSE '地道性' END AS dimension
+  FROM label_items WHERE part % 4 < 2 AND doc_id % 5 <> 2
+UNION ALL SELECT part, 'reject', '', item, '' FROM label_items WHERE part % 4 < 2 AND doc_id % 5 = 2
+UNION ALL SELECT DISTINCT part, 'assessment', '', 'part ' || CAST(part AS VARCHAR), '' FROM label_items WHERE part % 4 = 1
+UNION ALL SELECT part, 'reject', '', '[' || string_agg(item, ', ' ORDER BY doc_id) || ',', '' FROM label_items
+  WHERE part % 4 = 3 GROUP BY part""", "label_items")
+o("sensitive_matches_large", """SELECT p_partkey, w AS rule_id,
+  CAST(row_number() OVER (PARTITION BY p_partkey, w ORDER BY i) - 1 AS BIGINT) AS match_no, w AS term, 'P2' AS severity
+  FROM (SELECT p_partkey, ws[i] AS w, i FROM (SELECT p_partkey, ws, unnest(range(1, len(ws) + 1)) AS i
+    FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part)))
+  WHERE regexp_full_match(w, '[a-z]+')""")

@@ -24,6 +24,7 @@ from ..operators import report as R
 from ..operators import rulepacks as RP
 from ..operators import summary as S
 from ..session import checkpoint_dir, read_table, spread_scan
+from ..sources import readers as RD
 from ..sources import segmenters as G
 from . import fixtures as FX
 from .review import align_bitext, bitext_findings, corpus_counts
@@ -146,6 +147,34 @@ def load_documents(spark, d):
                                   F.col("_metadata.file_name").alias("file_name")))
 
 
+def _text_files(spark, d):
+    """Documents written as text files of fifty, and where they are."""
+    path = _io_dir(spark, "text")
+    docs = FX.documents(spark, d).select(F.floor(F.col("doc_id") / 50).cast("bigint").alias("part"), "doc_id", "text")
+    (docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text")
+     .write.partitionBy("part").text(path))
+    return path
+
+
+def _part_of(path):
+    return F.regexp_extract(path, r"part=([0-9]+)", 1).cast("bigint").alias("part")
+
+
+@q("load_text_files")
+def load_text_files(spark, d):
+    """The whole-file reader: one row a file, told by its path."""
+    files = RD.load_text_files(spark, _text_files(spark, d))
+    return files.select(_part_of("path"), F.length("text").cast("bigint").alias("n_chars"),
+                        F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@q("segment_text_lines")
+def segment_text_lines(spark, d):
+    """The same files read in splits."""
+    lines = RD.segment_text_lines(RD.load_text_lines(spark, _text_files(spark, d)))
+    return lines.select(_part_of("doc_id"), "seq", "location", "text")
+
+
 @q("route_format")
 def route_format(spark, d):
     return G.route_format(FX.fx_routed(spark, d)).select("doc_id", "path", "suffix", "format",
@@ -207,29 +236,34 @@ def segment_paragraphs(spark, d):
     return G.segment_paragraphs(FX.fx_paragraphs(spark, d))
 
 
+def _shown(segments):
+    """Places made of several ordinals, as text: both engines write those alike."""
+    return segments.withColumn("seq", F.col("seq").cast("string"))
+
+
 @q("segment_doc_tables")
 def segment_doc_tables(spark, d):
-    return G.segment_doc_tables(FX.fx_part_tables(spark, d))
+    return _shown(G.segment_doc_tables(FX.fx_part_tables(spark, d)))
 
 
 @q("segment_slides")
 def segment_slides(spark, d):
-    return G.segment_slides(FX.fx_slides(spark, d))
+    return _shown(G.segment_slides(FX.fx_slides(spark, d)))
 
 
 @q("segment_slide_tables")
 def segment_slide_tables(spark, d):
-    return G.segment_slide_tables(FX.fx_slide_tables(spark, d))
+    return _shown(G.segment_slide_tables(FX.fx_slide_tables(spark, d)))
 
 
 @q("segment_page_lines")
 def segment_page_lines(spark, d):
-    return G.segment_page_lines(FX.fx_page_texts(spark, d))
+    return _shown(G.segment_page_lines(FX.fx_page_texts(spark, d)))
 
 
 @q("segment_page_tables")
 def segment_page_tables(spark, d):
-    return G.segment_page_tables(FX.fx_page_tables(spark, d))
+    return _shown(G.segment_page_tables(FX.fx_page_tables(spark, d)))
 
 
 @q("write_review")
@@ -250,6 +284,21 @@ def read_findings(spark, d):
     return found.select("dimension", "severity", "location", "description")
 
 
+@q("read_findings_files")
+def read_findings_files(spark, d):
+    """Files of each kind (a list with {} and unknown keys, an object, {} and a
+    broken one), made from ``labels``: findings as the report shows them,
+    assessments and rejects."""
+    path = _io_dir(spark, "files")
+    FX.findings_files(spark, d).repartition("part").write.partitionBy("part").text(path)
+    found, assessments = R.read_findings(spark, path)
+    rows = R.with_defaults(found).select(_part_of("file"), F.lit("finding").alias("what"), "severity", "location", "dimension")
+    others = [df.select(_part_of("file"), F.lit(what).alias("what"), F.lit("").alias("severity"), F.col(c).alias("location"),
+                        F.lit("").alias("dimension"))
+              for df, what, c in ((assessments, "assessment", "assessment"), (R.read_rejects(spark, path), "reject", "record"))]
+    return rows.unionByName(others[0]).unionByName(others[1])
+
+
 @q("report_detail")
 def report_detail(spark, d):
     return R.report_detail(_report_findings(spark, d))
@@ -290,6 +339,17 @@ def sensitive_matches(spark, d):
     return m.select("doc_id", "seq", "rule_no", "rule_id", "match_no", "term", "severity")
 
 
+@q("sensitive_matches_large")
+def sensitive_matches_large(spark, d):
+    """A pack with a literal rule for each word that part names hold."""
+    parts = read_table(spark, d, "part").select("p_partkey", "p_name")
+    words = parts.select(F.explode(F.split("p_name", " ")).alias("w")).where("w rlike '^[a-z]+$'").distinct()
+    pack = words.select(F.col("w").alias("rule_id"), F.concat(F.lit(r"\b("), "w", F.lit(r")\b")).alias("pattern"),
+                        F.lit("P2").alias("severity"), F.lit("listed").alias("description"),
+                        F.lit(None).cast("string").alias("exempt_if_contains"))
+    return K.sensitive_matches(parts, pack, "p_name").select("p_partkey", "rule_id", "match_no", "term", "severity")
+
+
 @q("sensitive_exempt")
 def sensitive_exempt(spark, d):
     """Hits of the security rule that the exemption removes."""

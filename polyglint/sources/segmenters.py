@@ -3,7 +3,9 @@
 Every segmenter is a narrow transformation (explode + projection + filter):
 no shuffle, no window, so each one also runs unchanged on a streaming
 DataFrame.  Output columns: ``doc_id, seq, location, text`` plus the
-format-specific ordinals.  ``seq`` is the document order of the segment.
+format-specific ordinals.  ``seq`` is the document order of the segment: a
+BIGINT, or a DECIMAL(38,0) where it is made of several ordinals without a bound
+(tables, slides, pages); both merge into one order.
 """
 
 from __future__ import annotations
@@ -374,32 +376,46 @@ def segment_html(pages: DataFrame, id_col: str = "page_id",
 # --------------------------------------------------------------------------
 
 def packed(*parts: tuple) -> Column:
-    """Order key of (value, bits) parts in one BIGINT, the first part highest.
-    A value that doesn't fit its bits raises: two places never share a key."""
+    """Order key of (value, bits) parts in one BIGINT, the first part highest, for
+    values that the format keeps below their bits.  One beyond them sorts as the
+    largest: a bad ordinal costs its own order, not the run."""
     assert sum(bits for _, bits in parts) <= 63
     out = None
     for value, bits in parts:
-        v = _bigint(value)
-        v = F.when((v >= 0) & (v < F.lit(1 << bits)), v).otherwise(F.when(
-            v.isNotNull(), F.raise_error(F.format_string(f"order key: %d needs more than {bits} bits", v)).cast("bigint")))
+        v = F.least(F.greatest(_bigint(value), F.lit(0)), F.lit((1 << bits) - 1))
         out = v if out is None else out * F.lit(1 << bits) + v
     return out
 
 
-# Cell order keys: sheets 2^18, columns 2^14 (the sheet format's limit), rows 2^31.
+ORDINAL = 1 << 31
+
+
+def place_key(*parts) -> Column:
+    """Order key of up to four ordinals (any 31-bit number) and one bit in one
+    DECIMAL(38,0), the first part highest: pages, tables, rows and columns of any
+    number.  A part (value, 2) is the bit."""
+    out = None
+    for part in parts:
+        value, base = part if isinstance(part, tuple) else (part, ORDINAL)
+        v = F.least(F.greatest(_bigint(value), F.lit(0)), F.lit(base - 1)).cast("decimal(38,0)")
+        out = v if out is None else (out * F.lit(base).cast("decimal(10,0)") + v).cast("decimal(38,0)")
+    return out
+
+
+# Cell order keys: sheets 2^18, columns 2^15 (the sheet format ends at column 2^14), rows 2^30.
 SHEET_SHIFT = 45
-PAIR_COL_SHIFT = 31
-CELL_ROW_SHIFT = 14
+PAIR_COL_SHIFT = 30
+CELL_ROW_SHIFT = 15
 
 
 def cell_seq(sheet_idx, row_no, col_no) -> Column:
     """Row-major order of a cell inside its workbook."""
-    return packed((sheet_idx, 18), (row_no, 31), (col_no, 14))
+    return packed((sheet_idx, 18), (row_no, 30), (col_no, 15))
 
 
 def pair_seq(sheet_idx, col_no, row_no) -> Column:
     """Column-major order of a cell inside its workbook (comparison order)."""
-    return packed((sheet_idx, 18), (col_no, 14), (row_no, 31))
+    return packed((sheet_idx, 18), (col_no, 15), (row_no, 30))
 
 
 def admit_cells(cells: DataFrame, admit: str = "nonnull") -> DataFrame:
@@ -483,13 +499,13 @@ def segment_doc_tables(cells: DataFrame) -> DataFrame:
     """(doc_id, table_no, row_no, col_no, text) -> ``Table T, Row R, Col C``.
     Tables come after all paragraphs in document order."""
     c = _nonblank_text(cells)
-    seq = packed((F.lit(1), 1), ("table_no", 18), ("row_no", 30), ("col_no", 14))
+    seq = place_key((F.lit(1), 2), "table_no", "row_no", "col_no")
     return c.select("doc_id", seq.alias("seq"),
                     X.loc_table("table_no", "row_no", "col_no").alias("location"), "text")
 
 
 def _slide_seq(slide_no, shape_no, kind: int, a, b) -> Column:
-    return packed((slide_no, 14), (shape_no, 12), (F.lit(kind), 1), (a, 22), (b, 14))
+    return place_key(slide_no, shape_no, (F.lit(kind), 2), a, b)
 
 
 def segment_slides(paras: DataFrame) -> DataFrame:
@@ -520,7 +536,7 @@ def segment_page_lines(pages: DataFrame) -> DataFrame:
                          F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     lines = lines.withColumn("text", X.py_strip("raw")).filter(F.length("text") > 1)
     return lines.select("doc_id",
-                        packed(("page_no", 20), (F.lit(0), 1), (F.col("pos"), 42)).alias("seq"),
+                        place_key("page_no", (F.lit(0), 2), F.col("pos"), F.lit(0), F.lit(0)).alias("seq"),
                         X.loc_page_line("page_no", F.col("pos") + 1).alias("location"),
                         "text")
 
@@ -529,7 +545,7 @@ def segment_page_tables(cells: DataFrame) -> DataFrame:
     """(doc_id, page_no, table_no, row_no, col_no, text) ->
     ``Page P, Table Row R, Col C`` (the table text also appears as lines)."""
     c = _nonblank_text(cells)
-    seq = packed(("page_no", 20), (F.lit(1), 1), ("table_no", 10), ("row_no", 22), ("col_no", 10))
+    seq = place_key("page_no", (F.lit(1), 2), "table_no", "row_no", "col_no")
     return c.select("doc_id", seq.alias("seq"),
                     X.loc_page_table("page_no", "row_no", "col_no").alias("location"),
                     "text")

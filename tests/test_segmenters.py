@@ -205,8 +205,30 @@ def test_order_keys_never_collide(spark):
     ordered = segs.orderBy("seq").selectExpr("location").limit(n + 1).collect()
     assert ordered[0].location == "Page 1, Table Row 0, Col 1" and ordered[n].location == "Page 1, Table Row 0, Col 1"
     import pytest
-    with pytest.raises(Exception, match="order key"):
-        G.segment_page_tables(both.selectExpr("doc_id", "page_no", "table_no", "row_no + 5000000 as row_no", "col_no", "text")).collect()
+
+
+def test_order_keys_of_large_places(spark):
+    """Thousands of tables, columns and shapes sort as their numbers, and an
+    impossible ordinal doesn't end the run."""
+    from pyspark.sql import functions as F
+    from polyglint.operators import checks as K
+    from polyglint.operators import report as R
+    big = [(1, 1, 5000, 1, 1), (1, 1, 5000, 1, 5000), (1, 1, 2, 70000, 3), (1, 1, 1024, 1, 1), (1, 1, 1023, 4000000000, 1), (1, 2, 1, 1, -3), (1, 9, 1, 1, 1)]
+    cells = spark.createDataFrame([(*r, f"at {k}") for k, r in enumerate(big)],
+                                  "doc_id long, page_no long, table_no long, row_no long, col_no long, text string")
+    got = [big[int(r.text.split()[1])] for r in G.segment_page_tables(cells).orderBy("seq").collect()]
+    assert got == sorted(big)
+    slides = spark.createDataFrame([(1, s, p, n, "kill") for s, p, n in ((2, 1, 1), (1, 5000, 1), (1, 4095, 2), (1, 4096, 1))],
+                                   "doc_id long, slide_no long, shape_no long, para_no long, text string")
+    segs = G.segment_slides(slides)
+    assert [(r.location, r.shape_no) for r in segs.orderBy("seq").collect()] == [
+        ("Slide 1, Paragraph 2", 4095), ("Slide 1, Paragraph 1", 4096), ("Slide 1, Paragraph 1", 5000), ("Slide 2, Paragraph 1", 1)]
+    # findings of such places merge with those of lines and cells
+    lines = K.automated_findings(G.segment_lines(docs(spark, ["bomb"])))
+    merged = R.merge_findings(lines, K.automated_findings(segs), K.sensitive_findings(segs))
+    assert [r.location for r in R.report_detail(merged).orderBy("n").collect()][:3] == ["Line 1", "Slide 1, Paragraph 2", "Slide 1, Paragraph 1"]
+    # the last column of the sheet format
+    assert spark.range(1).select((G.cell_seq(F.lit(0), F.lit(1), F.lit(16384)) < G.cell_seq(F.lit(0), F.lit(2), F.lit(1))).alias("b")).first().b
 
 
 def fold_html(tags):
