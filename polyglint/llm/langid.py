@@ -24,7 +24,7 @@ ORDERS = (1, 2, 3)
 BITS = 15                  # buckets of an n-gram order: 2 ** BITS
 PIECE = 1 << 18            # code points scored together
 SMOOTHING = 0.5
-MAX_LANGUAGES = 256        # the most frequent labels are learned
+MAX_LANGUAGES = 1024       # the model grows by 0.8 MB a label: with more, fitting is refused
 FIT_DOCS_PER_LANGUAGE = 4000   # bound of the sample that the model is fitted on
 
 _LETTER: list = []
@@ -119,17 +119,24 @@ def fit(labelled: DataFrame, docs_per_language: int = FIT_DOCS_PER_LANGUAGE,
     """Fit on (doc_id, text, lang): of each language the ``docs_per_language``
     or so documents whose hashed id is least, or all where there are fewer.
 
-    Null labels and texts are skipped.  Counts are summed by Spark; the driver
-    gets one fixed-size vector per language (``max_languages`` at most).
+    Every label is learned, with its share of all labelled documents as its
+    prior; a table of over ``max_languages`` labels is refused.  Null labels and
+    texts are skipped.  Counts are summed by Spark; the driver gets one
+    fixed-size vector per language.
     """
     spark = labelled.sparkSession
     known = labelled.where("lang is not null and text is not null")
-    sizes = (known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-             .select("lang", (F.lit(float(docs_per_language)) / F.col("count")).alias("share")))
+    known_langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(known_langs) > max_languages:
+        raise ValueError(f"over {max_languages} languages are labelled")
+    width = len(ORDERS) << BITS
+    if not known_langs:
+        return Model([], np.zeros(0), np.zeros((width, 0)))
+    sizes = spark.createDataFrame([(lang, docs_per_language / n) for lang, n in sorted(known_langs.items())],
+                                  "lang string, share double")
     # a hashed id is uniform in [0, 1): below the share are about docs_per_language rows
     place = F.coalesce(F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND((1 << 40) - 1) / float(1 << 40), F.lit(0.0))
     sample = known.join(F.broadcast(sizes), "lang").where(place < F.col("share")).select("text", "lang")
-    width = len(ORDERS) << BITS
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -159,14 +166,14 @@ def fit(labelled: DataFrame, docs_per_language: int = FIT_DOCS_PER_LANGUAGE,
 
     schema = "lang string, docs long, counts binary"
     parts = map_arrow(sample, count, schema)
-    rows = sorted(map_arrow(parts.repartition("lang"), add, schema).collect(), key=lambda r: r["lang"])
-    if not rows:
-        return Model([], np.zeros(0), np.zeros((width, 0)))
-    counts = np.array([np.frombuffer(r["counts"], "<i8") for r in rows], np.float64) + SMOOTHING
-    docs = np.array([r["docs"] for r in rows], np.float64)
-    by_order = counts.reshape(len(rows), len(ORDERS), -1)
-    log_prob = np.log(by_order / by_order.sum(axis=2, keepdims=True)).reshape(len(rows), width)
-    return Model([r["lang"] for r in rows], np.log(docs / docs.sum()), np.ascontiguousarray(log_prob.T))
+    found = {r["lang"]: np.frombuffer(r["counts"], "<i8") for r in map_arrow(parts.repartition("lang"), add, schema).collect()}
+    # a label none of whose documents was drawn (few, all with a high hash) has its prior alone
+    langs = sorted(known_langs)
+    counts = np.array([found.get(lang, np.zeros(width)) for lang in langs], np.float64) + SMOOTHING
+    docs = np.array([known_langs[lang] for lang in langs], np.float64)
+    by_order = counts.reshape(len(langs), len(ORDERS), -1)
+    log_prob = np.log(by_order / by_order.sum(axis=2, keepdims=True)).reshape(len(langs), width)
+    return Model(langs, np.log(docs / docs.sum()), np.ascontiguousarray(log_prob.T))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred",
@@ -201,10 +208,8 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
 
 
-def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows whose language is found: not ``und``, and its probability at
-    least ``min_score``."""
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows whose language is found: all but those of ``und``."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     lang, score = fresh(docs, "lang_pred", "score")
-    out = predict(docs, model, lang_col=lang, score_col=score)
-    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)
+    return predict(docs, model, lang_col=lang, score_col=score).where(F.col(lang) != UNKNOWN).select(*docs.columns)

@@ -108,8 +108,8 @@ def is_identifier(token: str) -> bool:
     return token in FREEDOM or token in ALIASES or token in PLAIN_IDS or bool(re.search("[0-9-]", token))
 
 
-def to_postfix(expression: str) -> list[str]:
-    """The longest licence expression at the start of a text, operands first
+def to_postfix(said: str, lowered: str | None = None, start: int = 0, end: int | None = None) -> list[str]:
+    """The longest licence expression at a place of a text, operands first
     and in lower case (shunting-yard); empty where there is none.  What cannot
     follow ends the expression, so that prose behind it is not taken in.
 
@@ -117,14 +117,15 @@ def to_postfix(expression: str) -> list[str]:
     its place.  Elsewhere it must be an identifier (``is_identifier``) or have
     an upper-case initial at the start or behind an operator in upper case, and
     no other word right behind it."""
-    said, expression = expression, _lower(expression)
+    expression = _lower(said) if lowered is None else lowered
+    end = len(said) if end is None else end
     formal = True            # whether names in upper case count: at the start, behind AND, OR, WITH
     out: list[str] = []
     ops: list[str] = []
     good: list[str] = []
     operand = False          # whether the last token ended an operand
-    at = 0
-    while m := _TOKEN.match(expression, at):
+    at = start
+    while m := _TOKEN.match(expression, at, end):
         tok, at = m[1], m.end()
         if tok == "(":
             if operand:
@@ -146,7 +147,7 @@ def to_postfix(expression: str) -> list[str]:
             formal = said[m.start(1):m.end(1)].isupper()
         else:
             tok = tok.rstrip(".-")
-            after = _TOKEN.match(expression, at)
+            after = _TOKEN.match(expression, at, end)
             ends = not after or after[1] in _PRECEDENCE or after[1] in "()"
             named = is_identifier(tok) or "(" in ops or formal and ends and said[m.start(1)].isupper()
             if operand or not named or tok in NO_LICENCE:
@@ -184,14 +185,19 @@ def scan_text(text: str) -> dict:
     line = b" " + b" ".join(words) + b" "
     joined = line.decode("utf-8", "surrogatepass")
     places, found = [], []
-    for end, (phrase, label) in _phrases().iter(joined):
-        start = end - len(phrase) - 1
-        places.append((joined.count(" ", 0, start + 1) - 1, phrase, label))
+    word_at, number = 0, -1          # code point and number of the last word begun so far
+    hits = sorted((end - len(phrase) - 1, phrase, label) for end, (phrase, label) in _phrases().iter(joined))
+    for start, phrase, label in hits:
+        # starts ascend, so the blanks before them are counted once
+        number += joined.count(" ", word_at, start + 1)
+        word_at = start + 1
+        places.append((number, phrase, label))
     freedoms = [FREEDOM.get(label, UNKNOWN_FREEDOM) for _, _, label in places]
     labels = {label for _, _, label in places}
     low = _lower(text) if ":" in text else ""
     for end, _ in _tags().iter(low):
-        tokens = to_postfix(text[end + 1:].split("\n", 1)[0])
+        line_end = text.find("\n", end + 1)
+        tokens = to_postfix(text, low, end + 1, len(text) if line_end < 0 else line_end)
         if tokens:
             found.append((end + 1, tokens))
             named, free = evaluate(tokens)

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import batches_of, fresh, map_arrow, written
 from .components import connected_components
@@ -237,13 +238,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: that with the
-    smallest id.  Of rows that repeat an id the one with the smallest text
-    stays; rows without an id stay unless they repeat a text of such a row."""
-    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    alone, nth = fresh(docs, "alone", "nth")
-    first = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy("text"))
-    return (docs.join(gone, "doc_id", "left_anti")
-            .withColumn(alone, F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
-            .withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns))
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, max_bits: int = 3,
+             node_rows: int = 1024) -> DataFrame:
+    """The rows of ``docs`` with one of each group of near copies: that with the
+    smallest id (one without an id only where no row of the group has any), of
+    rows that repeat it the one with the smallest text.
+
+    Groups are of texts: rows that share an id but are no near copies of each
+    other all stay, and rows without an id group like any other.  Rows whose
+    text has no words are near copies of one another.  All columns are kept,
+    whatever their names; an empty table gives an empty result.  Texts are
+    written once with their fingerprints; at most one row of a group and map
+    task is shuffled."""
+    fp, = fresh(docs, "fp")
+    names = docs.columns
+
+    def run(it):
+        for batch, texts in batches_of(it, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprints(texts, words).view(np.int64))], [*names, fp])
+
+    marked = written(map_arrow(docs, run, StructType([*docs.schema.fields, StructField(fp, LongType())])), "marked")
+    reps = marked.select(F.col(fp).alias("rep"), F.col(fp).alias("fp")).distinct()
+    node, component, nth = fresh(marked, "node", "component", "nth")
+    groups = connected_components(hamming_links(reps, max_bits, node_rows)).select(
+        F.col("node").alias(node), F.col("component").alias(component))
+    first = F.row_number().over(Window.partitionBy(component).orderBy(F.col(id_col).asc_nulls_last(), text_col))
+    return (marked.join(groups, marked[fp] == F.col(node), "left").withColumn(component, F.coalesce(component, fp))
+            .withColumn(nth, first).where(F.col(nth) == 1).select(*names))

@@ -66,3 +66,38 @@ def test_awkward_rows(spark):
     assert langid.identify(df.limit(0)).count() == 0
     unlabelled = spark.createDataFrame([(1, "text", None, "a", 4)], DOCS)
     assert [tuple(r) for r in langid.identify(unlabelled).collect()] == [(1, False, "und", 0.0)]
+
+
+def test_every_label_is_learned_with_its_own_share(spark):
+    """The prior is that of all labelled rows, whatever the sample; none is dropped."""
+    import pytest
+    data = [(i, "der die das und haus" if i % 10 else "the and of house", "de" if i % 10 else "en", "a", 1) for i in range(1000)]
+    data += [(2000 + i, f"wort{i} xq", f"l{i:03d}", "a", 1) for i in range(300)]
+    df = spark.createDataFrame(data, DOCS)
+    model = langid.fit(df, docs_per_language=50)
+    assert len(model.languages) == 302
+    assert np.exp(model.prior[model.languages.index("de")]) == pytest.approx(900 / 1300)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(df, max_languages=301)
+
+
+def test_low_probabilities_are_no_reason_to_reject(spark):
+    data = [(i, t, lang, "a", 1) for i, (t, lang) in enumerate([("der", "de"), ("the", "en"), ("que", "es"), ("les", "fr")] * 8)] + [(99, "x", None, "a", 1)]
+    df = spark.createDataFrame(data, DOCS)
+    assert langid.accepted(df).count() == len(data)
+
+
+def test_fitted_counts_match_plain_ones(spark):
+    """Counts of hashed n-grams a language, from plain loops over the pieces."""
+    data = [(1, "ab", "x", "s", 1), (2, "ba b", "x", "s", 1), (3, "zz", "y", "s", 1)]
+    model = langid.fit(spark.createDataFrame(data, DOCS))
+    width = len(langid.ORDERS) << langid.BITS
+    want = np.zeros((2, width))
+    for _, text, lang, _, _ in data:
+        for piece in langid._pieces([text]):
+            for bucket, _ in langid._buckets(*piece):
+                for b in bucket.tolist():
+                    want["xy".index(lang), b] += 1
+    want += langid.SMOOTHING
+    by_order = want.reshape(2, len(langid.ORDERS), -1)
+    assert np.allclose(model.log_prob.T, np.log(by_order / by_order.sum(axis=2, keepdims=True)).reshape(2, width))

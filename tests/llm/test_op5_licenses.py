@@ -72,3 +72,18 @@ def test_evaluation():
 def test_names_without_digit_or_hyphen(said, labels):
     got = licenses.scan_text(f"é # SPDX-License-Identifier: {said}")
     assert ",".join(sorted(got["labels"])) == labels
+
+
+def test_time_grows_with_the_text_and_not_with_its_square():
+    import time
+
+    def seconds(n):
+        text = "cc by nc " * n + "spdx-license-identifier: MIT " * (n // 10)
+        t = time.process_time()
+        r = licenses.scan_text(text)
+        assert len(r["places"]) == n and len(r["expressions"]) == n // 10
+        assert [p[0] for p in r["places"]] == [3 * k for k in range(n)]
+        return time.process_time() - t
+
+    seconds(2000)
+    assert seconds(80_000) < 12 * seconds(10_000) + 0.5

@@ -87,7 +87,9 @@ def test_components(spark):
 
 def test_one_of_each_group_stays(spark):
     data = [(4, "a b c d e f g", "en", "x", 1), (2, "a b c d e f g", "en", "y", 2), (9, "other words stand here now", "en", "x", 3),
-            (9, "other words stand here now", "en", "x", 3), (None, "nameless", "en", "x", 4), (None, "nameless", "en", "x", 4)]
+            (9, "other words stand here now", "en", "x", 3), (None, "nameless", "en", "x", 4), (None, "nameless", "en", "x", 4),
+            (9, "yet another text under one id", "en", "x", 5), (None, "a b c d e f g", "en", "x", 6), (7, None, "en", "x", 7), (8, "", "en", "x", 8)]
     kept = simhash.keep_one(with_extra(spark.createDataFrame(data, DOCS)))
     assert kept.columns == with_extra(spark.createDataFrame(data, DOCS)).columns
-    same([tuple(r)[:2] for r in kept.collect()], [(2, "a b c d e f g"), (9, "other words stand here now"), (None, "nameless")])
+    same([tuple(r)[:2] for r in kept.collect()], [(2, "a b c d e f g"), (9, "other words stand here now"), (None, "nameless"), (9, "yet another text under one id"), (7, None)])
+    assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0

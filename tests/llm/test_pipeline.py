@@ -34,8 +34,8 @@ def masked(text, spans):
 def plain_run(spark, rows):
     """All stages in Python over rows (COLS) without repeated ids."""
     model = langid.fit(spark.createDataFrame([r for r in rows if not held(r[0])], DOCS))
-    langs, score = model.predict([r[1] or "" for r in rows])
-    rows = [r for r, lang, s in zip(rows, langs, score) if lang != "und" and s >= 0.5]
+    langs, _ = model.predict([r[1] or "" for r in rows])
+    rows = [r for r, lang in zip(rows, langs) if lang != "und"]
     groups = {i: c for i, _, c in near_groups([r[:2] for r in rows])}
     rows = [r for r in rows if groups[r[0]] == r[0]]
     spans = {x[0]: x[-1] for x in disclosed(rows)}
