@@ -14,27 +14,35 @@ from polyglint.llm.common import read, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found stay; those without a letter go."""
+    """Documents whose language is found stay; those without a letter go (a null
+    or empty text has none; where no label is known, all go).  Rows that repeat
+    are judged alike; an empty table stays empty."""
     return langid.accepted(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays.  Null and empty texts are
+    copies of one another; rows that share an id but not a text both stay; a row
+    without an id stays where its group has no other."""
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; personal data and what discloses it is replaced in their texts."""
+    """All documents stay; personal data and what discloses it is replaced in their
+    texts.  A null text stays null, rows that repeat are treated alike."""
     return sanitize.sanitise(docs)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the target weights of their sources ask for."""
+    """Rows as often as the target weights of their sources ask for.  A null source
+    is a source; rows that repeat are documents of their own; an empty table
+    stays empty."""
     return mixing.mixed(docs)
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_chars, n_tokens, ids, ids_sha256) of every row."""
+    """(doc_id, lang, source, n_chars, n_tokens, ids, ids_sha256) of every row; a
+    null or empty text has no ids."""
     return bpe_reuse.encode(docs).select(
         "doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "ids_sha256")
 
