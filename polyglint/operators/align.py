@@ -16,11 +16,12 @@ pre-aggregated on (source, target) before it shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import text as X
+from ..plans.strategy import key_filter
 from ..sources.segmenters import SHEET_SHIFT, cell_map, pair_seq
 from .checks import finding
 
@@ -234,31 +235,9 @@ def consistency_issues(pairs: DataFrame) -> DataFrame:
         "n_translations > 1")
 
 
-# Bits of the filter of issue sources: 4,096 bitmaps of 4 KB, whatever the data.
-FILTER_BITS = 1 << 27
-
-
-def _filter_bit() -> Column:
-    # the coalesce says that it is never null, so that joins put no filter on it
-    return F.coalesce(F.pmod(F.xxhash64("workbook_id", "source"), F.lit(FILTER_BITS)), F.lit(0)) + 1
-
-
 def of_issues(pairs: DataFrame, issues: DataFrame) -> DataFrame:
-    """The CJK pairs that may belong to an issue: those whose source is in a
-    Bloom filter of the issues' sources.  Few others pass; whoever needs none
-    joins the issues afterwards, when hardly any other pair is left to shuffle.
-
-    The filter is a table of bitmaps of a fixed size in total, so its broadcast
-    needs no look at the data.  It reads every column of ``issues``: whoever
-    reads just these too shares the aggregation of the pairs with it."""
-    bitmaps = issues.select(_filter_bit().alias("b"), F.xxhash64(*issues.columns).alias("all")).groupBy(
-        F.bitmap_bucket_number("b").alias("_bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bitmap"), F.bit_xor("all").alias("all")).where(
-                "all is not null").drop("all")
-    at = F.bitmap_bit_position(_filter_bit()).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (cjk_pairs(pairs).withColumn("_bucket", F.bitmap_bucket_number(_filter_bit()))
-            .join(F.broadcast(bitmaps), "_bucket").where(F.getbit(byte, at % 8) == 1).drop("_bucket", "_bitmap"))
+    """The CJK pairs that may belong to an issue (see ``strategy.key_filter``)."""
+    return key_filter(cjk_pairs(pairs), issues, ["workbook_id", "source"])
 
 
 def first_coordinates(pairs: DataFrame, k: int = C.CAP_COORDINATES,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import text as X
-from ..plans.strategy import checked_broadcast
+from ..plans.strategy import checked_broadcast, key_filter
 from .checks import finding, target_only
 
 CJK_OR_KANA_HANGUL = "[一-鿿ぁ-ゟ゠-ヿ가-힣]"
@@ -151,30 +151,60 @@ def register_mix_jako_findings(docs: DataFrame, id_col: str = "doc_id",
 # terminology
 # --------------------------------------------------------------------------
 
+GRAM = 3          # characters that a term is filed under
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The different runs of ``size`` characters of a text; none of a shorter one."""
+    n = F.length(text)
+    places = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, size)))
+
+
+def filed_terms(glossary: DataFrame) -> DataFrame:
+    """(gram, term, approved): each term under the one of its grams that the fewest
+    terms have, a term shorter than a gram under itself."""
+    g = glossary.select("term", "approved").filter(F.length("term") > 0).distinct()
+    size = F.least(F.length("term"), F.lit(GRAM))
+    grams = g.select("term").distinct().select("term", F.explode(_grams(F.col("term"), size)).alias("gram"))
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(held, "gram").groupBy("term").agg(F.min(F.struct("n", "gram")).alias("r")).select("term", "r.gram")
+    return g.join(rarest, "term").select("gram", "term", "approved")
+
+
 def term_hits(texts: DataFrame, glossary: DataFrame, text_col: str = "source") -> DataFrame:
     """(text, term, approved) for every glossary term contained in a text.
 
-    Each distinct text is cut into all substrings of the lengths that occur
-    among the terms (a handful of lengths); an equi-join on the substring
-    finds the terms.  The glossary is broadcast only behind a row-count
-    check; texts are deduplicated first, so a boilerplate text repeated
-    millions of times is cut once.
+    Each distinct text is cut into its grams; an equi-join finds the terms filed
+    under them, and the term itself is then looked for.  A text meets a term once,
+    under the term's one gram, and only terms whose rarest gram it has.  The filed
+    glossary is broadcast only behind a row-count check; texts are deduplicated
+    first, so a boilerplate text repeated millions of times is cut once.
     """
-    g = glossary.select("term", "approved").filter(F.length("term") > 0).distinct()
-    lengths = sorted(r[0] for r in g.select(F.length("term")).distinct().collect())
-    gb = checked_broadcast(g)
-    distinct = texts.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()) \
-        .distinct()
-    n = F.length("text")
+    filed = checked_broadcast(filed_terms(glossary).persist())
+    distinct = texts.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    grams = F.concat(*[_grams(F.col("text"), F.lit(k)) for k in range(1, GRAM + 1)])
+    return distinct.select("text", F.explode(grams).alias("gram")).join(filed, "gram").where(
+        F.col("text").contains(F.col("term"))).select("text", "term", "approved")
+
+
+PART_ROWS = 100_000        # pairs of one source that stay together
 
-    def cut_at(length: int):
-        return lambda i: F.substr(F.col("text"), i, F.lit(length))
 
-    subs = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(n - length + 1, F.lit(1))), cut_at(length))
-        for length in lengths])) if lengths else F.array().cast("array<string>")
-    cut = distinct.select("text", F.explode(F.array_distinct(subs)).alias("term"))
-    return cut.join(gb, "term").select("text", "term", "approved")
+def _joined_misses(pairs: DataFrame, glossary: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """As ``_inline_misses``, by joins.  Pairs whose source has no term are left out
+    before the shuffle.  The pairs of a source on over ``part_rows`` of them are
+    dealt over as many parts as that takes, to each of which its few terms go;
+    such sources are at most one for every ``part_rows`` pairs, which bounds their
+    broadcast."""
+    hits = term_hits(pairs, glossary, "source").withColumnRenamed("text", "source")
+    held = key_filter(pairs, hits, ["source"])
+    hot = F.broadcast(held.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts")).where("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = hits.join(hot, "source", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    salted = held.join(hot, "source", "left").withColumn(
+        "_part", F.pmod(F.xxhash64("pair_seq", "workbook_id"), parts).cast("int")).drop("_parts")
+    return salted.join(dealt, ["source", "_part"]).drop("_part").where(~F.col("target").contains(F.col("approved")))
 
 
 INLINE_TERMS = 2_000
@@ -195,16 +225,15 @@ def terminology_findings(pairs: DataFrame, glossary: DataFrame, inline_terms: in
     Pairs without a target are left to the omission check.
 
     A glossary of at most ``inline_terms`` entries is tested inside the row,
-    without any join; a larger one by an equi-join on substrings of the
-    distinct sources, joined back to the pairs.  Both give the same rows."""
+    without any join; of a larger one the terms are found in the distinct
+    sources by their rarest grams and joined back to the pairs.  Both give the
+    same rows."""
     p = pairs.filter(F.col("target").isNotNull())
     terms = glossary.select("term", "approved").filter(F.length("term") > 0).distinct().limit(inline_terms + 1).collect()
     if len(terms) <= inline_terms:
         bad = _inline_misses(p.filter(F.col("source").isNotNull()), sorted(map(tuple, terms)))
     else:
-        hits = term_hits(p, glossary, "source")
-        bad = p.join(hits.withColumnRenamed("text", "source"), "source").filter(
-            ~F.col("target").contains(F.col("approved")))
+        bad = _joined_misses(p, glossary)
     desc = F.concat(F.lit("Term "), X.quote("term"), F.lit(" should be rendered as "),
                     X.quote("approved"), F.lit(", target: "),
                     X.quote(X.truncate_text("target", C.CUT_PAIR)))

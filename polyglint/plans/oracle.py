@@ -951,3 +951,4 @@ o("sensitive_matches_large", """SELECT p_partkey, w AS rule_id,
   FROM (SELECT p_partkey, ws[i] AS w, i FROM (SELECT p_partkey, ws, unnest(range(1, len(ws) + 1)) AS i
     FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part)))
   WHERE regexp_full_match(w, '[a-z]+')""")
+ORACLE["terminology_check_large"] = ORACLE["terminology_check"]

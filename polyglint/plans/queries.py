@@ -882,6 +882,13 @@ def terminology_check(spark, d):
     return f.drop("sub")
 
 
+@q("terminology_check_large")
+def terminology_check_large(spark, d):
+    """The way of glossaries too large to be tested inside the row."""
+    f = RP.terminology_findings(_pairs(spark, d), FX.fx_glossary(spark, d), inline_terms=0)
+    return f.drop("sub")
+
+
 @q("ingest_manual")
 def ingest_manual(spark, d):
     """Reader findings (from ``labels``) written as JSON lines, read back and

@@ -3,6 +3,8 @@
 * ``checked_broadcast``: broadcast a side only when its row count is proven
   below a bound; beyond it the join stays a shuffle join that AQE can still
   convert or split at runtime.
+* ``key_filter``: drop rows whose key occurs nowhere on the other side before
+  they are shuffled, by a broadcast of fixed size.
 * ``with_range`` / ``number_rows``: a dense, global 1..N numbering in a total
   order.  The edges of the ranges are keys of the rows themselves, drawn by a
   hash and so the same in every run; a row finds its range by binary search.
@@ -32,6 +34,32 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+# Bits of a key filter: 4,096 bitmaps of 4 KB, whatever the data.
+FILTER_BITS = 1 << 27
+
+
+def key_filter(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` may occur in ``other``: those that are in
+    a Bloom filter (of one hash) of the keys there.  Few others pass, and none is
+    missing; whoever needs just the former joins ``other`` afterwards, when hardly
+    any other row is left to shuffle.
+
+    The filter is a table of bitmaps of a fixed size in total, so its broadcast
+    needs no look at the data.  It reads every column of ``other``: whoever reads
+    just these too shares what was shuffled for it.  Null keys are in no filter's
+    way: they hash like any other value."""
+    # the coalesce says that it is never null, so that joins put no filter on it
+    bit = F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)), F.lit(0)) + 1
+    bitmaps = other.select(bit.alias("b"), F.xxhash64(*other.columns).alias("all")).groupBy(
+        F.bitmap_bucket_number("b").alias("_bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bitmap"), F.bit_xor("all").alias("all")).where(
+                "all is not null").drop("all")
+    at = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (df.withColumn("_bucket", F.bitmap_bucket_number(bit))
+            .join(F.broadcast(bitmaps), "_bucket").where(F.getbit(byte, at % 8) == 1).drop("_bucket", "_bitmap"))
+
+
 # Edges travel inside the plan: so many at most, whatever the number of rows.
 MAX_RANGES = 4096
 DRAWN_PER_RANGE = 8

@@ -248,3 +248,35 @@ def test_five_thousand_rules_cost_little_more_than_seven(spark):
     n_large, large = seconds(rules)
     assert n_small == n_large == 80
     assert large < 3 * small + 1.0, (small, large)
+
+
+def test_large_glossary_under_a_hot_source(spark):
+    """A source on a third of all pairs: same rows as inside the row, and no task
+    joins over twice the median."""
+    import statistics
+    from pyspark.sql import functions as F
+    n = F.col("id")
+    pairs = spark.range(24_000).select(
+        F.lit("w").alias("workbook_id"), F.lit("s").alias("sheet"), F.concat(F.lit("A"), n).alias("coordinate"),
+        F.when(n % 3 == 0, "the hot term here").otherwise(F.concat(F.lit("t"), n % 500, F.lit(" word"), n % 7)).alias("source"),
+        F.when(n % 4 == 0, "rendered hot").otherwise("else").alias("target"), n.alias("pair_seq")).repartition(8)
+    terms = [("hot term", "rendered"), ("t", "T"), ("he", "HE"), ("word3", "w3"), ("t499", "x"), ("absent phrase", "y"), ("here", "else")]
+    glossary = spark.createDataFrame(terms + [(f"filler{i}", "z") for i in range(3000)], "term string, approved string")
+    rows = lambda k: sorted(map(tuple, RP.terminology_findings(pairs, glossary, inline_terms=k).collect()))
+    assert rows(10_000) == rows(100)
+    assert RP._joined_misses(pairs, glossary, 40).count() == len(rows(100))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in RP._joined_misses(pairs, glossary, 40).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and max(sizes) <= 2 * statistics.median(sizes), sizes
+
+
+def test_terms_are_filed_under_their_rarest_gram(spark):
+    glossary = spark.createDataFrame([("abcx", "1"), ("abcy", "2"), ("abc", "3"), ("zz", "4"), ("", "5")], "term string, approved string")
+    got = {r.term: r.gram for r in RP.filed_terms(glossary).collect()}
+    assert got == {"abcx": "bcx", "abcy": "bcy", "abc": "abc", "zz": "zz"}
