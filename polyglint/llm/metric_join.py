@@ -115,8 +115,9 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, id_col: str =
     given = written(_packed(vectors.select(F.col(id_col).cast("long").alias("vec_id"),
                                            F.col(vector_col).cast("array<double>").alias("v"))), "vectors")
     reps = (given.where("vec is not null and vec_id is not null").groupBy("dim", "vec")
-            .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = written(reps, "vector-reps")
+            .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    # a vector is known by a number of its own: one id may stand for several vectors
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "vector-reps")
 
     # pivots: of each dimension as many as cells are wanted, by a hash of the vector
     rank = F.xxhash64("vec")
@@ -319,15 +320,21 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, id_col: str =
     links = found.where("v is not null and u <> v").select("u", "v")
     counts = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("n"))
 
-    # every row: the vector it equals, that vector's links, and the other copies
-    own = (given.where("vec is not null and vec_id is not null").join(reps, ["dim", "vec"])
-           .select("vec_id", "rep", "copies"))
-    links = links.unionByName(own.where("vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v")))
+    # vectors of one id share a component
+    several = given.where("vec is not null and vec_id is not null").groupBy("vec_id").agg(
+        F.min(F.xxhash64("dim", "vec")).alias("a"), F.max(F.xxhash64("dim", "vec")).alias("b")).where("a <> b").select("vec_id")
+    shared = given.where("vec is not null").join(several, "vec_id").join(reps, ["dim", "vec"]).select("vec_id", "rep").distinct()
+    star = shared.groupBy("vec_id").agg(F.min("rep").alias("v"))
+    links = links.unionByName(shared.join(star, "vec_id").where("rep <> v").select(F.col("rep").alias("u"), "v"))
     comp = connected_components(links)
-    rows = (own.join(counts, own.rep == counts.u, "left")
-            .select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-            .join(comp, F.col("vec_id") == comp.node, "left")
-            .select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id")))
+
+    # every row: the vector it equals, that vector's links, and the other copies
+    known = (reps.join(counts, reps.rep == counts.u, "left").join(comp, F.col("rep") == comp.node, "left")
+             .select("dim", "vec", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                     F.coalesce("component", "rep").alias("component")))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    rows = (given.where("vec is not null and vec_id is not null").join(known.join(least, "component"), ["dim", "vec"])
+            .select("vec_id", "n_links", "component_id"))
     alone = given.where("vec is null or vec_id is null").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

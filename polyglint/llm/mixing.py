@@ -117,7 +117,8 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     mixture, from 0).
 
     A null source is a source of its own.  A null text has no tokens; a source
-    without tokens has no weight and isn't in the mixture.  Rows that repeat an
+    without tokens has no weight and isn't in the mixture; of another source, a
+    document without tokens that stands just at the end of the budget is.  Rows that repeat an
     id are documents of their own; where they tie in tokens too, which of them
     comes first is open.  Columns of these names in ``docs`` are replaced.
     """
@@ -146,15 +147,17 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     permuted = (Window.partitionBy(skey, "epoch").orderBy(_hash(seed, "block", F.col("epoch"), F.col("block")), "block")
                 .rowsBetween(Window.unboundedPreceding, -1))
     starts = (blocks.withColumn(base, F.col("epoch") * F.col(all_tokens) + F.coalesce(F.sum("tokens").over(permuted), F.lit(0)))
-              .where(F.col(base) < F.col(own_budget)).select(skey, "block", "epoch", base))
+              .where(F.col(base) <= F.col(own_budget)).select(skey, "block", "epoch", base))
 
     inside = Window.partitionBy(skey, "block").orderBy(order, id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     out = (dealt.withColumn(prior, F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
            .join(starts, [skey, "block"])
-           .withColumn("start", F.col(base) + F.col(prior)).where(F.col("start") < F.col(own_budget)))
+           .withColumn("start", F.col(base) + F.col(prior))
+           .where((F.col("start") < F.col(own_budget)) | ((F.col("n_tokens") == 0) & (F.col("start") == F.col(own_budget)))))
     output_blocks = max(1, -(-p.budget // output_tokens))
-    return out.select(*names, "n_tokens", "epoch", "block", "start", F.floor(
-        F.col("start") / F.col(own_budget) * F.lit(float(output_blocks))).cast("long").alias("mix_block"))
+    # a source of weight 0 has its documents without tokens at the start
+    place = F.coalesce(F.floor(F.try_divide(F.col("start"), F.col(own_budget)) * F.lit(float(output_blocks))), F.lit(0)).cast("long")
+    return out.select(*names, "n_tokens", "epoch", "block", "start", F.least(place, F.lit(output_blocks - 1)).alias("mix_block"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -220,8 +223,9 @@ starts AS (
            PARTITION BY skey, epoch ORDER BY md5(concat_ws(':', '{seed}', 'block', epoch, block)), block
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base
   FROM blocks)
-SELECT doc_id, source, n_tokens, epoch, i.block, base + prior AS start,
-       floor((base + prior) / budget::DOUBLE * greatest(1, ((SELECT t FROM total) + {output_tokens - 1}) // {output_tokens}))::BIGINT AS mix_block
-FROM inside i JOIN starts s ON i.skey = s.skey AND i.block = s.block
-WHERE base + prior < budget
+SELECT doc_id, source, n_tokens, epoch, i.block, base + prior AS start, least(blocks - 1,
+       coalesce(floor((base + prior) / nullif(budget, 0)::DOUBLE * blocks), 0))::BIGINT AS mix_block
+FROM inside i JOIN starts s ON i.skey = s.skey AND i.block = s.block,
+     (SELECT greatest(1, (t + {output_tokens - 1}) // {output_tokens}) AS blocks FROM total)
+WHERE base + prior < budget OR (n_tokens = 0 AND base + prior = budget)
 """

@@ -26,7 +26,24 @@ def test_query_matches_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     cur = con.execute(ORACLE["op1_mix_sources"])
     assert sorted(got.columns) == sorted(d[0] for d in cur.description)
-    same(got.select(COLS).collect(), cur.fetchall())
+    rows = got.select(COLS).collect()
+    same(rows, cur.fetchall())
+    # the target is beyond the natural shares: some documents come twice, and weights are not shares
+    share = {r.source: r.t for r in got.groupBy("source").agg({"n_tokens": "sum"}).toDF("source", "t").collect()}
+    natural = dict(con.execute("SELECT source, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))) FROM documents GROUP BY 1").fetchall())
+    assert max(r.epoch for r in rows) >= 1
+    big, tiny = max(natural, key=natural.get), min(natural, key=natural.get)
+    assert share[big] / share[tiny] < 1.3 < natural[big] / natural[tiny]
+
+
+def test_documents_without_tokens_stay(spark):
+    """Also those that stand behind the last token of the budget."""
+    data = [(i, "" if i % 3 else "two words", "en", "ab"[i % 2], 0) for i in range(300)]
+    df = spark.createDataFrame(data, DOCS)
+    for tokens in (4, 1 << 14):
+        got = mixing.mix(df, entropy_share=0.5, block_tokens=tokens)
+        same(got.select(COLS).collect(), oracle(df, entropy_share=0.5, block_tokens=tokens))
+        assert got.count() == 300
 
 
 def test_skew_matches_sql_and_budget(spark):

@@ -78,3 +78,15 @@ def test_dense_group_is_not_compared(spark):
     data = [(i, [float(np.float32(x)) for x in c + 0.001 * rnd.normal(size=16)], 0) for i in range(400)]
     got = metric_join.near_duplicates(spark.createDataFrame(data, SCHEMA), homes_per_cell=40).collect()
     assert all(r.n_links == 399 and r.component_id == 0 for r in got)
+
+
+def test_an_id_with_two_vectors_seen_nowhere_else(spark):
+    """Counts are of vectors, also where one id is the least of two of them."""
+    x, y, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.01, 0.0]
+    df = spark.createDataFrame([(1, x), (1, y), (3, near)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in metric_join.near_duplicates(df).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (3, 1, 1)]
+    # and two vectors of one id that are linked with each other
+    df = spark.createDataFrame([(5, x), (5, near), (2, y), (9, y), (9, near)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in metric_join.near_duplicates(df).collect())
+    assert got == [(2, 1, 2), (5, 2, 2), (5, 2, 2), (9, 1, 2), (9, 2, 2)]
