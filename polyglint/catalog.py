@@ -212,13 +212,6 @@ HTML_MARKUP_REFERENCES = [
     ("<", ["&lt;", "&#60;", "&#x3c;", "&#x3C;"]), (">", ["&gt;", "&#62;", "&#x3e;", "&#x3E;"]),
     ("&", ["&#38;", "&#x26;", "&amp;"]),
 ]
-# The references that the bundled pages use:
-# entity -> text; "&amp;" is decoded last so "&amp;lt;" stays "&lt;".
-HTML_ENTITIES = [
-    ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-    ("&amp;", "&"),
-]
 
 # ---------------------------------------------------------------------------
 # Rule packs of our own for checks the reference only documents

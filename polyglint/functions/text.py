@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
@@ -125,6 +125,21 @@ def find_terms(c, pattern: str) -> Column:
     return F.regexp_extract_all(col_(c), F.lit(pattern), 0)
 
 
+MAX_LANGUAGE_RULES = 1_000
+
+
+def language_rules(rules) -> list[tuple[str, str]]:
+    """Language rules as an ordered list of (code, regex): as it is, or out of a
+    table (ord, lang, pattern), which is read once on the driver.  A table of over
+    ``MAX_LANGUAGE_RULES`` rows is refused."""
+    if not isinstance(rules, DataFrame):
+        return list(rules)
+    rows = rules.select("ord", "lang", "pattern").orderBy("ord", "lang").limit(MAX_LANGUAGE_RULES + 1).collect()
+    if len(rows) > MAX_LANGUAGE_RULES:
+        raise ValueError(f"at most {MAX_LANGUAGE_RULES} language rules")
+    return [(r["lang"], r["pattern"]) for r in rows]
+
+
 def language_scores(c, patterns=C.LANG_PATTERNS) -> dict[str, Column]:
     return {lang: count_matches(c, pat) for lang, pat in patterns}
 
@@ -135,12 +150,14 @@ def detect_language(c, patterns=C.LANG_PATTERNS) -> Column:
     Scores are match counts per class; the highest wins, ties go to the
     earlier class (default order EN, JA, KO, DE, FR, ES); no score at all is
     the first class (EN); blank or NULL text is ``unknown``.  ``patterns`` is
-    an ordered list of (code, regex) — the language rules as data.  Each
-    regex stands once in the expression: the scores become one array of
+    an ordered list of (code, regex) or a table of them (``language_rules``);
+    without any rule, texts are ``unknown``.  Each regex stands once in the expression: the scores become one array of
     (score, rank, code) and its maximum decides.
     """
     c = col_(c)
-    scores = language_scores(c, patterns)
+    scores = language_scores(c, language_rules(patterns))
+    if not scores:
+        return F.lit(C.LANG_UNKNOWN)
     best = F.array_max(F.array(*[
         F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
         for i, (lang, score) in enumerate(scores.items())]))

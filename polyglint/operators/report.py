@@ -225,22 +225,52 @@ def write_review(df: DataFrame, path: str, fmt: str = "json",
     w.format(fmt).save(path)
 
 
+def report_metrics(dims="core10") -> dict:
+    """Named aggregates of findings for ``observe``: findings, rejects (see
+    ``report_rejects``), findings of other dimensions, and each cell of the summary."""
+    dimension, severity = F.coalesce("dimension", F.lit("")), F.coalesce("severity", F.lit(C.DEFAULT_SEVERITY))
+    listed, known = dimension.isin(_dims(dims)), severity.isin(C.SEVERITY_NAMES)
+    cells = {f"{i}_{s}": F.count_if((dimension == d) & (severity == s)) for i, d in enumerate(_dims(dims)) for s in C.SEVERITY_NAMES}
+    return {"findings": F.count(F.lit(1)), "rejects": F.count_if(listed & ~known), "unlisted": F.count_if(~listed), **cells}
+
+
+def observed(df: DataFrame, name: str, metrics: dict) -> tuple[DataFrame, Observation]:
+    """``df`` with the metrics gathered by whatever job first reads all of it."""
+    obs = Observation(name)
+    return df.observe(obs, *[c.alias(k) for k, c in metrics.items()]), obs
+
+
+def summary_of_metrics(spark: SparkSession, counts: dict, dims="core10") -> DataFrame:
+    """``report_summary`` out of observed metrics: a table of the fixed lists'
+    size, for which the findings aren't read again."""
+    names = _dims(dims)
+    rows = [[counts.get(f"{i}_{s}") or 0 for s in C.SEVERITY_NAMES] for i in range(len(names))]
+    rows.append([sum(c) for c in zip(*rows)])
+    return spark.createDataFrame([(i, d, *row, sum(row)) for i, (d, row) in enumerate(zip([*names, C.GRAND_TOTAL_LABEL], rows))],
+                                 "dim_ord bigint, dimension string, " + ", ".join(f"{s} bigint" for s in C.SEVERITY_NAMES) + ", total bigint")
+
+
 def write_report(findings: DataFrame, path: str, dims="core10", assessment: str | None = None,
                  fmt: str = "parquet") -> dict:
     """Write the detail and summary tables (report headings as column
-    names) under ``path`` and return the run status with metrics gathered
-    by an ``Observation`` while the detail table is written."""
-    obs = Observation("report")
-    detail = report_detail(findings).observe(obs, F.count(F.lit(1)).alias("findings_count"))
+    names) under ``path`` and return the run status.  The summary and the counts
+    in the status are metrics of the one job that writes the detail table."""
+    spark = findings.sparkSession
+    detail, obs = observed(report_detail(findings), "report", report_metrics(dims))
     detail = detail.select(*[F.col(c).alias(C.DETAIL_HEADINGS.get(c, c)) for c in detail.columns])
     detail.write.mode("overwrite").format(fmt).save(f"{path}/{C.DETAIL_SHEET}")
-    summary = report_assessment(report_summary(findings, dims), assessment)
+    counts = obs.get
+    summary = report_assessment(summary_of_metrics(spark, counts, dims), assessment)
     summary = summary.select(*[F.col(c).alias(C.SUMMARY_HEADINGS.get(c, c))
                                for c in summary.columns])
     summary.coalesce(1).write.mode("overwrite").format(fmt).save(f"{path}/{C.SUMMARY_SHEET}")
-    return run_status(path, obs.get.get("findings_count", 0))
+    return run_status(path, counts)
 
 
-def run_status(output: str, findings_count: int) -> dict:
-    return {"status": "success", "output_file": output, "findings_count": int(findings_count),
+def run_status(output: str, counts: dict) -> dict:
+    """What a run wrote: counts of findings, of rejects and of findings of
+    dimensions that aren't listed, from its observed metrics."""
+    number = lambda k: int(counts.get(k) or 0)
+    return {"status": "success", "output_file": output, "findings_count": number("findings"),
+            "rejects_count": number("rejects"), "unlisted_count": number("unlisted"),
             "sheets": [C.DETAIL_SHEET, C.SUMMARY_SHEET]}

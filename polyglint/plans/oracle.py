@@ -15,6 +15,14 @@ from .. import catalog as C
 from ..sources.segmenters import CELL_ROW_SHIFT, ORDINAL, PAIR_COL_SHIFT, SHEET_SHIFT
 
 S = C.STRIP_CLASS
+# The references that the bundled pages use:
+# entity -> text; "&amp;" is decoded last so "&amp;lt;" stays "&lt;".
+HTML_ENTITIES = [
+    ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
+    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
+    ("&amp;", "&"),
+]
+
 SHEET_MUL = 1 << SHEET_SHIFT
 PAIR_SEQ = f"sheet_idx * {1 << SHEET_SHIFT} + col_no * {1 << PAIR_COL_SHIFT} + row_no"
 CELL_SEQ = f"sheet_idx * {1 << SHEET_SHIFT} + row_no * {1 << CELL_ROW_SHIFT} + col_no"
@@ -359,7 +367,7 @@ def _html_patterns():
 
 def decode(x: str) -> str:
     out = x
-    for ent, ch in C.HTML_ENTITIES:
+    for ent, ch in HTML_ENTITIES:
         if ent == "&nbsp;":
             continue
         out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
@@ -952,3 +960,12 @@ o("sensitive_matches_large", """SELECT p_partkey, w AS rule_id,
     FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part)))
   WHERE regexp_full_match(w, '[a-z]+')""")
 ORACLE["terminology_check_large"] = ORACLE["terminology_check"]
+o("detect_language_table", f"""SELECT doc_id, CASE WHEN text IS NULL OR {strip('text')} = '' THEN 'unknown' ELSE upper(lang) END AS detected
+  FROM (SELECT doc_id, text, r.lang, row_number() OVER (PARTITION BY doc_id ORDER BY
+          len(regexp_extract_all(coalesce(text, ''), '(?i)[' || r.lang || ']{{2}}')) DESC, r.n DESC, upper(r.lang)) AS rn
+        FROM documents, (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang) r)
+  WHERE rn = 1""")
+o("run_counts", """SELECT 'findings' AS name, count(*) AS n FROM f_report_manual
+UNION ALL SELECT 'rejects', CAST(0 AS BIGINT)
+UNION ALL SELECT 'unlisted', count(*) FILTER (WHERE dimension IN ('增译', '漏译')) FROM f_report_manual
+UNION ALL SELECT dimension, total FROM summary""", "f_report_manual", "summary_manual")

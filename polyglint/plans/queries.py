@@ -710,6 +710,27 @@ def detect_language(spark, d):
                                          X.detect_language("text").alias("detected"))
 
 
+@q("detect_language_table")
+def detect_language_table(spark, d):
+    """Rules as a table: the languages of ``documents`` by their rank, each known by
+    its first two letters' classes."""
+    docs = FX.documents(spark, d)
+    langs = docs.groupBy("lang").count().where("lang is not null")
+    rules = langs.select((-F.col("count")).alias("ord"), F.upper("lang").alias("lang"),
+                         F.concat(F.lit("(?i)["), "lang", F.lit("]{2}")).alias("pattern"))
+    return docs.select("doc_id", X.detect_language("text", rules).alias("detected"))
+
+
+@q("run_counts")
+def run_counts(spark, d):
+    """The counts of a written report, from the job that wrote it, beside its summary."""
+    path = _io_dir(spark, "counts")
+    status = R.write_report(R.merge_findings(_report_findings(spark, d), _manual_findings(spark, d)), path)
+    counts = spark.createDataFrame([(k, status[f"{k}_count"]) for k in ("findings", "rejects", "unlisted")], "name string, n bigint")
+    summary = spark.read.parquet(f"{path}/{C.SUMMARY_SHEET}")
+    return counts.unionByName(summary.select(F.col(C.SUMMARY_HEADINGS["dimension"]).alias("name"), F.col(C.SUMMARY_HEADINGS["total"]).alias("n")))
+
+
 @q("lang_name")
 def lang_name(spark, d):
     return FX.documents(spark, d).select(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators.checks import automated_findings, document_findings
+from ..operators.report import report_metrics
 from ..sources.segmenters import segment_html, segment_lines, segment_markdown
 
 DOCUMENT_SCHEMA = T.StructType([
@@ -24,6 +25,8 @@ DOCUMENT_SCHEMA = T.StructType([
     T.StructField("n_chars", T.LongType()),
 ])
 
+METRICS = "review"          # name of the observed metrics of a review stream
+
 SEGMENTERS = {
     "txt": lambda df: segment_lines(df),
     "md": lambda df: segment_markdown(df),
@@ -54,12 +57,24 @@ def start_review_stream(spark: SparkSession, source_path: str, sink_path: str,
                         available_now: bool = True):
     """Start the streaming review; returns the ``StreamingQuery``."""
     findings = stream_findings(read_document_stream(spark, source_path), fmt, pack)
+    findings = findings.observe(METRICS, *[c.alias(k) for k, c in report_metrics("all12").items()])
     w = (findings.writeStream.format("parquet").outputMode("append")
          .option("path", sink_path).option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def observed_counts(query) -> dict:
+    """The metrics of a review stream (``report.report_metrics``), added up over the
+    batches that its progress reports still hold: no job of their own."""
+    total: dict = {}
+    for p in query.recentProgress:
+        row = p["observedMetrics"].get(METRICS)
+        for k, v in (row.asDict() if row is not None else {}).items():
+            total[k] = total.get(k, 0) + (v or 0)
+    return total
+
+
 def summary_stream(findings: DataFrame) -> DataFrame:
     """Running dimension x severity counts of a findings stream.  The state
     is one row per (dimension, severity) — bounded by the fixed lists — so

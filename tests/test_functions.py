@@ -110,3 +110,13 @@ def test_language_uses_each_pattern_once(spark):
     plan = spark.createDataFrame([("x",)], "t string").select(
         X.lang_name(X.detect_language("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_count") == len(C.LANG_PATTERNS)
+
+
+def test_language_rules_as_a_table(spark):
+    import pytest
+    rules = spark.createDataFrame([(2, "FR", "[\u00e0-\u00ff]"), (1, "IT", "[\u00e0\u00f9]"), (3, "NO", "zz")], "ord int, lang string, pattern string")
+    assert one(spark, ["pi\u00f9 gi\u00e0", "\u00e9t\u00e9", "words", "zz zz", ""], lambda c: X.detect_language(c, rules)) == ["IT", "FR", "IT", "NO", "unknown"]
+    assert one(spark, ["x"], lambda c: X.detect_language(c, rules.limit(0))) == ["unknown"]
+    many = spark.range(X.MAX_LANGUAGE_RULES + 1).selectExpr("id as ord", "cast(id as string) as lang", "'x' as pattern")
+    with pytest.raises(ValueError, match="language rules"):
+        X.language_rules(many)

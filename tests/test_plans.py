@@ -5,7 +5,7 @@ import pytest
 from conftest import SF_SMALL
 from polyglint.plans.queries import QUERIES, _report_findings
 
-WRITES = {"run_status", "write_review", "read_findings", "read_findings_files", "ingest_manual", "load_text_files", "segment_text_lines"}
+WRITES = {"run_status", "run_counts", "write_review", "read_findings", "read_findings_files", "ingest_manual", "load_text_files", "segment_text_lines"}
 FORBIDDEN = ["BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
              "ArrowEvalPython", "FlatMapGroupsInPandas"]
 

@@ -27,6 +27,10 @@ def test_stream_matches_batch(spark, tmp_dir):
     batch = stream_findings(spark.read.parquet(src))
     cols = ["doc_id", "location", "description"]
     assert streamed.count() == batch.count() > 0
+    from polyglint.streaming.review_stream import observed_counts
+    counts = observed_counts(q)
+    assert counts["findings"] == batch.count() and counts["rejects"] == 0
+    assert sum(v for k, v in counts.items() if k[0].isdigit()) == batch.count()
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
 
 
@@ -77,6 +81,20 @@ def test_summary_total_equals_listed_findings(spark):
     assert core.total == f.filter(~F.col("dimension").isin("增译", "漏译")).count()
 
 
+def test_summary_out_of_metrics(spark):
+    """Counts of one observed pass equal those of the aggregation."""
+    f = Q._report_findings(spark, SF_SMALL)
+    odd = f.limit(3).withColumn("severity", F.lit("P9")).unionByName(f.limit(2).withColumn("severity", F.lit(None).cast("string")))
+    f = f.unionByName(odd)
+    for dims in ("core10", "all12"):
+        seen, obs = R.observed(f, f"m{dims}", R.report_metrics(dims))
+        seen.write.format("noop").mode("overwrite").save()
+        got = R.summary_of_metrics(spark, obs.get, dims)
+        want = R.report_summary(f, dims)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert obs.get["rejects"] == R.report_rejects(f, dims).count() and obs.get["findings"] == f.count()
+
+
 def test_result_independent_of_partitioning(spark):
     src, tgt = FX.fx_src(spark, SF_SMALL), FX.fx_tgt(spark, SF_SMALL)
     from polyglint.plans.review import review_bitext
