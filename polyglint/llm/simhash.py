@@ -20,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -242,14 +242,14 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wo
              node_rows: int = 1024) -> DataFrame:
     """The rows of ``docs`` with one of each group of near copies: that with the
     smallest id (one without an id only where no row of the group has any), of
-    rows that repeat it the one with the smallest text.
+    rows that repeat it one by a hash of the text.
 
     Groups are of texts: rows that share an id but are no near copies of each
     other all stay, and rows without an id group like any other.  Rows whose
     text has no words are near copies of one another.  All columns are kept,
     whatever their names; an empty table gives an empty result.  Texts are
-    written once with their fingerprints; at most one row of a group and map
-    task is shuffled."""
+    written once with their fingerprints and moved once, by a number of the row;
+    groups are settled on rows without texts."""
     fp, = fresh(docs, "fp")
     names = docs.columns
 
@@ -257,11 +257,14 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wo
         for batch, texts in batches_of(it, text_col):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprints(texts, words).view(np.int64))], [*names, fp])
 
-    marked = written(map_arrow(docs, run, StructType([*docs.schema.fields, StructField(fp, LongType())])), "marked")
-    reps = marked.select(F.col(fp).alias("rep"), F.col(fp).alias("fp")).distinct()
-    node, component, nth = fresh(marked, "node", "component", "nth")
-    groups = connected_components(hamming_links(reps, max_bits, node_rows)).select(
-        F.col("node").alias(node), F.col("component").alias(component))
-    first = F.row_number().over(Window.partitionBy(component).orderBy(F.col(id_col).asc_nulls_last(), text_col))
-    return (marked.join(groups, marked[fp] == F.col(node), "left").withColumn(component, F.coalesce(component, fp))
-            .withColumn(nth, first).where(F.col(nth) == 1).select(*names))
+    number, = fresh(docs, "number")
+    marked = written(map_arrow(docs, run, StructType([*docs.schema.fields, StructField(fp, LongType())])).withColumn(
+        number, F.monotonically_increasing_id()), "marked")
+    slim = marked.select(F.col(fp).alias("fp"), F.col(number).alias("number"), F.struct(
+        F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"),
+        F.col(number).alias("number")).alias("place"))
+    reps = slim.select(F.col("fp").alias("rep"), "fp").distinct()
+    groups = connected_components(hamming_links(reps, max_bits, node_rows))
+    first = (slim.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group"))
+             .agg(F.min("place").alias("first")).select(F.col("first.number").alias(number)))
+    return marked.join(first, number, "left_semi").select(*names)
