@@ -13,24 +13,24 @@ sys.path.insert(0, HERE)
 NOTES = {
     "segment_lines": "Narrow: scan (two columns) -> spread -> one array of segments, exploded once; "
                      "no shuffle besides spreading the single-row-group file.",
-    "segment_html_nested": "The element stack is folded inside the row; no shuffle.",
+    "segment_html_nested": "Leaves are told by their tags, the element stack is folded inside the row; no shuffle.",
     "document_findings": "Both checks in one pass over the lines of documents that can hold a finding.",
     "segment_totals": "Counted inside the row: one scan, no shuffle.",
     "size_ratio": "One join of the pairing with one row per document.",
     "sensitive_findings": "One combined-alternation filter, then one Generate over the "
                           "flattened per-rule hits; no shuffle.",
     "segment_markdown": "Fence parity is computed inside the row (no Window, no Exchange on doc).",
-    "review_texts": "Counts: partial/final HashAggregate.  First locations: partial "
-                    "WindowGroupLimit below the Exchange, final above it.  The spread "
-                    "exchange of the scan is reused by both branches.",
+    "review_texts": "Runs of a sorted array inside the row: one scan, no shuffle.",
+    "review_texts_cells": "Counts of digests: partial/final HashAggregate.  First locations: partial "
+                          "WindowGroupLimit below the Exchange, final above it, on the same keys.",
     "align_cells": "Sheet map: equi-joins + min(struct) aggregate, persisted and broadcast "
                    "after a row-count check.  Cells: one SortMergeJoin FullOuter on the cell key.",
-    "consistency_findings": "(source, target) partial aggregate before the shuffle; coordinates "
-                            "via partial WindowGroupLimit(5).",
+    "consistency_findings": "(source, target) partial aggregate, once (reused by the bitmaps of issue "
+                            "sources); coordinates of those via partial WindowGroupLimit(5).",
     "report_summary_all12": "One Expand (rollup) + conditional counts over the persisted "
                             "findings, joined to the fixed dimension list.",
-    "report_detail": "Global numbering: the range-partitioned, sorted findings come from a "
-                     "reliable checkpoint; per-partition offsets are a broadcast table.",
+    "report_detail": "Global numbering: each row once to its range; the counts of the ranges reuse that "
+                     "exchange and come back as a broadcast of offsets.",
     "terminology_check": "A small glossary is tested inside the row; no join.",
 }
 
