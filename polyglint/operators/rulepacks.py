@@ -98,32 +98,32 @@ def _ends_with_any(forms) -> str:
 
 def sentence_endings(text: Column) -> Column:
     """Last (up to) four characters of every sentence (text before a
-    sentence-ending mark)."""
-    end = C.SENTENCE_END_CLASS
-    return F.regexp_extract_all(text, F.lit(f"([^{end[1:-1]}]{{1,4}}){end}"), 1)
+    sentence-ending mark).  The text is cut at the marks, which looks at each
+    character once; what follows the last mark is no sentence."""
+    closed = X.let(F.split(text, C.SENTENCE_END_CLASS, -1), lambda runs: F.slice(runs, 1, F.size(runs) - 1))
+    return F.filter(F.transform(closed, lambda run: F.substring(run, -4, 4)), lambda e: e != "")
 
 
-def ending_counts(text: Column) -> dict[str, Column]:
-    ends = sentence_endings(text)
+def ending_counts(text: Column) -> Column:
+    """The counts of one text as a struct; its endings are found once for all."""
     polite = lambda e: e.rlike(_ends_with_any(C.JA_POLITE_ENDINGS))
     plain = lambda e: e.rlike(_ends_with_any(C.JA_PLAIN_ENDINGS))
     formal = lambda e: e.rlike(_ends_with_any(C.KO_FORMAL_ENDINGS))
     kpol = lambda e: e.rlike(_ends_with_any(C.KO_POLITE_ENDINGS))
-    n = lambda pred: F.size(F.filter(ends, pred)).cast("bigint")
-    return {
-        "ja_polite": n(polite),
-        "ja_plain": n(lambda e: plain(e) & ~polite(e)),
-        "ko_formal": n(formal),
-        "ko_polite": n(kpol),
-    }
+
+    def counts(ends):
+        n = lambda pred: F.size(F.filter(ends, pred)).cast("bigint")
+        return F.struct(n(polite).alias("ja_polite"), n(lambda e: plain(e) & ~polite(e)).alias("ja_plain"),
+                        n(formal).alias("ko_formal"), n(kpol).alias("ko_polite"))
+
+    return X.let(sentence_endings(text), counts)
 
 
 def register_mix_jako(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: counts of Japanese polite/plain and Korean formal/polite
     sentence endings (computed inside the row)."""
-    counts = ending_counts(F.col(text_col))
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       *[c.alias(k) for k, c in counts.items()])
+    # inline: the counts of a row are one value, which no later projection works out again
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(ending_counts(F.col(text_col)))))
 
 
 def register_mix_jako_findings(docs: DataFrame, id_col: str = "doc_id",

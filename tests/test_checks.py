@@ -95,6 +95,22 @@ def test_register_mix_jako(spark):
     assert sorted((r.doc_id, int(r.sub)) for r in f) == [("1", 0), ("2", 1)]
 
 
+def test_sentence_endings_of_long_texts(spark):
+    from pyspark.sql import functions as F
+    texts = ["", "。。です", "です。", "ab.cde!ながいぶん。。요？ rest", "\U00020000漢字です\n。x", None, "a\n\nます．でした\n!", "!?"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # as leftmost matches of up to four characters before a mark
+    by_match = F.regexp_extract_all("text", F.lit("([^。．！？!?.]{1,4})[。．！？!?.]"), 1)
+    rows = docs.select(RP.sentence_endings(F.col("text")).alias("got"), by_match.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and rows[3].got == ["ab", "cde", "ながいぶん"[-4:], "요"]
+    c = {r.doc_id: r[1:] for r in RP.register_mix_jako(docs).collect()}
+    assert (c[4], c[5], c[6]) == ((1, 0, 0, 0), (None,) * 4, (2, 0, 0, 0))
+    # the text is looked at once, whatever is counted or reported
+    for df in (RP.register_mix_jako(docs), RP.register_mix_jako_findings(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and "regexp_extract_all" not in plan
+
+
 def test_terminology_equi_join_matches_contains(spark):
     pairs = spark.createDataFrame(
         [("w", "S", "A1", "数据库 服务", "database service", 1),
