@@ -143,3 +143,23 @@ def test_issue_rows(spark):
     assert sorted((r.coordinate, r.target) for r in A.issue_occurrences(pairs).collect()) == [
         ("A1", "l'un"), ("A2", "fine"), ("A3", "fine"), ("A4", None)]
     assert A.consistency_findings(pairs).first().description == "'好' translated 2 ways: ['fine', \"l'un\"]"
+
+
+def test_cells_are_never_the_broadcast_side_of_their_sheets(spark, tmp_dir):
+    """The positions of the sheets go to the cells, not the cells to them."""
+    from polyglint.plans import fixtures as FX
+    from polyglint.plans.review import align_bitext
+    spark.createDataFrame([(i, f"name {i}", f"Brand#{i % 7 + 1}", i % 50) for i in range(200)],
+                          "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_dir}/part.parquet")
+    spark.createDataFrame([(1, t, r, f"text {t}") for t, r in enumerate(["user", "assistant"] * 3)],
+                          "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_dir}/conversations.parquet")
+    src, tgt = FX.fx_src(spark, tmp_dir), FX.fx_tgt(spark, tmp_dir)
+    for cells in (tgt, FX.fx_conv_cells(spark, tmp_dir)):
+        plan = A.sheets_of(cells)._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan
+    # brand 1 has no sheet: 2..7 are at 0..5
+    assert {(r.sheet, r.sheet_idx) for r in tgt.select("sheet", "sheet_idx").distinct().collect()} == {
+        ("Brand#2", 0), *((f"Brand#{n}_EN", n - 2) for n in range(3, 8))}
+    sheet_map, _ = align_bitext(src, tgt)
+    assert {(r.sheet, r.target_sheet) for r in sheet_map.collect()} == {
+        ("Brand#1", "Brand#2"), ("Brand#2", "Brand#2"), *((f"Brand#{n}", f"Brand#{n}_EN") for n in range(3, 8))}
