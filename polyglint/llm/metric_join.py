@@ -8,7 +8,9 @@ vectors, partition them: a vector's home is the cell of its nearest pivot.
   there and d(x, y) <= r, then d(x, p) <= d(x, home) + 2 r and
   d(x, p) <= r + the cell's radius (triangle inequality), and x is at most r
   from the plane halfway between the two pivots.  Each cell joins the vectors
-  at home in it with those that visit it, apart from all others.
+  at home in it with those that visit it, apart from all others.  As that holds
+  for both ends of a link, of two vectors outside of cores only one visits the
+  other, by the numbers of their cells, and the link counts for both.
 * The core of a cell are the vectors within r / 4 of its pivot.  A vector within
   3/4 r of the pivot is linked with the whole core, one beyond 5/4 r with none of
   it; only those between are compared with it.  A dense group that holds a third
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, slices, written
 from .components import connected_components
 from .forest import Forest
 
-HOMES_PER_CELL = 1024
+HOMES_PER_CELL = 4096
 MAX_PIVOTS = 4096          # bounds what is broadcast: so many vectors, for each dimension
-BATCH = 4096               # vectors compared with a piece at a time
+BATCH = 1024               # vectors compared with a piece at a time
+SENT_BYTES = 8 << 20       # of vectors sent to pieces at a time
+AT_HOME, ALONE, MUTUAL = 0, 1, 2   # what a vector is in a piece; a visitor's links count for it alone, or for both sides
 SLACK = 1e-6               # bounds are widened by this, far above rounding errors
 TIE = 1e-10                # cosines this near the limit are computed exactly
 
@@ -62,7 +66,7 @@ def linked(a: np.ndarray, b: np.ndarray, min_cosine: float) -> tuple[np.ndarray,
     the rest is taken in double precision, next to the limit exactly."""
     slack = 1e-5 + 2e-7 * a.shape[1]
     rough = a.astype(np.float32) @ b.astype(np.float32).T
-    i, j = np.nonzero(rough >= np.float32(min_cosine - slack))
+    i, j = np.divmod(np.flatnonzero(rough >= np.float32(min_cosine - slack)), max(1, len(b)))
     value = np.empty(len(i))
     for s in range(0, len(i), 1 << 16):
         k = slice(s, s + (1 << 16))
@@ -183,7 +187,7 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, id_col: str =
             d = distances(units([vec[i] for i in at], dim), p)
             own = home[at] - s
             own_far = far[at][:, None]
-            apart = distances(p, p)[own]                           # pivots from each one's home
+            apart = distances(p[own], p)                           # pivots from each one's home
             plane = (d * d - own_far * own_far) <= 2 * apart * (r + SLACK) + SLACK
             near = (d <= own_far + 2 * r + SLACK) & (d <= r + of["radius"][s:s + len(p)] + SLACK) & plane
             near[np.arange(len(at)), own] = True
@@ -216,106 +220,130 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, id_col: str =
     def visits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The pieces that each vector is at home in or compared with."""
         of = info.value
-        kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-        names = ["cell", "piece", "at_home", "rep", "copies", "vec", "dim"]
-        for b in it:
-            vec, rep, copies = b.column(1).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy()
-            rows: list[tuple] = []
-
-            def send(i, cell, part, pieces, own, dim):
-                """Vector i to all pieces of a cell's core (part 0) or rest (1)."""
-                mine = rep[i] % pieces if own else -1
-                for k in range(pieces):
-                    rows.append((2 * cell + part, k, k == mine, rep[i], copies[i], vec[i], dim))
+        for b in slices(it):
+            vec, rep, copies = b.column(1), b.column(2).to_numpy(), b.column(3).to_numpy()
+
+            def sent(dim, i, cell, pieces, mine, kind, first=0):
+                """Vectors i to so many pieces of their cells, from ``first`` on; at home
+                in the one numbered ``mine`` of these (-1: in none)."""
+                n = np.asarray(pieces, np.int64)
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                i, cell, mine, kind, first = (np.repeat(x, n) for x in (i, cell, mine, kind, np.broadcast_to(first, n.shape)))
+                kind, k = np.where(k == mine, AT_HOME, kind), first + k
+                step = max(1, min(1 << 15, SENT_BYTES // (8 * dim)))
+                for lo in range(0, len(i), step):
+                    s = slice(lo, lo + step)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[s], pa.int32()), pa.array(k[s], pa.int32()), pa.array(kind[s], pa.int8()),
+                         pa.array(rep[i[s]], pa.int64()), pa.array(copies[i[s]], pa.int64()), vec.take(pa.array(i[s])),
+                         pa.array(np.full(len(i[s]), dim), pa.int32())],
+                        ["cell", "piece", "kind", "rep", "copies", "vec", "dim"])
 
             for dim, at, s, own, in_core, _, unsure, rest in seen(b):
-                for k, i in enumerate(at):
-                    if s is None:
-                        send(i, int(own[k]), 1, of["rare"][int(own[k])], True, dim)
-                        continue
-                    home = s + int(own[k])
-                    for c in np.flatnonzero(unsure[k]):
-                        send(i, s + int(c), 0, int(of["core_pieces"][s + c]), False, dim)
-                    for c in np.flatnonzero(rest[k]):
-                        send(i, s + int(c), 1, int(of["rest_pieces"][s + c]), bool(s + c == home and not in_core[k]), dim)
-                    if in_core[k]:       # at home in one piece of the core, for those that are unsure of it
-                        rows.append((2 * home, int(rep[i] % of["core_pieces"][home]), True, rep[i], copies[i], vec[i], dim))
-                    if len(rows) >= 1 << 15:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                        rows.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                if s is None:
+                    pieces = np.array([of["rare"][h] for h in own.tolist()], np.int64)
+                    yield from sent(dim, at, 2 * own + 1, pieces, rep[at] % pieces, np.full(len(at), ALONE))
+                    continue
+                i, c = np.nonzero(unsure)
+                yield from sent(dim, at[i], 2 * (s + c), of["core_pieces"][s + c], np.full(len(i), -1), np.full(len(i), ALONE))
+                # of two vectors outside of cores, in different cells, one visits the other
+                other = np.arange(rest.shape[1]) != own[:, None]
+                turn = (own[:, None] < np.arange(rest.shape[1])) ^ ((own[:, None] + np.arange(rest.shape[1])) % 2 == 1)
+                i, c = np.nonzero(rest & (in_core[:, None] | ~other | turn))
+                pieces = of["rest_pieces"][s + c]
+                yield from sent(dim, at[i], 2 * (s + c) + 1, pieces,
+                                np.where(other[i, c] | in_core[i], -1, rep[at[i]] % pieces),
+                                np.where(other[i, c] & ~in_core[i], MUTUAL, ALONE))
+                # at home in one piece of the core, for those that are unsure of it
+                i = np.flatnonzero(in_core)
+                yield from sent(dim, at[i], 2 * (s + own[i]), np.ones(len(i), np.int64), np.zeros(len(i)), np.full(len(i), ALONE),
+                                rep[at[i]] % of["core_pieces"][s + own[i]])
 
     def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces come one after the other, those at home first."""
-        state: dict = {"key": None}
+        state: dict = {"key": None, "own": []}
 
         def result(ids, counts, u, v):
             n = len(ids) + len(u)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids, u]), pa.int64()),
-                 pa.array([*counts.tolist(), *[None] * len(u)], pa.int64()),
-                 pa.array([*[None] * len(ids), *v.tolist()], pa.int64())], ["u", "n", "v"]) if n else None
-
-        def compare(rep, vec):
-            """Count the links of some vectors with those at home in the piece."""
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([ids, u]), pa.int64()),
+                     pa.array([*counts.tolist(), *[None] * len(u)], pa.int64()),
+                     pa.array([*[None] * len(ids), *v.tolist()], pa.int64())], ["u", "n", "v"])
+
+        def compare(rep, copies, x, mutual):
+            """Count the links of some vectors with those at home in the piece, and
+            where that is said the links of these with them."""
             h = state["homes"]
             forest = Forest(len(h["rep"]) + len(rep))
-            i, j = linked(units(vec, state["dim"]), h["x"], min_cosine)
-            other = rep[i] != h["rep"][j]
-            i, j = i[other], j[other]
+            i, j = linked(x, h["x"], min_cosine)
+            apart = rep[i] != h["rep"][j]
+            i, j = i[apart], j[apart]
             counts = np.bincount(i, h["copies"][j], len(rep)).astype(np.int64)
+            h["counts"] += np.bincount(j, np.where(mutual[i], copies[i], 0), len(h["rep"])).astype(np.int64)
             forest.add(j, len(h["rep"]) + i)
             e = np.array(forest.edges, np.int64).reshape(-1, 2)
             both = np.concatenate([h["rep"], rep])
-            return result(rep[counts > 0], counts[counts > 0], both[e[:, 0]], both[e[:, 1]])
+            yield from result(rep[counts > 0], counts[counts > 0], both[e[:, 0]], both[e[:, 1]])
 
         def flush():
             """What waits in the piece is compared."""
-            if not state["wait"]:
-                return None
-            rep, _, vec = zip(*state["wait"])
-            state["wait"] = []
-            return compare(np.array(rep, np.int64), vec)
+            if state["wait"]:
+                rep, copies, mutual = (np.concatenate([w[k] for w in state["wait"]]) for k in range(3))
+                vec = [v for w in state["wait"] for v in w[3]]
+                state["wait"], state["waiting"] = [], 0
+                yield from compare(rep, copies, units(vec, state["dim"]), mutual)
 
         def settle():
-            """All vectors at home are known: their matrix."""
-            rep, copies, vec = zip(*state["own"])
-            state["homes"] = {"rep": np.array(rep, np.int64), "copies": np.array(copies, np.int64),
-                              "x": units(vec, state["dim"])}
+            """All vectors at home are known: their matrix.  Those of a rest are
+            compared with each other."""
+            rep, copies = (np.concatenate([o[k] for o in state["own"]]) for k in range(2))
+            x = units([v for o in state["own"] for v in o[2]], state["dim"])
+            state["homes"] = {"rep": rep, "copies": copies, "x": x, "counts": np.zeros(len(rep), np.int64)}
+            if state["key"][0] % 2:
+                for lo in range(0, len(rep), BATCH):
+                    k = slice(lo, lo + BATCH)
+                    yield from compare(rep[k], copies[k], x[k], np.zeros(len(rep[k]), bool))
+
+        def done():
+            """The piece is at its end."""
+            if state["own"]:
+                if state["homes"] is None:
+                    yield from settle()
+                yield from flush()
+                h = state["homes"]
+                some = h["counts"] > 0
+                yield from result(h["rep"][some], h["counts"][some], np.empty(0, np.int64), np.empty(0, np.int64))
 
         for b in it:
-            cols = [b.column(i).to_pylist() for i in range(7)]
-            for cell, piece, at_home, rep, copies, vec, dim in zip(*cols):
-                if (cell, piece) != state["key"]:
-                    if state["key"] is not None:
-                        if state["homes"] is None and state["own"]:
-                            settle()
-                        if (out := flush()) is not None:
-                            yield out
-                    state = {"key": (cell, piece), "own": [], "homes": None, "wait": [], "dim": dim}
-                row = (rep, copies, vec)
-                if at_home:
-                    state["own"].append(row)
-                    if cell % 2:             # of a rest, those at home are compared with each other
-                        state["wait"].append(row)
-                elif state["own"]:
-                    if state["homes"] is None:
-                        settle()
-                    state["wait"].append(row)
-                if state["homes"] is not None and len(state["wait"]) >= BATCH:
-                    if (out := flush()) is not None:
-                        yield out
-        if state["key"] is not None:
-            if state["homes"] is None and state["own"]:
-                settle()
-            if state["homes"] is not None and (out := flush()) is not None:
-                yield out
+            cell, piece, kind, rep, copies = (b.column(i).to_numpy() for i in range(5))
+            vec, dim = b.column(5), b.column(6)
+            ends = np.flatnonzero((cell[1:] != cell[:-1]) | (piece[1:] != piece[:-1])) + 1
+            for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(cell)]):
+                if hi == lo:
+                    continue
+                if (cell[lo], piece[lo]) != state["key"]:
+                    yield from done()
+                    state = {"key": (cell[lo], piece[lo]), "own": [], "homes": None, "wait": [], "waiting": 0, "dim": dim[lo].as_py()}
+                home = lo + int(np.searchsorted(kind[lo:hi], AT_HOME, side="right"))
+                if home > lo:
+                    state["own"].append((rep[lo:home].copy(), copies[lo:home].copy(), vec.slice(lo, home - lo).to_pylist()))
+                if home == hi or not state["own"]:
+                    continue
+                if state["homes"] is None:
+                    yield from settle()
+                for at in range(home, hi, BATCH):
+                    to = min(hi, at + BATCH)
+                    state["wait"].append((rep[at:to].copy(), copies[at:to].copy(), kind[at:to] == MUTUAL, vec.slice(at, to - at).to_pylist()))
+                    state["waiting"] += to - at
+                    if state["waiting"] >= BATCH:
+                        yield from flush()
+        yield from done()
 
     sent = map_arrow(placed, visits,
-                     "cell int, piece int, at_home boolean, rep long, copies long, vec binary, dim int")
+                     "cell int, piece int, kind tinyint, rep long, copies long, vec binary, dim int")
     found = written(map_arrow(sent.repartition("cell", "piece").sortWithinPartitions(
-        "cell", "piece", F.col("at_home").desc()), join, "u long, n long, v long").unionByName(
+        "cell", "piece", "kind"), join, "u long, n long, v long").unionByName(
             map_arrow(placed, certain, "u long, n long, v long")), "vector-links")
     links = found.where("v is not null and u <> v").select("u", "v")
     counts = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("n"))

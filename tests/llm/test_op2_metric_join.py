@@ -90,3 +90,25 @@ def test_an_id_with_two_vectors_seen_nowhere_else(spark):
     df = spark.createDataFrame([(5, x), (5, near), (2, y), (9, y), (9, near)], "vec_id long, embedding array<double>")
     got = sorted(tuple(r)[:3] for r in metric_join.near_duplicates(df).collect())
     assert got == [(2, 1, 2), (5, 2, 2), (5, 2, 2), (9, 1, 2), (9, 2, 2)]
+
+
+def test_vectors_of_two_cells_meet_once(spark, monkeypatch):
+    """Vectors as far from each other as random ones can't be kept apart; of two in
+    different cells one visits the other, and the link counts for both."""
+    rnd = np.random.default_rng(7)
+    data = [(i, [float(np.float32(x)) for x in rnd.normal(size=32)], 0) for i in range(600)]
+    data += [(1000 + i, [float(np.float32(x * (1 + 0.1 * rnd.normal()))) for x in data[i][1]], 0) for i in range(0, 600, 3)]
+    sent, plain = [], metric_join.map_arrow
+
+    def seen(df, fn, schema, keeps=None):
+        out = plain(df, fn, schema, keeps)
+        if "piece" in out.columns:
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(metric_join, "map_arrow", seen)
+    got = metric_join.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(4), homes_per_cell=40).collect()
+    same(got, brute(data))
+    assert sum(r.n_links for r in got) > 200
+    cells = -(-len(data) // 40)
+    assert sent[0].count() < 0.6 * len(data) * cells
