@@ -89,3 +89,21 @@ def test_stages_keep_the_columns_of_documents(spark):
 def test_there_are_five_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language ID", "SimHash near-dedup", "PII", "mixing sources to target weights", "BPE encoding and decoding"]
+
+
+def test_texts_go_to_the_workers_in_small_batches(spark):
+    """10,000 whole texts a batch stand outside of the heap, twice in each task."""
+    from polyglint.llm import common
+
+    def rows(it):
+        for b in it:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    before = spark.conf.get(common.BATCH_ROWS)
+    try:
+        for given, most in (("10000", common.TEXT_ROWS), ("300", 300)):
+            spark.conf.set(common.BATCH_ROWS, given)
+            n = [r.n for r in common.map_arrow(spark.range(0, 5000, 1, 1), rows, "n long").collect()]
+            assert sum(n) == 5000 and max(n) == most
+    finally:
+        spark.conf.set(common.BATCH_ROWS, before)
