@@ -39,6 +39,7 @@ GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
 PREFIXES = {"ip": (1, 2, 3), "card": (6,), "phone": (4, 7)}    # parts of an address, digits of a number
 COPY_BUCKETS = 1 << 18   # of hashes of texts, to tell which may have copies
+TERM_BUCKETS = 1 << 20   # the same for texts that may have disclosing terms
 
 # The patterns of the contract.  The e-mail pattern is applied
 # around each "@", and numbers start where no digit stands before them, which
@@ -288,7 +289,13 @@ def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     hashed, length, spans = fresh(docs, "text_hash", "text_len", "term_spans")
     extra = written(term_spans(found, disclosing_terms(found, texts, **limits)), "pii-terms").toDF(hashed, length, spans)
     keyed = docs.withColumns(dict(zip((hashed, length), text_key(F.col(text_col)))))
-    joined = keyed.join(extra, [hashed, length], "left").select(*names, spans)
+    # only texts that may have such terms move to meet them; a bounded table of buckets tells
+    at_bucket, = fresh(docs, "bucket")
+    bucket = F.pmod(hashed, F.lit(TERM_BUCKETS)).alias(at_bucket)
+    some = F.broadcast(written(extra.select(bucket).distinct(), "pii-buckets"))
+    dealt = keyed.select("*", bucket)
+    joined = dealt.join(some, at_bucket, "left_anti").select(*names, F.lit(None).cast("string").alias(spans)).unionByName(
+        dealt.join(some, at_bucket, "left_semi").join(extra, [hashed, length], "left").select(*names, spans))
     at = names.index(text_col)
     has_length = length_col in names and dict(docs.dtypes)[length_col] == "bigint"
 

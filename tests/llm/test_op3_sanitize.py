@@ -150,3 +150,15 @@ def test_classes():
         "email", "email@corp.example.com", "email~jan", "email~kowalski"}
     assert sanitize.classes("ip", "10.020.3.4") == {"ip", "ip/10", "ip/10.20", "ip/10.20.3"}
     assert sanitize.classes("phone", "+1 (555) 010-1000") == {"phone", "phone/1555", "phone/1555010"}
+
+
+def test_only_texts_with_terms_move(spark):
+    """Texts that have no disclosing term are masked where they stand."""
+    data = [(i, f"Zorblax the boss at boss@corp.example.com said {w}", "en", "a", 0) for i, w in enumerate(["many", "few", "odd"])]
+    data += [(10 + i, f"plain text number {i} to p{i}q@corp{i}.example.com", "en", "a", 0) for i in range(40)]
+    clean = sanitize.sanitise(docs(spark, data).where("doc_id >= 0"))
+    plan = clean._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert len(got) == 43 and all("Zorblax" not in got[i] for i in range(3))
+    assert got[10] == "plain text number 0 to [EMAIL]"
