@@ -146,3 +146,21 @@ def test_numbering_with_a_hot_document(spark):
     assert [r.n for r in out] == list(range(1, 20001))
     keys = [(r.doc_id, r.seq) for r in out]
     assert keys == sorted(keys)
+
+
+def test_plan_texts_are_bounded(spark):
+    """Texts of plans, which the driver keeps, grow no further with cached inputs."""
+    from polyglint import session
+    before = spark.conf.get(session.PLAN_TEXT)
+    try:
+        spark.conf.unset(session.PLAN_TEXT)
+        f = Q._report_findings(spark, SF_SMALL)
+        FX.fx_src(spark, SF_SMALL)
+        for _ in range(4):
+            f = f.unionByName(f)
+        assert len(f._jdf.queryExecution().toString()) <= session.PLAN_TEXT_CHARS + 1000
+        spark.conf.set(session.PLAN_TEXT, "5000")
+        FX.fx_src(spark, SF_SMALL)
+        assert spark.conf.get(session.PLAN_TEXT) == "5000"
+    finally:
+        spark.conf.set(session.PLAN_TEXT, before)
